@@ -30,7 +30,7 @@ CACHE_WORDS = 300_000
 BLOCK_BYTES = 1 << 20
 _NEVER = np.int64(1) << 40
 #: The byte-level pattern; white space is written out, since libraries differ on U+001C to U+001F.
-_WHITE = r"\t-\r \x85\xa0  -     　"
+_WHITE = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
 
 
@@ -38,7 +38,7 @@ def _byte_letters() -> dict[str, int]:
     """The printable stand-ins of byte-level vocabularies: printable bytes for themselves, the rest from U+0100 on."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     others = [b for b in range(256) if b not in set(printable)]
-    return {chr(b): b for b in printable} | {chr(0x100 + i): b for i, b in enumerate(others)}
+    return dict(sorted([*((chr(b), b) for b in printable), *((chr(0x100 + i), b) for i, b in enumerate(others))], key=lambda x: x[1]))
 
 
 class Vocabulary:
@@ -79,7 +79,6 @@ class Vocabulary:
         self.pool = np.frombuffer(b"".join(by_id.get(i, b"") for i in range(top)), np.uint8)
         self.words = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.byte_rank = np.array([rank[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])])
         self._trie(text)
 
     def _trie(self, text: list[bytes]) -> None:
@@ -167,7 +166,7 @@ class Vocabulary:
             out[i] = np.array(self._merge_long(words[i]))
         if not short:
             return out
-        tokens = self.byte_rank[np.frombuffer(b"".join(words[i] for i in short), np.uint8)]
+        tokens = np.frombuffer(b"".join(words[i] for i in short), np.uint8).astype(np.int64)
         owner = np.repeat(np.arange(len(short)), [len(words[i]) for i in short])
         while len(tokens):
             ranks = np.full(len(tokens), _NEVER)
@@ -190,7 +189,7 @@ class Vocabulary:
 
     def _merge_long(self, word: bytes) -> list[int]:
         """The same for one long word, with a heap over a linked list."""
-        tokens = self.byte_rank[np.frombuffer(word, np.uint8)].tolist()
+        tokens = list(word)
         n = len(tokens)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, tokens[i], tokens[i + 1]) for i in range(n - 1) if (r := self.pairs.get((tokens[i], tokens[i + 1]))) is not None]

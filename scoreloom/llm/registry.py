@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import decontam, minhash
+from scoreloom.llm import bpe, decontam, minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": bpe.op1_bpe,
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
     "op9_winnowing": decontam.op9_winnowing,
 }
