@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import bpe, decontam, minhash, quality
+from scoreloom.llm import bpe, decontam, minhash, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
+    "op4_interleaved_shards": sharding.op4_interleaved_shards,
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
     "op7_quality": quality.op7_quality,
     "op9_winnowing": decontam.op9_winnowing,
