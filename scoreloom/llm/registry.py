@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import bpe, decontam, minhash, quality, sharding
+from scoreloom.llm import bpe, decontam, minhash, pii, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
@@ -14,5 +14,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
     "op7_quality": quality.op7_quality,
     "op9_winnowing": decontam.op9_winnowing,
+    "op10_surrogates": pii.op10_surrogates,
 }
 ORACLES: dict[str, str] = {}
