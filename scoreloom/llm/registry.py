@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import bpe, decontam, minhash, pii, quality, sharding
+from scoreloom.llm import bpe, decontam, html_extract, minhash, pii, quality, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
+    "op3_site_style_tree": html_extract.op3_site_style_tree,
     "op4_interleaved_shards": sharding.op4_interleaved_shards,
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
     "op7_quality": quality.op7_quality,
+    "op8_no_random_access": topk.op8_no_random_access,
     "op9_winnowing": decontam.op9_winnowing,
     "op10_surrogates": pii.op10_surrogates,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_no_random_access": topk.OP8_SQL,
+}
