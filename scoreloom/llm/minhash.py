@@ -4,11 +4,11 @@
    is checkpointed. One permutation hashes each shingle once; an empty bin borrows from the bin that a hash of (bin, attempt)
    names, until that bin is a filled one.
 2. Documents with equal sets are one class, represented by its smallest id, so copies never multiply pairs.
-3. Each bucket of a band gives a star: its smallest member against the others, deduplicated over bands. Candidates whose
+3. Each bucket of a band gives a star: one member, its centre, against the others, deduplicated over bands. Candidates whose
    sizes already exclude the link are dropped; the others are confirmed on the full sets, which only candidates ever ship.
-4. Confirmed links give components. A bucket that still holds several components may hide a link that no star saw: such
-   buckets get further, exponentially more, centres, tested against members of other components only, until every bucket
-   has one component or all of its pairs of different components are tested. So no candidate link is lost to the star shape.
+4. Confirmed links give components. Two members of a star in different components may still be linked with each other. A
+   bound on what they must share besides the centre's shingles (see ``hidden_pairs``) finds every such pair without pairing
+   all members, and these are confirmed too. So no candidate link is lost to the star shape.
 5. The number of bands follows from ``miss``, the bound on the chance that a pair at the threshold shares no bucket.
 
 Defined cases: null or wordless texts have no shingles and no links; fewer words than a shingle make one shingle of all of
@@ -23,7 +23,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,8 @@ from scoreloom.llm.words import NOT_SPACE, blocks, mix64, ngram_hashes, utf8, wi
 from scoreloom.session import reliable_checkpoints
 
 BAND_ROWS = 6
+#: Up to so many ids of documents in candidate pairs are broadcast (8 bytes each); beyond, they are joined by shuffling.
+BROADCAST_IDS = 2_000_000
 
 
 def band_count(similarity: float, rows: int, miss: float = 1e-6) -> int:
@@ -125,18 +127,47 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
     return docs.select(F.col(id_col).alias("node"), whole(F.col(text_col)).alias("shingles"))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int) -> DataFrame:
-    """(a, b, linked) for candidate pairs: den * intersection >= num * union on the full sets."""
-    need = pairs.select(F.col("a").alias(id_col)).union(pairs.select(F.col("b").alias(id_col))).distinct()
-    sets = full_sets(docs.select(id_col, text_col).join(need, id_col, "left_semi"), id_col, text_col, size)
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with their full sets sa and sb."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    linked = den * both >= num * (F.size("sa").cast("long") + F.size("sb").cast("long") - both)
-    return pairs.join(right, "b").join(left, "a").select("a", "b", linked.alias("linked"))
+    return pairs.join(right, "b").join(left, "a")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100, rows: int = BAND_ROWS, miss: float = 1e-6) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of the candidate pairs with den * intersection >= num * union on the full sets."""
+    both = F.size(F.array_intersect("sa", "sb")).cast("long")
+    linked = den * both >= num * (F.size("sa").cast("long") + F.size("sb").cast("long") - both)
+    return _with_sets(pairs.select("a", "b"), sets).where(linked).select("a", "b")
+
+
+def hidden_pairs(star: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of members of one star that may be linked although they are in different components.
+
+    Let R be the centre's set, A- = R \\ A and A+ = A \\ R, and D(A) both together. For members A, B of one star the
+    intersection is |R| - |A-| - |B-| + S with S = |D(A) & D(B)|. If A is not linked with R, then A and B can only be linked if
+    (num + den) * S > num * |B+| + den * |B-|. (If both are linked with R, they are in one component already.) So of D(B)'s
+    shingles, put rarest first, one that is shared stands among the first |D(B)| - need + 1. Those first ones are joined with
+    D(A) of the members A that are not linked with R: what near copies have in common never meets, only what sets them apart.
+    """
+    named = star.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
+    open_stars = named.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("a")
+    named = named.join(open_stars, "a").join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left").select("a", "b", "n", "component", F.coalesce("linked", F.lit(False)).alias("linked"))
+    apart = _with_sets(named, sets).select("a", "b", "n", "component", "linked", F.array_except("sa", "sb").alias("less"), F.array_except("sb", "sa").alias("more"))
+    need = F.floor((num * F.size("more") + den * F.size("less")) / F.lit(num + den)) + 1
+    rows = apart.select("a", "b", "n", "component", "linked", (F.size("more") + F.size("less") - need + 1).alias("first"), F.explode(F.concat("less", "more")).alias("t"))
+    rows = rows.checkpoint()
+    spread = rows.groupBy("a", "t").agg(F.count("*").alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    rows = rows.join(spread, ["a", "t"])
+    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("f", "t"))
+    early = rows.withColumn("rank", rank).where((F.col("rank") <= F.col("first")) & (F.col("lo") < F.col("hi"))).select("a", "t", F.col("b").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
+    whole = rows.where(~F.col("linked") & (F.col("lo") < F.col("hi"))).select("a", "t", "b", "n", "component")
+    fits = den * F.least("n", "xn") >= num * F.greatest("n", "xn")
+    met = early.join(whole, ["a", "t"]).where((F.col("xc") != F.col("component")) & fits)
+    return met.select(F.least("b", "x").alias("a"), F.greatest("b", "x").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100, rows: int = BAND_ROWS, miss: float = 1e-6, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``docs``; documents link at den * |A & B| >= num * |A | B|."""
     reliable_checkpoints(docs.sparkSession)
     docs = docs.select(id_col, text_col)
@@ -144,42 +175,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     known = marked.where(F.col("set_key").isNotNull() & F.col(id_col).isNotNull())
     classes = known.groupBy("set_key").agg(F.min(id_col).alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     cells = classes.select("node", "n", F.explode("bands").alias("key"))
-    buckets = cells.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c"), F.count("*").alias("m")).where("m > 1")
-    fits = lambda x, y: den * F.least(x, y) >= num * F.greatest(x, y)
-    cells = cells.join(buckets, "key").where(F.col("m") > 1).checkpoint()
-    star = cells.where((F.col("node") != F.col("c.node")) & fits(F.col("n"), F.col("c.n"))).select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
-    tested = confirm(star, docs, id_col, text_col, size, num, den).checkpoint()
-    links = tested.where("linked").select("a", "b")
+    shared = cells.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    cells = cells.join(shared, "key").checkpoint()
+    # The centre of a bucket is its member with the fullest buckets: where near copies meet, the one closest to most.
+    weight = cells.groupBy("node").agg(F.sum("m").alias("w"))
+    weighed = cells.join(weight, "node").select("key", "node", "n", "w")
+    centres = weighed.groupBy("key").agg(F.min(F.struct((-F.col("w")).alias("w"), "node", "n")).alias("c"))
+    star = weighed.join(centres, "key").where(F.col("node") != F.col("c.node")).select(F.col("c.node").alias("a"), F.col("c.n").alias("an"), F.col("node").alias("b"), "n").distinct().checkpoint()
+    need = star.select(F.col("a").alias(id_col)).union(star.select(F.col("b").alias(id_col))).distinct().checkpoint()
+    small = need.limit(broadcast_ids + 1).count() <= broadcast_ids
+    sets = full_sets(docs.join(F.broadcast(need) if small else need, id_col, "left_semi"), id_col, text_col, size).checkpoint()
+    links = confirm(star.where(den * F.least("n", "an") >= num * F.greatest("n", "an")), sets, num, den).checkpoint()
     labels = connected_components(links)
-    wide = cells.where("m > 2").select("key", "node", "n", "m")
-    centres = 4
-    while True:
-        named = wide.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        open_cells = named.join(split, "key").checkpoint()
-        most = open_cells.agg(F.max("m")).first()[0]
-        if most is None:
-            break
-        share = (F.xxhash64("node", F.lit(centres)).cast("double") / F.lit(2.0**64)) + 0.5
-        chosen = open_cells.where(share * F.col("m") < centres).select("key", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
-        more = (
-            open_cells.join(chosen, "key")
-            .where((F.col("xc") != F.col("component")) & fits(F.col("n"), F.col("xn")))
-            .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
-            .distinct()
-            .join(tested.select("a", "b"), ["a", "b"], "left_anti")
-            .checkpoint()
-        )
-        if not more.isEmpty():
-            checked = confirm(more, docs, id_col, text_col, size, num, den).checkpoint()
-            tested = tested.union(checked)
-            fresh = checked.where("linked").select("a", "b")
-            if not fresh.isEmpty():
-                links = links.union(fresh)
-                labels = connected_components(links)
-        if centres >= most:
-            break
-        centres *= 8
+    more = confirm(hidden_pairs(star, links, labels, sets, num, den), sets, num, den).checkpoint()
+    if not more.isEmpty():
+        labels = connected_components(links.union(more))
     named = classes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     return marked.select(id_col, "n_shingles", "set_key").join(named, "set_key", "left").select(id_col, "n_shingles", F.coalesce("component_id", F.col(id_col)).alias("component_id"))
 
