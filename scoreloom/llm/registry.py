@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import bpe, decontam, html_extract, minhash, pii, quality, sharding, topk
+from scoreloom.llm import bpe, decontam, html_extract, minhash, pii, quality, sharding, suffix_dedup, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_suffix_array_dedup": suffix_dedup.op2_suffix_array_dedup,
     "op3_site_style_tree": html_extract.op3_site_style_tree,
     "op4_interleaved_shards": sharding.op4_interleaved_shards,
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
