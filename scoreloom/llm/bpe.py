@@ -5,7 +5,7 @@ not met lately, greedy longest match proposes tokens; a vectorised check then as
 two tokens' own merges ever uncovers a merge across their border that would have come first. If no pair of a word does, the
 proposal is the encoding; the failing words alone are merged exactly, rank by rank. Decoding gathers token bytes.
 
-A worker keeps at most ``CACHE_WORDS`` encoded words, and works on ``BLOCK_BYTES`` of text at a time; a longer text is a
+A worker keeps two generations of about ``CACHE_WORDS`` encoded words, and works on ``BLOCK_BYTES`` of text at a time; a longer text is a
 block of its own and is never cut. No shuffle takes place.
 
 Defined cases: null and empty texts encode to an empty list, an empty list or null decodes to the empty text; bytes that are
@@ -41,6 +41,41 @@ def _byte_letters() -> dict[str, int]:
     return dict(sorted([*((chr(b), b) for b in printable), *((chr(0x100 + i), b) for i, b in enumerate(others))], key=lambda x: x[1]))
 
 
+class Lookup:
+    """A hash table from distinct non-negative 64-bit keys to values that answers whole arrays; -1 if absent."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = int(4 * max(len(keys), 1)).bit_length()
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
+        left, at = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[left[free]]  # of several for one slot the last one stays
+            done = self.keys[at] == keys[left]
+            self.values[at[done]] = values[left[done]]
+            left, at = left[~done], (at[~done] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        found = self.keys[at]
+        out = self.values[at]
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        out[found != keys] = -1
+        at = at[open_]
+        while len(open_):
+            at = (at + 1) & self.mask
+            found, wanted = self.keys[at], keys[open_]
+            hit = found == wanted
+            out[open_[hit]] = self.values[at[hit]]
+            more = ~hit & (found >= 0)
+            open_, at = open_[more], at[more]
+        return out
+
+
 class Vocabulary:
     """Tables of one byte-level BPE vocabulary. Inside, a token's number is its rank: bytes first, then merges in order."""
 
@@ -65,9 +100,7 @@ class Vocabulary:
         self.pairs = pairs
         self.left, self.right = np.array(left), np.array(right)
         self.size = len(left)
-        keys = np.array([a * self.size + b for a, b in pairs], np.int64)
-        order = np.argsort(keys)
-        self.pair_keys, self.pair_rank = keys[order], np.array(list(pairs.values()), np.int64)[order]
+        self.pair_rank = Lookup(np.array([a * self.size + b for a, b in pairs], np.int64), np.array(list(pairs.values()), np.int64))
         self.id_of_rank = np.array([vocab[t] for t in rank], np.int32)
         text = [bytes(letters[c] for c in t) for t in rank]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -87,21 +120,18 @@ class Vocabulary:
         own = self.merge([text[t] for t in whole])
         node_of, ends = {b"": 0}, {}
         for t, got in zip(whole, own, strict=True):
-            if len(got) == 1:
+            if len(got) == 4:
                 for i in range(1, len(text[t]) + 1):
                     node_of.setdefault(text[t][:i], len(node_of))
                 ends[node_of[text[t]]] = t
-        keys = np.array([node_of[p[:-1]] * 256 + p[-1] for p in node_of if p], np.int64)
-        order = np.argsort(keys)
-        self.step_keys, self.step_to = keys[order], np.array([n for p, n in node_of.items() if p], np.int64)[order]
+        self.step = Lookup(np.array([node_of[p[:-1]] * 256 + p[-1] for p in node_of if p], np.int64), np.array([n for p, n in node_of.items() if p], np.int64))
         self.token_at = np.full(len(node_of), -1, np.int64)
         self.token_at[list(ends)] = list(ends.values())
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair, or _NEVER."""
-        keys = a * self.size + b
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == keys, self.pair_rank[at], _NEVER)
+        rank = self.pair_rank(a * self.size + b)
+        return np.where(rank >= 0, rank, _NEVER)
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether tokens a, b stay apart when their bytes are merged together.
@@ -133,10 +163,9 @@ class Vocabulary:
         best, size = np.full(n, -1), np.ones(n, np.int64)
         at, node, depth = np.arange(n), np.zeros(n, np.int64), 0
         while len(at):
-            keys = node * 256 + data[at + depth]
-            where = np.minimum(np.searchsorted(self.step_keys, keys), len(self.step_keys) - 1)
-            hit = self.step_keys[where] == keys
-            at, node = at[hit], self.step_to[where[hit]]
+            node = self.step(node * 256 + data[at + depth])
+            hit = node >= 0
+            at, node = at[hit], node[hit]
             depth += 1
             token = self.token_at[node]
             full = token >= 0
@@ -158,12 +187,12 @@ class Vocabulary:
         picked = np.flatnonzero(chosen)
         return best[picked], np.append(np.searchsorted(picked, ends - lengths), len(picked))
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Exact encodings: in every word the leftmost pair of the lowest rank is merged, again and again."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Exact encodings, as ids: in every word the leftmost pair of the lowest rank is merged, again and again."""
+        out: list[bytes] = [b""] * len(words)
         short = [i for i, w in enumerate(words) if len(w) <= 256]
         for i in set(range(len(words))) - set(short):
-            out[i] = np.array(self._merge_long(words[i]))
+            out[i] = self.id_of_rank[self._merge_long(words[i])].tobytes()
         if not short:
             return out
         tokens = np.frombuffer(b"".join(words[i] for i in short), np.uint8).astype(np.int64)
@@ -176,8 +205,9 @@ class Vocabulary:
             done = np.repeat(least == _NEVER, np.diff(np.append(starts, len(tokens))))
             if done.any():
                 first = np.flatnonzero(np.diff(owner[done], prepend=-1))
-                for o, t in zip(owner[done][first], np.split(tokens[done], first[1:]), strict=True):
-                    out[short[o]] = t
+                ids = self.id_of_rank[tokens[done]].tobytes()
+                for o, a, b in zip(owner[done][first].tolist(), first.tolist(), [*first[1:].tolist(), len(ids) // 4], strict=True):
+                    out[short[o]] = ids[4 * a : 4 * b]
             mine = np.repeat(least, np.diff(np.append(starts, len(tokens))))
             hit = np.flatnonzero((ranks == mine) & ~done)
             hit = hit[np.flatnonzero(np.diff(owner[hit], prepend=-1))]  # the leftmost of each word
@@ -223,47 +253,53 @@ class Vocabulary:
         out = [ids[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         if len(failing):
             for i, exact in zip(failing.tolist(), self.merge([words[i] for i in failing]), strict=True):
-                out[i] = self.id_of_rank[exact].tobytes()
+                out[i] = exact
         return out
 
 
+class WordCache:
+    """Encodings of words met lately, in two generations of at most ``limit`` words (or one block's) each."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.special = {s: np.int32(i).tobytes() for s, i in vocabulary.special.items()}
+        self.now, self.before = dict(self.special), {}
+
+    def prepare(self, texts: list[list[str]], limit: int) -> dict[str, bytes]:
+        """A table that holds the words of all texts."""
+        if len(self.now) > limit:
+            self.now, self.before = dict(self.special), self.now
+        missing = set().union(*texts).difference(self.now)
+        known = missing & self.before.keys()
+        self.now.update({w: self.before[w] for w in known})
+        if new := list(missing - known):
+            self.now.update(zip(new, self.vocabulary.encode_words([w.encode() for w in new]), strict=True))
+        return self.now
+
+
 @lru_cache(maxsize=4)
-def _worker_state(path: str) -> tuple[Vocabulary, dict[str, bytes]]:
-    return Vocabulary(path), {}
+def _worker_state(path: str) -> tuple[Vocabulary, WordCache]:
+    vocabulary = Vocabulary(path)
+    return vocabulary, WordCache(vocabulary)
 
 
 def _encode(texts: pa.Array, path: str, cache_words: int) -> pa.Array:
     vocabulary, cache = _worker_state(path)
-    special = {s: np.int32(i).tobytes() for s, i in vocabulary.special.items()}
     parts: list[bytes] = []
     waiting: list[list[str]] = []
     size = 0
 
     def flush() -> None:
-        new = {w for words in waiting for w in words if w not in cache}
-        new.difference_update(special)
-        local = {}
-        if new:
-            listed = list(new)
-            if len(cache) + len(listed) > cache_words:
-                cache.clear()
-                new = {w for words in waiting for w in words}
-                new.difference_update(special)
-                listed = list(new)
-            local = dict(zip(listed, vocabulary.encode_words([w.encode() for w in listed]), strict=True))
-            if len(local) <= cache_words:
-                cache.update(local)
-        table = local if len(local) > cache_words else cache
-        for words in waiting:
-            parts.append(b"".join([table[w] if w in table else special[w] for w in words]))
+        table = cache.prepare(waiting, cache_words)
+        parts.extend(b"".join(map(table.__getitem__, words)) for words in waiting)
         waiting.clear()
 
     for text in texts:
         text = text.as_py() or ""
-        if vocabulary.cut and any(s in text for s in special):
+        if vocabulary.cut and any(s in text for s in cache.special):
             words = []
             for piece in vocabulary.cut.split(text):
-                words += [piece] if piece in special else vocabulary.words.findall(piece)
+                words += [piece] if piece in cache.special else vocabulary.words.findall(piece)
         else:
             words = vocabulary.words.findall(text)
         waiting.append(words)
