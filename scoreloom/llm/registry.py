@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import bpe, decontam, html_extract, minhash, pii, quality, sharding, suffix_dedup, topk
+from scoreloom.llm import bpe, decontam, html_extract, minhash, pii, quality, sharding, suffix_dedup, tool_calls, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
     "op2_suffix_array_dedup": suffix_dedup.op2_suffix_array_dedup,
     "op3_site_style_tree": html_extract.op3_site_style_tree,
     "op4_interleaved_shards": sharding.op4_interleaved_shards,
+    "op5_tool_call_linking": tool_calls.op5_tool_call_linking,
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
     "op7_quality": quality.op7_quality,
     "op8_no_random_access": topk.op8_no_random_access,
@@ -20,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_surrogates": pii.op10_surrogates,
 }
 ORACLES: dict[str, str] = {
+    "op5_tool_call_linking": tool_calls.OP5_SQL,
     "op8_no_random_access": topk.OP8_SQL,
 }
