@@ -35,13 +35,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoreloom.llm.words import mix64
+from scoreloom.session import reliable_checkpoints
 
 LENGTH = 200
 CORE = 64
 HOT_CONTEXTS = 2000
+#: Places (contexts to cut out, or ends of intervals) of at most some 40 bytes each that may be broadcast; more are joined by shuffling.
+BROADCAST_PLACES = 1_000_000
 SHARD_BYTES = 1 << 20
 _STRIP = 1 << 20
 _PLACE_BITS = 22
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
 def _core_hashes(data: np.ndarray) -> np.ndarray:
@@ -223,7 +227,7 @@ def _merge_runs(batches):
         yield pa.RecordBatch.from_arrays([pa.array(distinct[ends > 1], pa.int64())], names=["w"])
 
 
-def repeated_intervals(docs: DataFrame, *, id_col: str, text_col: str, length: int = LENGTH, hot_contexts: int = HOT_CONTEXTS) -> tuple[DataFrame, DataFrame]:
+def repeated_intervals(docs: DataFrame, *, id_col: str, text_col: str, length: int, hot_contexts: int, broadcast_places: int) -> tuple[DataFrame, DataFrame]:
     """The texts as (_id, _d, _x, _t), and (_d, _x, cuts): sorted byte intervals [start, end) to remove from each."""
     raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     # What is removed depends on the text alone: rows that agree in both keys may share it.
@@ -248,7 +252,7 @@ def repeated_intervals(docs: DataFrame, *, id_col: str, text_col: str, length: i
 
     rows = texts.select("_d", "_x", F.explode(anchored("_t")).alias("a")).select("_d", "_x", "a.*")
     met = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1").select("h", (F.col("c0") != F.col("c1")).alias("mixed"))
-    found = rows.join(met, "h")
+    found = rows.join(met, "h").checkpoint()
     whole = found.where(~F.col("mixed")).select("_d", "_x", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
     edges = found.where("mixed").select("_d", "_x", "lo", "hi", "h", "c")
 
@@ -260,12 +264,15 @@ def repeated_intervals(docs: DataFrame, *, id_col: str, text_col: str, length: i
             out.append([t[x : y + length] for x, y in zip(a.as_py(), b.as_py(), strict=True)])
         return pa.array(out, pa.list_(pa.binary()))
 
-    by_text = edges.distinct().groupBy("_d", "_x").agg(F.collect_list(F.struct("lo", "hi", "h", "c")).alias("e"))
-    opened = texts.join(by_text, ["_d", "_x"]).select("e", cut_out(F.col("_t"), F.col("e.lo"), F.col("e.hi")).alias("p"))
-    pieces = opened.select(F.explode(F.arrays_zip("e", "p")).alias("z")).groupBy(F.col("z.e.h").alias("h"), F.col("z.e.c").alias("c")).agg(F.first("z.p").alias("piece"), F.count("*").alias("copies"))
-    fullness = edges.groupBy("h", "c").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("k"))
-    parts = F.ceil(F.col("k") / F.lit(hot_contexts)).cast("int")
-    dealt = pieces.join(fullness, "h").select("h", "c", "piece", "copies", F.when(F.col("k") > hot_contexts, F.pmod(F.xxhash64("c"), parts)).otherwise(0).cast("int").alias("part"), (F.col("k") > hot_contexts).alias("hot"))
+    # One place stands for all that have the same context, so every distinct context is cut out and shuffled once.
+    kinds = edges.groupBy("h", "c").agg(F.min(F.struct("_d", "_x", "lo", "hi")).alias("at"), F.count("*").alias("copies"))
+    fullness = kinds.groupBy("h").agg(F.count("*").alias("k"))
+    hot_, parts = F.col("k") > hot_contexts, F.ceil(F.col("k") / F.lit(hot_contexts)).cast("int")
+    kinds = kinds.join(fullness, "h").select("at.*", "h", "c", "copies", F.when(hot_, F.pmod(F.xxhash64("c"), parts)).otherwise(0).cast("int").alias("part"), hot_.alias("hot")).checkpoint()
+    by_text = kinds.groupBy("_d", "_x").agg(F.collect_list(F.struct("lo", "hi", "h", "c", "copies", "part", "hot")).alias("e"))
+    few = kinds.limit(broadcast_places + 1).count() <= broadcast_places
+    opened = texts.join(F.broadcast(by_text) if few else by_text, ["_d", "_x"]).select("e", cut_out(F.col("_t"), F.col("e.lo"), F.col("e.hi")).alias("piece"))
+    dealt = opened.select(F.explode(F.arrays_zip("e", "piece")).alias("z")).select("z.e.h", "z.e.c", "z.e.copies", "z.e.part", "z.e.hot", "z.piece")
     shards = dealt.repartition("h", "part").sortWithinPartitions("h", "part")
     judged = shards.select("h", "c", "part", "piece", "copies").mapInArrow(lambda batches: _judge_shard(batches, length), "h long, c long, first int, last int")
 
@@ -281,36 +288,44 @@ def repeated_intervals(docs: DataFrame, *, id_col: str, text_col: str, length: i
     runs = hot.select("w", "part").distinct().select("w")
     across = runs.repartition("w").sortWithinPartitions("w").mapInArrow(_merge_runs, "w long").distinct()
     merged = hot.join(across, "w").select("h", "c", "first", F.col("first").alias("last"))
-    windows = judged.unionByName(merged)
+    windows = judged.unionByName(merged) if not kinds.where("hot").isEmpty() else judged
     some = edges.join(windows, ["h", "c"]).select("_d", "_x", (F.col("lo") + F.col("first")).alias("start"), (F.col("lo") + F.col("last") + length).alias("end"))
-    cuts = whole.unionByName(some).distinct().groupBy("_d", "_x").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
-    return texts, cuts
 
+    @F.arrow_udf(_SPANS)
+    def united(spans: pa.Array) -> pa.Array:
+        out = []
+        for row in spans:
+            merged_: list[dict] = []
+            for x in row.as_py():
+                if merged_ and x["start"] <= merged_[-1]["end"]:
+                    merged_[-1]["end"] = max(merged_[-1]["end"], x["end"])
+                else:
+                    merged_.append(x)
+            out.append(merged_)
+        return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+
+    spans = whole.unionByName(some).distinct().groupBy("_d", "_x").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("s"))
+    return texts, spans.select("_d", "_x", united("s").alias("cuts"))
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
-    """Per row of ``docs``: the id, n_bytes, removed (array of [start, end)) and kept (the remaining bytes)."""
-    texts, cuts = repeated_intervals(docs, id_col=id_col, text_col=text_col, length=length, hot_contexts=hot_contexts)
-    joined = texts.join(cuts, ["_d", "_x"], "left").select("_id", "_t", "cuts")
-    result = T.StructType([T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))), T.StructField("kept", T.BinaryType())])
 
-    @F.arrow_udf(result)
-    def apply(text: pa.Array, cut: pa.Array) -> pa.Array:
-        removed, kept = [], []
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot_contexts: int = HOT_CONTEXTS, broadcast_places: int = BROADCAST_PLACES) -> DataFrame:
+    """Per row of ``docs``: the id, n_bytes, removed (array of [start, end)) and kept (the remaining bytes)."""
+    reliable_checkpoints(docs.sparkSession)
+    texts, cuts = repeated_intervals(docs, id_col=id_col, text_col=text_col, length=length, hot_contexts=hot_contexts, broadcast_places=broadcast_places)
+    cuts = cuts.checkpoint()
+    few = cuts.agg(F.coalesce(F.sum(F.size("cuts") + 2), F.lit(0))).first()[0] <= broadcast_places
+    joined = texts.join(F.broadcast(cuts) if few else cuts, ["_d", "_x"], "left").select("_id", "_t", "cuts")
+
+    @F.arrow_udf(T.BinaryType())
+    def without(text: pa.Array, cut: pa.Array) -> pa.Array:
+        kept = []
         for t, c in zip(text, cut, strict=True):
-            t, spans = t.as_py(), []
-            for x in c.as_py() or ():
-                if spans and x["start"] <= spans[-1]["end"]:
-                    spans[-1]["end"] = max(spans[-1]["end"], x["end"])
-                else:
-                    spans.append(dict(x))
-            edges = [0, *[e for s in spans for e in (s["start"], s["end"])], len(t)]
-            kept.append(b"".join(t[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)) if spans else t)
-            removed.append(spans)
-        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        return pa.StructArray.from_arrays([pa.array(removed, span), pa.array(kept, pa.binary())], names=["removed", "kept"])
-
-    done = joined.withColumn("r", apply("_t", "cuts"))
-    return done.select(F.col("_id").alias(id_col), F.length("_t").cast("long").alias("n_bytes"), "r.removed", "r.kept")
+            t = t.as_py()
+            edges = [0, *[e for s in c.as_py() or () for e in (s["start"], s["end"])], len(t)]
+            kept.append(b"".join(t[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)))
+        return pa.array(kept, pa.binary())
+
+    return joined.select(F.col("_id").alias(id_col), F.length("_t").cast("long").alias("n_bytes"), F.coalesce("cuts", F.array().cast(_SPANS)).alias("removed"), without("_t", "cuts").alias("kept"))
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
