@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if not more.isEmpty():
         labels = connected_components(links.union(more))
     named = classes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
-    return marked.select(id_col, "n_shingles", "set_key").join(named, "set_key", "left").select(id_col, "n_shingles", F.coalesce("component_id", F.col(id_col)).alias("component_id"))
+    return marked.select(id_col, "n_shingles", "set_key").join(named, "set_key", "left").select(id_col, "n_shingles", F.when(F.col(id_col).isNotNull(), F.coalesce("component_id", F.col(id_col))).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, **options: object) -> DataFrame:
