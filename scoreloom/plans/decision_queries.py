@@ -80,8 +80,8 @@ def pilot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weighted_opinion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and confidence-weighted mean of the agents' predictions per item, explored context by context."""
     p = agent_pivot(spark, sf_dir)
-    contexts = p.select("item_id", "gold", F.explode(F.array(*[F.struct(F.lit(a).alias("agent"), F.col(f"{a}_pred").alias("pred"), F.greatest(F.col(f"{a}_conf"), F.lit(1)).alias("w")) for a in AGENTS])).alias("c"))
-    return contexts.groupBy("item_id").agg(score.ratio(F.sum("c.pred"), F.count("*")).alias("mean_pred"), score.ratio(F.sum(F.col("c.pred") * F.col("c.w")), F.sum("c.w")).alias("weighted_pred"))
+    contexts = p.select("item_id", "dataset", "gold", F.explode(F.array(*[F.struct(F.lit(a).alias("agent"), F.col(f"{a}_pred").alias("pred"), F.greatest(F.col(f"{a}_conf"), F.lit(1)).alias("w")) for a in AGENTS])).alias("c"))
+    return contexts.groupBy("item_id", "dataset", "gold").agg(score.ratio(F.sum("c.pred"), F.count("*")).alias("mean_pred"), score.ratio(F.sum(F.col("c.pred") * F.col("c.w")), F.sum("c.w")).alias("weighted_pred")).drop("dataset", "gold")
 
 
 def oracle_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
