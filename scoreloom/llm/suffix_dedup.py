@@ -26,7 +26,6 @@ rows; other columns are not looked at.
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreloom.llm.words import mix64
+from scoreloom.llm.words import mix64, utf8
 from scoreloom.session import reliable_checkpoints
 
 LENGTH = 200
@@ -42,61 +41,67 @@ CORE = 64
 HOT_CONTEXTS = 2000
 #: Places (contexts to cut out, or ends of intervals) of at most some 40 bytes each that may be broadcast; more are joined by shuffling.
 BROADCAST_PLACES = 1_000_000
-SHARD_BYTES = 1 << 20
-_STRIP = 1 << 20
-_PLACE_BITS = 22
+SHARD_BYTES = 1 << 19
+_STRIP = 1 << 16
+_PLACE_BITS = 17
+_LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
 def _core_hashes(data: np.ndarray) -> np.ndarray:
     """A hash of the CORE bytes from each position on."""
-    n = len(data) - 7
-    h = np.zeros(n, np.uint64)
-    for j in range(8):
-        h |= data[j : j + n].astype(np.uint64) << np.uint64(8 * j)
-    width = 8
+    h, width = data.astype(np.uint64), 1
+    while width < 8:  # the bytes themselves
+        m = len(h) - width
+        h = h[:m] | (h[width:] << np.uint64(8 * width))
+        width *= 2
     while width < CORE:
         m = len(h) - width
-        h = mix64(h[:m] * np.uint64(0x9E3779B97F4A7C15) + (h[width:] ^ (h[width:] >> np.uint64(29))))
+        h, right = h[:m] * _LEFT, h[width:] * _RIGHT
+        h += right
+        h ^= h >> np.uint64(31)
         width *= 2
     return mix64(h)
 
 
-def contexts(text: bytes, length: int = LENGTH) -> list[tuple[int, int, int, int]]:
-    """(first window, last window, anchor hash, context digest) of a text, in order."""
-    n = len(text)
-    if n < length:
-        return []
-    data = np.frombuffer(text, np.uint8)
-    span = length - CORE + 1
-    firsts: list[np.ndarray] = []
-    picks: list[np.ndarray] = []
-    hashes: list[np.ndarray] = []
-    for a in range(0, n - length + 1, _STRIP):
-        stop = min(a + _STRIP, n - length + 1)
-        h = _core_hashes(data[a : stop + length - 1])
+def contexts(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(text, first window, last window, anchor hash, context digest) of all texts (bytes and offsets), in order.
+
+    Goes through the bytes strip by strip, whatever texts they belong to. A strip looks at one window before it and at all
+    that the contexts that start in it can hold, so contexts are the same wherever strips begin.
+    """
+    n, span = len(data), length - CORE + 1
+    low = np.uint64((1 << _PLACE_BITS) - 1)
+    tails = np.maximum(at[1:] - length + 1, at[:-1])  # from here on a text's windows would leave it
+    found: list[tuple[np.ndarray, ...]] = []
+    for a in range(0, max(n - length + 1, 0), _STRIP):
+        begin, stop = max(a - 1, 0), min(a + _STRIP + span, n - length + 1)
+        m = stop - begin
+        h = _core_hashes(data[begin : stop + length - 1])
         place = np.arange(len(h), dtype=np.uint64)
-        low = np.uint64((1 << _PLACE_BITS) - 1)
         best = (h & ~low) | (low - place)
         width = 1
         while width * 2 <= span:
             best = np.minimum(best[: len(best) - width], best[width:])
             width *= 2
-        best = np.minimum(best[: stop - a], best[span - width :][: stop - a])
+        best = np.minimum(best[:m], best[span - width :][:m])
         pick = (low - (best & low)).astype(np.int64)
-        first = np.flatnonzero(np.diff(pick, prepend=-1))
-        firsts.append(first + a)
-        picks.append(pick[first] + a)
-        hashes.append(h[pick[first]].view(np.int64))
-    first, pick, anchor = np.concatenate(firsts), np.concatenate(picks), np.concatenate(hashes)
-    new = np.diff(pick, prepend=-1) != 0  # a run goes on over the border of two strips
-    first, pick, anchor = first[new], pick[new], anchor[new]
-    last = np.append(first[1:] - 1, n - length)
-    out = []
-    for lo, hi, p, h in zip(first.tolist(), last.tolist(), pick.tolist(), anchor.tolist(), strict=True):
-        digest = hashlib.blake2b(text[lo : hi + length], digest_size=8, salt=(p - lo).to_bytes(4, "little")).digest()
-        out.append((lo, hi, h, int.from_bytes(digest, "little", signed=True)))
-    return out
+        near = slice(max(int(np.searchsorted(at, begin, side="right")) - 1, 0), int(np.searchsorted(at, stop)))
+        change = np.bincount(np.clip(tails[near] - begin, 0, m), minlength=m + 1) - np.bincount(np.clip(at[1:][near] - begin, 0, m), minlength=m + 1)
+        valid = np.cumsum(change[:m]) == 0
+        turn = np.flatnonzero(np.diff(pick) | (valid[1:] != valid[:-1])) + 1  # where another context, or none, begins
+        first = np.concatenate([[0], turn])
+        last = np.append(turn, m) - 1
+        mine = valid[first] & (first + begin >= a) & (first + begin < a + _STRIP)
+        first, last = first[mine], last[mine]
+        anchor, end = pick[first], last + length
+        digest = ((end - first) << 16 | (anchor - first)).astype(np.uint64)
+        for k in range(0, length + span - 1, CORE):
+            digest = mix64(digest * np.uint64(3) + h[np.minimum(first + k, end - CORE)])
+        text = np.searchsorted(at, first + begin, side="right") - 1
+        found.append((text, first + begin - at[text], last + begin - at[text], h[anchor].view(np.int64), digest.view(np.int64)))
+    empty = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (empty,) * 5
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -107,7 +112,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for j in range(7):  # seven symbols of nine bits
         key = (key << np.uint64(9)) | padded[j : j + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     fresh = np.flatnonzero(np.diff(key[order], prepend=key[order[:1]] + np.uint64(1)) != 0)
     rank = np.empty(n, np.int64)
     rank[order] = np.repeat(fresh, np.diff(np.append(fresh, n)))  # a group's rank is its first place
@@ -119,11 +124,10 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
             break
         at = order[open_]
         after = np.where(at + width < n, rank[np.minimum(at + width, n - 1)], -1)
-        group = rank[at]
-        again = np.lexsort((after, group))
+        both = rank[at] * (n + 1) + after + 1
+        again = np.argsort(both)
         order[open_] = at[again]
-        group, after = group[again], after[again]
-        new = np.flatnonzero((np.diff(group, prepend=-1) != 0) | (np.diff(after, prepend=-2) != 0))
+        new = np.flatnonzero(np.diff(both[again], prepend=-1) != 0)
         rank[at[again]] = np.repeat(open_[new], np.diff(np.append(new, len(open_))))
         width *= 2
     return order
@@ -138,8 +142,12 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, end
     before = np.full(n, -1)
     before[order[1:]] = order[:-1]
     end_of = np.zeros(n, np.int64)
-    for_piece = np.repeat(ends, ends - starts)
-    end_of[np.concatenate([np.arange(s, e) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])] = for_piece
+    lengths = ends - starts
+    end_of[np.arange(int(lengths.sum())) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)] = np.repeat(ends, lengths)
+    words = np.zeros(n + 8, np.uint64)  # eight symbols' low bytes from each place on; the pieces' ends are looked after below
+    words[:n] = text & 255
+    for width in (1, 2, 4):
+        words[:-width] |= words[width:] << np.uint64(8 * width)
     lcp = np.zeros(n, np.int64)
     piece = np.arange(len(starts))
     have = np.zeros(len(starts), np.int64)
@@ -152,10 +160,9 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, end
         h = np.minimum(h, room)
         grow = np.flatnonzero(h < room)
         while len(grow):
-            same = text[i[grow] + h[grow]] == text[j[grow] + h[grow]]
-            grow = grow[same]
-            h[grow] += 1
-            grow = grow[h[grow] < room[grow]]
+            apart = words[i[grow] + h[grow]] ^ words[j[grow] + h[grow]]
+            h[grow] = np.minimum(h[grow] + (np.bitwise_count((apart & -apart) - np.uint64(1)) >> 3), room[grow])
+            grow = grow[(apart == 0) & (h[grow] < room[grow])]
         lcp[i] = h
         have[piece] = h
         step += 1
@@ -236,18 +243,9 @@ def repeated_intervals(docs: DataFrame, *, id_col: str, text_col: str, length: i
 
     @F.arrow_udf(place)
     def anchored(column: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("h", pa.int64()), ("c", pa.int64())]))
-        counts, los, his, hs, cs = [0], [], [], [], []
-        for text in column:
-            found = contexts(text.as_py(), length)
-            if found:
-                lo, hi, h, c = zip(*found, strict=True)
-                los += lo
-                his += hi
-                hs += h
-                cs += c
-            counts.append(len(los))
-        flat = pa.StructArray.from_arrays([pa.array(los, pa.int32()), pa.array(his, pa.int32()), pa.array(hs, pa.int64()), pa.array(cs, pa.int64())], fields=list(kind.value_type))
+        text, *columns = contexts(*utf8(column), length)
+        counts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(column)))])
+        flat = pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["lo", "hi", "h", "c"])
         return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), flat)
 
     rows = texts.select("_d", "_x", F.explode(anchored("_t")).alias("a")).select("_d", "_x", "a.*")
@@ -269,22 +267,31 @@ def repeated_intervals(docs: DataFrame, *, id_col: str, text_col: str, length: i
     fullness = kinds.groupBy("h").agg(F.count("*").alias("k"))
     hot_, parts = F.col("k") > hot_contexts, F.ceil(F.col("k") / F.lit(hot_contexts)).cast("int")
     kinds = kinds.join(fullness, "h").select("at.*", "h", "c", "copies", F.when(hot_, F.pmod(F.xxhash64("c"), parts)).otherwise(0).cast("int").alias("part"), hot_.alias("hot")).checkpoint()
-    by_text = kinds.groupBy("_d", "_x").agg(F.collect_list(F.struct("lo", "hi", "h", "c", "copies", "part", "hot")).alias("e"))
     few = kinds.limit(broadcast_places + 1).count() <= broadcast_places
-    opened = texts.join(F.broadcast(by_text) if few else by_text, ["_d", "_x"]).select("e", cut_out(F.col("_t"), F.col("e.lo"), F.col("e.hi")).alias("piece"))
-    dealt = opened.select(F.explode(F.arrays_zip("e", "piece")).alias("z")).select("z.e.h", "z.e.c", "z.e.copies", "z.e.part", "z.e.hot", "z.piece")
+
+    def opened(some: DataFrame) -> DataFrame:
+        """Contexts with their bytes."""
+        by_text = some.groupBy("_d", "_x").agg(F.collect_list(F.struct("lo", "hi", "h", "c", "copies", "part")).alias("e"))
+        found = texts.join(F.broadcast(by_text) if few else by_text, ["_d", "_x"]).select("e", cut_out(F.col("_t"), F.col("e.lo"), F.col("e.hi")).alias("piece"))
+        return found.select(F.explode(F.arrays_zip("e", "piece")).alias("z")).select("z.e.h", "z.e.c", "z.e.copies", "z.e.part", "z.piece")
+
+    dealt = opened(kinds)
     shards = dealt.repartition("h", "part").sortWithinPartitions("h", "part")
     judged = shards.select("h", "c", "part", "piece", "copies").mapInArrow(lambda batches: _judge_shard(batches, length), "h long, c long, first int, last int")
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def window_digests(piece: pa.Array) -> pa.Array:
-        out = []
-        for p in piece:
-            p = p.as_py()
-            out.append([int.from_bytes(hashlib.blake2b(p[i : i + length], digest_size=8).digest(), "little", signed=True) for i in range(len(p) - length + 1)])
-        return pa.array(out, pa.list_(pa.int64()))
-
-    hot = dealt.where("hot").select("h", "c", "part", F.posexplode(window_digests("piece")).alias("first", "w"))
+        data, at = utf8(piece)
+        h = _core_hashes(data) if len(data) >= CORE else np.zeros(0, np.uint64)
+        counts = np.maximum(np.diff(at) - length + 1, 0)
+        place = np.concatenate([[0], np.cumsum(counts)])
+        first = np.arange(place[-1]) + np.repeat(at[:-1] - place[:-1], counts)
+        digest = np.full(len(first), length, np.uint64)
+        for k in range(0, length, CORE):
+            digest = mix64(digest * np.uint64(3) + h[first + min(k, length - CORE)])
+        return pa.ListArray.from_arrays(pa.array(place, pa.int32()), pa.array(digest.view(np.int64)))
+
+    hot = opened(kinds.where("hot")).select("h", "c", "part", F.posexplode(window_digests("piece")).alias("first", "w"))
     runs = hot.select("w", "part").distinct().select("w")
     across = runs.repartition("w").sortWithinPartitions("w").mapInArrow(_merge_runs, "w long").distinct()
     merged = hot.join(across, "w").select("h", "c", "first", F.col("first").alias("last"))
