@@ -26,7 +26,6 @@ rows; other columns are not looked at.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
