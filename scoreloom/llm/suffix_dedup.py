@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreloom.llm.words import mix64, utf8
+from scoreloom.llm.words import mix64, small_batches, utf8
 from scoreloom.session import reliable_checkpoints
 
 LENGTH = 200
@@ -317,6 +317,7 @@ def repeated_intervals(docs: DataFrame, *, id_col: str, text_col: str, length: i
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot_contexts: int = HOT_CONTEXTS, broadcast_places: int = BROADCAST_PLACES) -> DataFrame:
     """Per row of ``docs``: the id, n_bytes, removed (array of [start, end)) and kept (the remaining bytes)."""
     reliable_checkpoints(docs.sparkSession)
+    small_batches(docs.sparkSession)
     texts, cuts = repeated_intervals(docs, id_col=id_col, text_col=text_col, length=length, hot_contexts=hot_contexts, broadcast_places=broadcast_places)
     cuts = cuts.checkpoint()
     few = cuts.agg(F.coalesce(F.sum(F.size("cuts") + 2), F.lit(0))).first()[0] <= broadcast_places

@@ -9,12 +9,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 BLOCK_BYTES = 4 << 20
+#: Rows of whole texts that go to a Python worker at a time.
+BATCH_ROWS = 1000
 _GROW = np.uint64(0x9E3779B97F4A7C15)
 _P = np.uint64(0xD6E8FEB86659FD93)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold at most BATCH_ROWS rows (the session's own smaller setting stays): texts are much longer than numbers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection of 64-bit words."""
     x = (x + _GROW).astype(np.uint64, copy=False)
