@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scoreloom.llm.words import small_batches
+
 CACHE_WORDS = 300_000
 BLOCK_BYTES = 1 << 20
 _NEVER = np.int64(1) << 40
@@ -355,6 +357,7 @@ def default_path() -> str:
 
 def round_trip(docs: DataFrame, path: str, *, text_col: str = "text") -> DataFrame:
     """Every row with ``tokens`` and ``decoded`` added."""
+    small_batches(docs.sparkSession)
     return docs.withColumn("tokens", encode(F.col(text_col), path)).withColumn("decoded", decode(F.col("tokens"), path))
 
 

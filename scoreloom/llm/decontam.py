@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreloom.llm.words import ALNUM, blocks, mix64, ngram_hashes, utf8, within_rows, word_hashes
+from scoreloom.llm.words import ALNUM, blocks, mix64, ngram_hashes, small_batches, utf8, within_rows, word_hashes
 from scoreloom.session import reliable_checkpoints
 
 WINDOW = 13
@@ -198,6 +198,7 @@ def _keys(text: Column) -> list[Column]:
 def contaminated_texts(texts: DataFrame, benchmark: DataFrame, *, item_id_col: str, item_text_col: str, window: int, k: int, broadcast_prints: int) -> DataFrame:
     """(_x, _y, spans, items) of the distinct texts (column ``t``) that hold a window of an item."""
     reliable_checkpoints(texts.sparkSession)
+    small_batches(texts.sparkSession)
     items = benchmark.select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("t")).where("t is not null")
     item_windows = F.arrow_udf(lambda t: _item_windows(t, window), _FOUND)
     windows = items.select("item", F.explode(item_windows("t")).alias("x")).select("item", "x.size", "x.w").distinct().checkpoint()

@@ -31,6 +31,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scoreloom.llm.words import small_batches
+from scoreloom.session import reliable_checkpoints
+
 MIN_PAGES = 4
 RATIO = 0.15
 BROADCAST_ENTRIES = 200_000
@@ -289,9 +292,8 @@ def extract_main_text(pages: DataFrame, *, url_col: str = "url", html_col: str =
     """Every row of ``pages`` with its main text in ``text_col``."""
     if text_col in pages.columns or {"_site", "_cut"} & set(pages.columns):
         raise ValueError("a column name clashes")
-    from scoreloom.session import reliable_checkpoints
-
     reliable_checkpoints(pages.sparkSession)
+    small_batches(pages.sparkSession)
     cut = unimportant_branches(site_style_trees(pages, url_col=url_col, html_col=html_col)).checkpoint()
     few = cut.limit(broadcast_entries + 1).count() <= broadcast_entries
     lists = cut.groupBy(F.col("site").alias("_site")).agg(F.collect_list("node").alias("_cut"))

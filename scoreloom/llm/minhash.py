@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoreloom.llm.graph import connected_components
-from scoreloom.llm.words import NOT_SPACE, blocks, mix64, ngram_hashes, utf8, within_rows, word_hashes
+from scoreloom.llm.words import NOT_SPACE, blocks, mix64, ngram_hashes, small_batches, utf8, within_rows, word_hashes
 from scoreloom.session import reliable_checkpoints
 
 BAND_ROWS = 6
@@ -170,6 +170,7 @@ def hidden_pairs(star: DataFrame, links: DataFrame, labels: DataFrame, sets: Dat
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100, rows: int = BAND_ROWS, miss: float = 1e-6, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``docs``; documents link at den * |A & B| >= num * |A | B|."""
     reliable_checkpoints(docs.sparkSession)
+    small_batches(docs.sparkSession)
     docs = docs.select(id_col, text_col)
     marked = sketches(docs, text_col, size, rows, band_count(num / den, rows, miss)).drop(text_col).checkpoint()
     known = marked.where(F.col("set_key").isNotNull() & F.col(id_col).isNotNull())

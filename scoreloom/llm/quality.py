@@ -22,14 +22,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreloom.llm.words import utf8
+from scoreloom.llm.words import small_batches, utf8
 
 WIDTH, FILTERS, HIDDEN, HALF = 4, 16, 12, 128
 SAMPLE = 3000
 EPOCHS = 6
 THRESHOLD = 0.7
 #: Bytes convolved at a time.
-STRIP = 1 << 18
+STRIP = 1 << 16
 
 
 class ByteNetwork:
@@ -182,6 +182,7 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, epochs: int = EPOCHS) -> ByteNetwork:
     """Fit on at most ``sample`` labelled rows that are not held out; labels: doc_id, quality."""
+    small_batches(docs.sparkSession)
     usable = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("y"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()  # bounded by sample
