@@ -356,9 +356,17 @@ def default_path() -> str:
 
 
 def round_trip(docs: DataFrame, path: str, *, text_col: str = "text") -> DataFrame:
-    """Every row with ``tokens`` and ``decoded`` added."""
+    """Every row with ``tokens`` and ``decoded`` added (columns of these names are replaced)."""
     small_batches(docs.sparkSession)
-    return docs.withColumn("tokens", encode(F.col(text_col), path)).withColumn("decoded", decode(F.col("tokens"), path))
+    kind = T.StructType([T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+
+    @F.arrow_udf(kind)
+    def both(texts: pa.Array) -> pa.Array:  # one function, so that the tokens are made once for either column
+        ids = _encode(texts, path, CACHE_WORDS)
+        return pa.StructArray.from_arrays([ids, _decode(ids, path)], names=["tokens", "decoded"])
+
+    added = docs.withColumn("_bpe", both(F.col(text_col)))
+    return added.withColumns({"tokens": F.col("_bpe.tokens"), "decoded": F.col("_bpe.decoded")}).drop("_bpe")
 
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
