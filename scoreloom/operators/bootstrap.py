@@ -1,7 +1,7 @@
 """Paired comparison of two arms by resampling whole papers.
 
-Both arms are first reduced to sums per paper and dataset. A replicate is a weight per paper, and all replicates together are
-one join of the weights with those sums, so the size of what is shuffled is papers x replicates and never records.
+Both arms are first reduced to sums per paper and dataset. A replicate is a weight per paper; draws meet those sums in blocks of
+papers, so the size of what is shuffled is a few bits for each of papers x replicates and never records.
 """
 
 from __future__ import annotations
@@ -9,7 +9,10 @@ from __future__ import annotations
 import hashlib
 import random
 import struct
+import zlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,9 @@ from scoreloom.functions.score import ratio
 from scoreloom.operators.quality import paper_statistics
 from scoreloom.plans.proxy import TOP
 
+#: Papers to a range of ids when they are numbered, papers to a block of weights, and draws made at a time.
+BUCKET, BLOCK, PACK = 4096, 1024, 4_000_000
+
 
 def unpaired(candidate: DataFrame, comparator: DataFrame, keys: list[str], equal: list[str]) -> DataFrame:
     """Rows that break pairing: a key on one side only, a repeated key, or a value that must agree and does not."""
@@ -38,14 +44,70 @@ def paired_delta(candidate: DataFrame, comparator: DataFrame) -> DataFrame:
     return a.join(b, ["item_id", "dataset"]).groupBy("dataset").agg(F.count("*").alias("n"), F.sum(F.col("ua") - F.col("ub")).alias("units_delta"), F.sum(d).alias("severe_delta"), F.sum(F.when(F.col("stop"), d).otherwise(0)).alias("unsafe_delta"))
 
 
-def draws(papers: DataFrame, replicates: int) -> DataFrame:
-    """(replicate, paper_id, w): an arithmetic generator that any engine can repeat; papers are numbered by id."""
-    order = Window.orderBy("paper_id")  # papers only, a thin column
-    numbered = papers.select("paper_id").distinct().withColumn("pos", F.row_number().over(order) - 1).withColumn("size", F.count("*").over(Window.partitionBy()))
-    pick = F.expr("((replicate * 7919 + pos * 104729 + 12345) * 48271 % 2147483647) % size")
-    reps = papers.sparkSession.range(replicates).withColumnRenamed("id", "replicate")
-    drawn = numbered.crossJoin(F.broadcast(reps)).select("replicate", pick.alias("pick")).groupBy("replicate", "pick").agg(F.count("*").alias("w"))
-    return drawn.join(numbered.select("paper_id", F.col("pos").alias("pick")), "pick").select("replicate", "paper_id", "w")
+def positions(papers: DataFrame) -> tuple[DataFrame, int]:
+    """(paper_id, pos), papers numbered by id from 0, and how many there are: ranks in ranges of ids, plus what lies in the ranges below."""
+    ids = papers.select("paper_id").distinct()
+    low, high, size = ids.agg(F.min("paper_id"), F.max("paper_id"), F.count("*")).first()
+    width = 1 if low is None else (high - low) // max(1, size // BUCKET) + 1
+    ranged = ids.withColumn("bucket", F.expr(f"(paper_id - {low or 0}L) div {width}L"))
+    counts = ranged.groupBy("bucket").agg(F.count("*").alias("held"))
+    below = counts.select("bucket", (F.sum("held").over(Window.orderBy("bucket")) - F.col("held")).alias("below"))  # one row per range
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("paper_id")) - 1
+    return ranged.withColumn("rank", rank).join(below, "bucket").select("paper_id", (F.col("below") + F.col("rank")).alias("pos")), size
+
+
+def resampled(sums: DataFrame, replicates: int) -> DataFrame:
+    """(replicate, arm, dataset, sums): every replicate draws as many papers as there are, by an arithmetic generator that any
+    engine can repeat. Some replicates at a time (of very many papers a part of one) are drawn, counted into weights by block of
+    papers and packed to about two bits each; a block, never more than BLOCK papers, multiplies its weights with its sums (in
+    doubles, exact below 2^53), so that only replicates x blocks are aggregated."""
+    numbered, size = positions(sums)
+    counted = ("n", "units", "severe", "stops", "unsafe")
+    several, parts = max(1, min(64, PACK // max(1, size))), -(-size // PACK)
+
+    def pack(batches):
+        for unit in (u for batch in batches for u in batch.column(0).to_pylist()):
+            first, start = unit // parts * several, unit % parts * PACK
+            r = np.arange(first, min(first + several, replicates), dtype=np.int64)[:, None]
+            pos = np.arange(start, min(start + PACK, size), dtype=np.int64)
+            pick = (r * 7919 + pos * 104729 + 12345) * 48271 % 2147483647 % size
+            cells = len(r) * BLOCK
+            drawn = np.sort((pick // BLOCK * cells + (r - first) * BLOCK + pick % BLOCK).ravel())
+            at = np.flatnonzero(np.diff(drawn // cells, prepend=-1))
+            rows: list = []
+            for lo, hi in zip(at, [*at[1:], len(drawn)], strict=True):
+                block = int(drawn[lo]) // cells
+                w = np.bincount(drawn[lo:hi] - block * cells, minlength=cells)
+                w = w.astype(np.min_scalar_type(int(w.max())))
+                squeeze = zlib.compressobj(1, zlib.DEFLATED, 15, 8, zlib.Z_HUFFMAN_ONLY)
+                rows.append((block, first, w.itemsize, squeeze.compress(w.tobytes()) + squeeze.flush()))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["block", "first", "width", "packed"])
+
+    def weigh(drawn: pa.Table, held: pa.Table) -> pa.Table:
+        weights = np.zeros((replicates, BLOCK), np.int64)
+        for first, width, packed in zip(*(drawn[c].to_pylist() for c in ("first", "width", "packed")), strict=True):
+            w = np.frombuffer(zlib.decompress(packed), f"u{width}").reshape(-1, BLOCK)
+            weights[first : first + len(w)] += w
+        weights = weights.astype(np.float64)
+        offset, arms, datasets = held["pos"].to_numpy() % BLOCK, held["arm"].to_pylist(), held["dataset"].to_pylist()
+        values = np.stack([held[c].to_numpy() for c in counted], axis=1).astype(np.float64) if held.num_rows else np.zeros((0, len(counted)))
+        groups: dict[tuple, list[int]] = {}
+        for i, group in enumerate(zip(arms, datasets, strict=True)):
+            groups.setdefault(group, []).append(i)
+        found = []
+        for (arm, dataset), rows in groups.items():
+            total = np.rint(weights[:, offset[rows]] @ values[rows]).astype(np.int64)
+            there = np.flatnonzero(total[:, 0])
+            found.append(pa.table([pa.array(there), pa.array([arm] * len(there), pa.string()), pa.array([dataset] * len(there), pa.string()), *[pa.array(total[there, c]) for c in range(len(counted))]], names=["replicate", "arm", "dataset", *counted]))
+        return pa.concat_tables(found) if found else out.empty_table()
+
+    out = pa.schema([("replicate", pa.int64()), ("arm", pa.string()), ("dataset", pa.string()), *[(c, pa.int64()) for c in counted]])
+    units = sums.sparkSession.range(-(-replicates // several) * parts)
+    drawn = units.mapInArrow(pack, "block long, first long, width long, packed binary")
+    held = sums.join(numbered, "paper_id").select((F.floor(F.col("pos") / BLOCK)).alias("block"), "pos", "arm", "dataset", *counted)
+    kind = "replicate long, arm string, dataset string, " + ", ".join(f"{c} long" for c in counted)
+    blocks = drawn.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(weigh, kind)
+    return blocks.groupBy("replicate", "arm", "dataset").agg(*[F.sum(c).alias(c) for c in counted])
 
 
 def seeded_draws(spark, paper_ids: list, replicates: int, seed: int) -> tuple[DataFrame, str]:
@@ -61,11 +123,10 @@ def seeded_draws(spark, paper_ids: list, replicates: int, seed: int) -> tuple[Da
     return spark.createDataFrame(rows, "replicate long, paper_id long, w long"), digest.hexdigest()
 
 
-def replicate_deltas(candidate: DataFrame, comparator: DataFrame, weights: DataFrame) -> DataFrame:
+def replicate_deltas(candidate: DataFrame, comparator: DataFrame, replicates: int) -> DataFrame:
     """Per replicate the largest change over datasets of severe and unsafe rates and of the mean error."""
     sums = paper_statistics(candidate).withColumn("arm", F.lit("a")).unionByName(paper_statistics(comparator).withColumn("arm", F.lit("b")))
-    total = lambda c: F.sum(F.col("w") * F.col(c)).alias(c)
-    per = weights.join(sums, "paper_id").groupBy("replicate", "arm", "dataset").agg(*[total(c) for c in ("n", "units", "severe", "stops", "unsafe")])
+    per = resampled(sums, replicates)
     rates = per.select("replicate", "arm", "dataset", ratio(F.col("units"), F.col("n") * TOP).alias("nmae"), ratio(F.col("severe"), F.col("n")).alias("severe"), ratio(F.col("unsafe"), F.col("stops")).alias("unsafe"))
     pick = lambda c, arm: F.max(F.when(F.col("arm") == arm, F.col(c)))
     change = rates.groupBy("replicate", "dataset").agg(*[(pick(c, "a") - pick(c, "b")).alias(c) for c in ("severe", "unsafe", "nmae")])
@@ -82,7 +143,7 @@ def conservative_bound(delta: Column, replicates: int, confidence: float = 0.95,
 def gate(candidate: DataFrame, comparator: DataFrame, replicates: int, confidence: float = 0.95) -> DataFrame:
     """(metric, replicates, upper, status): pass if the bound is not above 0; any undefined replicate voids the metric;
     inferior only if every replicate is worse."""
-    deltas = replicate_deltas(candidate, comparator, draws(candidate, replicates))
+    deltas = replicate_deltas(candidate, comparator, replicates)
     long = deltas.unpivot("replicate", ["severe", "unsafe", "nmae"], "metric", "delta")
     agg = long.groupBy("metric").agg(F.count("*").alias("replicates"), F.count("delta").alias("k"), conservative_bound(F.col("delta"), replicates, confidence).alias("upper"), F.min("delta").alias("least"))
     whole = F.col("k") == F.col("replicates")

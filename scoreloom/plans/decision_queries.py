@@ -120,6 +120,13 @@ def journal_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.recover(first, e.where("event_id % 2 = 1"), ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id")
 
 
+def journal_recovery_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``journal_recovery`` with all users in the first half."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    first = assemble.latest(e.where("event_id % 2 = 0"), ["user_id"], [F.col("ts"), F.col("event_id")])
+    return assemble.recover(first, e.where("event_id % 2 = 1"), ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id")
+
+
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("lang"))
     return assemble.round_robin(d, "lang", text.stable_hash(F.lit("seed"), F.col("doc_id")), 50).select("doc_id", "lang", F.col("turn").cast("long").alias("turn"))
@@ -207,7 +214,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         agent_pivot, difficulty_labels, difficulty_distribution, capability_profile, support_boundary, budget_tiers, stop_boundary, stop_curve, fixture_predictor, stop_risk, pilot_summary, weighted_opinion,
-        oracle_agent, select_threshold, pareto_contexts, latest_wins, journal_recovery, stratified_sample, topk_papers, deterministic_partition, paper_chunks, quota_assembly, cache_coverage, evaluations,
+        oracle_agent, select_threshold, pareto_contexts, latest_wins, journal_recovery, journal_recovery_all, stratified_sample, topk_papers, deterministic_partition, paper_chunks, quota_assembly, cache_coverage, evaluations,
         reference_policy, select_package, simulate_policy, lookup_joins,
     )
 }
@@ -271,6 +278,8 @@ ORACLES = {
     "latest_wins": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
     "journal_recovery": """WITH r AS (SELECT user_id, event_id, event_id % 2 AS j, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_id % 2 = 1 OR user_id % 3 <> 0)
         SELECT user_id, event_id FROM r a WHERE r = 1 AND (j = 0 OR NOT EXISTS (SELECT 1 FROM r b WHERE b.j = 0 AND b.user_id = a.user_id))""",
+    "journal_recovery_all": """WITH r AS (SELECT user_id, event_id, event_id % 2 AS j, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts DESC, event_id DESC) AS r FROM events)
+        SELECT user_id, event_id FROM r a WHERE r = 1 AND (j = 0 OR NOT EXISTS (SELECT 1 FROM r b WHERE b.j = 0 AND b.user_id = a.user_id))""",
     "stratified_sample": """WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('seed' || chr(31) || doc_id)) AS turn FROM documents) SELECT doc_id, lang, turn FROM r ORDER BY turn, lang LIMIT 50""",
     "topk_papers": "SELECT o_orderkey, sha256('pilot' || chr(31) || o_orderkey) AS h FROM orders ORDER BY h, o_orderkey LIMIT 25",
     "deterministic_partition": """WITH r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('p' || chr(31) || c_custkey)) AS r, round_even(count(*) OVER (PARTITION BY c_mktsegment) / 2, 0) AS cut FROM customer)

@@ -90,6 +90,24 @@ def bootstrap_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrap.gate(*_arms(spark, sf_dir), replicates=200)
 
 
+def _all_arms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The same arms over all papers; of records that repeat an item the smallest counts."""
+    r = score_records(spark, sf_dir)
+    r = r.groupBy("item_id").agg(F.min(F.struct(*_RECORD)).alias("r")).select("item_id", "r.*")
+    return judged(r.withColumn("pred", F.col("gold") + (F.col("d") - 5) * 200)), judged(r)
+
+
+def paired_delta_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``paired_delta`` over all papers."""
+    return bootstrap.paired_delta(*_all_arms(spark, sf_dir))
+
+
+def bootstrap_gate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``bootstrap_gate`` over all papers, with the protocol's 5,000 replicates."""
+    return bootstrap.gate(*_all_arms(spark, sf_dir), replicates=5000)
+
+
+_RECORD = ["paper_id", "dataset", "gold", "d", "x", "cost", "stop", "status", "pred"]
 _BASE = f"WITH {RECORDS_SQL}"
 _BY_DATASET = f"""by_dataset AS (
   SELECT p.dataset, coalesce(n, 0) AS n, coalesce(n_valid, 0) AS n_valid, coalesce(severe, 0) AS severe, coalesce(extreme, 0) AS extreme, coalesce(stops, 0) AS stops,
@@ -114,7 +132,7 @@ seen AS (
 
 QUERIES = {
     f.__name__: f
-    for f in (quality_by_dataset, quality_macro, qwk_readiness, confusion_11, error_metrics, unsafe_stop, fixed_bins, budget_rates, resource_metrics, paper_suffstats, paired_delta, bootstrap_gate)
+    for f in (quality_by_dataset, quality_macro, qwk_readiness, confusion_11, error_metrics, unsafe_stop, fixed_bins, budget_rates, resource_metrics, paper_suffstats, paired_delta, bootstrap_gate, paired_delta_all, bootstrap_gate_all)
 }
 ORACLES = {
     "quality_by_dataset": f"{_BASE}, {_BY_DATASET} SELECT * FROM by_dataset",
@@ -146,6 +164,14 @@ ORACLES = {
         (count(*) FILTER (arm = 'candidate' AND units * 4 > {TOP})) - (count(*) FILTER (arm = 'comparator' AND units * 4 > {TOP})) AS severe_delta,
         (count(*) FILTER (arm = 'candidate' AND stop AND units * 4 > {TOP})) - (count(*) FILTER (arm = 'comparator' AND stop AND units * 4 > {TOP})) AS unsafe_delta
         FROM seen GROUP BY dataset""",
+    "paired_delta_all": f"""WITH {RECORDS_SQL}, whole AS (SELECT DISTINCT ON (item_id) * FROM records ORDER BY item_id, {", ".join(_RECORD)}),
+        arms AS (SELECT 'candidate' AS arm, * REPLACE (gold + (d - 5) * 200 AS pred) FROM whole UNION ALL SELECT 'comparator', * FROM whole),
+        seen AS (SELECT *, CASE WHEN status = 'success' AND pred BETWEEN 0 AND {TOP} THEN abs(pred - gold) ELSE {TOP} END AS units FROM arms)
+        SELECT dataset, count(*) // 2 AS n,
+        (sum(units) FILTER (arm = 'candidate') - sum(units) FILTER (arm = 'comparator'))::BIGINT AS units_delta,
+        (count(*) FILTER (arm = 'candidate' AND units * 4 > {TOP})) - (count(*) FILTER (arm = 'comparator' AND units * 4 > {TOP})) AS severe_delta,
+        (count(*) FILTER (arm = 'candidate' AND stop AND units * 4 > {TOP})) - (count(*) FILTER (arm = 'comparator' AND stop AND units * 4 > {TOP})) AS unsafe_delta
+        FROM seen GROUP BY dataset""",
     "bootstrap_gate": f"""{_ARMS}, numbered AS (SELECT paper_id, row_number() OVER (ORDER BY paper_id) - 1 AS pos, count(*) OVER () AS size FROM (SELECT DISTINCT paper_id FROM seen)),
         reps AS (SELECT UNNEST(range(0, 200)) AS replicate),
         draws AS (SELECT replicate, ((replicate * 7919 + pos * 104729 + 12345) * 48271 % 2147483647) % size AS pick FROM numbered CROSS JOIN reps),

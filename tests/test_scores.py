@@ -112,6 +112,54 @@ def test_identical_arms_pass(spark):
     assert {r.status for r in bootstrap.gate(arm, arm, 20).collect()} == {"pass"}
 
 
+def test_gate_over_all_papers_equals_brute_force(spark, tmp_path):
+    from scoreloom.plans import quality_queries
+
+    papers = [3 * p + 1 for p in range(40)]
+    lines = [(p, k, p, k, "ANR"[(p + k) % 3], 1.0 + (p * 7 + k) % 50, 0.01 * ((p + k) % 11), 0.02, 100.0, "F" if k < 3 else "O") for p in papers for k in range(4)]
+    names = "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_returnflag string, l_quantity double, l_discount double, l_tax double, l_extendedprice double, l_linestatus string"
+    spark.createDataFrame(lines, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(p, "F") for p in papers], "o_orderkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+
+    def scored(pos, factor):
+        for _, k, _, _, dataset, quantity, discount, *_ in lines[4 * pos : 4 * pos + 4]:
+            gold, d = round(quantity * 100), round(discount * 100)
+            pred = gold + (d - 5) * factor
+            units = abs(pred - gold) if 0 <= pred <= 5000 else 5000
+            yield dataset, units, units * 4 > 5000, k < 3
+
+    deltas = {"severe": [], "unsafe": [], "nmae": []}
+    for r in range(5000):
+        rates = []
+        for factor in (200, 400):
+            sums = {}
+            for pos in range(len(papers)):
+                for dataset, units, severe, stop in scored(((r * 7919 + pos * 104729 + 12345) * 48271 % 2147483647) % len(papers), factor):
+                    s = sums.setdefault(dataset, [0, 0, 0, 0, 0])
+                    sums[dataset] = [s[0] + 1, s[1] + units, s[2] + severe, s[3] + stop, s[4] + (stop and severe)]
+            rates.append({d: (s[2] / s[0], s[4] / s[3], s[1] / (s[0] * 5000)) for d, s in sums.items()})
+        for i, metric in enumerate(deltas):
+            deltas[metric].append(max(rates[0][d][i] - rates[1][d][i] for d in rates[0]))
+    got = {r.metric: r for r in quality_queries.bootstrap_gate_all(spark, str(tmp_path)).collect()}
+    assert {m: (r.replicates, r.upper) for m, r in got.items()} == {m: (5000, pytest.approx(sorted(v)[4749], abs=1e-12)) for m, v in deltas.items()}
+    assert sum(r.n for r in quality_queries.paired_delta_all(spark, str(tmp_path)).collect()) == len(lines)
+
+
+def test_papers_are_numbered_by_id_across_ranges(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "BUCKET", 3)
+    ids = sorted({(i * i) % 997 - 50 for i in range(60)})
+    numbered, size = bootstrap.positions(spark.createDataFrame([(i,) for i in ids * 2], "paper_id long"))
+    assert size == len(ids) and sorted((r.pos, r.paper_id) for r in numbered.collect()) == list(enumerate(ids))
+
+
+def test_replicates_do_not_depend_on_blocks(spark, monkeypatch):
+    sums = spark.createDataFrame([(7 * p, arm, "AN"[p % 2], p + 1, 5 * p, p % 4, 3, 1) for p in range(90) for arm in "ab"], "paper_id long, arm string, dataset string, n long, units long, severe long, stops long, unsafe long")
+    whole = sorted(map(tuple, bootstrap.resampled(sums, 50).collect()))
+    monkeypatch.setattr(bootstrap, "BLOCK", 16)
+    monkeypatch.setattr(bootstrap, "PACK", 40)
+    assert len(whole) > 50 and sorted(map(tuple, bootstrap.resampled(sums, 50).collect())) == whole
+
+
 def test_seeded_draws_keep_the_stream(spark):
     weights, digest = bootstrap.seeded_draws(spark, [1, 2, 3], 4, 20260729)
     assert weights.groupBy("replicate").agg(F.sum("w").alias("n")).where("n <> 3").isEmpty() and len(digest) == 64
