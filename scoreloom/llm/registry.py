@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_site_style_tree": html_extract.op3_site_style_tree,
     "op4_interleaved_shards": sharding.op4_interleaved_shards,
     "op5_tool_call_linking": tool_calls.op5_tool_call_linking,
+    "op5_every_turn": tool_calls.op5_every_turn,
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
     "op7_quality": quality.op7_quality,
     "op8_no_random_access": topk.op8_no_random_access,

@@ -22,7 +22,7 @@ import math
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoreloom.session import reliable_checkpoints
@@ -117,6 +117,38 @@ def op5_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_tool_calls(calls, results, REPLY).withColumn("errors", F.array_join("errors", ";"))
 
 
+def _repeats(rows: DataFrame, content: list[str]) -> DataFrame:
+    """Of rows that share an identifier and differ in content all but the smallest, which link_tool_calls keeps: copies and copy number."""
+    known = rows.where(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull())
+    counted = known.groupBy("conv_id", "call_id", *content).agg(F.count("*").alias("copies"))
+    number = F.row_number().over(Window.partitionBy("conv_id", "call_id").orderBy(*content))
+    return counted.withColumn("copy", number.cast("long")).where("copy > 1")
+
+
+def every_turn(turns: DataFrame, schemas: Mapping[str, Mapping[str, Field]]) -> DataFrame:
+    """link_tool_calls over a table (conv_id, turn, role, text), and every turn whose text stands in none of its messages: other
+    contents of a repeated call or result (status ``repeated_call`` or ``repeated_result``, copy 2 and up) and turns of any other
+    role, null too (status ``turn``, one row each). Their copies count their own content."""
+    calls, results = conversation_calls(turns)
+    linked = link_tool_calls(calls, results, schemas).withColumn("copy", F.lit(1).cast("long"))
+    none = F.array().cast("array<string>")
+    as_json = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"}).alias("message")
+    shape = lambda df, status, errors, message: df.select("conv_id", "call_id", F.lit(status).alias("status"), "copies", F.lit(None).cast("long").alias("depth"), errors.alias("errors"), message, "copy")
+    call = _repeats(calls, ["arguments", "name", "parent_id"])
+    result = _repeats(results, ["content"])
+    other = turns.where(~F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False)))
+    other = other.select("conv_id", F.col("turn").cast("long").alias("call_id"), "role", "text", F.lit(1).cast("long").alias("copies"), F.lit(1).cast("long").alias("copy"))
+    return (
+        linked.unionByName(shape(call, "repeated_call", argument_errors(F.col("name"), F.col("arguments"), schemas), as_json("arguments", "call_id", "conv_id", "name")))
+        .unionByName(shape(result, "repeated_result", none, as_json("call_id", "conv_id", F.col("content").alias("result"))))
+        .unionByName(shape(other, "turn", none, as_json("conv_id", "role", "text", F.col("call_id").alias("turn"))))
+    )
+
+
+def op5_every_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return every_turn(spark.read.parquet(f"{sf_dir}/conversations.parquet"), REPLY).withColumn("errors", F.array_join("errors", ";"))
+
+
 OP5_SQL = """
 WITH RECURSIVE c AS (
   SELECT conv_id, turn AS call_id, count(*) AS copies,

@@ -60,6 +60,17 @@ def test_calls_link_with_results(spark):
     assert tool_calls.link_tool_calls(spark.createDataFrame([], CALL), spark.createDataFrame([], RESULT), SCHEMA).count() == 0
 
 
+def test_every_turn_stands_in_a_message(spark):
+    turns = [
+        (1, 0, "system", "be kind"), (1, 1, "user", "ask"), (1, 1, "user", "ask"), (1, 1, "user", "other ask"), (1, 2, "assistant", "yes"), (1, 2, "assistant", "no"), (1, 2, "assistant", None),
+        (1, 3, "tool", "42"), (1, 4, None, "whose"), (1, 4, "narrator", "said"), (None, 5, "system", "lost"), (None, 6, "user", "stray"), (2, None, "assistant", "untimed"),
+    ]
+    got = tool_calls.every_turn(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), tool_calls.REPLY).collect()
+    assert all(sum(f'"{t[3]}"' in r.message.replace("\\", "") for r in got) == 1 for t in set(turns) if t[3])
+    assert sorted((r.status, r.copy, r.copies) for r in got if r.status.startswith("repeated")) == [("repeated_call", 2, 1), ("repeated_result", 2, 1), ("repeated_result", 3, 1)]
+    assert sum(r.status == "turn" for r in got) == 5 and [(r.copies, r.copy) for r in got if r.status == "linked"] == [(3, 1)]
+
+
 # ---- top-k
 
 
