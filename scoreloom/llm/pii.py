@@ -29,12 +29,13 @@ from scoreloom.session import reliable_checkpoints
 KEY = "surrogate-key"
 MAX_ROUNDS = 64
 
-# Titles before a name, by gender.
+# Titles before a name, by gender, and those of any gender.
 TITLES_M = ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr"]
 TITLES_F = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Señorita"]
+TITLES_ANY = ["Dr", "Doctor", "Doktor", "Docteur", "Prof", "Professor", "Professeur", "Mx"]
 
 _WORD = r"[\p{L}\p{N}._%+-]"
-_TITLE = "(?:" + "|".join(sorted([*TITLES_M, *TITLES_F], key=len, reverse=True)) + ")"
+_TITLE = "(?:" + "|".join(sorted([*TITLES_M, *TITLES_F, *TITLES_ANY], key=len, reverse=True)) + ")"
 #: By type, in the order in which they are tried.
 KINDS = {
     "email": rf"(?<!{_WORD}){_WORD}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
@@ -44,11 +45,11 @@ KINDS = {
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?!\w|-\d)",
     "secret": r"(?<!\w)(?:(?=[a-f]*+\d)[0-9a-f]{32,}+|(?=[A-F]*+\d)[0-9A-F]{32,}+|AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+)(?!\w)",
-    "name": rf"(?<!\w){_TITLE}\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2}}(?!\w)",
+    "name": rf"(?<!\w)(?:{_TITLE}\.? )+\p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2}}(?!\w)",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Cheap test that every text with an entity passes.
-_MAYBE = rf"[0-9@]|{_TITLE}\.? \p{{Lu}}"
+_MAYBE = rf"[0-9@]|{_TITLE}\.? \p{{Lu}}|AKIA[A-Z]{{16}}|gh[pousr]_[A-Za-z]{{36}}|sk-[A-Za-z]{{20}}"
 
 
 def entities(text: Column) -> Column:
@@ -109,21 +110,21 @@ def _luhn(digits: Column) -> Column:
 
 
 def _name(entity: Column, key: str, nonce: Column) -> Column:
-    """Title kept; every part made up from its own keyed draw, the first of several parts and its ending by gender."""
-    words = F.split(entity, " ")
-    title = F.element_at(words, 1)
-    female = F.regexp_replace(title, r"\.", "").isin(TITLES_F)
+    """Titles kept; every part made up from its own keyed draw, the first of several parts and its ending by gender."""
+    title = F.regexp_extract(entity, rf"\A(?:{_TITLE}\.? )+(?=\p{{Lu}}\p{{Ll}})", 0)
+    words = F.split(F.substring(entity, F.length(title) + 1, F.length(entity)), " ")
+    titled = lambda some: F.arrays_overlap(F.split(F.regexp_replace(title, r"\.", ""), " "), F.array(*[F.lit(t) for t in some]))
 
     def part(w: Column, i: Column) -> Column:
         s = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("name"), nonce.cast("string"), w).cast("binary"), 512)
         at = lambda k: _byte(s, F.lit(k))
         last = _of(["er", "sen", "ov", "ell"], at(4))
-        end = F.when(i + 2 == F.size(words), last).when(female, F.lit("a")).otherwise(F.lit("o"))
+        end = F.when(i + 1 == F.size(words), last).when(titled(TITLES_F), F.lit("a")).when(titled(TITLES_M), F.lit("o")).otherwise(F.lit("e"))
         made = F.concat(_of(_HEAD, at(0)), _of(_MIDDLE, at(1)), _of(_JOIN, at(2)), _of(_MIDDLE, at(3)), _of(_JOIN, at(5)), end)
         cyrillic = F.translate(F.lower(made), "abdefghiklmnoprstuvwz", "абдефгхиклмнопрстувуз")
         return F.when(w.rlike(r"\p{IsCyrillic}"), F.initcap(cyrillic)).otherwise(made)
 
-    return F.concat_ws(" ", title, F.array_join(F.transform(F.slice(words, 2, 8), part), " "))
+    return F.concat(title, F.array_join(F.transform(words, part), " "))
 
 
 def _of(parts: list[str], at: Column) -> Column:
