@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scoreloom.llm import html_extract, pii, sharding, tool_calls, topk
+from scoreloom.llm import pii, sharding, tool_calls, topk
 
 # ---- sharding
 
@@ -134,26 +134,6 @@ def test_surrogates_stay_distinct(spark):
     assert table.count() == many.count() == table.select("surrogate").distinct().count() and table.join(many.withColumnRenamed("entity", "surrogate"), "surrogate").count() == 0
 
 
-# ---- main text
-
-
-def page(i, extra=""):
-    body = " ".join(f"word{i}x{k}" for k in range(40))
-    return f"<html><head><title>t</title><script>var a='<p>';</script></head><body><div class='x1'><a href='/'>Home</a> Shop</div><div class='x2'><p>{body} &amp; more</p><p>{extra}Second\n  part {i}</p></div><div class='x3'>All rights kept</div></body></html>"
-
-
-def test_main_text_drops_what_a_site_repeats(spark):
-    rows = [(i, f"http://Site.example/{i}", page(i)) for i in range(12)] + [(20, None, None), (21, "http://one.example/", ""), (22, "http://two.example", "<p>a &lt; b <b>c</b>d<br>e<nav>menu</nav>")]
-    got = {r.page_id: r.main for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), text_col="main").collect()}
-    for i in range(12):
-        assert got[i] == " ".join(f"word{i}x{k}" for k in range(40)) + f" & more Second part {i}"
-    assert got[20] == "" and got[21] == "" and got[22] == "a < b cd e"
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    assert {r.page_id: r.main for r in html_extract.extract_main_text(df, text_col="main", broadcast_entries=0).collect()} == got
-    with pytest.raises(ValueError):
-        html_extract.extract_main_text(df, text_col="html")
-
-
 # ---- pipeline
 
 
