@@ -1,18 +1,24 @@
 """Exact top-k inner products by aggregation without random access.
 
-Queries and candidates meet in blocks of bounded size, one task for each pair of blocks; what grows with the input is the
-number of pairs, which an exact search of a set of queries against all rows can't avoid. In a pair, every dimension is a list
-of the candidates sorted by their contribution to the query, best first (the one order serves all queries, read from its other
-end for negative weights). The lists are read in step, to ever larger depths. What has been read gives each candidate a lower
-bound (the list's worst value for what is unread) and an upper bound (the value that the list stands at). A query is done as
-soon as nobody outside its best k by lower bound has an upper bound that reaches them; its members' scores are then resolved.
-The best k of each pair of blocks are merged by query.
-
-Components are turned into floor(64 * x) as integers first, so scores are exact and ties are real: the smaller id wins.
-
-Defined cases: vectors that are null, or hold null or non-finite components, and rows without an id take no part; vectors are
-compared with those of their own length only; a query never meets rows of its own id; a repeated candidate row is
-searched once and returned as often as it occurs, a repeated query row is one query; fewer than k candidates give all of them; an empty table gives no rows.
+In a block of candidates every dimension is a list, sorted once for all queries; a query reads it from the end that its own sign
+prefers. All lists are read in step, strip by strip, each strip as long as all before it. What a query has read of a candidate
+gives it a lower bound (the list's worst value for what is unread) and an upper bound (the value where the list stands). Before
+each further strip a query asks whether candidates of which it has read nothing can still qualify, and then whether any outsider
+can; it stops as soon as at most ``POOL * k`` candidates can, and only their final scores are resolved. A query that never stops
+has read its lists to the end. The k-th best score of the blocks that a task has behind it is carried on as a bound, so later
+blocks stop earlier.
+
+Queries and candidates meet in pairs of blocks, one task each, and a task goes through its candidates ``STEP`` at a time. An exact
+search of a set of queries against all rows can't avoid pairs of blocks; blocks are as large as a task may hold (some 70 MB for
+64 dimensions), which keeps copies few: candidates are copied once for each ``QUERY_BLOCK`` queries.
+
+Components are turned into floor(64 * x) first, and all sums are of 64-bit integers (doubles only where every sum is below 2^53,
+Python's integers where one could pass 2^62), so scores are exact and ties are real: the smaller id wins.
+
+Defined cases: vectors that are null, empty, or hold null or non-finite components, and rows without an id take no part; vectors
+are compared with those of their own length only; a query never meets rows of its own id; a repeated candidate row is searched
+once and returned as often as it occurs, a repeated query row is one query; fewer than k candidates give all of them; an empty
+table gives no rows; components beyond +-2^56 count as these, and scores beyond a long as its ends; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -23,76 +29,93 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K = 20
-QUERY_BLOCK, CANDIDATE_BLOCK = 512, 8192
+QUERY_BLOCK, CANDIDATE_BLOCK = 1 << 16, 1 << 17
 SCALE = 64
-_STRIP = 128
+#: Candidates whose lists are read together, queries that read them together, and the first strip.
+STEP, QUERIES_AT_ONCE, FIRST_STRIP = 4096, 64, 64
+POOL = 4
+_NEVER, _LONG = -(1 << 62), (1 << 63) - 1
+
+
+def _product(a: np.ndarray, b: np.ndarray, exact_doubles: bool) -> np.ndarray:
+    """a @ b in integers."""
+    return np.rint(a.astype(np.float64) @ b.astype(np.float64)).astype(np.int64) if exact_doubles else a @ b
 
 
 class SortedLists:
-    """Candidates of one block, with the place of each in the list of every dimension."""
+    """Candidates in the order of their ids, and for every dimension their order by value."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], vectors[order].astype(np.float32)
-        n = len(self.ids)
-        by_value = np.argsort(self.x, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.x, by_value, axis=0)
-        self.place = np.empty_like(by_value)
-        np.put_along_axis(self.place, by_value, np.broadcast_to(np.arange(n)[:, None], by_value.shape), axis=0)
-
-    def read(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """What has been read at a depth from the top and from the bottom, and where the lists then stand."""
-        n = len(self.ids)
-        return self.place >= n - depth, self.place < depth, self.sorted[n - depth], self.sorted[depth - 1]
-
-
-def best(lists: SortedLists, queries: np.ndarray, own: np.ndarray, k: int, first_depth: float = 0.25):
-    """For each query the positions and scores of its k best candidates (fewer if there are not so many)."""
-    n = len(lists.ids)
+        self.ids, self.x = ids[order], vectors[order]
+        self.order = np.argsort(self.x, axis=0, kind="stable").T.copy()
+        self.sorted = np.take_along_axis(self.x, self.order.T, axis=0)
+        self.low, self.high = self.sorted[0], self.sorted[-1]
+        self.read = 0  # entries that queries have read
+
+
+def best(lists: SortedLists, queries: np.ndarray, own: np.ndarray, k: int, bound: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the positions and scores of all candidates that may be among its k best (at least those that are), best
+    first. ``bound``: scores below it don't matter."""
+    n, dims = lists.x.shape
     out: list = [None] * len(queries)
+    largest = int(max(np.abs(lists.x).max(initial=0), 1)) * int(max(np.abs(queries).max(initial=0), 1)) * dims * 4
+    if largest >= 1 << 62:  # too large for 64 bits: every sum in Python's integers
+        x = lists.x.astype(object)
+        for i, q in enumerate(queries.astype(object)):
+            scores = [min(max(s, -_LONG), _LONG) for s in x @ q]
+            found = sorted((-s, j) for j, s in enumerate(scores) if lists.ids[j] != own[i])[:k]
+            out[i] = (np.array([j for _, j in found], np.int64), np.array([-s for s, _ in found], np.int64))
+        lists.read += n * dims * len(queries)
+        return out
+    doubles = largest < 1 << 53
+    bound = np.full(len(queries), _NEVER) if bound is None else bound
     live = np.arange(len(queries))
-    up, down = np.maximum(queries, 0).astype(np.float32), np.minimum(queries, 0).astype(np.float32)
-    worst = up @ lists.sorted[0] + down @ lists.sorted[-1]
-    depth = max(1, int(n * first_depth))
+    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+    mine = [slice(int(np.searchsorted(lists.ids, o)), int(np.searchsorted(lists.ids, o, side="right"))) for o in own.tolist()]
+    lower = np.broadcast_to(up @ lists.low + down @ lists.high, (n, len(queries))).copy()
+    rank = None
+    depth, strip = 0, FIRST_STRIP
     while len(live):
-        top, bottom, at_top, at_bottom = lists.read(depth)
-        p, m = up[live], down[live]
-        read = p @ np.where(top, lists.x, 0).T + m @ np.where(bottom, lists.x, 0).T
-        if depth == n:
-            lower = upper = read
+        stop = n if depth * 4 >= n or strip >= n else depth + strip
+        lists.read += (stop - depth) * dims * len(live)
+        if stop == n:  # all the rest of all lists
+            lower = _product(lists.x, queries[live].T, doubles)
         else:
-            lower = read + worst[live, None] - (p * lists.sorted[0]) @ top.T.astype(np.float32) - (m * lists.sorted[-1]) @ bottom.T.astype(np.float32)
-            stand = p @ at_top + m @ at_bottom
-            upper = read + stand[:, None] - (p * at_top) @ top.T.astype(np.float32) - (m * at_bottom) @ bottom.T.astype(np.float32)
-        keep = []
-        for r, q in enumerate(live):
-            low, high = lower[r], upper[r]
-            mine = np.flatnonzero(lists.ids == own[q])
-            if len(mine):
-                low = low.copy()
-                low[mine] = -np.inf
-            rest = n - len(mine)
-            if rest == 0:
-                out[q] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-                continue
-            size = min(k, rest)
-            if size < n:
-                cut = np.partition(low, n - size)[n - size]
-            else:
-                cut = low.min()
-            inside = np.flatnonzero(low >= cut)
-            if depth < n:
-                outside = high.copy()
-                outside[inside] = -np.inf
-                outside[mine] = -np.inf
-                if len(inside) != size or outside.max(initial=-np.inf) >= cut:
-                    keep.append(q)
-                    continue
-            exact = np.rint(lists.x[inside] @ queries[q].astype(np.float32)).astype(np.int64)
-            order = np.lexsort((inside, -exact))[:size]
-            out[q] = (inside[order], exact[order])
-        live = np.array(keep, np.int64)
-        depth = min(n, depth * 2)
+            for d in range(dims):
+                top, bottom = lists.order[d, n - stop : n - depth], lists.order[d, depth:stop]
+                lower[top] += np.multiply.outer(lists.x[top, d] - lists.low[d], up[live, d])
+                lower[bottom] += np.multiply.outer(lists.x[bottom, d] - lists.high[d], down[live, d])
+        depth, strip = stop, stop
+        for c, q in enumerate(live):
+            lower[mine[q], c] = _NEVER
+        ask = np.arange(len(live))
+        if depth < n:  # could anything unseen be out of the race?
+            at_top, at_bottom = lists.sorted[n - depth - 1], lists.sorted[depth]
+            unseen = up[live] @ at_top + down[live] @ at_bottom
+            ask = np.flatnonzero(unseen < np.maximum(lower.max(0), bound[live]))
+        cut = bound[live].copy()
+        for c in ask:
+            size = min(k, n - (mine[live[c]].stop - mine[live[c]].start))
+            cut[c] = max(cut[c], np.partition(lower[:, c], n - size)[n - size]) if size else -_NEVER
+        can, done = lower, np.full(len(live), depth == n)
+        if depth < n:
+            ask = ask[unseen[ask] < cut[ask]]
+            if len(ask):
+                if rank is None:
+                    rank = np.empty((dims, n), np.int32)
+                    np.put_along_axis(rank, lists.order, np.broadcast_to(np.arange(n, dtype=np.int32), (dims, n)), axis=1)
+                room_up, room_down = up[live[ask]] * (at_top - lists.low), down[live[ask]] * (at_bottom - lists.high)
+                can = lower.copy()
+                can[:, ask] += _product((rank < n - depth).T, room_up.T, doubles) + _product((rank >= depth).T, room_down.T, doubles)
+                done[ask] = (can[:, ask] >= cut[ask]).sum(0) <= POOL * k
+        for c in np.flatnonzero(done):
+            q = live[c]
+            found = np.flatnonzero((can[:, c] >= cut[c]) & (lower[:, c] > _NEVER // 2))
+            scores = lists.x[found] @ queries[q]
+            order = np.lexsort((found, -scores))[:k]
+            out[q] = (found[order], scores[order])
+        live, lower = live[~done], lower[:, ~done]
     return out
 
 
@@ -101,36 +124,52 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def meet_blocks(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, copies: np.ndarray, k: int, step: int = STEP) -> tuple[np.ndarray, ...]:
+    """(query id, id, score, copies) of the k best of a block of candidates for every query of a block."""
+    held_scores = np.full((len(queries), k), _NEVER)
+    held = np.full((len(queries), k), -1)
+    for a in range(0, len(ids), step):
+        lists = SortedLists(ids[a : a + step], vectors[a : a + step])
+        place = a + np.argsort(ids[a : a + step], kind="stable")
+        for s in range(0, len(queries), QUERIES_AT_ONCE):
+            some = slice(s, s + QUERIES_AT_ONCE)
+            for i, (at, scores) in enumerate(best(lists, queries[some], query_ids[some], k, held_scores[some, -1]), s):
+                if not len(at):
+                    continue
+                every, where = np.concatenate([held_scores[i], scores]), np.concatenate([held[i], place[at]])
+                every, where = every[where >= 0], where[where >= 0]
+                order = np.lexsort((ids[where], -every))[:k]
+                held_scores[i, : len(order)], held[i, : len(order)] = every[order], where[order]
+    row, column = np.nonzero(held >= 0)
+    found = held[row, column]
+    return query_ids[row], ids[found], held_scores[row, column], copies[found]
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, *, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best candidates of every query."""
+    limit = float(1 << 56)
+    component = lambda x: F.floor(F.greatest(F.least(x * SCALE, F.lit(limit * SCALE)), F.lit(-limit * SCALE))).cast("long")
     whole = lambda df: (
         df.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("x"))
         .where(F.col("id").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size("x") > 0))
-        .select("id", F.transform("x", lambda x: F.floor(x * SCALE).cast("int")).alias("v"))
+        .select("id", F.transform("x", component).alias("v"))
         .groupBy("id", "v").agg(F.count("*").alias("copies"))
         .withColumn("dim", F.size("v"))
     )
     q, c = whole(queries), whole(candidates)
-    q_blocks, c_blocks = max(1, -(-q.count() // query_block)), max(1, -(-c.count() // candidate_block))
+    n_queries, n_candidates = q.count(), c.count()
+    share = -(-n_candidates // (2 * candidates.sparkSession.sparkContext.defaultParallelism))  # small inputs still use all cores
+    candidate_block = min(candidate_block, max(share, min(STEP, candidate_block)))
+    q_blocks, c_blocks = max(1, -(-n_queries // query_block)), max(1, -(-n_candidates // candidate_block))
     place = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
     left = q.withColumn("qb", place(q_blocks)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
     right = c.withColumn("cb", place(c_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        found: tuple[list, ...] = ([], [], [], [])
+        found: tuple[np.ndarray, ...] = (np.zeros(0, np.int64),) * 4
         if a.num_rows and b.num_rows:
-            lists = SortedLists(b["id"].to_numpy(), _matrix(b["v"]))
-            order = np.argsort(b["id"].to_numpy(), kind="stable")
-            copies = b["copies"].to_numpy()[order]
-            ids, vectors = a["id"].to_numpy(), _matrix(a["v"])
-            for s in range(0, len(ids), _STRIP):
-                for i, (at, scores) in enumerate(best(lists, vectors[s : s + _STRIP], ids[s : s + _STRIP], k), s):
-                    found[0].append(np.full(len(at), ids[i]))
-                    found[1].append(lists.ids[at])
-                    found[2].append(scores)
-                    found[3].append(copies[at])
-        columns = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in found]
-        return pa.table(columns, names=["query_id", "vec_id", "score", "copies"])
+            found = meet_blocks(a["id"].to_numpy(), _matrix(a["v"]), b["id"].to_numpy(), _matrix(b["v"]), b["copies"].to_numpy(), k)
+        return pa.table([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score", "copies"])
 
     kind = "query_id long, vec_id long, score long, copies long"
     parts = left.groupBy("dim", "qb", "cb").cogroup(right.groupBy("dim", "qb", "cb")).applyInArrow(meet, kind)

@@ -74,21 +74,57 @@ def test_every_turn_stands_in_a_message(spark):
 # ---- top-k
 
 
-def test_topk_equals_brute_force(spark):
+def brute_top(rows, k):
+    """Every pair in Python's integers."""
+    whole = [(i, [int(np.floor(64 * np.float64(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for q, v in {(i, tuple(v)) for i, v in whole if i % 20 == 0}:
+        found = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in whole if i != q and len(w) == len(v))[:k]
+        out += [(q, n, i, -s) for n, (s, i) in enumerate(found, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e6, 1e7])
+def test_topk_equals_brute_force(spark, scale):
     rng = np.random.default_rng(3)
-    rows = [(i, [float(x) for x in np.round(rng.normal(size=8), 1)]) for i in range(160)]
-    rows += [(160, None), (161, [float("nan")] * 8), (162, [None] * 8), (163, [1.0] * 3), (None, [1.0] * 8), (5, rows[5][1]), (164, []), (180, [0.0] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("mine"))
+    rows = [(i, [float(x) * scale for x in np.round(rng.normal(size=8), 1)]) for i in range(160)]
+    rows += [(160, None), (161, [float("nan")] * 8), (162, [None] * 8), (163, [1.0] * 3), (None, [1.0] * 8), (5, rows[5][1]), (164, []), (180, [0.0] * 8), (200, [float("inf")] * 8), (220, [2.0] * 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("mine")).withColumn("qb", F.lit(1))
     got = sorted(tuple(r) for r in topk.top_k(df.where("vec_id % 20 = 0"), df, k=5, query_block=3, candidate_block=40).collect())
-    whole = {(i, n): np.floor(64 * np.array(v)).astype(int) for n, (i, v) in enumerate(rows) if i is not None and v and len(v) == 8 and v[0] is not None and not np.isnan(v[0])}
-    expected = []
-    for q, v in {i: v for (i, _), v in whole.items() if i % 20 == 0}.items():
-        best = sorted((-int(v @ w), i) for (i, _), w in whole.items() if i != q)[:5]
-        expected += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
-    assert got == sorted(expected)
+    assert got == brute_top(rows, 5)
     assert topk.top_k(df.limit(0), df).count() == 0
 
 
+def test_topk_stops_reading_early_and_stays_exact():
+    """A few strong dimensions: most lists are left far from their ends. A second block is read less than the first."""
+    rng = np.random.default_rng(4)
+    n, dims = 4000, 16
+    x = np.rint(rng.normal(size=(n, dims)) * 1000 * 0.3 ** np.arange(dims)).astype(np.int64)
+    x[: n // 3] = x[0]  # ties
+    queries, own = x[-40:], np.arange(n - 40, n)
+    lists = topk.SortedLists(np.arange(n), x)
+    found = topk.best(lists, queries, own, 10)
+    for (at, scores), q, o in zip(found, queries, own, strict=True):
+        exact = x @ q
+        order = [j for j in np.lexsort((np.arange(n), -exact)) if j != o][:10]
+        assert at.tolist() == order and scores.tolist() == exact[order].tolist()
+    assert lists.read < 0.5 * n * dims * len(queries)
+    again = topk.SortedLists(np.arange(n), x)
+    topk.best(again, queries, own, 10, np.array([s[-1] for _, s in found]))
+    assert again.read < lists.read
+    whole = topk.meet_blocks(own, queries, np.arange(n), x, np.ones(n, np.int64), 10, step=700)
+    assert [(int(q), int(i), int(s)) for q, i, s, _ in zip(*whole, strict=True)] == [(int(o), int(i), int(s)) for (at, sc), o in zip(found, own, strict=True) for i, s in zip(at, sc, strict=True)]
+
+
+def test_op8_query_equals_its_sql(spark):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.001/embeddings.parquet'")
+    got = sorted(tuple(r[c] for c in ("query_id", "rank", "vec_id", "score")) for r in topk.op8_no_random_access(spark, "/root/testdata/sf0.001").collect())
+    assert got == sorted(c.execute(topk.OP8_SQL).fetchall())
+
+
 # ---- surrogates
 
 TEXTS = [
