@@ -5,23 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoreloom.operators.skew import hot_values, salted_join
 from scoreloom.session import reliable_checkpoints
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``edges`` (a, b): the smallest node reachable.
+    """(node, component) for every node of ``edges`` (a, b): the smallest node reachable. No edges give no rows.
 
-    Each round takes the smallest label among the neighbours and then the label of that label, so a chain needs about the
-    logarithm of its length in rounds. Labels are combined before they are shuffled; rounds are checkpointed.
+    Each round takes the smallest label among a node's neighbours and then the label of that label, so long chains need
+    about the logarithm of their length. Labels are combined before they are shuffled. A node with many neighbours is dealt over
+    several tasks, with a copy of its label in each; a label that many nodes share is looked up only if it has a lower one
+    itself, and is dealt the same way. Rounds are checkpointed.
     """
     reliable_checkpoints(edges.sparkSession)
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    hubs = hot_values(both.groupBy("b").count(), "b")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")).checkpoint()
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        up = lower.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        stepped = lower.join(up, "label", "left").select("node", F.coalesce("top", "label").alias("label"), "was").checkpoint()
+        near = salted_join(both, labels.withColumnRenamed("node", "b"), "b", hubs, [F.col("a")]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        lower = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")).checkpoint()
+        used = lower.groupBy("label").count()
+        moved = lower.where("label < node").select(F.col("node").alias("label"), F.col("label").alias("top")).join(used.select("label"), "label", "left_semi")
+        stepped = salted_join(lower, moved, "label", hot_values(used, "label"), [F.col("node")], "left").select("node", F.coalesce("top", "label").alias("label"), "was").checkpoint()
         labels = stepped.select("node", "label")
         if stepped.where("label < was").isEmpty():
             return labels.withColumnRenamed("label", "component")
@@ -37,15 +42,23 @@ def leakage_components(items: DataFrame, keys: list[list[str]], id_col: str = "i
         whole = items
         for c in columns:
             whole = whole.where(F.col(c).isNotNull() & (F.col(c).cast("string") != ""))
-        hub = whole.groupBy(*columns).agg(F.min(id_col).alias("a"))
-        star = whole.join(hub, columns).select("a", F.col(id_col).alias("b"))
+        keyed = whole.select(id_col, F.concat_ws("\x1f", *columns).alias("_key"))
+        hub = keyed.groupBy("_key").agg(F.min(id_col).alias("a"), F.count("*").alias("count")).where("count > 1").checkpoint()
+        star = salted_join(keyed, hub.select("_key", "a"), "_key", hot_values(hub, "_key"), [F.col(id_col)]).select("a", F.col(id_col).alias("b")).where("a <> b")
         edges = star if edges is None else edges.union(star)
     labels = connected_components(edges)
     return items.select(id_col).distinct().join(labels.withColumnRenamed("node", id_col), id_col, "left").select(id_col, F.coalesce("component", F.col(id_col)).alias("component"))
 
 
 def component_names(labels: DataFrame, id_col: str = "item_id", prefix: str = "leakage_", salt: str = "") -> DataFrame:
-    """(component, component_id, size): a name from the sorted ids of the members (components are small by construction)."""
-    ids = F.array_join(F.array_sort(F.collect_list(F.col(id_col).cast("string"))), "\n")
-    digest = F.substring(F.sha2(F.concat(F.lit(salt), ids).cast("binary"), 256), 1, 20)
-    return labels.groupBy("component").agg(F.concat(F.lit(prefix), digest).alias("component_id"), F.count("*").alias("size"))
+    """(component, component_id, size): a name from the members' ids.
+
+    Ids are dealt into buckets by the first three hexadecimal digits of their SHA-256; a bucket's digest is that of its sorted
+    ids, one a line, and the name that of the buckets' digests in order. So no task ever holds all members of a large component.
+    """
+    id_ = F.col(id_col).cast("string")
+    sha = lambda x: F.sha2(x.cast("binary"), 256)
+    bucket = F.substring(sha(id_), 1, 3).alias("_bucket")
+    parts = labels.select("component", id_.alias("_id"), bucket).groupBy("component", "_bucket").agg(sha(F.array_join(F.array_sort(F.collect_list("_id")), "\n")).alias("_d"), F.count("*").alias("_n"))
+    named = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_bucket", "_d"))), lambda x: x["_d"]), "\n")
+    return parts.groupBy("component").agg(F.concat(F.lit(prefix), F.substring(sha(F.concat(F.lit(salt), named)), 1, 20)).alias("component_id"), F.sum("_n").alias("size"))

@@ -69,9 +69,17 @@ def api_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leakage_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items sharing dataset and first words, or the whole normalised text, are never separated."""
-    i = text_items(spark, sf_dir).withColumn("normal", F.md5(text.normalize_text(F.col("answer")).cast("binary"))).withColumn("head", F.substring("answer", 1, 40))
-    labels = components.leakage_components(i, [["normal"], ["dataset", "head"]])
+    """Items that share any of five keys are never separated: dataset and prompt group, the prompt's normalised text, prompt and
+    answer, dataset, file and record, dataset and an existing component. Documents give them: a text's first line, where it has more
+    than one, is the prompt, source and length are the group, toxic ones of a language are an existing component."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    lines = F.split("text", "\n")
+    prompt = F.when(F.size(lines) > 1, text.normalize_text(lines[0]))
+    i = docs.join(labels, "doc_id", "left").select(
+        F.col("doc_id").alias("item_id"), F.col("lang").alias("dataset"), F.concat_ws("/", "source", "n_chars").alias("prompt_group"), prompt.alias("prompt"),
+        text.normalize_text(F.col("text")).alias("answer"), F.col("source").alias("file"), F.col("doc_id").cast("string").alias("record"), F.when(F.col("toxic") == 1, "toxic").alias("existing"),
+    )
+    labels = components.leakage_components(i, [["dataset", "prompt_group"], ["prompt"], ["prompt", "answer"], ["dataset", "file", "record"], ["dataset", "existing"]])
     return labels.join(components.component_names(labels), "component").select("item_id", "component", "component_id", "size")
 
 
@@ -202,11 +210,16 @@ ORACLES = {
     "api_cost": """WITH c AS (SELECT conv_id, turn, 'm-a-b' || CASE WHEN turn % 2 = 0 THEN '-20260101' ELSE '' END AS model, length(text) * 400 AS i, length(text) // 2 AS k, turn AS w, length(role) AS o FROM conversations)
         SELECT conv_id, turn, model, floor(((CASE WHEN i > 272000 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END) * ((i - k - w) * 2.0::DOUBLE + k * 0.5::DOUBLE + w * 2.5::DOUBLE)
             + (CASE WHEN i > 272000 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END) * o * 8.0::DOUBLE) / 1e6::DOUBLE * 1e6::DOUBLE + 0.5)::BIGINT AS cost_millionths FROM c""",
-    "leakage_components": f"""WITH RECURSIVE {_ITEMS}, k AS (SELECT item_id, 'n' || md5({_NORMAL}) AS key FROM items UNION ALL SELECT item_id, 'h' || dataset || chr(31) || substr(answer, 1, 40) FROM items WHERE substr(answer, 1, 40) <> ''),
-        e AS (SELECT DISTINCT a.item_id AS a, b.item_id AS b FROM k a JOIN k b USING (key)),
+    "leakage_components": rf"""WITH RECURSIVE i AS (SELECT d.doc_id AS item_id, lang, source, n_chars, toxic, {_NORMAL.replace("answer", "text")} AS answer,
+          CASE WHEN contains(text, chr(10)) THEN {_NORMAL.replace("answer", "split_part(text, chr(10), 1)")} END AS prompt FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+        k AS (SELECT item_id, concat_ws(chr(31), 'g', lang, source, n_chars) AS key FROM i UNION ALL SELECT item_id, 'p' || prompt FROM i WHERE prompt <> ''
+          UNION ALL SELECT item_id, 'a' || prompt || chr(31) || answer FROM i WHERE prompt <> '' AND answer <> '' UNION ALL SELECT item_id, concat_ws(chr(31), 'r', lang, source, item_id) FROM i
+          UNION ALL SELECT item_id, 'x' || lang FROM i WHERE toxic = 1),
+        h AS (SELECT item_id, min(item_id) OVER (PARTITION BY key) AS hub FROM k), e AS (SELECT item_id AS a, hub AS b FROM h UNION SELECT hub, item_id FROM h),
         r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a),
         l AS (SELECT node AS item_id, min(seen) AS component FROM r GROUP BY node),
-        n AS (SELECT component, 'leakage_' || substr(sha256(string_agg(item_id::VARCHAR, chr(10) ORDER BY item_id::VARCHAR)), 1, 20) AS component_id, count(*) AS size FROM l GROUP BY component)
+        b AS (SELECT component, substr(sha256(item_id::VARCHAR), 1, 3) AS bucket, sha256(string_agg(item_id::VARCHAR, chr(10) ORDER BY item_id::VARCHAR)) AS d, count(*) AS c FROM l GROUP BY ALL),
+        n AS (SELECT component, 'leakage_' || substr(sha256(string_agg(d, chr(10) ORDER BY bucket)), 1, 20) AS component_id, sum(c)::BIGINT AS size FROM b GROUP BY component)
         SELECT item_id, component, component_id, size FROM l JOIN n USING (component)""",
     "split_leakage": f"""WITH {_ITEMS}, f AS (SELECT 'item_id' AS family, item_id::VARCHAR AS key, split FROM items UNION ALL SELECT 'prompt_group', dataset || chr(31) || prompt_group, split FROM items
         UNION ALL SELECT 'answer', md5({_NORMAL}), split FROM items UNION ALL SELECT 'source', prompt_group || chr(31) || n_chars, split FROM items)

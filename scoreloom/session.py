@@ -24,8 +24,10 @@ def local_session(cores: int = 8, app: str = "scoreloom") -> SparkSession:
 
 
 def reliable_checkpoints(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the cluster's own shared folder where it names one, else a temporary one (tests)."""
+    """Make checkpoint() usable: the shared folder that the cluster names, or on a local master a temporary one (tests)."""
     if spark._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="scoreloom-checkpoints-"))
