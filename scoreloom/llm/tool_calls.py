@@ -7,13 +7,15 @@ Arguments are parsed as JSON and checked against the tool's schema. A call and i
 in order, no spaces, null for what is missing.
 
 One row is returned per call and per result without a call; conversations are never gathered, so one of any length is no
-hot spot. Keys of all joins and aggregations are single calls.
+hot spot. Keys of all joins and aggregations are single calls, so every hash table of a shuffled hash join holds a partition's
+share of distinct calls, however the conversations are distributed.
 
 Defined cases: of calls (or results) that repeat an identifier in a conversation the smallest (arguments or content; null
 first) counts, and ``copies`` tells how many there were; a result without a call is an ``orphan``, a call without a result
 ``unanswered``; a parent that does not exist is no parent; calls on a cycle, or that build on one, have no depth and the error
 ``cycle``; arguments that are null or no JSON object have the error ``arguments``; rows without conversation or identifier
-link with nothing and are returned as they are; empty tables give no rows.
+link with nothing and are returned as they are; texts of any length are carried whole; other columns are not looked at,
+whatever their names; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -66,14 +68,14 @@ def call_depths(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, depth) for distinct calls (conv_id, call_id, parent_id); null depth on and above cycles."""
     reliable_checkpoints(calls.sparkSession)
     ids = calls.select("conv_id", F.col("call_id").alias("parent_id"), F.lit(True).alias("there"))
-    state = calls.join(ids, ["conv_id", "parent_id"], "left").select("conv_id", "call_id", F.when(F.col("there"), F.col("parent_id")).alias("up"))
+    state = calls.join(ids.hint("shuffle_hash"), ["conv_id", "parent_id"], "left").select("conv_id", "call_id", F.when(F.col("there"), F.col("parent_id")).alias("up"))
     state = state.withColumn("depth", F.when(F.col("up").isNotNull(), 1).otherwise(0).cast("long")).checkpoint()
     rounds = math.ceil(math.log2(max(2, state.count()))) + 1
     for _ in range(rounds):
         if state.where("up is not null").isEmpty():
             break
         above = state.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
-        state = state.join(above, ["conv_id", "up"], "left").select("conv_id", "call_id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")).checkpoint()
+        state = state.join(above.hint("shuffle_hash"), ["conv_id", "up"], "left").select("conv_id", "call_id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")).checkpoint()
     return state.select("conv_id", "call_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
 
 
@@ -88,7 +90,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str,
     got = got.select("conv_id", "call_id", "answers", "r.content")
     stray = results.where(~known).select("conv_id", "call_id", F.lit(1).cast("long").alias("answers"), "content")
     depths = call_depths(one.select("conv_id", "call_id", "parent_id"))
-    joined = one.join(depths, ["conv_id", "call_id"]).join(got, ["conv_id", "call_id"], "full_outer")
+    joined = one.join(depths.hint("shuffle_hash"), ["conv_id", "call_id"]).join(got.hint("shuffle_hash"), ["conv_id", "call_id"], "full_outer")
     joined = joined.unionByName(loose.withColumn("depth", F.lit(0).cast("long")), allowMissingColumns=True).unionByName(stray, allowMissingColumns=True)
     status = F.when(F.col("called").isNull(), "orphan").when(F.col("answers").isNull(), "unanswered").otherwise("linked")
     problems = argument_errors(F.col("name"), F.col("arguments"), schemas)
