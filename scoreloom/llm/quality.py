@@ -5,8 +5,8 @@ The text's bytes are cut into chunks of ``2 * HALF`` bytes that overlap by half
 centred and scaled, and together with their squares go through a learned layer of ``HIDDEN`` rectified units. Every unit is
 max-pooled over all chunks of the document, and one logistic output combines the pooled units into a probability.
 
-Training takes at most ``sample`` labelled rows (those of the smallest keyed hash; a documented bound, as gathering them on
-the driver must not grow with the data); filters and layers are learned together by stochastic gradients. Rows whose
+Training takes at most ``sample`` labelled documents (those of the smallest keyed hash; a documented bound, as gathering them
+on the driver must not grow with the data; of rows that repeat an id the smallest text and label count); filters and layers are learned together by stochastic gradients. Rows whose
 crc32(doc_id) mod 4 is 2 are never trained on. Only bytes are inputs. Scoring is one pass without a shuffle.
 
 Defined cases: null and empty texts are one chunk without positions and get the same constant score; invalid labels (null or
@@ -183,10 +183,11 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, epochs: int = EPOCHS) -> ByteNetwork:
     """Fit on at most ``sample`` labelled rows that are not held out; labels: doc_id, quality."""
     small_batches(docs.sparkSession)
-    usable = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("y"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()  # bounded by sample
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.text or "", r.y))[: 2 * sample]
+    usable = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("y"))
+    chosen = usable.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = found.groupBy("doc_id").agg(F.min(F.struct("text", "y")).alias("r")).select("doc_id", "r.*").collect()  # at most ``sample``
+    rows = sorted(rows, key=lambda r: r.doc_id)
     return ByteNetwork().fit([r.text for r in rows], [r.y for r in rows], epochs)
 
 
