@@ -11,7 +11,7 @@ A shared span of at least ``window`` words always holds a k-gram that winnowing
    window is one in full. Overlapping windows unite to spans.
 
 Only texts with hits are ever shuffled, once for each distinct text, and only as keys, positions and hashes. What comes back
-to the documents is broadcast up to ``broadcast_texts`` texts with hits, and joined by shuffling otherwise.
+to the documents is broadcast up to ``broadcast_places`` keys, spans and item ids in all, and joined by shuffling otherwise.
 
 Defined cases: a null text has no words and no hits; an empty benchmark hits nothing; items without words are ignored; a
 null item_id counts as an item of its own and is written as the empty string; rows are judged by their text alone, so
@@ -34,8 +34,8 @@ WINDOW = 13
 K = 7
 #: Distinct fingerprints of the benchmark that may be broadcast (8 bytes each).
 BROADCAST_PRINTS = 2_000_000
-#: Texts with hits whose results may be broadcast.
-BROADCAST_TEXTS = 20_000
+#: Ends of spans and item ids (and two keys) of texts with hits that may be broadcast, of at most some 40 bytes each.
+BROADCAST_PLACES = 500_000
 
 _INT, _LONG = pa.int32(), pa.int64()
 _PRINT = T.ArrayType(T.StructType([T.StructField("size", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("pos", T.IntegerType())]))
@@ -227,7 +227,7 @@ def contaminated_texts(texts: DataFrame, benchmark: DataFrame, *, item_id_col: s
 
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, k: int = K,
-    broadcast_prints: int = BROADCAST_PRINTS, broadcast_texts: int = BROADCAST_TEXTS, prefix: str = "contam_",
+    broadcast_prints: int = BROADCAST_PRINTS, broadcast_places: int = BROADCAST_PLACES, prefix: str = "contam_",
 ) -> DataFrame:
     """Add ``contam_n_words``, ``contam_spans`` (array of [start, end) in words) and ``contam_items`` (sorted ids) to every row."""
     added = [prefix + x for x in ("n_words", "spans", "items")]
@@ -236,7 +236,7 @@ def find_contamination(
     if clash := {*added, "_x", "_y"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} clash")
     hits = contaminated_texts(docs.select(F.col(text_col).alias("t")), benchmark, item_id_col=item_id_col, item_text_col=item_text_col, window=window, k=k, broadcast_prints=broadcast_prints).checkpoint()
-    few = hits.limit(broadcast_texts + 1).count() <= broadcast_texts
+    few = hits.agg(F.coalesce(F.sum(2 + F.size("spans") + F.size("items")), F.lit(0))).first()[0] <= broadcast_places
     keyed = docs.withColumns(dict(zip(("_x", "_y"), _keys(F.col(text_col)), strict=True)))
     joined = keyed.join(F.broadcast(hits) if few else hits, ["_x", "_y"], "left")
     return joined.select(

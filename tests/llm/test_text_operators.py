@@ -164,7 +164,7 @@ def test_contamination_equals_brute_force(spark):
     got = decontam.contamination_report(documents(spark, docs), bench)
     expected = brute_contamination(list(enumerate(docs)), items)
     assert {r.doc_id: tuple(r)[1:] for r in got.collect()} == expected
-    shuffled = decontam.contamination_report(documents(spark, docs), bench, broadcast_prints=0, broadcast_texts=0)
+    shuffled = decontam.contamination_report(documents(spark, docs), bench, broadcast_prints=0, broadcast_places=0)
     assert {r.doc_id: tuple(r)[1:] for r in shuffled.collect()} == expected
     kept = decontam.remove_contaminated(documents(spark, docs), bench)
     assert {r.doc_id for r in kept.collect()} == {i for i, e in expected.items() if not e[4]}
