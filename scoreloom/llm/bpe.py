@@ -356,7 +356,9 @@ def default_path() -> str:
 
 
 def round_trip(docs: DataFrame, path: str, *, text_col: str = "text") -> DataFrame:
-    """Every row with ``tokens`` and ``decoded`` added (columns of these names are replaced)."""
+    """Every row with ``tokens`` and ``decoded`` added (columns of these names are replaced; one named ``_bpe`` is refused)."""
+    if "_bpe" in docs.columns:
+        raise ValueError("a column name clashes")
     small_batches(docs.sparkSession)
     kind = T.StructType([T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
