@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreloom.llm.graph import connected_components
 from scoreloom.llm.words import NOT_SPACE, blocks, mix64, ngram_hashes, small_batches, utf8, within_rows, word_hashes
+from scoreloom.operators.components import connected_components
+from scoreloom.operators.skew import hot_values, salted_join
 from scoreloom.session import reliable_checkpoints
 
 BAND_ROWS = 6
@@ -127,21 +128,21 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
     return docs.select(F.col(id_col).alias("node"), whole(F.col(text_col)).alias("shingles"))
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with their full sets sa and sb."""
+def _with_sets(pairs: DataFrame, sets: DataFrame, centres: list) -> DataFrame:
+    """Pairs (a, b) with their full sets sa and sb; the members of ``centres``, the hot values of a, are dealt over several tasks."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(right, "b").join(left, "a")
+    return salted_join(pairs.join(right, "b"), left, "a", centres, [F.col("b")])
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int, centres: list | None = None) -> DataFrame:
     """(a, b) of the candidate pairs with den * intersection >= num * union on the full sets."""
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     linked = den * both >= num * (F.size("sa").cast("long") + F.size("sb").cast("long") - both)
-    return _with_sets(pairs.select("a", "b"), sets).where(linked).select("a", "b")
+    return _with_sets(pairs.select("a", "b"), sets, centres or []).where(linked).select("a", "b")
 
 
-def hidden_pairs(star: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def hidden_pairs(star: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int, centres: list) -> DataFrame:
     """Pairs of members of one star that may be linked although they are in different components.
 
     Let R be the centre's set, A- = R \\ A and A+ = A \\ R, and D(A) both together. For members A, B of one star the
@@ -152,8 +153,8 @@ def hidden_pairs(star: DataFrame, links: DataFrame, labels: DataFrame, sets: Dat
     """
     named = star.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
     open_stars = named.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("a")
-    named = named.join(open_stars, "a").join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left").select("a", "b", "n", "component", F.coalesce("linked", F.lit(False)).alias("linked"))
-    apart = _with_sets(named, sets).select("a", "b", "n", "component", "linked", F.array_except("sa", "sb").alias("less"), F.array_except("sb", "sa").alias("more"))
+    named = salted_join(named, open_stars, "a", centres, [F.col("b")], "left_semi").join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left").select("a", "b", "n", "component", F.coalesce("linked", F.lit(False)).alias("linked"))
+    apart = _with_sets(named, sets, centres).select("a", "b", "n", "component", "linked", F.array_except("sa", "sb").alias("less"), F.array_except("sb", "sa").alias("more"))
     need = F.floor((num * F.size("more") + den * F.size("less")) / F.lit(num + den)) + 1
     rows = apart.select("a", "b", "n", "component", "linked", (F.size("more") + F.size("less") - need + 1).alias("first"), F.explode(F.concat("less", "more")).alias("t"))
     rows = rows.checkpoint()
@@ -175,6 +176,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     marked = sketches(docs, text_col, size, rows, band_count(num / den, rows, miss)).drop(text_col).checkpoint()
     known = marked.where(F.col("set_key").isNotNull() & F.col(id_col).isNotNull())
     classes = known.groupBy("set_key").agg(F.min(id_col).alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    copies = known.groupBy("set_key").agg(F.min(id_col).alias("node"), F.count("*").alias("count")).checkpoint()
     cells = classes.select("node", "n", F.explode("bands").alias("key"))
     shared = cells.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     cells = cells.join(shared, "key").checkpoint()
@@ -186,22 +188,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     need = star.select(F.col("a").alias(id_col)).union(star.select(F.col("b").alias(id_col))).distinct().checkpoint()
     small = need.limit(broadcast_ids + 1).count() <= broadcast_ids
     sets = full_sets(docs.join(F.broadcast(need) if small else need, id_col, "left_semi"), id_col, text_col, size).checkpoint()
-    links = confirm(star.where(den * F.least("n", "an") >= num * F.greatest("n", "an")), sets, num, den).checkpoint()
+    centres = hot_values(star.groupBy("a").count(), "a")
+    links = confirm(star.where(den * F.least("n", "an") >= num * F.greatest("n", "an")), sets, num, den, centres).checkpoint()
     labels = connected_components(links)
-    more = confirm(hidden_pairs(star, links, labels, sets, num, den), sets, num, den).checkpoint()
+    more = confirm(hidden_pairs(star, links, labels, sets, num, den, centres), sets, num, den).checkpoint()
     if not more.isEmpty():
         labels = connected_components(links.union(more))
-    named = classes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
-    return marked.select(id_col, "n_shingles", "set_key").join(named, "set_key", "left").select(id_col, "n_shingles", F.when(F.col(id_col).isNotNull(), F.coalesce("component_id", F.col(id_col))).alias("component_id"))
+    named = copies.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
+    narrow = marked.select(id_col, "n_shingles", "set_key")
+    full = salted_join(narrow.where("set_key is not null"), named, "set_key", hot_values(copies, "set_key"), [F.col(id_col)], "left")
+    every = full.select(id_col, "n_shingles", "component_id").unionByName(narrow.where("set_key is null").select(id_col, "n_shingles", F.lit(None).cast(dict(docs.dtypes)[id_col]).alias("component_id")))
+    return every.select(id_col, "n_shingles", F.when(F.col(id_col).isNotNull(), F.coalesce("component_id", F.col(id_col))).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, **options: object) -> DataFrame:
-    """The rows of ``docs`` that represent their component; rows that repeat a kept id are reduced to one."""
+    """The rows of ``docs`` that represent their component; of rows that repeat a kept id the smallest stays."""
     found = near_duplicates(docs, **options)
     id_col = str(options.get("id_col", "doc_id"))
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id")) & F.col(id_col).isNotNull()).select(id_col).distinct()
-    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    kept = found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("rows")).checkpoint()
+    single = docs.join(kept.where("rows = 1"), id_col, "left_semi")
+    again = docs.join(kept.where("rows > 1"), id_col, "left_semi")
+    least = again.groupBy(id_col).agg(F.min(F.struct(*[c for c in docs.columns if c != id_col])).alias("r")).select(id_col, "r.*")
+    return single.unionByName(least.select(*docs.columns)).unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
