@@ -7,17 +7,21 @@ window travels on its own:
    name the same anchor at the same place, so only occurrences of one anchor can hold equal windows. The windows of a text
    that name one anchor are consecutive and make up its context. One row per context is shuffled: anchor hash, context
    digest, place.
-2. Anchors that occur once are done. Where all contexts of an anchor are equal, all of their windows repeat: done without
-   looking at the bytes. The rest (edges of repeats) is dealt into shards by anchor, every distinct context once.
+2. Anchors that occur once are done. Where all contexts of an anchor are equal, all of their windows repeat, and copies of one
+   context stand for each other: both are told by the 64-bit digest of the context beside the anchor's hash, without its bytes.
+   Two different contexts pass for one with a chance of 2^-64 a pair, and only pairs of one anchor count: with a million
+   contexts on each of a million anchors the chance of any such error is below one in 30. The rest (edges of repeats) is dealt
+   into shards by anchor, every distinct context once, and judged by its bytes.
 3. A shard's contexts are joined to one string. Its suffix array is refined as Larsson and Sadakane do, doubling the depth and
    sorting again only what is still in groups; Kasai's pass gives common prefixes, for all contexts side by side. A window
    repeats if it has ``length`` bytes in common with a neighbour, or if its context occurs more than once.
 4. An anchor with more than ``HOT_CONTEXTS`` contexts is dealt over several shards. Each of these gives the windows that it
-   holds, sorted; they are merged by digest across shards, where every window is found by binary search in the others' run.
+   holds, sorted; windows of all shards are dealt by digest, and every shard's run is searched for in what the runs before it
+   have left, by binary search.
 5. What repeats goes back to the texts as intervals, joined by context, and is cut out there.
 
-All exchanges are keyed by hashes and pre-aggregated where keys repeat; joins back to the occurrences of a frequent context
-are plain joins that Spark can split. No text is gathered with others; a shard's text is bounded by ``SHARD_BYTES``.
+All exchanges are keyed by hashes and pre-aggregated where keys repeat; where an anchor or a context is frequent, the joins back
+to its occurrences deal them over several tasks. No text is gathered with others; a shard's text is bounded by ``SHARD_BYTES``.
 
 Defined cases: null counts as the empty text; texts shorter than ``length`` lose nothing; repeated rows are separate places,
 so each of them loses everything that is long enough; ids are only carried and may be null or repeat; an empty table gives no
@@ -33,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoreloom.llm.words import mix64, small_batches, utf8
+from scoreloom.operators.skew import hot_values, salted_join
 from scoreloom.session import reliable_checkpoints
 
 LENGTH = 200
@@ -222,15 +227,35 @@ def _judge_shard(batches, length: int):
 
 
 def _merge_runs(batches):
-    """Digests sorted within the partition -> those that more than one shard holds, by binary search for their run's end."""
-    kept: np.ndarray | None = None
+    """Rows (w, part) sorted by (part, w), each shard's run without repeats -> digests that more than one shard holds.
+
+    Every run is looked up in the sorted union of the runs before it by binary search, and then merged into it.
+    """
+    union, repeated = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def take(run: np.ndarray) -> None:
+        nonlocal union, repeated
+        at = np.searchsorted(union, run)
+        known = np.zeros(len(run), bool)
+        inside = at < len(union)
+        known[inside] = union[at[inside]] == run[inside]
+        repeated = np.union1d(repeated, run[known])
+        union = np.insert(union, at[~known], run[~known])
+
+    held, part = [], None
     for batch in batches:
-        now = batch.column("w").to_numpy(zero_copy_only=False)
-        run = now if kept is None else np.concatenate([kept, now])
-        distinct = np.unique(run)
-        ends = np.searchsorted(run, distinct, side="right") - np.searchsorted(run, distinct, side="left")
-        kept = run[-1:].repeat(min(2, int(ends[-1]))) if len(run) else None
-        yield pa.RecordBatch.from_arrays([pa.array(distinct[ends > 1], pa.int64())], names=["w"])
+        w, parts = batch.column("w").to_numpy(zero_copy_only=False), batch.column("part").to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(w)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if b > a:
+                if part is not None and parts[a] != part:
+                    take(np.concatenate(held))
+                    held = []
+                held.append(w[a:b])
+                part = parts[a]
+    if held:
+        take(np.concatenate(held))
+    yield pa.RecordBatch.from_arrays([pa.array(repeated, pa.int64())], names=["w"])
 
 
 def repeated_intervals(docs: DataFrame, *, id_col: str, text_col: str, length: int, hot_contexts: int, broadcast_places: int) -> tuple[DataFrame, DataFrame]:
@@ -248,8 +273,9 @@ def repeated_intervals(docs: DataFrame, *, id_col: str, text_col: str, length: i
         return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), flat)
 
     rows = texts.select("_d", "_x", F.explode(anchored("_t")).alias("a")).select("_d", "_x", "a.*")
-    met = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1").select("h", (F.col("c0") != F.col("c1")).alias("mixed"))
-    found = rows.join(met, "h").checkpoint()
+    met = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1").select("h", "n", (F.col("c0") != F.col("c1")).alias("mixed")).checkpoint()
+    frequent = hot_values(met, "h", "n")
+    found = salted_join(rows, met.select("h", "mixed"), "h", frequent, [F.col("_d"), F.col("_x"), F.col("lo")]).checkpoint()
     whole = found.where(~F.col("mixed")).select("_d", "_x", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
     edges = found.where("mixed").select("_d", "_x", "lo", "hi", "h", "c")
 
@@ -262,11 +288,12 @@ def repeated_intervals(docs: DataFrame, *, id_col: str, text_col: str, length: i
         return pa.array(out, pa.list_(pa.binary()))
 
     # One place stands for all that have the same context, so every distinct context is cut out and shuffled once.
-    kinds = edges.groupBy("h", "c").agg(F.min(F.struct("_d", "_x", "lo", "hi")).alias("at"), F.count("*").alias("copies"))
-    fullness = kinds.groupBy("h").agg(F.count("*").alias("k"))
+    contexts_ = edges.groupBy("h", "c").agg(F.min(F.struct("_d", "_x", "lo", "hi")).alias("at"), F.count("*").alias("copies")).checkpoint()
+    fullness = contexts_.groupBy("h").agg(F.count("*").alias("k"))
     hot_, parts = F.col("k") > hot_contexts, F.ceil(F.col("k") / F.lit(hot_contexts)).cast("int")
-    kinds = kinds.join(fullness, "h").select("at.*", "h", "c", "copies", F.when(hot_, F.pmod(F.xxhash64("c"), parts)).otherwise(0).cast("int").alias("part"), hot_.alias("hot")).checkpoint()
-    few = kinds.limit(broadcast_places + 1).count() <= broadcast_places
+    counted = salted_join(contexts_, fullness, "h", hot_values(fullness, "h", "k"), [F.col("c")])
+    kinds = counted.select("at.*", "h", "c", "copies", F.when(hot_, F.pmod(F.xxhash64("c"), parts)).otherwise(0).cast("int").alias("part"), hot_.alias("hot"))
+    few = contexts_.limit(broadcast_places + 1).count() <= broadcast_places
 
     def opened(some: DataFrame) -> DataFrame:
         """Contexts with their bytes."""
@@ -291,11 +318,14 @@ def repeated_intervals(docs: DataFrame, *, id_col: str, text_col: str, length: i
         return pa.ListArray.from_arrays(pa.array(place, pa.int32()), pa.array(digest.view(np.int64)))
 
     hot = opened(kinds.where("hot")).select("h", "c", "part", F.posexplode(window_digests("piece")).alias("first", "w"))
-    runs = hot.select("w", "part").distinct().select("w")
-    across = runs.repartition("w").sortWithinPartitions("w").mapInArrow(_merge_runs, "w long").distinct()
+    runs = hot.select("w", "part").distinct()
+    across = runs.repartition("w").sortWithinPartitions("part", "w").mapInArrow(_merge_runs, "w long")
     merged = hot.join(across, "w").select("h", "c", "first", F.col("first").alias("last"))
     windows = judged.unionByName(merged) if not kinds.where("hot").isEmpty() else judged
-    some = edges.join(windows, ["h", "c"]).select("_d", "_x", (F.col("lo") + F.col("first")).alias("start"), (F.col("lo") + F.col("last") + length).alias("end"))
+    # What repeats in a context goes to all its occurrences; a frequent context's are dealt over several tasks.
+    often = hot_values(contexts_.groupBy("c").agg(F.sum("copies").alias("n")), "c", "n")
+    both = salted_join(edges.withColumnRenamed("h", "h2"), windows, "c", often, [F.col("_d"), F.col("_x"), F.col("lo")]).where("h = h2")
+    some = both.select("_d", "_x", (F.col("lo") + F.col("first")).alias("start"), (F.col("lo") + F.col("last") + length).alias("end"))
 
     @F.arrow_udf(_SPANS)
     def united(spans: pa.Array) -> pa.Array:
