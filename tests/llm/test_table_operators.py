@@ -210,7 +210,8 @@ def test_op10_query_against_planted_entities(spark, tmp_path):
     assert seen["10.0.0.1"].split(".")[0] >= "240" and seen["born on 12.03.1971"].startswith("born on ")
 
 
-def test_crowded_types_grow(spark):
+def test_crowded_types_grow(spark, monkeypatch):
+    monkeypatch.setattr(pii, "WIDEN", 2)
     table = pii._one_to_one(spark.createDataFrame([(str(d), "other") for d in range(10)], "entity string, kind string"), "k").collect()
     assert len({r.surrogate for r in table}) == 10 and not {r.surrogate for r in table} & {str(d) for d in range(10)}
 
