@@ -7,16 +7,21 @@ from pyspark.sql import functions as F
 
 # Names under which a field may come, in the order in which they are tried.
 ALIASES = {
-    "item_id": ["item_id", "id", "Id"],
-    "prompt": ["prompt", "question", "task"],
-    "student_answer": ["student_answer", "answer", "essay", "response"],
-    "reference_answer": ["reference_answer", "reference"],
-    "rubric": ["rubric", "criteria"],
-    "gold_score": ["gold_score", "score", "label"],
-    "prompt_group": ["prompt_group", "prompt_id", "topic"],
+    "item_id": ["item_id", "id", "response_id", "essay_id"],
+    "prompt": ["prompt", "question", "question_text", "essay_prompt"],
+    "student_answer": ["student_answer", "answer", "response", "essay", "student_response"],
+    "reference_answer": ["reference_answer", "reference", "model_answer"],
+    "rubric": ["rubric", "scoring_rubric", "criteria"],
+    "gold_score": ["gold_score", "score", "label", "domain1_score"],
+    "score_min": ["score_min", "min_score"],
+    "score_max": ["score_max", "max_score"],
+    "prompt_group": ["prompt_group", "prompt_id", "question_id", "essay_set"],
+    "subject": ["subject", "domain"],
 }
-# Patterns of placeholder prompts and rubrics.
-PLACEHOLDERS = [r"(?i)^\s*(?:todo|tbd|n/?a|none|null)\s*$", r"(?i)lorem ipsum", r"(?i)\bplaceholder\b", r"^\s*$"]
+# Patterns of placeholder texts.
+PLACEHOLDERS = [r"(?i)see\s+data_set_descriptions\.zip", r"(?i)see\s+training_materials\.zip", r"(?i)\bplaceholder(?:\s+text)?\b", r"\b(?:TODO|TBD)\b"]
+# Marks of structure in an answer.
+STRUCTURE = ["\n", "=", "{", "}", "```"]
 
 
 def normalize_text(x: Column) -> Column:
@@ -30,8 +35,9 @@ def first_present(columns: list[str], names: list[str], default: object = None)
 
 
 def stable_id(dataset: Column, fallback: Column, group: Column, answer: Column) -> Column:
+    """The source's own id after the dataset's name; where it is null or empty, a digest of dataset, group and answer."""
     digest = F.substring(F.sha1(F.concat_ws("\n", dataset, group, answer).cast("binary")), 1, 16)
-    return F.concat_ws("_", dataset, F.coalesce(fallback, digest))
+    return F.concat_ws("_", dataset, F.when(fallback != "", fallback).otherwise(digest))
 
 
 def stable_hash(*parts: Column) -> Column:
@@ -53,14 +59,15 @@ def words(x: Column) -> Column:
     return F.filter(F.split(F.lower(x), r"(?U)\s+"), lambda w: w != "")
 
 
-def static_complexity(prompt: Column, answer: Column, rubric: Column, reference: Column, essay: Column, structures: Column) -> Column:
-    """Weighted, clipped sizes of the parts of an item, with the variety of the answer's words."""
-    bounded = lambda n, most: F.least(F.lit(1.0), n / float(most))
-    w = words(answer)
-    variety = F.when(F.size(w) > 0, F.size(F.array_distinct(w)) / F.size(w)).otherwise(0.0)
+def static_complexity(prompt: Column, answer: Column, rubric: Column, reference: Column, essay: Column) -> Column:
+    """Weighted, bounded sizes of the parts of an item, the variety of the answer's words and its marks of structure, in [0, 1]."""
+    bounded = lambda x, most: F.least(F.lit(1.0), F.length(F.coalesce(x, F.lit(""))) / float(most))
+    w = words(F.coalesce(answer, F.lit("")))
+    variety = F.size(F.array_distinct(w)) / F.greatest(F.lit(1), F.size(w))
+    marks = sum((F.coalesce(answer.contains(m), F.lit(False)).cast("int") for m in STRUCTURE), F.lit(0)) / 5.0
     return (
-        0.15 * bounded(F.length(prompt), 600) + 0.35 * bounded(F.length(answer), 1800) + 0.15 * bounded(F.length(rubric), 900) + 0.10 * bounded(F.length(reference), 900)
-        + 0.10 * variety + 0.05 * bounded(structures, 5) + 0.10 * F.when(essay, 1.0).otherwise(0.0)
+        0.15 * bounded(prompt, 600) + 0.35 * bounded(answer, 1800) + 0.15 * bounded(rubric, 900) + 0.10 * bounded(reference, 900)
+        + 0.10 * variety + 0.05 * marks + 0.10 * F.when(essay, 1.0).otherwise(0.0)
     )
 
 
@@ -80,9 +87,3 @@ def mix_label(datasets: Column) -> Column:
 def visible(columns: list[str], allowed: list[str]) -> list[str]:
     """The columns a model may see, in their own order."""
     return [c for c in columns if c in allowed]
-
-
-def key_paths(variant: Column, banned: list[str]) -> Column:
-    """Whether the JSON text of a variant holds one of the keys at any depth."""
-    text = F.to_json(variant)
-    return F.coalesce(text.rlike('"(?:' + "|".join(banned) + r')"\s*:'), F.lit(False))

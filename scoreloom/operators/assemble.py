@@ -1,17 +1,14 @@
-"""Order-dependent assembly as ranks and intervals: samples, chunks, quotas, partitions, latest-wins.
-
-Splits that are chosen greedily look only at component sizes; those are planned on the driver and joined back.
-"""
+"""Order-dependent assembly as ranks and intervals: samples, chunks, quotas, partitions, latest-wins."""
 
 from __future__ import annotations
 
-import random
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions.text import stable_hash
+from scoreloom.operators.ranks import hash_ranks
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -32,20 +29,25 @@ def round_robin(rows: DataFrame, stratum: str, order: Column, size: int) -> Data
     return ranked.orderBy("turn", stratum).limit(size)
 
 
-def chunks(rows: DataFrame, group: str, order: list[str], size: int) -> DataFrame:
-    """Whole chunks of ``size`` rows of each group, numbered; the remainder is dropped."""
-    w = Window.partitionBy(group).orderBy(*order)
-    numbered = rows.withColumn("r", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy(group)))
-    whole = numbered.where(F.col("r") < F.floor(F.col("n") / size) * size)
-    return whole.withColumn("chunk", F.floor(F.col("r") / size)).withColumn("position", (F.col("r") % size + 1).cast("long")).drop("r", "n")
+def chunks(rows: DataFrame, group: str, digest: str, ties: list[str], size: int, relaxed: bool = True) -> DataFrame:
+    """Whole chunks of ``size`` rows of each group in the order of a digest, numbered; the remainder is dropped, or a fault if not
+    ``relaxed``: then a row of it keeps its place with a null chunk."""
+    ranked = hash_ranks(rows, group, digest, ties).withColumn("r", F.col("rank") - 1)
+    whole = F.col("r") < F.floor(F.col("total") / size) * size
+    kept = ranked.where(whole) if relaxed else ranked
+    return kept.withColumn("chunk", F.when(whole, F.floor(F.col("r") / size))).withColumn("position", (F.col("r") % size + 1).cast("long")).drop("r", "rank", "total")
 
 
 def fill_quotas(items: DataFrame, quotas: DataFrame, seed: str) -> DataFrame:
     """items (item_id, dataset) into papers (paper, dataset, want): item k of a dataset goes to the paper whose cumulative
     demand covers k. Returns paper, dataset, item_id and the position (from 0) in the paper by hash order."""
-    ranked = items.withColumn("k", F.row_number().over(Window.partitionBy("dataset").orderBy(stable_hash(F.lit(seed), F.col("dataset"), F.col("item_id")), "item_id")))
-    upto = F.sum("want").over(Window.partitionBy("dataset").orderBy("paper"))
-    ranges = quotas.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("want"))
+    digest = stable_hash(F.lit(seed), F.col("dataset"), F.col("item_id"))
+    ranked = hash_ranks(items.withColumn("_h", digest), "dataset", "_h", ["item_id"]).select("item_id", "dataset", F.col("rank").alias("k"))
+    block = Window.partitionBy("dataset", "_block")
+    dealt = quotas.withColumn("_block", F.floor(F.col("paper") / 4096))
+    sums = dealt.groupBy("dataset", "_block").agg(F.sum("want").alias("_sum"))
+    below = sums.select("dataset", "_block", (F.sum("_sum").over(Window.partitionBy("dataset").orderBy("_block")) - F.col("_sum")).alias("_below"))  # a row for 4,096 papers
+    ranges = dealt.withColumn("hi", F.sum("want").over(block.orderBy("paper"))).join(below, ["dataset", "_block"]).withColumn("hi", F.col("hi") + F.col("_below")).withColumn("lo", F.col("hi") - F.col("want"))
     slots = ranges.select("paper", "dataset", F.explode(F.sequence(F.col("lo") + 1, F.col("hi"))).alias("k"))  # one row per place, so the join is by equality
     placed = slots.join(ranked, ["dataset", "k"])
     inside = Window.partitionBy("paper").orderBy(stable_hash(F.lit(seed), F.col("paper"), F.col("item_id")), "item_id")
@@ -66,82 +68,3 @@ def best_quota_counts(counts: dict[str, int], quotas: list[dict[str, int]]) -> t
         if best_key is None or key < best_key:
             best, best_key = (*first, last), key
     return best
-
-
-def subset_sums(sizes: list[int], limit: int) -> dict[int, list[int]]:
-    """For every reachable sum up to ``limit`` the indexes of one subset of ``sizes`` that makes it."""
-    reach: dict[int, tuple[int, int] | None] = {0: None}
-    for i, size in enumerate(sizes):
-        for total in [t for t in reach if t + size <= limit and t + size not in reach]:
-            reach[total + size] = (i, total)
-    out = {}
-    for total in reach:
-        picked, at = [], total
-        while reach[at] is not None:
-            i, at = reach[at]
-            picked.append(i)
-        out[total] = picked[::-1]
-    return out
-
-
-def assign_components(components: list[tuple[str, dict[str, int]]], targets: dict[str, float], seed: int) -> dict[str, str]:
-    """Greedy split of components (id, items per dataset), planned on the driver from sizes alone.
-
-    Datasets with at least as many components as splits first put one of their smallest into every split that has none yet;
-    the rest goes, largest first, where the squared relative deviation from the target counts stays least.
-    """
-    order = [c for c, _ in components]
-    random.Random(seed).shuffle(order)
-    rank = {c: i for i, c in enumerate(order)}
-    parts = dict(components)
-    total = sum(sum(v.values()) for v in parts.values())
-    by_dataset: dict[str, int] = {}
-    having: dict[str, list[str]] = {}
-    for c, v in parts.items():
-        for d, n in v.items():
-            by_dataset[d] = by_dataset.get(d, 0) + n
-            having.setdefault(d, []).append(c)
-    have = {s: dict.fromkeys(by_dataset, 0) for s in targets}
-    chosen: dict[str, str] = {}
-
-    def put(c: str, s: str) -> None:
-        chosen[c] = s
-        for d, n in parts[c].items():
-            have[s][d] += n
-
-    def cost() -> float:
-        out = 0.0
-        for s, share in targets.items():
-            for d, n in by_dataset.items():
-                out += (have[s][d] - share * n) ** 2 / max(share * n, 1)
-            out += (sum(have[s].values()) - share * total) ** 2 / max(share * total, 1)
-        return out
-
-    for d in sorted(having, key=lambda d: (len(having[d]), d)):
-        if len(having[d]) < len(targets):
-            continue
-        for s in targets:
-            if have[s][d] == 0:
-                free = [c for c in having[d] if c not in chosen]
-                if free:
-                    put(min(free, key=lambda c: (len(parts[c]), sum(parts[c].values()), rank[c], c)), s)
-    for c in sorted((c for c in order if c not in chosen), key=lambda c: -sum(parts[c].values())):
-        trial = []
-        for i, s in enumerate(targets):
-            put(c, s)
-            trial.append((cost(), i, s))
-            for d, n in parts[c].items():
-                have[s][d] -= n
-        put(c, min(trial)[2])
-    return chosen
-
-
-def assign_splits(items: DataFrame, labels: DataFrame, targets: dict[str, float], seed: int) -> DataFrame:
-    """items (item_id, dataset) with the split of their component; only component sizes reach the driver."""
-    sizes = items.join(labels, "item_id").groupBy("component", "dataset").agg(F.count("*").alias("n"))
-    parts: dict[str, dict[str, int]] = {}
-    for r in sizes.orderBy("component", "dataset").toLocalIterator():
-        parts.setdefault(str(r.component), {})[r.dataset] = r.n
-    chosen = assign_components(sorted(parts.items()), targets, seed)
-    plan = items.sparkSession.createDataFrame(list(chosen.items()), "component string, split string")
-    return items.join(labels.withColumn("component", F.col("component").cast("string")), "item_id").join(plan, "component")

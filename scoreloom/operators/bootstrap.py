@@ -6,9 +6,6 @@ papers, so the size of what is shuffled is a few bits for each of papers x repli
 
 from __future__ import annotations
 
-import hashlib
-import random
-import struct
 import zlib
 
 import numpy as np
@@ -17,9 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions.score import ratio
-from scoreloom.operators.quality import paper_statistics
+from scoreloom.operators.quality import GOLD_BINS, kappa_of_moments, paper_statistics
 from scoreloom.plans.proxy import TOP
 
+#: What is summed for every replicate, and the metrics of the gate; the last is better where it is higher.
+COUNTED = ["n", "units", "severe", "stops", "unsafe", "n_valid", "st", "sp", "stt", "spp", "stp", *GOLD_BINS]
+METRICS = ["severe", "unsafe", "nmae", "qwk"]
 #: Papers to a range of ids when they are numbered, papers to a block of weights, and draws made at a time.
 BUCKET, BLOCK, PACK = 4096, 1024, 4_000_000
 
@@ -62,7 +62,7 @@ def resampled(sums: DataFrame, replicates: int) -> DataFrame:
     papers and packed to about two bits each; a block, never more than BLOCK papers, multiplies its weights with its sums (in
     doubles, exact below 2^53), so that only replicates x blocks are aggregated."""
     numbered, size = positions(sums)
-    counted = ("n", "units", "severe", "stops", "unsafe")
+    counted = [c for c in COUNTED if c in sums.columns]
     several, parts = max(1, min(64, PACK // max(1, size))), -(-size // PACK)
 
     def pack(batches):
@@ -110,42 +110,54 @@ def resampled(sums: DataFrame, replicates: int) -> DataFrame:
     return blocks.groupBy("replicate", "arm", "dataset").agg(*[F.sum(c).alias(c) for c in counted])
 
 
-def seeded_draws(spark, paper_ids: list, replicates: int, seed: int) -> tuple[DataFrame, str]:
-    """The same from one sequential Mersenne-Twister stream, with the SHA-256 of the indexes as 32-bit little-endian integers."""
-    rng, digest, rows = random.Random(seed), hashlib.sha256(), []
-    for r in range(replicates):
-        picked = [rng.randrange(len(paper_ids)) for _ in paper_ids]
-        digest.update(struct.pack(f"<{len(picked)}I", *picked))
-        weights: dict[int, int] = {}
-        for i in picked:
-            weights[i] = weights.get(i, 0) + 1
-        rows += [(r, paper_ids[i], w) for i, w in weights.items()]
-    return spark.createDataFrame(rows, "replicate long, paper_id long, w long"), digest.hexdigest()
-
-
-def replicate_deltas(candidate: DataFrame, comparator: DataFrame, replicates: int) -> DataFrame:
-    """Per replicate the largest change over datasets of severe and unsafe rates and of the mean error."""
+def replicate_deltas(candidate: DataFrame, comparator: DataFrame, replicates: int, datasets: list[str], least: int = 100, bins: int = 2) -> DataFrame:
+    """Per replicate, and for the papers as they are (replicate -1): the largest change over ``datasets`` of the rates of severe
+    errors and of unsafe stops, and the changes of the unweighted means over datasets of the error and of kappa. All four are null
+    if any dataset of either arm has no items, no stops, fewer than ``least`` legal predictions, fewer than ``bins`` gold bins or
+    no expected disagreement."""
     sums = paper_statistics(candidate).withColumn("arm", F.lit("a")).unionByName(paper_statistics(comparator).withColumn("arm", F.lit("b")))
-    per = resampled(sums, replicates)
-    rates = per.select("replicate", "arm", "dataset", ratio(F.col("units"), F.col("n") * TOP).alias("nmae"), ratio(F.col("severe"), F.col("n")).alias("severe"), ratio(F.col("unsafe"), F.col("stops")).alias("unsafe"))
-    pick = lambda c, arm: F.max(F.when(F.col("arm") == arm, F.col(c)))
-    change = rates.groupBy("replicate", "dataset").agg(*[(pick(c, "a") - pick(c, "b")).alias(c) for c in ("severe", "unsafe", "nmae")])
-    every = F.count("unsafe") == F.count("*")
-    return change.groupBy("replicate").agg(F.max("severe").alias("severe"), F.when(every, F.max("unsafe")).alias("unsafe"), F.max("nmae").alias("nmae"))
+    point = sums.groupBy("arm", "dataset").agg(*[F.sum(c).alias(c) for c in COUNTED]).withColumn("replicate", F.lit(-1).cast("long"))
+    per = resampled(sums, replicates).unionByName(point)
+    held = sum(((F.col(g) > 0).cast("int") for g in GOLD_BINS), F.lit(0))
+    ready = (F.col("n") > 0) & (F.col("stops") > 0) & (F.col("n_valid") >= least) & (held >= bins) & kappa_of_moments().isNotNull()
+    rates = per.select(
+        "replicate", "arm", "dataset", ready.alias("ready"), ratio(F.col("severe"), F.col("n")).alias("severe"), ratio(F.col("unsafe"), F.col("stops")).alias("unsafe"),
+        ratio(F.col("units"), F.col("n") * TOP).alias("nmae"), kappa_of_moments().alias("qwk"),
+    )
+    cell = lambda m, arm, d: F.max(F.when((F.col("arm") == arm) & (F.col("dataset") == d), F.col(m))).alias(f"{m}_{arm}_{d}")
+    wide = rates.groupBy("replicate").agg(F.count_if(F.col("ready") & F.col("dataset").isin(datasets)).alias("defined"), *[cell(m, arm, d) for m in METRICS for arm in "ab" for d in datasets])
+    change = lambda m: [F.col(f"{m}_a_{d}") - F.col(f"{m}_b_{d}") for d in datasets]
+    mean = lambda m, arm: sum((F.col(f"{m}_{arm}_{d}") for d in datasets[1:]), F.col(f"{m}_{arm}_{datasets[0]}")) / len(datasets)
+    most = lambda m: F.greatest(*change(m)) if len(datasets) > 1 else change(m)[0]
+    deltas = {"severe": most("severe"), "unsafe": most("unsafe"), "nmae": mean("nmae", "a") - mean("nmae", "b"), "qwk": mean("qwk", "a") - mean("qwk", "b")}
+    whole = F.col("defined") == 2 * len(datasets)
+    return wide.select("replicate", *[F.when(whole, d).alias(m) for m, d in deltas.items()])
 
 
 def conservative_bound(delta: Column, replicates: int, confidence: float = 0.95, upper: bool = True) -> Column:
     """One-sided bound: the ceil(pn)-th smallest for an upper, the floor((1 - p)n)-th for a lower one (at least the first)."""
     at = -int(-confidence * replicates // 1) if upper else max(1, int((1 - confidence) * replicates + 1e-9))
-    return F.element_at(F.array_sort(F.collect_list(delta)), at)
-
-
-def gate(candidate: DataFrame, comparator: DataFrame, replicates: int, confidence: float = 0.95) -> DataFrame:
-    """(metric, replicates, upper, status): pass if the bound is not above 0; any undefined replicate voids the metric;
-    inferior only if every replicate is worse."""
-    deltas = replicate_deltas(candidate, comparator, replicates)
-    long = deltas.unpivot("replicate", ["severe", "unsafe", "nmae"], "metric", "delta")
-    agg = long.groupBy("metric").agg(F.count("*").alias("replicates"), F.count("delta").alias("k"), conservative_bound(F.col("delta"), replicates, confidence).alias("upper"), F.min("delta").alias("least"))
-    whole = F.col("k") == F.col("replicates")
-    status = F.when(~whole, "inconclusive").when(F.col("upper") <= 0, "pass").when(F.col("least") > 0, "inferior").otherwise("inconclusive")
-    return agg.select("metric", "replicates", F.when(whole, F.col("upper")).alias("upper"), status.alias("status"))
+    return F.try_element_at(F.array_sort(F.collect_list(delta)), F.lit(at))
+
+
+def gate(candidate: DataFrame, comparator: DataFrame, replicates: int, datasets: list[str], confidence: float = 0.95, least: int = 100, bins: int = 2) -> DataFrame:
+    """One row per metric: its value for the papers as they are, its one-sided bound, whether that is no worse than 0, and the
+    status of all four together: pass if all are; inconclusive if anything is undefined, one undefined replicate voiding all;
+    inferior if every replicate of one metric is worse; else inconclusive. Values are in units of 1e-9."""
+    deltas = replicate_deltas(candidate, comparator, replicates, datasets, least, bins)
+    long = deltas.unpivot("replicate", METRICS, "metric", "delta")
+    drawn = F.when(F.col("replicate") >= 0, F.col("delta"))
+    higher = F.col("metric") == "qwk"
+    per = long.groupBy("metric").agg(
+        F.max(F.when(F.col("replicate") < 0, F.col("delta"))).alias("point"), F.count(drawn).alias("defined"), F.min(drawn).alias("lo"), F.max(drawn).alias("hi"),
+        conservative_bound(drawn, replicates, confidence).alias("upper"), conservative_bound(drawn, replicates, confidence, upper=False).alias("lower"),
+    )
+    sound = F.col("point").isNotNull() & (F.col("defined") == replicates)
+    bound = F.when(sound, F.when(higher, F.col("lower")).otherwise(F.col("upper")))
+    passed = F.coalesce(F.when(higher, bound >= 0).otherwise(bound <= 0), F.lit(False))
+    worse = F.when(higher, F.col("hi") < 0).otherwise(F.col("lo") > 0)
+    judged = per.select("metric", "point", bound.alias("bound"), passed.alias("passed"), (replicates - F.col("defined")).alias("undefined"), sound.alias("sound"), worse.alias("worse"))
+    every = Window.partitionBy(F.lit(0))  # four rows
+    status = F.when(F.min("passed").over(every), "pass").when(~F.min("sound").over(every), "inconclusive").when(F.max("worse").over(every), "inferior").otherwise("inconclusive")
+    e9 = lambda c: F.floor(F.col(c) * 1e9 + 0.5).alias(f"{c}_e9")
+    return judged.select("metric", e9("point"), e9("bound"), "passed", "undefined", status.alias("status"))

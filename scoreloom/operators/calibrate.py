@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions.score import ratio, wilson_upper
 from scoreloom.operators.quality import kappa_of_moments, moments
+from scoreloom.operators.ranks import label_of, quantiles
 from scoreloom.plans.proxy import TOP
 
 
@@ -19,37 +20,50 @@ def pivot_agents(outputs: DataFrame, agents: list[str]) -> DataFrame:
     return per.where(whole).drop(*[f"{a}_n" for a in agents])
 
 
-def difficulty_scores(pivoted: DataFrame) -> DataFrame:
-    """Weighted difficulty in millionths of cheap error, mid error and disagreement, in integers throughout.
+def pivot_faults(outputs: DataFrame, agents: list[str]) -> DataFrame:
+    """(item_id, agent, fault): successful outputs that are missing or repeated for an item; empty if every item has one of each."""
+    held = outputs.where(F.col("agent").isin(agents)).groupBy("item_id").agg(*[F.count_if((F.col("agent") == a) & (F.col("status") == "success")).alias(a) for a in agents])
+    return held.unpivot("item_id", agents, "agent", "n").where("n <> 1").select("item_id", "agent", F.when(F.col("n") == 0, "missing").otherwise("duplicate").alias("fault"))
 
-    Errors and the spread are in units of the score range; the spread is the range of the three predictions, at most the whole.
+
+def difficulty_scores(rows: DataFrame, complexity: Column) -> DataFrame:
+    """Add the five signals and ``score``, 0.30 err_cheap + 0.30 err_mid + 0.25 disagreement + 0.15 complexity, in units of 1e-9.
+
+    Errors are over the score range, disagreement is the population deviation of the three predictions over it, at most 1; the
+    variance of the confidences is a signal only. Deviations are taken from whole numbers, 3 * sum of squares - square of the sum.
     """
-    err = lambda a: F.least(F.abs(F.col(f"{a}_pred") - F.col("gold")), F.lit(TOP).cast("long"))
-    preds = [F.col(f"{a}_pred") for a in ("cheap", "mid", "strong")]
-    spread = F.least(F.greatest(*preds) - F.least(*preds), F.lit(TOP).cast("long"))
-    return pivoted.withColumn("score", 35 * err("cheap") + 35 * err("mid") + 30 * spread)
+    err = lambda a: F.abs(F.col(f"{a}_pred") - F.col("gold")) / float(TOP)
+    spread = lambda c: 3 * sum((F.col(f"{a}_{c}") * F.col(f"{a}_{c}") for a in ("mid", "strong")), F.col(f"cheap_{c}") * F.col(f"cheap_{c}")) - (F.col(f"cheap_{c}") + F.col(f"mid_{c}") + F.col(f"strong_{c}")) * (F.col(f"cheap_{c}") + F.col(f"mid_{c}") + F.col(f"strong_{c}"))
+    signals = rows.withColumns({
+        "err_cheap": err("cheap"), "err_mid": err("mid"), "disagreement": F.least(F.lit(1.0), F.sqrt(spread("pred").cast("double")) / 3.0 / float(TOP)),
+        "complexity": complexity, "confidence_variance": spread("conf").cast("double") / 90000.0,
+    })
+    score = 0.30 * F.col("err_cheap") + 0.30 * F.col("err_mid") + 0.25 * F.col("disagreement") + 0.15 * F.col("complexity")
+    return signals.withColumn("score", F.floor(score * 1e9 + 0.5))
 
 
 def label_by_thresholds(scored: DataFrame, shares: list[float]) -> DataFrame:
     """Easy up to the first interpolated quantile, Medium up to the second, else Hard."""
-    cuts = scored.agg(F.percentile("score", F.array(*[F.lit(s) for s in shares])).alias("q"))
-    q = lambda i: F.col("q")[i]
-    label = F.when(F.col("score") <= q(0), "Easy").when(F.col("score") <= q(1), "Medium").otherwise("Hard")
-    return scored.crossJoin(F.broadcast(cuts)).withColumn("label", label).drop("q")  # one row of cuts
+    cuts = quantiles(scored.select("score"), "score", shares)
+    return scored.crossJoin(F.broadcast(cuts)).withColumn("label", label_of(F.col("score"), F.col("q"), ["Easy", "Medium", "Hard"])).drop("q")  # one row of cuts
 
 
 def capability_profiles(outputs: DataFrame, group: list[str], least: int) -> DataFrame:
-    """Quality, cost, calibration, failure and load of every agent in every group; errors over successes only."""
+    """Quality, cost, calibration, failure and load of every agent in every group. Means are over successes only; a group without
+    any has kappa 0, errors 1 and zeros."""
+    right = F.greatest(F.lit(0), TOP - F.col("units"))
+    of = lambda x: F.coalesce(F.sum(F.when(F.col("legal"), x)), F.lit(0))
     sums = outputs.groupBy("agent", *group).agg(
-        F.count("*").alias("n"), F.count_if(F.col("status") == "success").alias("ok"), F.sum(F.when(F.col("legal"), F.col("units"))).alias("units"), F.sum("cost").alias("cost"),
-        F.sum(F.when(F.col("legal"), 100 * TOP - F.abs(F.col("confidence") * TOP - 100 * (TOP - F.col("units"))))).alias("fit"), *moments(),
+        F.count("*").alias("n"), F.count_if("legal").alias("ok"), of(F.col("units")).alias("units"), of(F.col("cost")).alias("s_cost"), of(F.col("latency")).alias("s_latency"),
+        of(F.col("tokens")).alias("s_tokens"), of(100 * TOP - F.abs(F.col("confidence") * TOP - 100 * right)).alias("fit"), *moments(),
     )
-    total = F.sum("n").over(Window.partitionBy("agent"))
-    nmae = F.coalesce(ratio(F.col("units"), F.col("n_valid") * TOP), F.lit(1.0))
+    total = F.sum("n").over(Window.partitionBy("agent"))  # groups of an agent
+    mean = lambda x, whole=1: ratio(F.col(x), F.col("ok") * whole)
+    nmae, zero = F.coalesce(mean("units", TOP), F.lit(1.0)), F.lit(0.0)
     return sums.select(
-        "agent", *group, "n", nmae.alias("nmae"), F.coalesce(kappa_of_moments(), F.lit(0.0)).alias("qwk"), kappa_of_moments().isNotNull().alias("qwk_defined"),
-        ratio(F.col("cost"), F.col("n")).alias("mean_cost"), ratio(F.col("fit"), F.col("n_valid") * 100 * TOP).alias("calibration"), ratio(F.col("n") - F.col("ok"), F.col("n")).alias("failure_rate"),
-        (F.col("n") < least).alias("low_support"), ratio(F.col("n"), total).alias("load"),
+        "agent", *group, "n", "ok", F.coalesce(kappa_of_moments(), zero).alias("qwk"), kappa_of_moments().isNotNull().alias("qwk_defined"), F.coalesce(mean("units", 100), F.lit(1.0)).alias("mae"),
+        nmae.alias("nmae"), F.greatest(zero, 1 - nmae).alias("accuracy"), *[F.coalesce(mean(f"s_{c}"), zero).alias(c) for c in ("cost", "latency", "tokens")],
+        F.coalesce(mean("fit", 100 * TOP), zero).alias("calibration"), ratio(F.col("n") - F.col("ok"), F.col("n")).alias("failure_rate"), (F.col("n") < least).alias("low_support"), ratio(F.col("n"), total).alias("load"),
     )
 
 

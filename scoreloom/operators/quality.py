@@ -12,10 +12,12 @@ from scoreloom.plans.proxy import TOP
 def kappa(n: Column, t: Column, p: Column, tt: Column, pp: Column, tp: Column) -> Column:
     """Quadratic weighted kappa over fixed labels from sums: 1 - observed / expected; null if nothing can disagree.
 
-    Observed is (tt - 2 tp + pp) / n and expected tt / n + pp / n - 2 t p / n^2, so both are taken times n^2, in integers.
+    Observed is (tt - 2 tp + pp) / n and expected tt / n + pp / n - 2 t p / n^2, so both are taken times n^2, in integers of up
+    to 37 digits.
     """
-    observed = (tt + pp - 2 * tp) * n
-    expected = (tt + pp) * n - 2 * t * p
+    wide = lambda x: x.cast("decimal(18,0)")
+    observed = wide(tt + pp - 2 * tp) * wide(n)
+    expected = wide(tt + pp) * wide(n) - wide(2 * t) * wide(p)
     return F.when(expected > 0, 1.0 - observed.cast("double") / expected.cast("double"))
 
 
@@ -77,9 +79,14 @@ def plain_errors(judged: DataFrame) -> DataFrame:
     return judged.where("legal").groupBy("dataset").agg(n.alias("n"), ratio(F.sum(F.abs(d)), n).alias("mae"), F.sqrt(ratio(F.sum(d * d), n)).alias("rmse"), ratio(F.count_if(F.abs(d) <= 1), n).alias("within_1"))
 
 
+#: Counts of legal predictions by bin of the gold score.
+GOLD_BINS = [f"g{b}" for b in range(11)]
+
+
 def paper_statistics(judged: DataFrame) -> DataFrame:
-    """Mergeable sums per paper and dataset: all that a resampling of papers needs."""
+    """Mergeable sums per paper and dataset: all that a resampling of papers needs, readiness of kappa included."""
     severe = F.col("units") * 4 > TOP
+    gold = [F.count_if(F.col("legal") & (F.col("gb") == b)).alias(name) for b, name in enumerate(GOLD_BINS)]
     return judged.groupBy("paper_id", "dataset").agg(
-        F.count("*").alias("n"), F.sum("units").alias("units"), F.count_if(severe).alias("severe"), F.count_if("stop").alias("stops"), F.count_if(F.col("stop") & severe).alias("unsafe"), *moments()
+        F.count("*").alias("n"), F.sum("units").alias("units"), F.count_if(severe).alias("severe"), F.count_if("stop").alias("stops"), F.count_if(F.col("stop") & severe).alias("unsafe"), *moments(), *gold
     )

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.functions import score, text
-from scoreloom.operators import assemble, calibrate, select
-from scoreloom.plans.proxy import AGENTS_SQL, RECORDS_SQL, TOP, agent_outputs, judged, score_records, table
+from scoreloom.operators import assemble, calibrate, ranks, select
+from scoreloom.plans.proxy import AGENTS_SQL, RECORDS_SQL, TOP, agent_columns, agent_outputs, judged, score_records, table
 
 AGENTS = ["cheap", "mid", "strong"]
 BUDGETS = ["Tight", "Medium", "Loose"]
@@ -22,8 +22,15 @@ def agent_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def difficulty_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = calibrate.difficulty_scores(agent_pivot(spark, sf_dir)).select("item_id", "dataset", "score")
-    return calibrate.label_by_thresholds(scored, [1 / 3, 2 / 3])
+    """Items whose three agents all succeeded, scored and labelled by the tertiles of their scores."""
+    complexity = text.static_complexity(F.col("item_id"), F.concat_ws(" = ", "item_id", "dataset"), F.lit(""), F.col("dataset"), F.col("dataset") == "A")
+    scored = calibrate.difficulty_scores(agent_columns(spark, sf_dir).where("status = 'success'"), complexity)
+    nano = lambda c: F.floor(F.col(c) * 1e9 + 0.5).alias(f"{c}_e9")
+    return calibrate.label_by_thresholds(scored.select("item_id", "dataset", "score", nano("disagreement"), nano("complexity"), nano("confidence_variance")), [1 / 3, 2 / 3])
+
+
+def pivot_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibrate.pivot_faults(agent_outputs(spark, sf_dir), AGENTS)
 
 
 def difficulty_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,8 +38,10 @@ def difficulty_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capability_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _unique_outputs(spark, sf_dir).withColumn("kind", F.when(F.col("stop"), "closed").otherwise("open"))
-    return calibrate.capability_profiles(out, ["dataset", "kind"], 100)
+    """By agent, dataset, kind of question and difficulty."""
+    labels = difficulty_labels(spark, sf_dir).select("item_id", "label")
+    out = _unique_outputs(spark, sf_dir).withColumns({"kind": F.when(F.col("stop"), "closed").otherwise("open"), "latency": F.col("cost") % 977, "tokens": F.col("cost") % 1999})
+    return calibrate.capability_profiles(out.join(labels, "item_id"), ["dataset", "kind", "label"], 30)
 
 
 def support_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,17 +123,11 @@ def latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def journal_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the first half win over the journal of the second half."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
-    first = assemble.latest(e.where("event_id % 2 = 0 and user_id % 3 <> 0"), ["user_id"], [F.col("ts"), F.col("event_id")])
-    return assemble.recover(first, e.where("event_id % 2 = 1"), ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id")
-
-
-def journal_recovery_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``journal_recovery`` with all users in the first half."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
-    first = assemble.latest(e.where("event_id % 2 = 0"), ["user_id"], [F.col("ts"), F.col("event_id")])
-    return assemble.recover(first, e.where("event_id % 2 = 1"), ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id")
+    """What was bought wins over the journal of everything else, per user."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
+    order = [F.col("ts"), F.col("event_id")]
+    bought = assemble.latest(e.where("event_type = 'purchase'"), ["user_id"], order)
+    return assemble.recover(bought, e.where("event_type <> 'purchase'"), ["user_id"], order).select("user_id", "event_id", "event_type")
 
 
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,15 +144,14 @@ def topk_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deterministic_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Halves of each segment's customers in hash order (the cut of an odd number is rounded to even)."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", text.stable_hash(F.lit("p"), F.col("c_custkey")).alias("h"))
-    w = Window.partitionBy("c_mktsegment")
-    r = c.withColumn("r", F.row_number().over(w.orderBy("h"))).withColumn("cut", F.bround(F.count("*").over(w) / 2, 0))
-    return r.select("c_custkey", "c_mktsegment", F.when(F.col("r") <= F.col("cut"), "select").otherwise("confirm").alias("part"))
+    r = ranks.hash_ranks(c, "c_mktsegment", "h", ["c_custkey"]).withColumn("cut", F.bround(F.col("total") / 2, 0))
+    return r.select("c_custkey", "c_mktsegment", F.when(F.col("rank") <= F.col("cut"), "select").otherwise("confirm").alias("part"))
 
 
 def paper_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Papers of five documents per language, numbered."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", text.stable_hash(F.lit("c"), F.col("doc_id")).alias("h"))
-    c = assemble.chunks(d, "lang", ["h", "doc_id"], 5)
+    c = assemble.chunks(d, "lang", "h", ["doc_id"], 5)
     return c.select("doc_id", F.format_string("paper_%s_%05d", "lang", F.col("chunk").cast("long")).alias("paper_id"), "position")
 
 
@@ -157,8 +159,9 @@ def quota_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Papers of two English, two French and one German document while all three last."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("lang").alias("dataset")).where("dataset in ('en', 'fr', 'de')")
     need = spark.createDataFrame([("en", 2), ("fr", 2), ("de", 1)], "dataset string, want long")
-    have = d.groupBy("dataset").agg(F.count("*").alias("n"))
-    papers = need.join(have, "dataset").agg(F.min(F.floor(F.col("n") / F.col("want"))).alias("m")).select(F.explode(F.sequence(F.lit(1).cast("long"), "m")).alias("paper"))
+    have = {r.dataset: r.n for r in d.groupBy("dataset").agg(F.count("*").alias("n")).collect()}  # three numbers
+    (most,) = assemble.best_quota_counts(have, [{"en": 2, "fr": 2, "de": 1}])
+    papers = spark.range(1, most + 1).withColumnRenamed("id", "paper")
     return assemble.fill_quotas(d, papers.crossJoin(F.broadcast(need)), "7")  # three quota rows
 
 
@@ -213,8 +216,8 @@ def lookup_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        agent_pivot, difficulty_labels, difficulty_distribution, capability_profile, support_boundary, budget_tiers, stop_boundary, stop_curve, fixture_predictor, stop_risk, pilot_summary, weighted_opinion,
-        oracle_agent, select_threshold, pareto_contexts, latest_wins, journal_recovery, journal_recovery_all, stratified_sample, topk_papers, deterministic_partition, paper_chunks, quota_assembly, cache_coverage, evaluations,
+        agent_pivot, pivot_faults, difficulty_labels, difficulty_distribution, capability_profile, support_boundary, budget_tiers, stop_boundary, stop_curve, fixture_predictor, stop_risk, pilot_summary, weighted_opinion,
+        oracle_agent, select_threshold, pareto_contexts, latest_wins, journal_recovery, stratified_sample, topk_papers, deterministic_partition, paper_chunks, quota_assembly, cache_coverage, evaluations,
         reference_policy, select_package, simulate_policy, lookup_joins,
     )
 }
@@ -225,8 +228,13 @@ _SEEN = f"""seen AS (SELECT *, CASE WHEN legal THEN abs(pred - gold) ELSE {TOP}
 _PIVOT = """piv AS (SELECT item_id, dataset, gold, min(pred) FILTER (agent = 'cheap') AS cheap_pred, min(confidence) FILTER (agent = 'cheap') AS cheap_conf, min(pred) FILTER (agent = 'mid') AS mid_pred,
   min(confidence) FILTER (agent = 'mid') AS mid_conf, min(pred) FILTER (agent = 'strong') AS strong_pred, min(confidence) FILTER (agent = 'strong') AS strong_conf
   FROM agents GROUP BY item_id, dataset, gold HAVING count(*) FILTER (agent = 'cheap') = 1 AND count(*) FILTER (agent = 'mid') = 1 AND count(*) FILTER (agent = 'strong') = 1)"""
-_SCORE = f"""scored AS (SELECT item_id, dataset, 35 * least(abs(cheap_pred - gold), {TOP}) + 35 * least(abs(mid_pred - gold), {TOP})
-  + 30 * least(greatest(cheap_pred, mid_pred, strong_pred) - least(cheap_pred, mid_pred, strong_pred), {TOP}) AS score FROM piv),
+_SPREAD = "3 * (cheap_{0} * cheap_{0} + mid_{0} * mid_{0} + strong_{0} * strong_{0}) - (cheap_{0} + mid_{0} + strong_{0}) * (cheap_{0} + mid_{0} + strong_{0})"
+_SCORE = f"""good AS (SELECT *, concat_ws(' = ', item_id, dataset) AS answer FROM (SELECT * FROM piv WHERE item_id NOT IN (SELECT item_id FROM agents WHERE status <> 'success'))),
+words AS (SELECT *, string_split(lower(answer), ' ') AS w FROM good),
+signals AS (SELECT *, least(1.0::DOUBLE, sqrt(({_SPREAD.format("pred")})::DOUBLE) / 3.0::DOUBLE / {TOP}.0::DOUBLE) AS disagreement, ({_SPREAD.format("conf")})::DOUBLE / 90000.0::DOUBLE AS confidence_variance,
+  0.15::DOUBLE * least(1.0::DOUBLE, length(item_id) / 600.0::DOUBLE) + 0.35::DOUBLE * least(1.0::DOUBLE, length(answer) / 1800.0::DOUBLE) + 0.15::DOUBLE * 0 + 0.10::DOUBLE * least(1.0::DOUBLE, length(dataset) / 900.0::DOUBLE)
+  + 0.10::DOUBLE * (len(list_distinct(w)) / greatest(1, len(w))::DOUBLE) + 0.05::DOUBLE * (1 / 5.0::DOUBLE) + 0.10::DOUBLE * CASE WHEN dataset = 'A' THEN 1.0 ELSE 0.0 END AS complexity FROM words),
+scored AS (SELECT *, floor((0.30::DOUBLE * (abs(cheap_pred - gold) / {TOP}.0::DOUBLE) + 0.30::DOUBLE * (abs(mid_pred - gold) / {TOP}.0::DOUBLE) + 0.25::DOUBLE * disagreement + 0.15::DOUBLE * complexity) * 1e9::DOUBLE + 0.5)::BIGINT AS score FROM signals),
 labelled AS (SELECT *, CASE WHEN score <= (SELECT quantile_cont(score, 1.0::DOUBLE / 3) FROM scored) THEN 'Easy' WHEN score <= (SELECT quantile_cont(score, 2.0::DOUBLE / 3) FROM scored) THEN 'Medium' ELSE 'Hard' END AS label FROM scored)"""
 _RISK = f"""risks AS (SELECT dataset, (cost % 10007)::DOUBLE / 10007 AS risk, units * 4 > {TOP} AND cost % 10007 > 3000 AS unsafe FROM judged WHERE legal),
 steps AS (SELECT risk, dataset, count(*) AS s, count(*) FILTER (unsafe) AS u FROM risks GROUP BY ALL),
@@ -241,13 +249,18 @@ ev AS (SELECT package, budget, max(floor(severe * 1000000 / n::DOUBLE))::BIGINT
 evals AS (SELECT *, cost::DOUBLE / calls::DOUBLE < CASE WHEN budget = 'Tight' THEN 60000 ELSE 120000 END AS feasible FROM ev)"""
 ORACLES = {
     "agent_pivot": f"{_J}, {_PIVOT} SELECT * FROM piv",
-    "difficulty_labels": f"{_J}, {_PIVOT}, {_SCORE} SELECT item_id, dataset, score, label FROM labelled",
+    "pivot_faults": f"""{_J}, h AS (SELECT item_id, agent, count(*) FILTER (status = 'success') AS n FROM agents GROUP BY ALL)
+        SELECT item_id, agent, CASE WHEN n = 0 THEN 'missing' ELSE 'duplicate' END AS fault FROM h WHERE n <> 1""",
+    "difficulty_labels": f"""{_J}, {_PIVOT}, {_SCORE} SELECT item_id, dataset, score, {", ".join(f"floor({c} * 1e9::DOUBLE + 0.5)::BIGINT AS {c}_e9" for c in ("disagreement", "complexity", "confidence_variance"))}, label FROM labelled""",
     "difficulty_distribution": f"{_J}, {_PIVOT}, {_SCORE} SELECT label, count(*) AS n, min(score) AS lo, max(score) AS hi, sum(score)::DOUBLE / count(*)::DOUBLE AS mean FROM labelled GROUP BY label",
-    "capability_profile": f"""{_J}, {_SEEN}, g AS (SELECT agent, dataset, CASE WHEN stop THEN 'closed' ELSE 'open' END AS kind, count(*) AS n, count(*) FILTER (status = 'success') AS ok, sum(units) FILTER (legal) AS units, sum(cost) AS cost,
-        sum(100 * {TOP} - abs(confidence * {TOP} - 100 * ({TOP} - units))) FILTER (legal) AS fit, count(*) FILTER (legal) AS v, sum(gb)::BIGINT AS st, sum(pb)::BIGINT AS sp, sum(gb * gb)::BIGINT AS stt, sum(pb * pb)::BIGINT AS spp, sum(gb * pb)::BIGINT AS stp
-        FROM seen GROUP BY ALL), q AS (SELECT *, CASE WHEN (stt + spp) * v - 2 * st * sp > 0 THEN 1.0 - ((stt + spp - 2 * stp) * v)::DOUBLE / ((stt + spp) * v - 2 * st * sp)::DOUBLE END AS k FROM g)
-        SELECT agent, dataset, kind, n, coalesce(units::DOUBLE / nullif(v * {TOP}, 0)::DOUBLE, 1.0) AS nmae, coalesce(k, 0.0::DOUBLE) AS qwk, k IS NOT NULL AS qwk_defined, cost::DOUBLE / n::DOUBLE AS mean_cost,
-               fit::DOUBLE / nullif(v * 100 * {TOP}, 0)::DOUBLE AS calibration, (n - ok)::DOUBLE / n::DOUBLE AS failure_rate, n < 100 AS low_support, n::DOUBLE / (sum(n) OVER (PARTITION BY agent))::DOUBLE AS load FROM q""",
+    "capability_profile": f"""{_J}, {_SEEN}, {_PIVOT}, {_SCORE}, g AS (SELECT agent, seen.dataset, CASE WHEN stop THEN 'closed' ELSE 'open' END AS kind, label, count(*) AS n, count(*) FILTER (legal) AS v, coalesce(sum(units) FILTER (legal), 0) AS units,
+          coalesce(sum(cost) FILTER (legal), 0) AS cost, coalesce(sum(cost % 977) FILTER (legal), 0) AS latency, coalesce(sum(cost % 1999) FILTER (legal), 0) AS tokens,
+          coalesce(sum(100 * {TOP} - abs(confidence * {TOP} - 100 * greatest(0, {TOP} - units))) FILTER (legal), 0) AS fit, sum(gb)::BIGINT AS st, sum(pb)::BIGINT AS sp, sum(gb * gb)::BIGINT AS stt, sum(pb * pb)::BIGINT AS spp, sum(gb * pb)::BIGINT AS stp
+          FROM seen JOIN labelled USING (item_id) GROUP BY ALL),
+        q AS (SELECT *, CASE WHEN (stt + spp) * v - 2 * st * sp > 0 THEN 1.0 - ((stt + spp - 2 * stp) * v)::DOUBLE / ((stt + spp) * v - 2 * st * sp)::DOUBLE END AS k, coalesce(units::DOUBLE / nullif(v * {TOP}, 0)::DOUBLE, 1.0::DOUBLE) AS e FROM g)
+        SELECT agent, dataset, kind, label, n, v AS ok, coalesce(k, 0.0::DOUBLE) AS qwk, k IS NOT NULL AS qwk_defined, coalesce(units::DOUBLE / nullif(v * 100, 0)::DOUBLE, 1.0::DOUBLE) AS mae, e AS nmae, greatest(0.0::DOUBLE, 1 - e) AS accuracy,
+          {", ".join(f"coalesce({c}::DOUBLE / nullif(v, 0)::DOUBLE, 0.0::DOUBLE) AS {c}" for c in ("cost", "latency", "tokens"))}, coalesce(fit::DOUBLE / nullif(v * 100 * {TOP}, 0)::DOUBLE, 0.0::DOUBLE) AS calibration,
+          (n - v)::DOUBLE / n::DOUBLE AS failure_rate, n < 30 AS low_support, n::DOUBLE / (sum(n) OVER (PARTITION BY agent))::DOUBLE AS load FROM q""",
     "support_boundary": f"WITH {RECORDS_SQL}, c AS (SELECT dataset, d, count(*) AS n FROM records GROUP BY ALL) SELECT quantile_disc(n, 0.1)::BIGINT AS boundary, count(*) AS groups, 1.0 / sqrt(quantile_disc(n, 0.1)::DOUBLE) AS uncertainty FROM c",
     "budget_tiers": """WITH t AS (SELECT event_type, user_id, sum(floor(value * 100)::BIGINT)::BIGINT AS cost, count(*) AS agent_calls FROM events GROUP BY ALL)
         SELECT b AS budget, CASE b WHEN 'Tight' THEN quantile_disc(cost, 0.25) WHEN 'Medium' THEN quantile_disc(cost, 0.5) ELSE quantile_disc(cost, 0.75) END AS cost,
@@ -276,10 +289,8 @@ ORACLES = {
     "pareto_contexts": """WITH p AS (SELECT p_partkey, p_brand, round(p_retailprice * 100)::BIGINT AS price, p_size::BIGINT AS size FROM part)
         SELECT p_brand, p_partkey, price, size FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.p_brand = a.p_brand AND b.price <= a.price AND b.size <= a.size AND (b.price < a.price OR b.size < a.size))""",
     "latest_wins": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
-    "journal_recovery": """WITH r AS (SELECT user_id, event_id, event_id % 2 AS j, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_id % 2 = 1 OR user_id % 3 <> 0)
-        SELECT user_id, event_id FROM r a WHERE r = 1 AND (j = 0 OR NOT EXISTS (SELECT 1 FROM r b WHERE b.j = 0 AND b.user_id = a.user_id))""",
-    "journal_recovery_all": """WITH r AS (SELECT user_id, event_id, event_id % 2 AS j, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts DESC, event_id DESC) AS r FROM events)
-        SELECT user_id, event_id FROM r a WHERE r = 1 AND (j = 0 OR NOT EXISTS (SELECT 1 FROM r b WHERE b.j = 0 AND b.user_id = a.user_id))""",
+    "journal_recovery": """WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'purchase' DESC, ts DESC, event_id DESC) AS r FROM events)
+        SELECT user_id, event_id, event_type FROM r WHERE r = 1""",
     "stratified_sample": """WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('seed' || chr(31) || doc_id)) AS turn FROM documents) SELECT doc_id, lang, turn FROM r ORDER BY turn, lang LIMIT 50""",
     "topk_papers": "SELECT o_orderkey, sha256('pilot' || chr(31) || o_orderkey) AS h FROM orders ORDER BY h, o_orderkey LIMIT 25",
     "deterministic_partition": """WITH r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('p' || chr(31) || c_custkey)) AS r, round_even(count(*) OVER (PARTITION BY c_mktsegment) / 2, 0) AS cut FROM customer)

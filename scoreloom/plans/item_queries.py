@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.functions import score, text
@@ -20,20 +20,31 @@ def text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalize_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aliases resolved, texts normalised, identifiers and group hashes derived."""
-    i = text_items(spark, sf_dir)
-    answer = text.first_present(i.columns, text.ALIASES["student_answer"])
-    group = text.first_present(i.columns, text.ALIASES["prompt_group"], "none")
-    return i.select(
-        "item_id", text.stable_id(F.col("dataset"), F.lit(None).cast("string"), group, answer).alias("stable_id"), F.md5(text.normalize_text(answer).cast("binary")).alias("normalized_md5"),
-        text.group_hash(group).alias("group_hash"), F.length(answer).cast("long").alias("answer_length"),
+    """Records under other names: aliases in their order, texts trimmed, defaults, identifiers, group hashes and derived lengths.
+
+    A document is a record with the fields response (its text), question (its first line), question_id (null for every fifth
+    length), id (empty for documents without a label), domain1_score and min_score; max_score and rubric are missing."""
+    d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    r = d.join(labels, "doc_id", "left").select(
+        F.col("doc_id").alias("row"), F.col("lang").alias("dataset"), F.col("text").alias("response"), F.split("text", "\n")[0].alias("question"),
+        F.when(F.col("n_chars") % 5 > 0, F.col("source")).alias("question_id"), F.when(F.col("quality").isNull(), "").otherwise(F.col("doc_id").cast("string")).alias("id"),
+        F.col("quality").cast("double").alias("domain1_score"), F.lit(0.0).alias("min_score"),
+    )
+    pick = lambda name, default=None: text.first_present(r.columns, text.ALIASES[name], default)
+    prompt, answer, rubric = F.trim(pick("prompt", "")), F.trim(pick("student_answer", "")), pick("rubric", "score by the rules of the dataset")
+    group = F.trim(F.coalesce(pick("prompt_group"), F.substring(prompt, 1, 80)))
+    low, high = pick("score_min", 0.0).cast("double"), pick("score_max", 1.0).cast("double")
+    fault = F.when(~(high > low), "score_range").when(pick("gold_score").isNull(), "gold_score").when(~pick("gold_score").between(low, high), "gold_range")
+    return r.select(
+        "row", text.stable_id(F.col("dataset"), F.trim(pick("item_id", "")), group, answer).alias("item_id"), F.md5(text.normalize_text(answer).cast("binary")).alias("normalized_md5"),
+        text.group_hash(group).alias("group_hash"), F.length(prompt).cast("long").alias("prompt_length"), F.length(answer).cast("long").alias("answer_length"), F.length(rubric).cast("long").alias("rubric_length"),
+        pick("gold_score").alias("gold_score"), low.alias("score_min"), high.alias("score_max"), (F.trim(pick("reference_answer", "")) != "").alias("has_reference"), fault.alias("fault"),
     )
 
 
 def static_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = text_items(spark, sf_dir)
-    lines = F.size(F.split("answer", "\n"))
-    c = text.static_complexity(F.col("prompt_group"), F.col("answer"), F.lit(""), F.col("dataset"), F.col("dataset") == "en", lines)
+    c = text.static_complexity(F.col("prompt_group"), F.col("answer"), F.lit(""), F.col("dataset"), F.col("dataset") == "en")
     return i.select("item_id", F.floor(c * 1_000_000 + 0.5).alias("complexity_millionths"))
 
 
@@ -51,7 +62,8 @@ def cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def placeholder_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = text_items(spark, sf_dir)
-    return i.groupBy("dataset").agg(F.count_if(text.is_placeholder(F.col("answer"))).alias("placeholders"), F.count_if(F.col("answer").rlike(r"(?i)license")).alias("licensed"))
+    marked = F.concat_ws(" ", "answer", F.when(F.col("n_chars") % 7 == 0, "see  Data_Set_Descriptions.zip").when(F.col("n_chars") % 7 == 1, "TBD").when(F.col("n_chars") % 7 == 2, "todo"))
+    return i.groupBy("dataset").agg(F.count_if(text.is_placeholder(F.col("answer"))).alias("placeholders"), F.count_if(text.is_placeholder(marked)).alias("marked"), F.count_if(F.col("answer").rlike(r"(?i)license")).alias("licensed"))
 
 
 def api_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,9 +138,8 @@ def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_all_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records whose id repeats are all quarantined; the others are kept."""
-    w = Window.partitionBy("l_orderkey", "l_linenumber")
-    line = table(spark, sf_dir, "lineitem").withColumn("copies", F.count("*").over(w))
-    return line.groupBy(F.when(F.col("copies") > 1, "duplicate_record_id").otherwise("accepted").alias("reason")).agg(F.count("*").alias("records"))
+    keys = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("copies"))
+    return keys.groupBy(F.when(F.col("copies") > 1, "duplicate_record_id").otherwise("accepted").alias("reason")).agg(F.sum("copies").alias("records"))
 
 
 def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,6 +197,11 @@ _ITEMS = """items AS (
          CASE WHEN d.doc_id % 10 < 7 THEN 'train' WHEN d.doc_id % 10 < 8 THEN 'dev' ELSE 'test' END AS split
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 )"""
+def _placeholders(c: str) -> str:
+    tests = [rf"regexp_matches({c}, '{p}', 'i')" for p in (r"see\s+data_set_descriptions\.zip", r"see\s+training_materials\.zip", r"\bplaceholder(\s+text)?\b")]
+    return f"count(*) FILTER ({' OR '.join(tests)} OR {c} IS NULL OR regexp_matches({c}, '" + r"\b(TODO|TBD)\b" + "'))"
+
+
 _NORMAL = r"trim(regexp_replace(lower(answer), '[\s\x0B\x85\p{Z}]+', ' ', 'g'))"
 
 QUERIES = {
@@ -196,17 +212,22 @@ QUERIES = {
     )
 }
 ORACLES = {
-    "normalize_items": f"""WITH {_ITEMS} SELECT item_id, dataset || '_' || substr(sha1(concat_ws(chr(10), dataset, prompt_group, answer)), 1, 16) AS stable_id, md5({_NORMAL}) AS normalized_md5,
-        substr(sha256(trim(lower(prompt_group))), 1, 20) AS group_hash, length(answer)::BIGINT AS answer_length FROM items""",
+    "normalize_items": rf"""WITH r AS (SELECT d.doc_id AS row, lang AS dataset, trim(text) AS answer, trim(split_part(text, chr(10), 1)) AS prompt, CASE WHEN n_chars % 5 > 0 THEN source END AS question_id,
+          CASE WHEN quality IS NULL THEN '' ELSE d.doc_id::VARCHAR END AS id, quality::DOUBLE AS gold_score FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+        g AS (SELECT *, trim(coalesce(question_id, substr(prompt, 1, 80))) AS grp FROM r)
+        SELECT row, dataset || '_' || CASE WHEN id <> '' THEN id ELSE substr(sha1(concat_ws(chr(10), dataset, grp, answer)), 1, 16) END AS item_id, md5({_NORMAL}) AS normalized_md5,
+        substr(sha256({_NORMAL.replace("answer", "grp")}), 1, 20) AS group_hash, length(prompt)::BIGINT AS prompt_length, length(answer)::BIGINT AS answer_length, 33::BIGINT AS rubric_length, gold_score,
+        0.0::DOUBLE AS score_min, 1.0::DOUBLE AS score_max, false AS has_reference, CASE WHEN gold_score IS NULL THEN 'gold_score' WHEN gold_score NOT BETWEEN 0 AND 1 THEN 'gold_range' END AS fault FROM g""",
     "static_complexity": rf"""WITH {_ITEMS}, w AS (SELECT *, list_filter(regexp_split_to_array(lower(answer), '[\s\x0B\x85\p{{Z}}]+'), lambda x: x <> '') AS words FROM items)
         SELECT item_id, floor((0.15::DOUBLE * least(1.0::DOUBLE, length(prompt_group) / 600.0::DOUBLE) + 0.35::DOUBLE * least(1.0::DOUBLE, length(answer) / 1800.0::DOUBLE) + 0.15::DOUBLE * 0
-            + 0.10::DOUBLE * least(1.0::DOUBLE, length(dataset) / 900.0::DOUBLE) + 0.10::DOUBLE * CASE WHEN len(words) > 0 THEN len(list_distinct(words)) / len(words)::DOUBLE ELSE 0 END
-            + 0.05::DOUBLE * least(1.0::DOUBLE, len(string_split(answer, chr(10))) / 5.0::DOUBLE) + 0.10::DOUBLE * CASE WHEN dataset = 'en' THEN 1.0 ELSE 0.0 END) * 1000000 + 0.5)::BIGINT AS complexity_millionths FROM w""",
+            + 0.10::DOUBLE * least(1.0::DOUBLE, length(dataset) / 900.0::DOUBLE) + 0.10::DOUBLE * (len(list_distinct(words)) / greatest(1, len(words))::DOUBLE)
+            + 0.05::DOUBLE * ((contains(answer, chr(10))::INT + contains(answer, '=')::INT + contains(answer, '{{')::INT + contains(answer, '}}')::INT + contains(answer, '```')::INT) / 5.0::DOUBLE)
+            + 0.10::DOUBLE * CASE WHEN dataset = 'en' THEN 1.0 ELSE 0.0 END) * 1000000 + 0.5)::BIGINT AS complexity_millionths FROM w""",
     "stable_unit": f"""WITH {_ITEMS} SELECT item_id, ('0x' || substr(sha256(dataset || ':' || item_id), 1, 16))::UBIGINT::DOUBLE / 1.8446744073709552e19 AS unit,
         sha256(concat_ws(chr(31), dataset, item_id, split)) AS hash FROM items""",
     "cache_key": f"WITH {_ITEMS} SELECT item_id, sha256(concat_ws(chr(31), item_id, 'cheap', 'run1', split, 'fixture', 'model-1', 'v1', sha256(answer), 'schema1')) AS cache_key FROM items",
-    "placeholder_filter": rf"""WITH {_ITEMS} SELECT dataset, count(*) FILTER (answer IS NULL OR regexp_matches(answer, '^\s*(todo|tbd|n/?a|none|null)\s*$', 'i') OR regexp_matches(answer, 'lorem ipsum', 'i')
-        OR regexp_matches(answer, '\bplaceholder\b', 'i') OR regexp_matches(answer, '^\s*$')) AS placeholders, count(*) FILTER (regexp_matches(answer, 'license', 'i')) AS licensed FROM items GROUP BY dataset""",
+    "placeholder_filter": rf"""WITH {_ITEMS}, m AS (SELECT *, concat_ws(' ', answer, CASE n_chars % 7 WHEN 0 THEN 'see  Data_Set_Descriptions.zip' WHEN 1 THEN 'TBD' WHEN 2 THEN 'todo' END) AS marked FROM items)
+        SELECT dataset, {_placeholders("answer")} AS placeholders, {_placeholders("marked")} AS marked, count(*) FILTER (regexp_matches(answer, 'license', 'i')) AS licensed FROM m GROUP BY dataset""",
     "api_cost": """WITH c AS (SELECT conv_id, turn, 'm-a-b' || CASE WHEN turn % 2 = 0 THEN '-20260101' ELSE '' END AS model, length(text) * 400 AS i, length(text) // 2 AS k, turn AS w, length(role) AS o FROM conversations)
         SELECT conv_id, turn, model, floor(((CASE WHEN i > 272000 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END) * ((i - k - w) * 2.0::DOUBLE + k * 0.5::DOUBLE + w * 2.5::DOUBLE)
             + (CASE WHEN i > 272000 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END) * o * 8.0::DOUBLE) / 1e6::DOUBLE * 1e6::DOUBLE + 0.5)::BIGINT AS cost_millionths FROM c""",

@@ -58,6 +58,15 @@ def agent_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("paper_id", "item_id", "dataset", "gold", "status", "stop", F.explode(agents).alias("a")).select("paper_id", "item_id", "dataset", "gold", "status", "stop", "a.agent", F.col("a.p").alias("pred"), F.col("a.conf").alias("confidence"), F.col("a.price").alias("cost"))
 
 
+def agent_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same outputs with the agents side by side, for items that occur once: one shuffle, no explosion."""
+    r = score_records(spark, sf_dir)
+    one = r.groupBy("item_id").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("dataset", "gold", "status", "d", "x")]).where("n = 1")
+    d, x, gold = F.col("d"), F.col("x"), F.col("gold")
+    values = {"cheap_pred": gold + (d - 5) * 300, "cheap_conf": 50 + d, "mid_pred": gold + (x - 4) * 200, "mid_conf": 60 + x, "strong_pred": gold + (d - x) * 50, "strong_conf": 70 + d + x}
+    return one.select("item_id", "dataset", "gold", "status", *[v.alias(k) for k, v in values.items()])
+
+
 AGENTS_SQL = """agents AS (
   SELECT paper_id, item_id, dataset, gold, status, stop, 'cheap' AS agent, gold + (d - 5) * 300 AS pred, 50 + d AS confidence, cost // 1000 AS cost FROM records
   UNION ALL SELECT paper_id, item_id, dataset, gold, status, stop, 'mid', gold + (x - 4) * 200, 60 + x, cost // 200 FROM records

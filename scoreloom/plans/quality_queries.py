@@ -76,35 +76,33 @@ def paper_suffstats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _arms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Candidate and comparator over the first papers: the same records, the candidate's predictions half as far off."""
-    r = score_records(spark, sf_dir).where("paper_id % 50 = 0").dropDuplicates(["item_id"])
-    better = r.withColumn("pred", F.col("gold") + (F.col("d") - 5) * 200)
-    return judged(better), judged(r)
+    """Candidate and comparator over all papers: the same records, the candidate's predictions half as far off; of records that
+    repeat an item the smallest counts."""
+    r = score_records(spark, sf_dir)
+    r = r.groupBy("item_id").agg(F.min(F.struct(*_RECORD)).alias("r")).select("item_id", "r.*")
+    return judged(r.withColumn("pred", F.col("gold") + (F.col("d") - 5) * 200)), judged(r)
 
 
 def paired_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrap.paired_delta(*_arms(spark, sf_dir))
 
 
-def bootstrap_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bootstrap.gate(*_arms(spark, sf_dir), replicates=200)
-
-
-def _all_arms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The same arms over all papers; of records that repeat an item the smallest counts."""
+def unpaired_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that break pairing, with all copies of an item in one arm and one of each, changed where stopped, in the other."""
     r = score_records(spark, sf_dir)
-    r = r.groupBy("item_id").agg(F.min(F.struct(*_RECORD)).alias("r")).select("item_id", "r.*")
-    return judged(r.withColumn("pred", F.col("gold") + (F.col("d") - 5) * 200)), judged(r)
+    one = r.groupBy("item_id").agg(F.min(F.struct(*_RECORD)).alias("r")).select("item_id", "r.*").where("x <> 3")
+    return bootstrap.unpaired(r, one.withColumn("gold", F.col("gold") + F.when(F.col("d") == 10, 1).otherwise(0)), ["paper_id", "item_id", "dataset"], ["gold"])
 
 
-def paired_delta_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``paired_delta`` over all papers."""
-    return bootstrap.paired_delta(*_all_arms(spark, sf_dir))
+def bootstrap_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four changes of 100 replicates over all papers, and of the papers as they are, in units of 1e-9."""
+    deltas = bootstrap.replicate_deltas(*_arms(spark, sf_dir), 100, ["A", "N", "R"])
+    return deltas.select("replicate", *[F.floor(F.col(m) * 1e9 + 0.5).alias(f"{m}_e9") for m in bootstrap.METRICS])
 
 
-def bootstrap_gate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``bootstrap_gate`` over all papers, with the protocol's 5,000 replicates."""
-    return bootstrap.gate(*_all_arms(spark, sf_dir), replicates=5000)
+def bootstrap_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate over all papers with the protocol's 5,000 replicates."""
+    return bootstrap.gate(*_arms(spark, sf_dir), 5000, ["A", "N", "R"])
 
 
 _RECORD = ["paper_id", "dataset", "gold", "d", "x", "cost", "stop", "status", "pred"]
@@ -123,16 +121,22 @@ _BY_DATASET = f"""by_dataset AS (
            sum(pb * pb)::BIGINT AS spp, sum(gb * pb)::BIGINT AS stp
     FROM judged GROUP BY dataset) s USING (dataset)
 )"""
-_ARMS = f"""WITH {RECORDS_SQL}, half AS (SELECT DISTINCT ON (item_id) * FROM records WHERE paper_id % 50 = 0),
-arms AS (SELECT 'candidate' AS arm, * REPLACE (gold + (d - 5) * 200 AS pred) FROM half UNION ALL SELECT 'comparator', * FROM half),
+_ARMS = f"""WITH {RECORDS_SQL}, whole AS (SELECT DISTINCT ON (item_id) * FROM records ORDER BY item_id, {", ".join(_RECORD)}),
+arms AS (SELECT 'a' AS arm, * REPLACE (gold + (d - 5) * 200 AS pred) FROM whole UNION ALL SELECT 'b', * FROM whole),
 seen AS (
   SELECT *, CASE WHEN legal THEN abs(pred - gold) ELSE {TOP} END AS units, CASE WHEN legal THEN (20 * gold + {TOP}) // {2 * TOP} END AS gb, CASE WHEN legal THEN (20 * pred + {TOP}) // {2 * TOP} END AS pb
   FROM (SELECT *, status = 'success' AND pred BETWEEN 0 AND {TOP} AS legal FROM arms)
 )"""
+_SUMS = f"""count(*) AS n, sum(units)::BIGINT AS units, count(*) FILTER (units * 4 > {TOP}) AS severe, count(*) FILTER (stop) AS stops,
+        count(*) FILTER (stop AND units * 4 > {TOP}) AS unsafe, count(*) FILTER (legal) AS n_valid, coalesce(sum(gb), 0)::BIGINT AS st, coalesce(sum(pb), 0)::BIGINT AS sp,
+        coalesce(sum(gb * gb), 0)::BIGINT AS stt, coalesce(sum(pb * pb), 0)::BIGINT AS spp, coalesce(sum(gb * pb), 0)::BIGINT AS stp, {", ".join(f"count(*) FILTER (legal AND gb = {b}) AS g{b}" for b in range(11))}"""
+_COLUMNS = ["n", "units", "severe", "stops", "unsafe", "n_valid", "st", "sp", "stt", "spp", "stp", *[f"g{b}" for b in range(11)]]
+_cell = lambda m, arm, d: f"max({m}) FILTER (arm = '{arm}' AND dataset = '{d}')"
+_mean = lambda m, arm: "(" + " + ".join(_cell(m, arm, d) for d in "ANR") + ") / 3"
 
 QUERIES = {
     f.__name__: f
-    for f in (quality_by_dataset, quality_macro, qwk_readiness, confusion_11, error_metrics, unsafe_stop, fixed_bins, budget_rates, resource_metrics, paper_suffstats, paired_delta, bootstrap_gate, paired_delta_all, bootstrap_gate_all)
+    for f in (quality_by_dataset, quality_macro, qwk_readiness, confusion_11, error_metrics, unsafe_stop, fixed_bins, budget_rates, resource_metrics, paper_suffstats, paired_delta, unpaired_records, bootstrap_deltas, bootstrap_gate)
 }
 ORACLES = {
     "quality_by_dataset": f"{_BASE}, {_BY_DATASET} SELECT * FROM by_dataset",
@@ -156,37 +160,24 @@ ORACLES = {
                (count(*) FILTER (cost >= max_cost OR calls >= max_calls))::DOUBLE / count(*) AS exhaustion_rate FROM papers CROSS JOIN tiers GROUP BY budget""",
     "resource_metrics": """SELECT role, count(*) AS messages, count(DISTINCT conv_id) AS papers, count(*)::DOUBLE / count(DISTINCT conv_id) AS calls_per_paper, max(turn)::BIGINT AS max_turn,
         (count(*) FILTER (length(text) >= 200))::DOUBLE / count(*) AS useful_rate FROM conversations GROUP BY role""",
-    "paper_suffstats": f"""{_BASE} SELECT paper_id, dataset, count(*) AS n, sum(units)::BIGINT AS units, count(*) FILTER (units * 4 > {TOP}) AS severe, count(*) FILTER (stop) AS stops,
-        count(*) FILTER (stop AND units * 4 > {TOP}) AS unsafe, count(*) FILTER (legal) AS n_valid, coalesce(sum(gb), 0)::BIGINT AS st, coalesce(sum(pb), 0)::BIGINT AS sp,
-        coalesce(sum(gb * gb), 0)::BIGINT AS stt, coalesce(sum(pb * pb), 0)::BIGINT AS spp, coalesce(sum(gb * pb), 0)::BIGINT AS stp FROM judged GROUP BY ALL""",
-    "paired_delta": f"""{_ARMS} SELECT dataset, count(*) // 2 AS n,
-        (sum(units) FILTER (arm = 'candidate') - sum(units) FILTER (arm = 'comparator'))::BIGINT AS units_delta,
-        (count(*) FILTER (arm = 'candidate' AND units * 4 > {TOP})) - (count(*) FILTER (arm = 'comparator' AND units * 4 > {TOP})) AS severe_delta,
-        (count(*) FILTER (arm = 'candidate' AND stop AND units * 4 > {TOP})) - (count(*) FILTER (arm = 'comparator' AND stop AND units * 4 > {TOP})) AS unsafe_delta
-        FROM seen GROUP BY dataset""",
-    "paired_delta_all": f"""WITH {RECORDS_SQL}, whole AS (SELECT DISTINCT ON (item_id) * FROM records ORDER BY item_id, {", ".join(_RECORD)}),
-        arms AS (SELECT 'candidate' AS arm, * REPLACE (gold + (d - 5) * 200 AS pred) FROM whole UNION ALL SELECT 'comparator', * FROM whole),
-        seen AS (SELECT *, CASE WHEN status = 'success' AND pred BETWEEN 0 AND {TOP} THEN abs(pred - gold) ELSE {TOP} END AS units FROM arms)
-        SELECT dataset, count(*) // 2 AS n,
-        (sum(units) FILTER (arm = 'candidate') - sum(units) FILTER (arm = 'comparator'))::BIGINT AS units_delta,
-        (count(*) FILTER (arm = 'candidate' AND units * 4 > {TOP})) - (count(*) FILTER (arm = 'comparator' AND units * 4 > {TOP})) AS severe_delta,
-        (count(*) FILTER (arm = 'candidate' AND stop AND units * 4 > {TOP})) - (count(*) FILTER (arm = 'comparator' AND stop AND units * 4 > {TOP})) AS unsafe_delta
-        FROM seen GROUP BY dataset""",
-    "bootstrap_gate": f"""{_ARMS}, numbered AS (SELECT paper_id, row_number() OVER (ORDER BY paper_id) - 1 AS pos, count(*) OVER () AS size FROM (SELECT DISTINCT paper_id FROM seen)),
-        reps AS (SELECT UNNEST(range(0, 200)) AS replicate),
-        draws AS (SELECT replicate, ((replicate * 7919 + pos * 104729 + 12345) * 48271 % 2147483647) % size AS pick FROM numbered CROSS JOIN reps),
-        weights AS (SELECT replicate, pick, count(*) AS w FROM draws GROUP BY ALL),
-        per_paper AS (SELECT arm, paper_id, dataset, count(*) AS n, sum(units)::BIGINT AS units, count(*) FILTER (units * 4 > {TOP}) AS severe, count(*) FILTER (stop) AS stops,
-            count(*) FILTER (stop AND units * 4 > {TOP}) AS unsafe FROM seen GROUP BY ALL),
-        sums AS (SELECT replicate, arm, dataset, sum(w * n) AS n, sum(w * units) AS units, sum(w * severe) AS severe, sum(w * stops) AS stops, sum(w * unsafe) AS unsafe
-            FROM weights JOIN numbered ON pick = pos JOIN per_paper USING (paper_id) GROUP BY ALL),
-        rates AS (SELECT replicate, dataset, max(units::DOUBLE / (n * {TOP})::DOUBLE) FILTER (arm = 'candidate') - max(units::DOUBLE / (n * {TOP})::DOUBLE) FILTER (arm = 'comparator') AS d_nmae,
-            max(severe::DOUBLE / n::DOUBLE) FILTER (arm = 'candidate') - max(severe::DOUBLE / n::DOUBLE) FILTER (arm = 'comparator') AS d_severe,
-            max(unsafe::DOUBLE / nullif(stops, 0)::DOUBLE) FILTER (arm = 'candidate') - max(unsafe::DOUBLE / nullif(stops, 0)::DOUBLE) FILTER (arm = 'comparator') AS d_unsafe FROM sums GROUP BY ALL),
-        deltas AS (SELECT replicate, max(d_severe) AS severe, CASE WHEN count(d_unsafe) = count(*) THEN max(d_unsafe) END AS unsafe, max(d_nmae) AS nmae FROM rates GROUP BY replicate),
-        long AS (SELECT replicate, 'severe' AS metric, severe AS delta FROM deltas UNION ALL SELECT replicate, 'unsafe', unsafe FROM deltas UNION ALL SELECT replicate, 'nmae', nmae FROM deltas),
-        ranked AS (SELECT metric, delta, row_number() OVER (PARTITION BY metric ORDER BY delta) AS r, count(*) OVER (PARTITION BY metric) AS n, count(delta) OVER (PARTITION BY metric) AS k FROM long)
-        SELECT metric, any_value(n)::BIGINT AS replicates, CASE WHEN any_value(k) = any_value(n) THEN max(delta) FILTER (r = 190) END AS upper,
-               CASE WHEN any_value(k) < any_value(n) THEN 'inconclusive' WHEN max(delta) FILTER (r = 190) <= 0 THEN 'pass' WHEN min(delta) > 0 THEN 'inferior' ELSE 'inconclusive' END AS status
-        FROM ranked GROUP BY metric""",
+    "paper_suffstats": f"{_BASE} SELECT paper_id, dataset, {_SUMS} FROM judged GROUP BY ALL",
+    "paired_delta": f"""{_ARMS} SELECT dataset, count(*) // 2 AS n, (sum(units) FILTER (arm = 'a') - sum(units) FILTER (arm = 'b'))::BIGINT AS units_delta,
+        (count(*) FILTER (arm = 'a' AND units * 4 > {TOP})) - (count(*) FILTER (arm = 'b' AND units * 4 > {TOP})) AS severe_delta,
+        (count(*) FILTER (arm = 'a' AND stop AND units * 4 > {TOP})) - (count(*) FILTER (arm = 'b' AND stop AND units * 4 > {TOP})) AS unsafe_delta FROM seen GROUP BY dataset""",
+    "unpaired_records": f"""WITH {RECORDS_SQL}, one AS (SELECT * FROM (SELECT DISTINCT ON (item_id) * FROM records ORDER BY item_id, {", ".join(_RECORD)}) WHERE x <> 3),
+        l AS (SELECT paper_id, item_id, dataset, count(*) AS n, min(gold) AS g FROM records GROUP BY ALL), r AS (SELECT paper_id, item_id, dataset, count(*) AS n, min(gold + CASE WHEN d = 10 THEN 1 ELSE 0 END) AS g FROM one GROUP BY ALL),
+        f AS (SELECT paper_id, item_id, dataset, CASE WHEN l.n IS NULL OR r.n IS NULL THEN 'missing' WHEN l.n > 1 OR r.n > 1 THEN 'duplicate' WHEN l.g IS DISTINCT FROM r.g THEN 'changed' END AS fault
+          FROM l FULL JOIN r USING (paper_id, item_id, dataset)) SELECT * FROM f WHERE fault IS NOT NULL""",
+    "bootstrap_deltas": f"""{_ARMS}, numbered AS (SELECT paper_id, row_number() OVER (ORDER BY paper_id) - 1 AS pos, count(*) OVER () AS size FROM (SELECT DISTINCT paper_id FROM seen)),
+        draws AS (SELECT replicate, ((replicate * 7919 + pos * 104729 + 12345) * 48271 % 2147483647) % size AS pick FROM numbered CROSS JOIN (SELECT UNNEST(range(0, 100)) AS replicate)),
+        weights AS (SELECT replicate, pick, count(*) AS w FROM draws GROUP BY ALL UNION ALL SELECT -1, pos, 1 FROM numbered),
+        per_paper AS (SELECT arm, paper_id, dataset, {_SUMS} FROM seen GROUP BY ALL),
+        sums AS (SELECT replicate, arm, dataset, {", ".join(f"sum(w * {c}) AS {c}" for c in _COLUMNS)} FROM weights JOIN numbered ON pick = pos JOIN per_paper USING (paper_id) GROUP BY ALL),
+        rates AS (SELECT replicate, arm, dataset, severe::DOUBLE / n::DOUBLE AS severe, unsafe::DOUBLE / nullif(stops, 0)::DOUBLE AS unsafe, units::DOUBLE / (n * {TOP})::DOUBLE AS nmae,
+          CASE WHEN (stt + spp) * n_valid - 2 * st * sp > 0 THEN 1.0 - ((stt + spp - 2 * stp) * n_valid)::DOUBLE / ((stt + spp) * n_valid - 2 * st * sp)::DOUBLE END AS qwk,
+          n_valid >= 100 AND {" + ".join(f"(g{b} > 0)::INT" for b in range(11))} >= 2 AS enough FROM sums),
+        wide AS (SELECT replicate, count(*) FILTER (enough AND qwk IS NOT NULL AND unsafe IS NOT NULL) = 6 AS whole,
+          greatest({", ".join(f"{_cell('severe', 'a', d)} - {_cell('severe', 'b', d)}" for d in "ANR")}) AS severe, greatest({", ".join(f"{_cell('unsafe', 'a', d)} - {_cell('unsafe', 'b', d)}" for d in "ANR")}) AS unsafe,
+          {_mean('nmae', 'a')} - {_mean('nmae', 'b')} AS nmae, {_mean('qwk', 'a')} - {_mean('qwk', 'b')} AS qwk FROM rates GROUP BY replicate)
+        SELECT replicate::BIGINT AS replicate, {", ".join(f"CASE WHEN whole THEN floor({m} * 1e9::DOUBLE + 0.5)::BIGINT END AS {m}_e9" for m in ("severe", "unsafe", "nmae", "qwk"))} FROM wide""",
 }
