@@ -9,13 +9,17 @@ from scoreloom.operators.skew import hot_values, salted_join
 from scoreloom.session import reliable_checkpoints
 
 
+#: Nodes (16 bytes each) whose labels may be broadcast.
+BROADCAST_NODES = 300_000
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the smallest node reachable. No edges give no rows.
 
     Each round takes the smallest label among a node's neighbours and then the label of that label, so long chains need
     about the logarithm of their length. Labels are combined before they are shuffled. A node with many neighbours is dealt over
-    several tasks, with a copy of its label in each; a label that many nodes share is looked up only if it has a lower one
-    itself, and is dealt the same way. Rounds are checkpointed.
+    several tasks, with a copy of its label in each. Labels of labels are broadcast while at most BROADCAST_NODES nodes have one below
+    themselves; beyond, a label that many nodes share is dealt the same way. Rounds are checkpointed.
     """
     reliable_checkpoints(edges.sparkSession)
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
@@ -24,9 +28,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         near = salted_join(both, labels.withColumnRenamed("node", "b"), "b", hubs, [F.col("a")]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")).checkpoint()
-        used = lower.groupBy("label").count()
-        moved = lower.where("label < node").select(F.col("node").alias("label"), F.col("label").alias("top")).join(used.select("label"), "label", "left_semi")
-        stepped = salted_join(lower, moved, "label", hot_values(used, "label"), [F.col("node")], "left").select("node", F.coalesce("top", "label").alias("label"), "was").checkpoint()
+        moved = lower.where("label < node").select(F.col("node").alias("label"), F.col("label").alias("top"))
+        if moved.count() <= BROADCAST_NODES:
+            jumped = lower.join(F.broadcast(moved), "label", "left")
+        else:
+            used = lower.groupBy("label").count()
+            jumped = salted_join(lower, moved.join(used.select("label"), "label", "left_semi"), "label", hot_values(used, "label"), [F.col("node")], "left")
+        stepped = jumped.select("node", F.coalesce("top", "label").alias("label"), "was").checkpoint()
         labels = stepped.select("node", "label")
         if stepped.where("label < was").isEmpty():
             return labels.withColumnRenamed("label", "component")
