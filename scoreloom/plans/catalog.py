@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.plans import decision_queries, item_queries, quality_queries
+from scoreloom.plans import decision_queries, item_queries, quality_queries, source_queries
 
-_PARTS = [quality_queries, item_queries, decision_queries]
+_PARTS = [quality_queries, item_queries, decision_queries, source_queries]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
