@@ -9,37 +9,49 @@ from scoreloom.operators.skew import hot_values, salted_join
 from scoreloom.session import reliable_checkpoints
 
 
-#: Nodes (16 bytes each) whose labels may be broadcast.
+#: Nodes (16 bytes each, if they are numbers) whose labels may be broadcast.
 BROADCAST_NODES = 300_000
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the smallest node reachable. No edges give no rows.
 
-    Each round takes the smallest label among a node's neighbours and then the label of that label, so long chains need
-    about the logarithm of their length. Labels are combined before they are shuffled. A node with many neighbours is dealt over
-    several tasks, with a copy of its label in each. Labels of labels are broadcast while at most BROADCAST_NODES nodes have one below
-    themselves; beyond, a label that many nodes share is dealt the same way. Rounds are checkpointed.
+    Each round gives a node the smallest label among its neighbours and itself, and the label of that label, so long chains need
+    about the logarithm of their length. Labels are combined before they are shuffled. Up to ``broadcast_nodes`` nodes, counted
+    first, all labels are broadcast and a round has one shuffle. Beyond, labels are joined by shuffling: a node with many
+    neighbours, or a label that many nodes share, is dealt over several tasks. Rounds are checkpointed.
     """
     reliable_checkpoints(edges.sparkSession)
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    hubs = hot_values(both.groupBy("b").count(), "b")
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")).checkpoint()
+    small = labels.count() <= broadcast_nodes
+    around = both.union(labels.select("node", "node")) if small else both
+    hubs = [] if small else hot_values(both.groupBy("b").count(), "b")
     while True:
-        near = salted_join(both, labels.withColumnRenamed("node", "b"), "b", hubs, [F.col("a")]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")).checkpoint()
-        moved = lower.where("label < node").select(F.col("node").alias("label"), F.col("label").alias("top"))
-        if moved.count() <= BROADCAST_NODES:
-            jumped = lower.join(F.broadcast(moved), "label", "left")
-        else:
-            used = lower.groupBy("label").count()
-            jumped = salted_join(lower, moved.join(used.select("label"), "label", "left_semi"), "label", hot_values(used, "label"), [F.col("node")], "left")
-        stepped = jumped.select("node", F.coalesce("top", "label").alias("label"), "was").checkpoint()
+        stepped = (_step_by_broadcast(around, labels) if small else _step_by_shuffle(around, labels, hubs)).checkpoint()
         labels = stepped.select("node", "label")
         if stepped.where("label < was").isEmpty():
             return labels.withColumnRenamed("label", "component")
 
 
+def _step_by_broadcast(around: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, label, was) after one round; ``around`` has each node as a neighbour of itself as well."""
+    low = F.broadcast(labels.select(F.col("node").alias("b"), F.col("label").alias("low")))
+    top = F.broadcast(labels.select(F.col("node").alias("low"), F.col("label").alias("top")))
+    own = F.min(F.when(F.col("a") == F.col("b"), F.col("low")))
+    return around.join(low, "b").join(top, "low").groupBy(F.col("a").alias("node")).agg(F.min("top").alias("label"), own.alias("was"))
+
+
+def _step_by_shuffle(both: DataFrame, labels: DataFrame, hubs: list) -> DataFrame:
+    """(node, label, was) after one round."""
+    near = salted_join(both, labels.withColumnRenamed("node", "b"), "b", hubs, [F.col("a")]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+    lower = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")).checkpoint()
+    used = lower.groupBy("label").count()
+    moved = lower.where("label < node").select(F.col("node").alias("label"), F.col("label").alias("top")).join(used.select("label"), "label", "left_semi")
+    jumped = salted_join(lower, moved, "label", hot_values(used, "label"), [F.col("node")], "left")
+    return jumped.select("node", F.coalesce("top", "label").alias("label"), "was")
+
+
 def leakage_components(items: DataFrame, keys: list[list[str]], id_col: str = "item_id") -> DataFrame:
     """(item, component): items that agree in any of the key sets belong together; a key with a null or empty part is none.
 
