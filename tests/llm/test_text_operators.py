@@ -1,6 +1,7 @@
 """BPE, near duplicates, decontamination, repeats and quality against brute force, with the defined odd cases."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -243,3 +244,14 @@ def test_quality_odd_labels(spark):
     assert quality.ByteNetwork().fit([], []).scores(pa.array(["x"])).tolist() == [0.5]
     got = spark.range(50).select("id", quality.held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in got)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables are not here")
+def test_quality_query_ranks_held_out_rows(spark):
+    folder = "/root/testdata/sf0.01"
+    scored = quality.op7_quality(spark, folder).where("held_out")
+    rows = scored.join(spark.read.parquet(f"{folder}/labels.parquet").where("quality in (0, 1)").select("doc_id", "quality"), "doc_id").select("score", "predicted", "quality").collect()
+    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    above = sum((g > b) + (g == b) / 2 for g in good for b in bad)
+    assert len(bad) > 5 and above >= 0.9 * len(good) * len(bad)
+    assert all(r.predicted == int(r.score >= 0.7) for r in rows)
