@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import bpe, decontam, html_extract, minhash, pii, quality, sharding, suffix_dedup, tool_calls, topk
+from scoreloom.llm import bpe, debruijn, decontam, html_extract, minhash, pii, quality, sharding, suffix_dedup, tool_calls, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
@@ -20,8 +20,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_no_random_access": topk.op8_no_random_access,
     "op9_winnowing": decontam.op9_winnowing,
     "op10_surrogates": pii.op10_surrogates,
+    "op11_debruijn_dedup": debruijn.op11_debruijn_dedup,
 }
 ORACLES: dict[str, str] = {
     "op5_tool_call_linking": tool_calls.OP5_SQL,
     "op8_no_random_access": topk.OP8_SQL,
+    "op11_debruijn_dedup": debruijn.OP11_SQL,
 }

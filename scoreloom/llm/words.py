@@ -71,13 +71,13 @@ NOT_SPACE = ~byte_table(b" \t\n\x0b\x0c\r")
 ALNUM = byte_table(bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100)))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased words of all rows in order, and each row's offsets into them."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, fold: np.ndarray | None = LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all rows in order, and each row's offsets into them; A-Z are lower-cased, or nothing if ``fold`` is None."""
     n = len(data)
     rows = len(offsets) - 1
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
-    low = LOWER[data]
+    low = data if fold is None else fold[data]
     inside = table[low]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
