@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import bpe, debruijn, decontam, divergence, html_extract, minhash, pii, quality, sharding, suffix_dedup, tool_calls, topk
+from scoreloom.llm import bpe, debruijn, decontam, divergence, hard_negatives, html_extract, minhash, pii, quality, sharding, suffix_dedup, tool_calls, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
@@ -22,10 +22,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_surrogates": pii.op10_surrogates,
     "op11_debruijn_dedup": debruijn.op11_debruijn_dedup,
     "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 ORACLES: dict[str, str] = {
     "op5_tool_call_linking": tool_calls.OP5_SQL,
     "op8_no_random_access": topk.OP8_SQL,
     "op11_debruijn_dedup": debruijn.OP11_SQL,
     "op12_source_divergence": divergence.OP12_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
