@@ -76,8 +76,8 @@ ORACLES = {
     "scope_violations": """SELECT fault, event_type, count(*) AS n, min(event_id) AS first FROM (SELECT *, concat_ws(';', CASE WHEN event_type NOT IN ('click', 'view') OR event_type IS NULL THEN 'event_type' END,
         CASE WHEN value >= 50 OR value IS NULL THEN 'band' END) AS fault FROM events) WHERE fault <> '' GROUP BY ALL""",
     "policy_packages": """WITH l AS (SELECT l_partkey AS id, max(l_quantity) AS q, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL),
-        j AS (SELECT coalesce(p_partkey, id) AS id, q, n, CASE WHEN p_partkey IS NULL THEN 'unused' WHEN id IS NULL THEN 'missing' WHEN q = 50 THEN 'changed' END AS fault FROM part FULL JOIN l ON p_partkey = id)
+        j AS (SELECT coalesce(p_partkey, id) AS id, q, n, CASE WHEN p_partkey IS NULL THEN 'unused' WHEN id IS NULL THEN 'missing' WHEN q = 50 THEN 'changed' WHEN q >= 49 THEN 'illegal_status' END AS fault FROM part FULL JOIN l ON p_partkey = id)
         SELECT id AS checkpoint_id, CASE WHEN fault IS NULL THEN concat('pkg_', id) END AS package_id, CASE WHEN fault IS NULL THEN sha256(id::VARCHAR) END AS checkpoint_hash,
-          CASE WHEN fault IS NULL AND q >= 49 THEN 'illegal_status' ELSE fault END AS fault, CASE WHEN fault IS NULL THEN q >= 30 AND q < 49 END AS promoted, CASE WHEN fault IS NULL AND q >= 30 AND q < 49 THEN q / 50 END AS stop_boundary,
-          CASE WHEN fault IS NULL THEN n / 64 END AS coverage, CASE WHEN fault IS NULL THEN CASE WHEN q >= 30 AND q < 49 THEN '' WHEN q < 10 THEN 'no_safe_stop_boundary' ELSE 'unknown_calibration_failure' END END AS failure_reason FROM j""",
+          fault, CASE WHEN fault IS NULL THEN q >= 30 END AS promoted, CASE WHEN fault IS NULL AND q >= 30 THEN q / 50 END AS stop_boundary,
+          CASE WHEN fault IS NULL THEN n / 64 END AS coverage, CASE WHEN fault IS NULL THEN CASE WHEN q >= 30 THEN '' WHEN q < 10 THEN 'no_safe_stop_boundary' ELSE 'unknown_calibration_failure' END END AS failure_reason FROM j""",
 }
