@@ -1,13 +1,13 @@
 """Paired comparison of two arms by resampling whole papers.
 
-Both arms are first reduced to sums per paper and dataset. A replicate is a weight per paper; draws meet those sums in blocks of
-papers, so the size of what is shuffled is a few bits for each of papers x replicates and never records.
+Both arms are first reduced to sums per paper and dataset. A replicate is a weight per paper: as many independent draws as there are
+papers, split in two steps. First every draw picks a block of papers, in proportion to its size, and only the counts by block are kept;
+then each block draws that many times among its own papers. Draws are hashes of (seed, replicate, draw), so any task can make its own,
+a lost one makes the same again, and what is shuffled is one count for each of replicates x blocks.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -20,8 +20,33 @@ from scoreloom.plans.proxy import TOP
 #: What is summed for every replicate, and the metrics of the gate; the last is better where it is higher.
 COUNTED = ["n", "units", "severe", "stops", "unsafe", "n_valid", "st", "sp", "stt", "spp", "stp", *GOLD_BINS]
 METRICS = ["severe", "unsafe", "nmae", "qwk"]
-#: Papers to a range of ids when they are numbered, papers to a block of weights, and draws made at a time.
-BUCKET, BLOCK, PACK = 4096, 1024, 4_000_000
+#: Papers to a bucket of digests when they are numbered, papers to a block, draws held at a time, and replicates weighed together.
+BUCKET, BLOCK, PACK, TOGETHER = 4096, 1024, 4_000_000, 256
+SEED = 20260729
+_ONE, _GROW, _P, _Q = (np.uint64(x) for x in (1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit words that makes neighbours unlike each other; sums and products wrap around."""
+    x = x + _GROW
+    x = (x ^ (x >> np.uint64(30))) * _P
+    x = (x ^ (x >> np.uint64(27))) * _Q
+    return x ^ (x >> np.uint64(31))
+
+
+def _rest(x: np.ndarray, n: int) -> np.ndarray:
+    """x mod n; the division by one number is vectorised, the remainder is not."""
+    return x - x // np.uint64(n) * np.uint64(n)
+
+
+def replicate_key(replicate: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """The key that a replicate's draws of blocks count up from."""
+    return mix(mix(np.asarray(replicate, np.uint64) + np.uint64(seed)))
+
+
+def block_key(replicate: np.ndarray, block: int, seed: int = SEED) -> np.ndarray:
+    """The key that a replicate's draws inside a block count up from."""
+    return mix(replicate_key(replicate, seed) + mix(np.array([block], np.uint64)) + _ONE)
 
 
 def unpaired(candidate: DataFrame, comparator: DataFrame, keys: list[str], equal: list[str]) -> DataFrame:
@@ -45,66 +70,76 @@ def paired_delta(candidate: DataFrame, comparator: DataFrame) -> DataFrame:
 
 
 def positions(papers: DataFrame) -> tuple[DataFrame, int]:
-    """(paper_id, pos), papers numbered by id from 0, and how many there are: ranks in ranges of ids, plus what lies in the ranges below."""
+    """(paper_id, pos), papers of any type numbered from 0 in the order of their ids' SHA-256, and how many there are: ranks in
+    buckets of digests, plus what lies in the buckets below."""
     ids = papers.select("paper_id").distinct()
-    low, high, size = ids.agg(F.min("paper_id"), F.max("paper_id"), F.count("*")).first()
-    width = 1 if low is None else (high - low) // max(1, size // BUCKET) + 1
-    ranged = ids.withColumn("bucket", F.expr(f"(paper_id - {low or 0}L) div {width}L"))
-    counts = ranged.groupBy("bucket").agg(F.count("*").alias("held"))
-    below = counts.select("bucket", (F.sum("held").over(Window.orderBy("bucket")) - F.col("held")).alias("below"))  # one row per range
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("paper_id")) - 1
-    return ranged.withColumn("rank", rank).join(below, "bucket").select("paper_id", (F.col("below") + F.col("rank")).alias("pos")), size
-
-
-def resampled(sums: DataFrame, replicates: int) -> DataFrame:
-    """(replicate, arm, dataset, sums): every replicate draws as many papers as there are, by an arithmetic generator that any
-    engine can repeat. Some replicates at a time (of very many papers a part of one) are drawn, counted into weights by block of
-    papers and packed to about two bits each; a block, never more than BLOCK papers, multiplies its weights with its sums (in
-    doubles, exact below 2^53), so that only replicates x blocks are aggregated."""
+    size = ids.count()
+    digits = max(1, min(6, round(np.log(max(size / BUCKET, 1)) / np.log(16) + 0.5)))
+    keyed = ids.withColumn("digest", F.sha2(F.col("paper_id").cast("string").cast("binary"), 256)).withColumn("bucket", F.substring("digest", 1, digits))
+    counts = keyed.groupBy("bucket").agg(F.count("*").alias("held"))
+    below = counts.select("bucket", (F.sum("held").over(Window.orderBy("bucket")) - F.col("held")).alias("below"))  # one row per bucket
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("digest")) - 1
+    return keyed.withColumn("rank", rank).join(below, "bucket").select("paper_id", (F.col("below") + F.col("rank")).alias("pos")), size
+
+
+def block_counts(first: int, stop: int, size: int, seed: int = SEED, block: int = BLOCK) -> np.ndarray:
+    """How many of a replicate's ``size`` draws fall on each block, for the replicates from ``first`` to before ``stop``."""
+    blocks = -(-size // block)
+    out = np.zeros((stop - first, blocks), np.int64)
+    for i, key in enumerate(replicate_key(np.arange(first, stop), seed)):
+        for start in range(0, size, PACK):
+            draw = np.arange(start, min(start + PACK, size), dtype=np.uint64)
+            out[i] += np.bincount((_rest(mix(key + draw), size) // np.uint64(block)).astype(np.int64), minlength=blocks)
+    return out
+
+
+def block_weights(first: int, counts: np.ndarray, block: int, held: int, seed: int = SEED) -> np.ndarray:
+    """(replicate, paper of the block): how often each of ``held`` papers is drawn, given how often the block is."""
+    keys = block_key(np.arange(first, first + len(counts)), block, seed)
+    row = np.repeat(np.arange(len(counts)), counts)
+    draw = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    pick = _rest(mix(keys[row] + draw.astype(np.uint64)), held).astype(np.int64)
+    return np.bincount(row * held + pick, minlength=len(counts) * held).reshape(len(counts), held)
+
+
+def resampled(sums: DataFrame, replicates: int, seed: int = SEED, block: int = BLOCK, together: int = TOGETHER) -> DataFrame:
+    """(replicate, arm, dataset, sums): every replicate draws as many papers as there are. A task makes the counts by block of some
+    replicates; a block, never more than ``block`` papers, makes its weights and multiplies them with its sums (in doubles, exact below
+    2^53), so that only replicates x blocks are shuffled and aggregated."""
     numbered, size = positions(sums)
     counted = [c for c in COUNTED if c in sums.columns]
-    several, parts = max(1, min(64, PACK // max(1, size))), -(-size // PACK)
+    several = max(1, min(64, PACK // max(1, size)))
 
-    def pack(batches):
+    def split(batches):
         for unit in (u for batch in batches for u in batch.column(0).to_pylist()):
-            first, start = unit // parts * several, unit % parts * PACK
-            r = np.arange(first, min(first + several, replicates), dtype=np.int64)[:, None]
-            pos = np.arange(start, min(start + PACK, size), dtype=np.int64)
-            pick = (r * 7919 + pos * 104729 + 12345) * 48271 % 2147483647 % size
-            cells = len(r) * BLOCK
-            drawn = np.sort((pick // BLOCK * cells + (r - first) * BLOCK + pick % BLOCK).ravel())
-            at = np.flatnonzero(np.diff(drawn // cells, prepend=-1))
-            rows: list = []
-            for lo, hi in zip(at, [*at[1:], len(drawn)], strict=True):
-                block = int(drawn[lo]) // cells
-                w = np.bincount(drawn[lo:hi] - block * cells, minlength=cells)
-                w = w.astype(np.min_scalar_type(int(w.max())))
-                squeeze = zlib.compressobj(1, zlib.DEFLATED, 15, 8, zlib.Z_HUFFMAN_ONLY)
-                rows.append((block, first, w.itemsize, squeeze.compress(w.tobytes()) + squeeze.flush()))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["block", "first", "width", "packed"])
+            first = unit * several
+            counts = block_counts(first, min(first + several, replicates), size, seed, block)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(counts.shape[1] + 1) * counts.shape[0], pa.int32()), pa.array(counts.T.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(counts.shape[1])), pa.array(np.full(counts.shape[1], first)), lists], names=["block", "first", "counts"])
 
     def weigh(drawn: pa.Table, held: pa.Table) -> pa.Table:
-        weights = np.zeros((replicates, BLOCK), np.int64)
-        for first, width, packed in zip(*(drawn[c].to_pylist() for c in ("first", "width", "packed")), strict=True):
-            w = np.frombuffer(zlib.decompress(packed), f"u{width}").reshape(-1, BLOCK)
-            weights[first : first + len(w)] += w
-        weights = weights.astype(np.float64)
-        offset, arms, datasets = held["pos"].to_numpy() % BLOCK, held["arm"].to_pylist(), held["dataset"].to_pylist()
-        values = np.stack([held[c].to_numpy() for c in counted], axis=1).astype(np.float64) if held.num_rows else np.zeros((0, len(counted)))
+        if not drawn.num_rows or not held.num_rows:
+            return out.empty_table()
+        place, counts = drawn["block"][0].as_py(), np.zeros(replicates, np.int64)
+        for first, some in zip(drawn["first"].to_pylist(), drawn["counts"].to_pylist(), strict=True):
+            counts[first : first + len(some)] = some
+        offset, arms, datasets = held["pos"].to_numpy() % block, held["arm"].to_pylist(), held["dataset"].to_pylist()
+        values = np.stack([held[c].to_numpy() for c in counted], axis=1).astype(np.float64)
         groups: dict[tuple, list[int]] = {}
         for i, group in enumerate(zip(arms, datasets, strict=True)):
             groups.setdefault(group, []).append(i)
         found = []
-        for (arm, dataset), rows in groups.items():
-            total = np.rint(weights[:, offset[rows]] @ values[rows]).astype(np.int64)
-            there = np.flatnonzero(total[:, 0])
-            found.append(pa.table([pa.array(there), pa.array([arm] * len(there), pa.string()), pa.array([dataset] * len(there), pa.string()), *[pa.array(total[there, c]) for c in range(len(counted))]], names=["replicate", "arm", "dataset", *counted]))
-        return pa.concat_tables(found) if found else out.empty_table()
+        for first in range(0, replicates, together):
+            weights = block_weights(first, counts[first : first + together], place, min(block, size - place * block), seed).astype(np.float64)
+            for (arm, dataset), rows in groups.items():
+                total = np.rint(weights[:, offset[rows]] @ values[rows]).astype(np.int64)
+                there = np.flatnonzero(total[:, 0])
+                found.append(pa.table([pa.array(there + first), pa.array([arm] * len(there), pa.string()), pa.array([dataset] * len(there), pa.string()), *[pa.array(total[there, c]) for c in range(len(counted))]], names=["replicate", "arm", "dataset", *counted]))
+        return pa.concat_tables(found)
 
     out = pa.schema([("replicate", pa.int64()), ("arm", pa.string()), ("dataset", pa.string()), *[(c, pa.int64()) for c in counted]])
-    units = sums.sparkSession.range(-(-replicates // several) * parts)
-    drawn = units.mapInArrow(pack, "block long, first long, width long, packed binary")
-    held = sums.join(numbered, "paper_id").select((F.floor(F.col("pos") / BLOCK)).alias("block"), "pos", "arm", "dataset", *counted)
+    drawn = sums.sparkSession.range(-(-replicates // several)).mapInArrow(split, "block long, first long, counts array<long>")
+    held = sums.join(numbered, "paper_id").select((F.floor(F.col("pos") / block)).alias("block"), "pos", "arm", "dataset", *counted)
     kind = "replicate long, arm string, dataset string, " + ", ".join(f"{c} long" for c in counted)
     blocks = drawn.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(weigh, kind)
     return blocks.groupBy("replicate", "arm", "dataset").agg(*[F.sum(c).alias(c) for c in counted])

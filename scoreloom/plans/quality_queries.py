@@ -130,6 +130,16 @@ seen AS (
 _SUMS = f"""count(*) AS n, sum(units)::BIGINT AS units, count(*) FILTER (units * 4 > {TOP}) AS severe, count(*) FILTER (stop) AS stops,
         count(*) FILTER (stop AND units * 4 > {TOP}) AS unsafe, count(*) FILTER (legal) AS n_valid, coalesce(sum(gb), 0)::BIGINT AS st, coalesce(sum(pb), 0)::BIGINT AS sp,
         coalesce(sum(gb * gb), 0)::BIGINT AS stt, coalesce(sum(pb * pb), 0)::BIGINT AS spp, coalesce(sum(gb * pb), 0)::BIGINT AS stp, {", ".join(f"count(*) FILTER (legal AND gb = {b}) AS g{b}" for b in range(11))}"""
+_W = "18446744073709551616::UHUGEINT"
+
+
+def _mixed(name: str, keys: str, source: str) -> str:
+    """A table ``name`` of ``keys`` and the mixed words x of ``source`` (the same bijection as in the operator)."""
+    turn = lambda x, by, times: f"(xor({x}::UBIGINT, {x}::UBIGINT >> {by})::UHUGEINT * {times}::UHUGEINT) % {_W}"
+    return f"""{name} AS (SELECT {keys}, xor(s2::UBIGINT, s2::UBIGINT >> 31)::UHUGEINT AS x FROM (SELECT {keys}, {turn("s1", 27, 0x94D049BB133111EB)} AS s2
+          FROM (SELECT {keys}, {turn("s0", 30, 0xBF58476D1CE4E5B9)} AS s1 FROM (SELECT {keys}, (x + {0x9E3779B97F4A7C15}::UHUGEINT) % {_W} AS s0 FROM {source}))))"""
+
+
 _COLUMNS = ["n", "units", "severe", "stops", "unsafe", "n_valid", "st", "sp", "stt", "spp", "stp", *[f"g{b}" for b in range(11)]]
 _cell = lambda m, arm, d: f"max({m}) FILTER (arm = '{arm}' AND dataset = '{d}')"
 _mean = lambda m, arm: "(" + " + ".join(_cell(m, arm, d) for d in "ANR") + ") / 3"
@@ -168,9 +178,16 @@ ORACLES = {
         l AS (SELECT paper_id, item_id, dataset, count(*) AS n, min(gold) AS g FROM records GROUP BY ALL), r AS (SELECT paper_id, item_id, dataset, count(*) AS n, min(gold + CASE WHEN d = 10 THEN 1 ELSE 0 END) AS g FROM one GROUP BY ALL),
         f AS (SELECT paper_id, item_id, dataset, CASE WHEN l.n IS NULL OR r.n IS NULL THEN 'missing' WHEN l.n > 1 OR r.n > 1 THEN 'duplicate' WHEN l.g IS DISTINCT FROM r.g THEN 'changed' END AS fault
           FROM l FULL JOIN r USING (paper_id, item_id, dataset)) SELECT * FROM f WHERE fault IS NOT NULL""",
-    "bootstrap_deltas": f"""{_ARMS}, numbered AS (SELECT paper_id, row_number() OVER (ORDER BY paper_id) - 1 AS pos, count(*) OVER () AS size FROM (SELECT DISTINCT paper_id FROM seen)),
-        draws AS (SELECT replicate, ((replicate * 7919 + pos * 104729 + 12345) * 48271 % 2147483647) % size AS pick FROM numbered CROSS JOIN (SELECT UNNEST(range(0, 100)) AS replicate)),
-        weights AS (SELECT replicate, pick, count(*) AS w FROM draws GROUP BY ALL UNION ALL SELECT -1, pos, 1 FROM numbered),
+    "bootstrap_deltas": f"""{_ARMS}, numbered AS (SELECT paper_id, row_number() OVER (ORDER BY sha256(paper_id::VARCHAR)) - 1 AS pos, count(*) OVER () AS size FROM (SELECT DISTINCT paper_id FROM seen)),
+        replicates AS (SELECT UNNEST(range(0, 100)) AS replicate), key_0 AS (SELECT replicate, replicate::UHUGEINT + {bootstrap.SEED}::UHUGEINT AS x FROM replicates),
+        {_mixed("key_1", "replicate", "key_0")}, {_mixed("key_2", "replicate", "key_1")},
+        block_0 AS (SELECT DISTINCT pos // {bootstrap.BLOCK} AS block, (pos // {bootstrap.BLOCK})::UHUGEINT AS x FROM numbered), {_mixed("block_1", "block", "block_0")},
+        draw_0 AS (SELECT replicate, size::UHUGEINT AS size, x + pos::UHUGEINT AS x FROM numbered CROSS JOIN key_2), {_mixed("draw_1", "replicate, size", "draw_0")},
+        counts AS (SELECT replicate, (x % size)::BIGINT // {bootstrap.BLOCK} AS block, count(*) AS c FROM draw_1 GROUP BY ALL),
+        inner_0 AS (SELECT k.replicate, b.block, k.x + b.x + 1::UHUGEINT AS x FROM key_2 k CROSS JOIN block_1 b), {_mixed("inner_1", "replicate, block", "inner_0")},
+        pick_0 AS (SELECT replicate, block, x + UNNEST(range(0, c))::UHUGEINT AS x FROM counts JOIN inner_1 USING (replicate, block)), {_mixed("pick_1", "replicate, block", "pick_0")},
+        picks AS (SELECT replicate, block * {bootstrap.BLOCK} + (x % least({bootstrap.BLOCK}, (SELECT max(size) FROM numbered) - block * {bootstrap.BLOCK})::UHUGEINT)::BIGINT AS pick FROM pick_1),
+        weights AS (SELECT replicate, pick, count(*) AS w FROM picks GROUP BY ALL UNION ALL SELECT -1, pos, 1 FROM numbered),
         per_paper AS (SELECT arm, paper_id, dataset, {_SUMS} FROM seen GROUP BY ALL),
         sums AS (SELECT replicate, arm, dataset, {", ".join(f"sum(w * {c}) AS {c}" for c in _COLUMNS)} FROM weights JOIN numbered ON pick = pos JOIN per_paper USING (paper_id) GROUP BY ALL),
         rates AS (SELECT replicate, arm, dataset, severe::DOUBLE / n::DOUBLE AS severe, unsafe::DOUBLE / nullif(stops, 0)::DOUBLE AS unsafe, units::DOUBLE / (n * {TOP})::DOUBLE AS nmae,

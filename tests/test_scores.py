@@ -1,5 +1,9 @@
 """Exact values of score expressions, aggregates and gates."""
 
+import hashlib
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +117,22 @@ def test_identical_arms_pass(spark):
     assert {(r.status, r.undefined) for r in bootstrap.gate(arm, arm, 20, ["A", "N", "R"]).collect()} == {("inconclusive", 20)}
 
 
+def draws_by_hand(replicate, size, block=1024, seed=20260729):
+    """The picks of a replicate in plain integers: a block for each draw, then papers inside each block."""
+    whole = 1 << 64
+
+    def mix(x):
+        x = (x + 0x9E3779B97F4A7C15) % whole
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % whole
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % whole
+        return x ^ x >> 31
+
+    key = mix(mix(replicate + seed))
+    blocks = Counter(mix((key + i) % whole) % size // block for i in range(size))
+    inner = {b: mix((key + mix(b) + 1) % whole) for b in blocks}
+    return [b * block + mix((inner[b] + j) % whole) % min(block, size - b * block) for b, c in blocks.items() for j in range(c)]
+
+
 def test_gate_over_all_papers_equals_brute_force(spark, tmp_path):
     from scoreloom.plans import quality_queries
 
@@ -149,7 +169,9 @@ def test_gate_over_all_papers_equals_brute_force(spark, tmp_path):
         return [max(a[d][0] - b[d][0] for d in a), max(a[d][1] - b[d][1] for d in a), sum(x[2] for x in a.values()) / 3 - sum(x[2] for x in b.values()) / 3, sum(x[3] for x in a.values()) / 3 - sum(x[3] for x in b.values()) / 3]
 
     size = len(papers)
-    drawn = [change([((r * 7919 + pos * 104729 + 12345) * 48271 % 2147483647) % size for pos in range(size)]) for r in range(300)]
+    papers.sort(key=lambda p: hashlib.sha256(str(p).encode()).digest())
+    lines.sort(key=lambda r: (papers.index(r[0]), r[1]))
+    drawn = [change(draws_by_hand(r, size)) for r in range(300)]
     point = change(range(size))
     e9 = lambda x: pytest.approx(x * 1e9, abs=1.5)
     got = {r.metric: r for r in bootstrap.gate(*quality_queries._arms(spark, str(tmp_path)), 300, ["A", "N", "R"], least=1).collect()}
@@ -163,19 +185,45 @@ def test_gate_over_all_papers_equals_brute_force(spark, tmp_path):
     assert sum(r.n for r in quality_queries.paired_delta(spark, str(tmp_path)).collect()) == len(lines)
 
 
-def test_papers_are_numbered_by_id_across_ranges(spark, monkeypatch):
+def test_papers_are_numbered_by_digest_across_buckets(spark, monkeypatch):
     monkeypatch.setattr(bootstrap, "BUCKET", 3)
-    ids = sorted({(i * i) % 997 - 50 for i in range(60)})
-    numbered, size = bootstrap.positions(spark.createDataFrame([(i,) for i in ids * 2], "paper_id long"))
-    assert size == len(ids) and sorted((r.pos, r.paper_id) for r in numbered.collect()) == list(enumerate(ids))
-
-
-def test_replicates_do_not_depend_on_blocks(spark, monkeypatch):
-    sums = spark.createDataFrame([(7 * p, arm, "AN"[p % 2], p + 1, 5 * p, p % 4, 3, 1) for p in range(90) for arm in "ab"], "paper_id long, arm string, dataset string, n long, units long, severe long, stops long, unsafe long")
-    whole = sorted(map(tuple, bootstrap.resampled(sums, 50).collect()))
-    monkeypatch.setattr(bootstrap, "BLOCK", 16)
+    for kind, ids in (("long", {(i * i) % 997 - 50 for i in range(60)}), ("string", {f"paper {i}é" for i in range(60)})):
+        order = sorted(ids, key=lambda i: hashlib.sha256(str(i).encode()).hexdigest())
+        numbered, size = bootstrap.positions(spark.createDataFrame([(i,) for i in order * 2], f"paper_id {kind}"))
+        assert size == len(ids) and sorted((r.pos, r.paper_id) for r in numbered.collect()) == list(enumerate(order))
+
+
+def test_replicates_equal_draws_by_hand_whatever_is_drawn_together(spark, monkeypatch):
+    sums = [(f"p{p}", arm, "AN"[p % 2], p + 1, 5 * p, p % 4, 3, 1) for p in range(90) for arm in "ab"]
+    frame = spark.createDataFrame(sums, "paper_id string, arm string, dataset string, n long, units long, severe long, stops long, unsafe long")
+    whole = sorted(map(tuple, bootstrap.resampled(frame, 50, block=16).collect()))  # six blocks, the last of ten papers
+    order = sorted({r[0] for r in sums}, key=lambda i: hashlib.sha256(i.encode()).hexdigest())
+    by_hand = Counter()
+    for r in range(50):
+        for pos in draws_by_hand(r, 90, 16):
+            for row in sums:
+                if row[0] == order[pos]:
+                    for k, v in enumerate(row[3:]):
+                        by_hand[r, row[1], row[2], k] += v
+    assert whole == sorted((r, arm, d, *(by_hand[r, arm, d, k] for k in range(5))) for r, arm, d in {x[:3] for x in by_hand})
     monkeypatch.setattr(bootstrap, "PACK", 40)
-    assert len(whole) > 50 and sorted(map(tuple, bootstrap.resampled(sums, 50).collect())) == whole
+    assert sorted(map(tuple, bootstrap.resampled(frame, 50, block=16, together=7).collect())) == whole
+
+
+@pytest.mark.parametrize("size", [300, 2000, 15_000])
+def test_draws_are_independent(size):
+    replicates = 3000
+    counts = bootstrap.block_counts(0, replicates, size)
+    assert (counts.sum(1) == size).all()
+    weights = np.hstack([bootstrap.block_weights(0, counts[:, b], b, min(bootstrap.BLOCK, size - b * bootstrap.BLOCK)).astype(np.int16) for b in range(counts.shape[1])])
+    assert weights.shape == (replicates, size) and (weights.sum(1) == size).all()
+    values = np.random.default_rng(size).normal(0, 1, size)
+    means = weights @ values / size
+    assert abs(means.std() / (values.std() / size**0.5) - 1) < 0.05  # 3,000 replicates: one sd of this estimate is 1.3 %
+    trend = np.arange(size, dtype=float)  # of neighbours too
+    assert abs((weights @ trend / size).std() / (trend.std() / size**0.5) - 1) < 0.05
+    assert abs((weights > 0).mean() - (1 - (1 - 1 / size) ** size)) < 0.005 and weights.max() > 4
+    assert abs(np.corrcoef(weights[:-1, :200].ravel(), weights[1:, :200].ravel())[0, 1]) < 0.01
 
 
 def test_conservative_bounds(spark):
