@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.functions import score, text
-from scoreloom.operators import assemble, calibrate, ranks, select
+from scoreloom.operators import assemble, calibrate, ranks, select, skyline
 from scoreloom.plans.proxy import AGENTS_SQL, RECORDS_SQL, TOP, agent_columns, agent_outputs, judged, score_records, table
 
 AGENTS = ["cheap", "mid", "strong"]
@@ -113,7 +113,13 @@ def select_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pareto_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that no other of the same brand beats in price and size."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.round(F.col("p_retailprice") * 100).cast("long").alias("price"), F.col("p_size").cast("long").alias("size"))
-    return select.pareto(p, "p_brand", "p_partkey", ["price", "size"])
+    return skyline.skyline(p, ["p_brand"], ["price", "size"]).select("p_brand", "p_partkey", "price", "size")
+
+
+def skyline_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that no other of the same priority beats in price, date and customer number."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.round(F.col("o_totalprice") * 100).cast("long").alias("price"), F.datediff("o_orderdate", F.lit("1970-01-01")).cast("long").alias("day"), F.col("o_custkey").cast("long").alias("customer"))
+    return skyline.skyline(o, ["o_orderpriority"], ["price", "day", "customer"])
 
 
 def latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +223,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         agent_pivot, pivot_faults, difficulty_labels, difficulty_distribution, capability_profile, support_boundary, budget_tiers, stop_boundary, stop_curve, fixture_predictor, stop_risk, pilot_summary, weighted_opinion,
-        oracle_agent, select_threshold, pareto_contexts, latest_wins, journal_recovery, stratified_sample, topk_papers, deterministic_partition, paper_chunks, quota_assembly, cache_coverage, evaluations,
+        oracle_agent, select_threshold, pareto_contexts, skyline_orders, latest_wins, journal_recovery, stratified_sample, topk_papers, deterministic_partition, paper_chunks, quota_assembly, cache_coverage, evaluations,
         reference_policy, select_package, simulate_policy, lookup_joins,
     )
 }
@@ -286,6 +292,8 @@ ORACLES = {
         SELECT dataset, agent, count(*) AS items FROM r WHERE r = 1 GROUP BY ALL""",
     "select_threshold": f"""{_J}, {_PIVOT}, t AS (SELECT t, sum(CASE WHEN cheap_conf < t THEN least(abs(strong_pred - gold), {TOP}) ELSE least(abs(cheap_pred - gold), {TOP}) END)::BIGINT AS units, count(*) FILTER (cheap_conf < t) AS upgrades, count(*) AS n
         FROM piv CROSS JOIN (SELECT UNNEST(range(50, 61)) AS t) GROUP BY t) SELECT t, units, upgrades, n FROM t ORDER BY units + 100 * upgrades, upgrades, t LIMIT 1""",
+    "skyline_orders": """WITH o AS (SELECT o_orderkey, o_orderpriority, round(o_totalprice * 100)::BIGINT AS price, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) AS day, o_custkey AS customer FROM orders)
+        SELECT * FROM o a WHERE NOT EXISTS (SELECT 1 FROM o b WHERE b.o_orderpriority = a.o_orderpriority AND b.price <= a.price AND b.day <= a.day AND b.customer <= a.customer AND (b.price < a.price OR b.day < a.day OR b.customer < a.customer))""",
     "pareto_contexts": """WITH p AS (SELECT p_partkey, p_brand, round(p_retailprice * 100)::BIGINT AS price, p_size::BIGINT AS size FROM part)
         SELECT p_brand, p_partkey, price, size FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.p_brand = a.p_brand AND b.price <= a.price AND b.size <= a.size AND (b.price < a.price OR b.size < a.size))""",
     "latest_wins": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
