@@ -123,27 +123,3 @@ def slopes(rows: DataFrame, features: list[str], target: str) -> DataFrame:
         one = sums.select(F.lit(f).alias("feature"), ratio(F.col(f"s_{f}"), F.col("n")).alias("mean"), F.coalesce(ratio(cov, var) / len(features), F.lit(0.0)).alias("slope"), ratio(F.col("sy"), F.col("n")).alias("target_mean"))
         out = one if out is None else out.unionByName(one)
     return out
-
-
-def fit_stop_risk(rows: DataFrame, features: list[str], target: str, epochs: int = 200, rate: float = 0.1, l2: float = 1e-4) -> dict:
-    """Full-batch logistic descent on standardised features, started at the prior log odds.
-
-    The rows are first reduced to counts of distinct feature values and targets, so an epoch is one small aggregation: these
-    counts, not the rows, are what every epoch reads.
-    """
-    import math
-
-    stats = rows.agg(F.count("*").alias("n"), F.avg(F.col(target).cast("double")).alias("p"), *[e for f in features for e in (F.avg(f).alias(f"m_{f}"), F.stddev_pop(f).alias(f"s_{f}"))]).first()
-    means, scales = [stats[f"m_{f}"] for f in features], [stats[f"s_{f}"] or 1.0 for f in features]
-    prior = min(max(stats["p"], 1e-6), 1 - 1e-6)
-    weights, bias, n = [0.0] * len(features), math.log(prior / (1 - prior)), stats["n"]
-    counted = rows.groupBy(*features, target).agg(F.count("*").alias("c")).cache()
-    from scoreloom.functions.score import stop_risk
-
-    for _ in range(epochs):
-        gap = (stop_risk([F.col(f) for f in features], means, scales, weights, bias) - F.col(target).cast("double")) * F.col("c")
-        g = counted.agg(F.sum(gap).alias("b"), *[F.sum(gap * (F.col(f) - m) / s).alias(f) for f, m, s in zip(features, means, scales, strict=True)]).first()
-        weights = [w - rate * (g[f] / n + l2 * w) for w, f in zip(weights, features, strict=True)]
-        bias -= rate * g["b"] / n
-    counted.unpersist()
-    return {"means": means, "scales": scales, "weights": weights, "bias": bias}

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoreloom.functions import score, text
-from scoreloom.operators import assemble, audit, bootstrap, calibrate, components, quality, select
+from scoreloom.operators import assemble, audit, bootstrap, calibrate, components, fitting, quality, select
 from scoreloom.plans.proxy import judged
 
 
@@ -90,7 +90,7 @@ def test_stop_boundary(spark):
 
 def test_stop_risk_separates(spark):
     rows = spark.createDataFrame([(float(i), float(i % 3), int(i >= 50)) for i in range(60)], "a double, b double, y int")
-    m = calibrate.fit_stop_risk(rows, ["a", "b"], "y", epochs=5)
+    m = fitting.fit_stop_risk(rows, ["a", "b"], "y", epochs=5)
     assert m["weights"][0] > abs(m["weights"][1])
 
 
