@@ -7,18 +7,20 @@ Nodes are runs of ``window - 1`` words, edges are windows of ``window`` words. A
    the same one. Anchors are counted by document, combined before they are shuffled; those of one document alone are done.
 2. The consecutive windows of a text that name one of the other anchors are a piece: its place and the hashes of its nodes. Where
    all pieces of an anchor are equal, each of their windows has the same occurrences, and the piece is one edge of several windows.
-   Other pieces, each distinct one once, are taken apart into edges of one window. An edge keeps the coordinates (document,
-   position) where it occurs first, and goes if no second document has it.
+   Other pieces, each distinct one once, are taken apart into edges of one window: those of one anchor together, or of an anchor
+   with many pieces by a shuffle of edges. An edge keeps the coordinates (document, position) where it occurs first, and goes if no
+   second document has it.
 3. Degrees of nodes are counted and joined to the edges. Edges that follow each other in their source compact to one path, unless
-   the node between them branches. A path is thus a literal passage of its source: (document, position, length).
-4. Paths go back to the pieces, and through these to all places of the texts, where a piece with frequent occurrences is dealt over
-   several tasks. Places whose words and source coordinates advance together are one repeated span; only spans of at least
-   ``window`` words with a source of a smaller id are cut out.
+   the node between them branches (nodes inside a piece are left alone: its windows have the same occurrences anyway). A path is
+   thus a literal passage of its source: (document, position, length).
+4. Pieces carry their edges' coordinates to all places of the texts, where a piece with frequent occurrences is dealt over several
+   tasks. Places whose words and source coordinates advance together are one span. Spans are joined with the paths of their source,
+   and only what lies on a path, at least ``window`` words of a source with a smaller id, is cut out.
 
 Texts that are equal are one class: only its first document takes part, and every later one with at least ``window`` words goes as
 a whole. That needs no window.
 
-What is broadcast is counted first (``broadcast_places``); beyond, anchors, copies and cuts are joined by shuffling.
+What is broadcast is counted first (``broadcast_places``, ``broadcast_anchors``); beyond, anchors and copies are joined by shuffling.
 
 Defined cases: null counts as the empty text; texts shorter than a window lose nothing, also if they are copies; a null id is
 neither smaller nor larger than any other, so its row loses nothing and is no source; rows that repeat an id are one document (a
@@ -28,22 +30,29 @@ compared as such; an empty table gives no rows; other columns are not looked at.
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scoreloom.llm.tables import Workspace
 from scoreloom.llm.words import NOT_SPACE, blocks, ngram_hashes, small_batches, utf8, within_rows, word_hashes
 from scoreloom.operators.skew import hot_values, salted_join
 from scoreloom.session import reliable_checkpoints
 
 WINDOW = 13
-CORE = 5
-#: Anchors, classes of copies or ends of cuts (some 40 bytes each at most) that may be broadcast.
+CORE = 4
+#: Classes of copies (some 24 bytes each) that may be broadcast.
 BROADCAST_PLACES = 1_000_000
+#: Anchors (8 bytes each) that may be broadcast.
+BROADCAST_ANCHORS = 2_000_000
+
+#: Pieces of one anchor that are judged together, pieces judged at a time, and words of a source in which spans and paths meet.
+HOT_KINDS, JUDGED_ROWS, STRETCH = 2000, 50_000, 256
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
@@ -131,12 +140,12 @@ def first_texts(texts: DataFrame, broadcast_places: int) -> tuple[DataFrame, Dat
     return known, known.where(F.col("_id").isNotNull() & (F.col("_first").isNull() | (F.col("_id") == F.col("_first")))).select("_id", "_x", "_t")
 
 
-def shared_pieces(texts: DataFrame, window: int, core: int, broadcast_places: int) -> DataFrame:
+def shared_pieces(texts: DataFrame, window: int, core: int, broadcast_anchors: int) -> DataFrame:
     """(_id, _x, lo, h, nodes): the pieces whose anchor occurs in several documents."""
     anchors = F.arrow_udf(lambda t: anchors_of(t, window, core), T.ArrayType(T.LongType()))
     counted = texts.select("_id", F.explode(anchors("_t")).alias("h")).groupBy("h").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"), F.count("*").alias("n"))
     shared = counted.where("lo < hi").select("h", "n").checkpoint()
-    if _few(shared, broadcast_places):
+    if _few(shared, broadcast_anchors):
         whole = F.arrow_udf(lambda t: pieces_of(t, None, window, core), _PIECE)
         return texts.select("_id", "_x", F.explode(whole("_t")).alias("p")).select("_id", "_x", "p.*").join(F.broadcast(shared.select("h")), "h", "left_semi")
     places = F.arrow_udf(lambda t: pieces_of(t, None, window, core, with_nodes=False), _PIECE)
@@ -147,16 +156,88 @@ def shared_pieces(texts: DataFrame, window: int, core: int, broadcast_places: in
     return texts.join(wanted, ["_id", "_x"]).select("_id", "_x", F.explode(some("_t", "wanted")).alias("p")).select("_id", "_x", "p.*")
 
 
-def repeated_edges(kinds: DataFrame) -> DataFrame:
-    """Distinct pieces (h, u, v, n, nodes, at, last) -> (u, v, n, first, eu, ev, en): the edges of every piece, in place ``first``."""
-    counts = kinds.groupBy("h").agg(F.count("*").alias("k"))
-    frequent = hot_values(counts, "h", "k")
-    marked = salted_join(kinds, counts, "h", frequent, [F.col("u"), F.col("v")])
-    key, source = ["u", "v", "n"], ["at", "last"]
-    whole = marked.where("k = 1").select(*key, *source, F.lit(0).alias("first"), F.col("u").alias("eu"), F.col("v").alias("ev"), F.col("n").alias("en"))
-    single = marked.where("k > 1").select(*key, *source, "nodes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("first"))
-    single = single.select(*key, *source, "first", F.get("nodes", F.col("first")).alias("eu"), F.get("nodes", F.col("first") + 1).alias("ev"), F.lit(1).alias("en"))
-    return whole.unionByName(single)
+_EDGES = "u long, v long, n int, own array<struct<eu:long,ev:long,en:int,pos:int>>, e array<struct<first:int,en:int,sid:{0},sx:long,pos:int>>, sid {0}, sx long"
+
+
+def _judge(table: pa.Table) -> pa.RecordBatch:
+    """Distinct pieces of whole anchors -> their edges that several documents have: e, with the coordinates of their first occurrence,
+    and own, those whose first occurrence is the piece's own."""
+    number = lambda c: table[c].combine_chunks().to_numpy(zero_copy_only=False)
+    h, u, v, n, sx, lo = (number(c) for c in ("h", "u", "v", "n", "sx", "lo"))
+    ids = pa.chunked_array([*table["sid"].chunks, *table["last"].chunks])
+    order = pc.rank(ids, sort_keys="ascending", tiebreaker="dense").to_numpy()
+    sid, last = order[: len(h)].astype(np.int64), order[len(h) :].astype(np.int64)
+    nodes = table["nodes"].combine_chunks()
+    values, begin = nodes.flatten().to_numpy(), np.cumsum(n + 1) - (n + 1)
+    alone = np.ones(len(h), bool)
+    alone[1:] &= h[1:] != h[:-1]
+    alone[:-1] &= h[1:] != h[:-1]
+    count = np.where(alone, 1, n)  # a lone piece is one edge of n windows
+    row = np.repeat(np.arange(len(h)), count)
+    first = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    en = np.where(alone[row], n[row], 1)
+    eu, ev, pos = values[begin[row] + first], values[begin[row] + first + en], lo[row] + first
+    by = np.lexsort((pos, sx[row], sid[row], en, ev, eu))
+    fresh = np.ones(len(by), bool)
+    fresh[1:] = (np.diff(eu[by]) != 0) | (np.diff(ev[by]) != 0) | (np.diff(en[by]) != 0)
+    start = np.flatnonzero(fresh)
+    source = np.empty(len(by), np.int64)
+    source[by] = np.repeat(by[start], np.diff(np.append(start, len(by))))
+    several = np.empty(len(by), bool)
+    several[by] = np.repeat(np.maximum.reduceat(last[row[by]], start) > sid[row[by[start]]], np.diff(np.append(start, len(by))))
+    own = several & (source == np.arange(len(by)))
+    lists = lambda some: pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[some], minlength=len(h)))]), pa.int32())
+    i4, i8 = pa.int32(), pa.int64()
+    mine, all_ = np.flatnonzero(own), np.flatnonzero(several)
+    from_ = source[all_]
+    flat_own = pa.StructArray.from_arrays([pa.array(eu[mine], i8), pa.array(ev[mine], i8), pa.array(en[mine], i4), pa.array(pos[mine], i4)], names=["eu", "ev", "en", "pos"])
+    sids = table["sid"].combine_chunks()
+    flat_all = pa.StructArray.from_arrays([pa.array(first[all_], i4), pa.array(en[all_], i4), sids.take(pa.array(row[from_])), pa.array(sx[row[from_]], i8), pa.array(pos[from_], i4)], names=["first", "en", "sid", "sx", "pos"])
+    out = pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(n, i4), pa.ListArray.from_arrays(lists(mine), flat_own), pa.ListArray.from_arrays(lists(all_), flat_all), sids, pa.array(sx)], names=["u", "v", "n", "own", "e", "sid", "sx"])
+    return out.filter(pc.greater(pc.list_value_length(out["e"]), 0))
+
+
+def judge_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces in the order of their anchors, judged some whole anchors at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= JUDGED_ROWS:
+            table = pa.Table.from_batches(held)
+            h = table["h"].to_numpy()
+            cut = int(np.flatnonzero(h != h[-1])[-1]) + 1 if h[0] != h[-1] else 0
+            if cut:
+                yield _judge(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+    if held:
+        yield _judge(pa.Table.from_batches(held))
+
+
+def edges_of(kinds: DataFrame, space: Workspace) -> DataFrame:
+    """Distinct pieces (h, u, v, n, nodes, sid, sx, lo, last) with their repeated edges: (u, v, n, own, e, sid, sx).
+
+    The pieces of an anchor are judged together; anchors of more than ``HOT_KINDS`` pieces, which may have any share of all, are taken
+    apart into edges, and these are counted by a shuffle of their own hashes.
+    """
+    kind = kinds.schema["sid"].dataType.simpleString()
+    counts = kinds.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
+    frequent = hot_values(counts, "h", "k", least=HOT_KINDS)
+    cool = kinds.where(~F.col("h").isin(frequent)) if frequent else kinds
+    counted = cool.withColumn("k", F.count("*").over(Window.partitionBy("h"))).where(F.col("k") <= HOT_KINDS).drop("k")
+    out = counted.mapInArrow(judge_anchors, _EDGES.format(kind))
+    crowded = counts.where(F.col("k") > HOT_KINDS).select("h")
+    if crowded.isEmpty():
+        return out
+    apart = salted_join(kinds, crowded, "h", frequent, [F.col("u"), F.col("v")], "left_semi")
+    apart = apart.select("u", "v", "n", "sid", "sx", "lo", "last", "nodes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("first"))
+    apart = space.written(apart.select("u", "v", "n", "sid", "sx", "last", "first", (F.col("lo") + F.col("first")).alias("pos"), F.get("nodes", F.col("first")).alias("eu"), F.get("nodes", F.col("first") + 1).alias("ev")), "apart")
+    whose = apart.groupBy("eu", "ev").agg(F.min(F.struct("sid", "sx", "pos")).alias("s"), F.max("last").alias("most")).where("s.sid < most").drop("most")
+    met = apart.join(whose, ["eu", "ev"])
+    mine = F.when((F.col("s.sid") == F.col("sid")) & (F.col("s.sx") == F.col("sx")) & (F.col("s.pos") == F.col("pos")), F.struct("eu", "ev", F.lit(1).alias("en"), "pos"))
+    listed = met.groupBy("u", "v", "n", "sid", "sx").agg(F.collect_list(mine).alias("own"), F.collect_list(F.struct("first", F.lit(1).alias("en"), "s.sid", "s.sx", "s.pos")).alias("e"))
+    return out.unionByName(listed)
 
 
 def compact(edges: DataFrame) -> DataFrame:
@@ -171,50 +252,70 @@ def compact(edges: DataFrame) -> DataFrame:
 
 
 def _chain(rows: pa.Array, window: int) -> pa.Array:
-    """Sorted places (source, start, count, pos) of one document -> spans of which words and source advance together."""
-    names = ["start", "end", "source", "source_start"]
-    out = []
-    for row in rows:
-        spans: list[dict] = []
-        for p in row.as_py():
-            last = spans[-1] if spans else None
-            here = {"start": p["start"], "end": p["start"] + p["n"] + window - 1, "source": p["sid"], "sx": p["sx"], "source_start": p["pos"]}
-            ahead = last and here["start"] - last["start"] == here["source_start"] - last["source_start"] and here["start"] <= last["end"] - window + 1
-            if ahead and (here["source"], here["sx"]) == (last["source"], last["sx"]):
-                last["end"] = max(last["end"], here["end"])
-            else:
-                spans.append(here)
-        out.append([{k: s[k] for k in names} for s in spans])
-    kind = rows.type.value_type.field("sid").type
-    return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source", kind), ("source_start", pa.int32())])))
-
-
-def repeated_spans(first: DataFrame, *, window: int = WINDOW, core: int = CORE, broadcast_places: int = BROADCAST_PLACES) -> tuple[DataFrame, DataFrame]:
+    """Sorted places (start, source, sx, count, pos) of one document each -> spans of which words and source advance together."""
+    flat, sizes = rows.flatten(), rows.value_lengths().to_numpy(zero_copy_only=False)
+    start, n, pos, sx = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n", "pos", "sx"))
+    document = np.repeat(np.arange(len(sizes)), sizes)
+    names = flat.field("sid").dictionary_encode()
+    source = names.indices.to_numpy(zero_copy_only=False)
+    line = start - pos  # the same along a span
+    by = np.lexsort((start, line, sx, source, document))
+    stop = (start + n)[by]  # windows, one after the other
+    same = np.zeros(len(by), bool)
+    for c in (document, source, sx, line):
+        same[1:] |= np.diff(c[by]) != 0
+    same[:1] = True
+    group = np.cumsum(same)
+    reach = np.maximum.accumulate(stop + group * (int(stop.max(initial=0)) + 1)) - group * (int(stop.max(initial=0)) + 1)
+    fresh = same.copy()
+    fresh[1:] |= start[by][1:] > reach[:-1]
+    at = np.flatnonzero(fresh)
+    end = np.maximum.reduceat(stop, at) + window - 1 if len(at) else stop
+    head = by[at]
+    counts = np.concatenate([[0], np.cumsum(np.bincount(document[head], minlength=len(sizes)))])
+    flat_out = pa.StructArray.from_arrays([pa.array(start[head], pa.int32()), pa.array(end, pa.int32()), flat.field("sid").take(pa.array(head)), pa.array(sx[head]), pa.array(pos[head], pa.int32())], names=["start", "end", "source", "sx", "source_start"])
+    return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), flat_out)
+
+
+def repeated_spans(first: DataFrame, space: Workspace, *, window: int = WINDOW, core: int = CORE, broadcast_anchors: int = BROADCAST_ANCHORS) -> tuple[DataFrame, DataFrame]:
     """Of distinct texts (_id, _x, _t): spans (_id, _x, spans: start, end, source, source_start in words) that a document with a smaller
     id has too, as chains of windows; and paths (source, start, end), the compacted passages of the graph."""
-    spark = first.sparkSession
-    folder = f"{spark._jsc.sc().getCheckpointDir().get()}/pieces-{uuid.uuid4().hex}"
-    found = shared_pieces(first, window, core, broadcast_places)
-    found.select("_id", "_x", "lo", "h", "nodes").write.parquet(folder)
-    found = spark.read.parquet(folder).withColumns({"u": F.get("nodes", F.lit(0)), "v": F.element_at("nodes", -1), "n": F.size("nodes") - 1})
+    found = shared_pieces(first, window, core, broadcast_anchors)
+    found = space.written(found.select("_id", "_x", "lo", "h", F.get("nodes", F.lit(0)).alias("u"), F.element_at("nodes", -1).alias("v"), (F.size("nodes") - 1).alias("n"), "nodes"), "pieces")
     kinds = found.groupBy("h", "u", "v", "n").agg(F.min(F.struct("_id", "_x", "lo")).alias("at"), F.max("_id").alias("last"), F.count("*").alias("m"), F.first("nodes").alias("nodes"))
-    kinds = kinds.checkpoint()
-    parts = repeated_edges(kinds).checkpoint()
-    source = F.struct(F.col("at._id").alias("sid"), F.col("at._x").alias("sx"), (F.col("at.lo") + F.col("first")).alias("pos"))
-    edges = parts.groupBy("eu", "ev", "en").agg(F.min(source).alias("s"), F.max("last").alias("last")).where("s.sid < last").select("eu", "ev", "en", "s.*")
-    paths = compact(edges).checkpoint()
-    by_piece = parts.select("u", "v", "n", "first", "eu", "ev", "en").join(paths, ["eu", "ev", "en"])
-    by_piece = by_piece.groupBy("u", "v", "n").agg(F.collect_list(F.struct("first", "en", "sid", "sx", "pos")).alias("e"))
-    often = kinds.groupBy("u").agg(F.sum("m").alias("m"))
-    places = salted_join(found.select("_id", "_x", "lo", "u", F.col("v").alias("v2"), F.col("n").alias("n2")), by_piece, "u", hot_values(often, "u", "m"), [F.col("_id"), F.col("_x"), F.col("lo")])
+    kinds = space.written(kinds.select("h", "u", "v", "n", F.col("at._id").alias("sid"), F.col("at._x").alias("sx"), "at.lo", "last", "m", "nodes"), "kinds")
+    judged = space.written(edges_of(kinds.drop("m"), space), "judged")
+    often = hot_values(kinds.groupBy("u").agg(F.sum("m").alias("m")), "u", "m")
+    space.drop("kinds", "apart")
+    paths = space.written(compact(judged.select("sid", "sx", F.explode("own").alias("x")).select("sid", "sx", "x.*")), "paths")
+    by_piece = judged.select("u", "v", "n", "e")
+    places = salted_join(found.select("_id", "_x", "lo", "u", F.col("v").alias("v2"), F.col("n").alias("n2")), by_piece, "u", often, [F.col("_id"), F.col("_x"), F.col("lo")])
     earlier = F.filter("e", lambda x: x["sid"] < F.col("_id"))
-    moved = F.transform(earlier, lambda x: F.struct(x["sid"].alias("sid"), x["sx"].alias("sx"), (F.col("lo") + x["first"]).alias("start"), x["en"].alias("n"), x["pos"].alias("pos")))
-    hit = places.where("v = v2 AND n = n2").select("_id", "_x", F.explode(moved).alias("z")).distinct()
-    kind = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("source", first.schema["_id"].dataType), T.StructField("source_start", T.IntegerType())]))
-    chained = F.arrow_udf(lambda rows: _chain(rows, window), kind)
-    by_text = hit.groupBy("_id", "_x").agg(F.array_sort(F.collect_list(F.struct("z.start", "z.sid", "z.sx", "z.n", "z.pos"))).alias("rows"))
-    whole = paths.groupBy("sid", "sx", "path").agg(F.max(F.col("pos") + F.col("en")).alias("end"))
-    return by_text.select("_id", "_x", chained("rows").alias("spans")), whole.select(F.col("sid").alias("source"), F.col("path").alias("start"), (F.col("end") + window - 1).alias("end"))
+    moved = F.transform(earlier, lambda x: F.struct((F.col("lo") + x["first"]).alias("start"), x["sid"].alias("sid"), x["sx"].alias("sx"), x["en"].alias("n"), x["pos"].alias("pos")))
+    hit = places.where("v = v2 AND n = n2").select("_id", "_x", moved.alias("z")).where(F.size("z") > 0)
+    source = first.schema["_id"].dataType.simpleString()
+    chained = F.arrow_udf(lambda rows: _chain(rows, window), f"array<struct<start:int,end:int,source:{source},sx:long,source_start:int>>")
+    by_text = hit.groupBy("_id", "_x").agg(F.sort_array(F.flatten(F.collect_list("z"))).alias("rows")).select("_id", "_x", F.explode(chained("rows")).alias("s"))
+    whole = paths.groupBy("sid", "sx", "path").agg((F.max(F.col("pos") + F.col("en")) + window - 1).alias("stop"))
+    verified = on_paths(by_text.select("_id", "_x", "s.*"), whole, window)
+    return verified, whole.select(F.col("sid").alias("source"), F.col("path").alias("start"), F.col("stop").alias("end"))
+
+
+def on_paths(spans: DataFrame, paths: DataFrame, window: int) -> DataFrame:
+    """(_id, _x, spans): the parts of spans whose source coordinates lie on a path, at least a window each, in order.
+
+    Spans and paths meet in stretches of ``STRETCH`` words of the source; a source with many spans is dealt over several tasks.
+    """
+    stretch = lambda lo, hi: F.explode(F.sequence((lo / STRETCH).cast("int"), ((hi - 1) / STRETCH).cast("int")))
+    begin, size = F.col("source_start"), F.col("end") - F.col("start")
+    cut = spans.select("*", stretch(begin, begin + size - window + 1).alias("part")).withColumn("key", F.xxhash64("source", "sx", "part"))
+    road = paths.select(F.col("sid").alias("source2"), F.col("sx").alias("sx2"), F.col("path").alias("from"), "stop", stretch(F.col("path"), F.col("stop") - window + 1).alias("part2")).withColumn("key", F.xxhash64("source2", "sx2", "part2"))
+    many = hot_values(cut.groupBy("key").agg(F.count("*").alias("n")), "key", "n")
+    met = salted_join(cut, road, "key", many, [F.col("_id"), F.col("_x"), F.col("start")]).where((F.col("source") == F.col("source2")) & (F.col("sx") == F.col("sx2")) & (F.col("part") == F.col("part2")))
+    lo = F.greatest(begin, F.col("from"), F.col("part") * STRETCH)  # windows that begin in this stretch
+    hi = F.least(begin + size, F.col("stop"), (F.col("part") + 1) * STRETCH + window - 1)
+    kept = met.select("_id", "_x", (F.col("start") + lo - begin).alias("start"), (F.col("start") + hi - begin).alias("end"), "source", lo.alias("source_start")).where(F.col("end") - F.col("start") >= window)
+    return kept.groupBy("_id", "_x").agg(F.sort_array(F.collect_list(F.struct("start", "end", "source", "source_start"))).alias("spans"))
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -222,23 +323,24 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("_id"), F.xxhash64(raw).alias("_x"), F.xxhash64(F.lit(1), raw).alias("_y"), raw.alias("_t"))
 
 
-def repeated_paths(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, core: int = CORE, broadcast_places: int = BROADCAST_PLACES) -> DataFrame:
+def repeated_paths(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, core: int = CORE, broadcast_places: int = BROADCAST_PLACES, broadcast_anchors: int = BROADCAST_ANCHORS) -> DataFrame:
     """(source, start, end): every compacted path of the graph as a passage [start, end), in words, of the document that has it first."""
     reliable_checkpoints(docs.sparkSession)
     small_batches(docs.sparkSession)
     _, first = first_texts(_texts(docs, id_col, text_col), broadcast_places)
-    return repeated_spans(first, window=window, core=core, broadcast_places=broadcast_places)[1]
+    return repeated_spans(first, Workspace(docs.sparkSession, "passages"), window=window, core=core, broadcast_anchors=broadcast_anchors)[1]
 
 
-def remove_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, core: int = CORE, broadcast_places: int = BROADCAST_PLACES) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, core: int = CORE, broadcast_places: int = BROADCAST_PLACES, broadcast_anchors: int = BROADCAST_ANCHORS) -> DataFrame:
     """Per row of ``docs``: the id, n_words, spans (start, end, source, source_start, in words; a copy has one without a place in it),
     removed (the words of these as disjoint [start, end)) and kept (the other words joined by blanks)."""
     reliable_checkpoints(docs.sparkSession)
     small_batches(docs.sparkSession)
     known, first = first_texts(_texts(docs, id_col, text_col), broadcast_places)
-    spans = repeated_spans(first, window=window, core=core, broadcast_places=broadcast_places)[0].checkpoint()
-    few = spans.agg(F.coalesce(F.sum(F.size("spans") + 2), F.lit(0))).first()[0] <= broadcast_places
-    joined = known.join(_maybe_broadcast(spans, few), ["_id", "_x"], "left").withColumn("_copy", F.coalesce(F.col("_id") > F.col("_first"), F.lit(False)))
+    space = Workspace(docs.sparkSession, "passages")
+    spans = space.written(repeated_spans(first, space, window=window, core=core, broadcast_anchors=broadcast_anchors)[0], "spans")
+    space.drop("pieces", "judged", "paths")
+    joined = known.join(spans, ["_id", "_x"], "left").withColumn("_copy", F.coalesce(F.col("_id") > F.col("_first"), F.lit(False)))
 
     @F.arrow_udf(T.StructType([T.StructField("n_words", T.LongType()), T.StructField("removed", _SPANS), T.StructField("kept", T.StringType())]))
     def without(text: pa.Array, starts: pa.Array, ends: pa.Array, copy: pa.Array) -> pa.Array:

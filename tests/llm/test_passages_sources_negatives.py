@@ -66,8 +66,9 @@ def passages(rng, n, vocabulary=60):
 ODD_TEXTS = [None, "", " \t\r\n\x0b\x0c ", "w1 " * 40, "w1 " * 12, "w1 " * 13, "A a\x1cb \xa0 é　x " * 9, "A a\x1cb \xa0 é　x " * 9, "a A\x1cb \xa0 é　x " * 9]
 
 
-@pytest.mark.parametrize("bound", [10**6, 0])
-def test_passages_equal_brute_force(spark, bound):
+@pytest.mark.parametrize(("bound", "crowd"), [(10**6, 2000), (0, 1)])
+def test_passages_equal_brute_force(spark, monkeypatch, bound, crowd):
+    monkeypatch.setattr(debruijn, "HOT_KINDS", crowd)
     rng = random.Random(11)
     rows = list(enumerate(passages(rng, 150) + ODD_TEXTS))
     rng.shuffle(rows)
