@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scoreloom.functions.score import ratio, wilson_upper
 from scoreloom.operators.quality import kappa_of_moments, moments
 from scoreloom.operators.ranks import label_of, quantiles
+from scoreloom.operators.strict import refuse
 from scoreloom.plans.proxy import TOP
 
 
@@ -86,14 +87,17 @@ def budget_tiers(traces: DataFrame, resources: list[str], tiers: dict[str, float
     return out
 
 
-def stop_curve(rows: DataFrame, buckets: int = 1000) -> DataFrame:
+def stop_curve(rows: DataFrame, buckets: int = 1000, datasets: list[str] | None = None) -> DataFrame:
     """For every distinct risk and dataset: stops and unsafe stops at or below it.
 
     ``risk`` lies in 0..1. Running sums are taken inside buckets of risk and added to the sums of the buckets below, so no
-    task sees all thresholds; every dataset gets a row at every threshold.
+    task sees all thresholds; every dataset gets a row at every threshold: those of the rows, or of the protocol's ``datasets``.
+    A risk outside 0..1 or a dataset outside the protocol makes the job fail.
     """
+    known = F.col("dataset").isin(datasets) if datasets else F.col("dataset").isNotNull()
+    rows = refuse(rows, ~F.coalesce(F.col("risk").between(0.0, 1.0) & ~F.isnan("risk") & known, F.lit(False)), F.concat_ws(" ", F.lit("illegal risk or dataset:"), F.col("risk").cast("string"), "dataset"))
     per = rows.groupBy("risk", "dataset").agg(F.count("*").alias("s"), F.count_if("unsafe").alias("u")).withColumn("bucket", F.least(F.floor(F.col("risk") * buckets), F.lit(buckets - 1)).cast("int"))
-    names = rows.select("dataset").distinct()
+    names = rows.sparkSession.createDataFrame([(d,) for d in datasets], "dataset string") if datasets else rows.select("dataset").distinct()
     grid = per.select("risk", "bucket").distinct().crossJoin(F.broadcast(names))  # the protocol's few datasets
     full = grid.join(per.drop("bucket"), ["risk", "dataset"], "left").na.fill(0, ["s", "u"])
     base = per.groupBy("bucket", "dataset").agg(F.sum("s").alias("s"), F.sum("u").alias("u"))
@@ -104,10 +108,10 @@ def stop_curve(rows: DataFrame, buckets: int = 1000) -> DataFrame:
     return full.withColumns({"s": F.sum("s").over(inside), "u": F.sum("u").over(inside)}).join(before, ["bucket", "dataset"]).select("risk", "dataset", (F.col("s") + F.col("s0")).alias("stops"), (F.col("u") + F.col("u0")).alias("unsafe"))
 
 
-def stop_boundary(rows: DataFrame, least: int, limit: float) -> DataFrame:
-    """The threshold that stops most items while every dataset has ``least`` stops and a Wilson bound within ``limit``; ties go
+def stop_boundary(rows: DataFrame, least: int, limit: float, datasets: list[str] | None = None) -> DataFrame:
+    """The threshold that stops most items while every dataset (of the protocol, also one without rows) has ``least`` stops and a Wilson bound within ``limit``; ties go
     to the lower worst bound, then to the lower threshold; one row, with a null boundary if there is none."""
-    curve = stop_curve(rows).withColumn("ucb", wilson_upper(F.col("unsafe"), F.col("stops")))
+    curve = stop_curve(rows, datasets=datasets).withColumn("ucb", wilson_upper(F.col("unsafe"), F.col("stops")))
     per = curve.groupBy("risk").agg(F.sum("stops").alias("stops"), F.max("ucb").alias("worst"), F.bool_and((F.col("stops") >= least) & (F.col("ucb") <= limit)).alias("ok"))
     best = per.where("ok").agg(F.min_by(F.struct("risk", "stops", "worst"), F.struct(-F.col("stops"), "worst", "risk")).alias("b"))
     return best.select(F.col("b.risk").alias("boundary"), F.col("b.stops").alias("stops"), F.floor(F.col("b.worst") * 1e9 + 0.5).alias("worst_ucb_e9"), F.when(F.col("b").isNull(), "no_safe_stop_boundary").otherwise("success").alias("status"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def reference_policies(evaluations: DataFrame, budgets: list[str]) -> DataFrame:
-    """Per budget the admissible policy with the least (severe, unsafe, nmae, -qwk, cost, calls, id); a row without a policy
+    """Per budget the admissible policy with the least (severe, unsafe, nmae, -qwk, cost, elapsed, calls, exchanges, id); a row without a policy
     and with a reason where none is admissible."""
-    key = F.struct("worst_severe", "worst_unsafe", "nmae", -F.col("qwk"), "cost", "calls", "policy")
+    key = F.struct("worst_severe", "worst_unsafe", "nmae", -F.col("qwk"), "cost", "elapsed", "calls", "exchanges", "policy")
     best = evaluations.where(F.col("ready") & F.col("feasible")).groupBy("budget").agg(F.min_by("policy", key).alias("policy"), F.count("*").alias("eligible"))
     every = evaluations.sparkSession.createDataFrame([(b,) for b in budgets], "budget string")
     return every.join(best, "budget", "left").select("budget", "policy", F.coalesce("eligible", F.lit(0)).cast("long").alias("eligible"), F.when(F.col("policy").isNull(), "no_eligible_policy").otherwise("selected").alias("status"))

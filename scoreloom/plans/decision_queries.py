@@ -60,7 +60,7 @@ def _risks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stop_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calibrate.stop_boundary(_risks(spark, sf_dir), 100, 0.05)
+    return calibrate.stop_boundary(_risks(spark, sf_dir), 100, 0.05, ["A", "N", "R"])
 
 
 def stop_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,16 +100,6 @@ def oracle_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.groupBy("dataset", "agent").agg(F.count("*").alias("items"))
 
 
-def select_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of a grid of confidence thresholds the one of the least error plus weighted cost; below it the strong agent answers."""
-    p = calibrate.pivot_agents(agent_outputs(spark, sf_dir), AGENTS)
-    grid = spark.range(50, 61).withColumnRenamed("id", "t")
-    err = lambda a: F.least(F.abs(F.col(f"{a}_pred") - F.col("gold")), F.lit(TOP).cast("long"))
-    up = F.col("cheap_conf") < F.col("t")
-    tried = p.crossJoin(F.broadcast(grid)).groupBy("t").agg(F.sum(F.when(up, err("strong")).otherwise(err("cheap"))).alias("units"), F.count_if(up).alias("upgrades"), F.count("*").alias("n"))  # eleven thresholds
-    return tried.agg(F.min_by(F.struct("t", "units", "upgrades", "n"), F.struct(F.col("units") + 100 * F.col("upgrades"), "upgrades", "t")).alias("b")).select("b.*")
-
-
 def pareto_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that no other of the same brand beats in price and size."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.round(F.col("p_retailprice") * 100).cast("long").alias("price"), F.col("p_size").cast("long").alias("size"))
@@ -223,7 +213,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         agent_pivot, pivot_faults, difficulty_labels, difficulty_distribution, capability_profile, support_boundary, budget_tiers, stop_boundary, stop_curve, fixture_predictor, stop_risk, pilot_summary, weighted_opinion,
-        oracle_agent, select_threshold, pareto_contexts, skyline_orders, latest_wins, journal_recovery, stratified_sample, topk_papers, deterministic_partition, paper_chunks, quota_assembly, cache_coverage, evaluations,
+        oracle_agent, pareto_contexts, skyline_orders, latest_wins, journal_recovery, stratified_sample, topk_papers, deterministic_partition, paper_chunks, quota_assembly, cache_coverage, evaluations,
         reference_policy, select_package, simulate_policy, lookup_joins,
     )
 }
@@ -290,8 +280,6 @@ ORACLES = {
         / (greatest(cheap_conf, 1) + greatest(mid_conf, 1) + greatest(strong_conf, 1))::DOUBLE AS weighted_pred FROM piv""",
     "oracle_agent": f"""{_J}, {_SEEN}, r AS (SELECT item_id, dataset, agent, row_number() OVER (PARTITION BY item_id, dataset ORDER BY units, cost, agent) AS r FROM seen)
         SELECT dataset, agent, count(*) AS items FROM r WHERE r = 1 GROUP BY ALL""",
-    "select_threshold": f"""{_J}, {_PIVOT}, t AS (SELECT t, sum(CASE WHEN cheap_conf < t THEN least(abs(strong_pred - gold), {TOP}) ELSE least(abs(cheap_pred - gold), {TOP}) END)::BIGINT AS units, count(*) FILTER (cheap_conf < t) AS upgrades, count(*) AS n
-        FROM piv CROSS JOIN (SELECT UNNEST(range(50, 61)) AS t) GROUP BY t) SELECT t, units, upgrades, n FROM t ORDER BY units + 100 * upgrades, upgrades, t LIMIT 1""",
     "skyline_orders": """WITH o AS (SELECT o_orderkey, o_orderpriority, round(o_totalprice * 100)::BIGINT AS price, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) AS day, o_custkey AS customer FROM orders)
         SELECT * FROM o a WHERE NOT EXISTS (SELECT 1 FROM o b WHERE b.o_orderpriority = a.o_orderpriority AND b.price <= a.price AND b.day <= a.day AND b.customer <= a.customer AND (b.price < a.price OR b.day < a.day OR b.customer < a.customer))""",
     "pareto_contexts": """WITH p AS (SELECT p_partkey, p_brand, round(p_retailprice * 100)::BIGINT AS price, p_size::BIGINT AS size FROM part)
@@ -311,7 +299,7 @@ ORACLES = {
         SELECT paper, dataset, item_id, row_number() OVER (PARTITION BY paper ORDER BY sha256(concat_ws(chr(31), '7', paper, item_id)), item_id) - 1 AS position FROM p""",
     "cache_coverage": f"{_J} SELECT agent, count(*) AS records, count(DISTINCT item_id) AS items, count(*) FILTER (status = 'success') AS successes, sum(cost)::BIGINT AS cost FROM agents GROUP BY agent",
     "evaluations": f"{_J}, {_SEEN}, {_EVAL} SELECT * FROM evals",
-    "reference_policy": f"""{_J}, {_SEEN}, {_EVAL}, r AS (SELECT budget, package, row_number() OVER (PARTITION BY budget ORDER BY worst_severe, worst_unsafe, nmae, -qwk, cost, calls, package) AS r, count(*) OVER (PARTITION BY budget) AS c FROM evals WHERE feasible)
+    "reference_policy": f"""{_J}, {_SEEN}, {_EVAL}, r AS (SELECT budget, package, row_number() OVER (PARTITION BY budget ORDER BY worst_severe, worst_unsafe, nmae, -qwk, cost, calls * 2, calls, 0, package) AS r, count(*) OVER (PARTITION BY budget) AS c FROM evals WHERE feasible)
         SELECT b AS budget, package AS policy, coalesce(c, 0) AS eligible, CASE WHEN package IS NULL THEN 'no_eligible_policy' ELSE 'selected' END AS status FROM (VALUES ('Tight'), ('Medium'), ('Loose')) v(b) LEFT JOIN r ON b = budget AND r = 1""",
     "select_package": f"""{_J}, {_SEEN}, {_EVAL}, a AS (SELECT package, count(*) FILTER (feasible AND worst_severe <= 200000) = 3 AS admitted,
           string_agg(budget || ':' || CASE WHEN NOT feasible THEN 'infeasible' ELSE 'gate_inferior' END, ';' ORDER BY budget) FILTER (NOT feasible OR worst_severe > 200000) AS why FROM evals GROUP BY package),
