@@ -297,7 +297,7 @@ def repeated_spans(first: DataFrame, space: Workspace, *, window: int = WINDOW,
     chained = F.arrow_udf(lambda rows: _chain(rows, window), f"array<struct<start:int,end:int,source:{source},sx:long,source_start:int>>")
     by_text = hit.groupBy("_id", "_x").agg(F.sort_array(F.flatten(F.collect_list("z"))).alias("rows")).select("_id", "_x", F.explode(chained("rows")).alias("s"))
     whole = paths.groupBy("sid", "sx", "path").agg((F.max(F.col("pos") + F.col("en")) + window - 1).alias("stop"))
-    verified = on_paths(by_text.select("_id", "_x", "s.*"), whole, window)
+    verified = on_paths(space.written(by_text.select("_id", "_x", "s.*"), "chained"), whole, window)
     return verified, whole.select(F.col("sid").alias("source"), F.col("path").alias("start"), F.col("stop").alias("end"))
 
 
@@ -339,7 +339,7 @@ def remove_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_co
     known, first = first_texts(_texts(docs, id_col, text_col), broadcast_places)
     space = Workspace(docs.sparkSession, "passages")
     spans = space.written(repeated_spans(first, space, window=window, core=core, broadcast_anchors=broadcast_anchors)[0], "spans")
-    space.drop("pieces", "judged", "paths")
+    space.drop("pieces", "judged", "paths", "chained")
     joined = known.join(spans, ["_id", "_x"], "left").withColumn("_copy", F.coalesce(F.col("_id") > F.col("_first"), F.lit(False)))
 
     @F.arrow_udf(T.StructType([T.StructField("n_words", T.LongType()), T.StructField("removed", _SPANS), T.StructField("kept", T.StringType())]))
