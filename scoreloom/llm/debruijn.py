@@ -233,8 +233,9 @@ def edges_of(kinds: DataFrame, space: Workspace) -> DataFrame:
     apart = salted_join(kinds, crowded, "h", frequent, [F.col("u"), F.col("v")], "left_semi")
     apart = apart.select("u", "v", "n", "sid", "sx", "lo", "last", "nodes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("first"))
     apart = space.written(apart.select("u", "v", "n", "sid", "sx", "last", "first", (F.col("lo") + F.col("first")).alias("pos"), F.get("nodes", F.col("first")).alias("eu"), F.get("nodes", F.col("first") + 1).alias("ev")), "apart")
-    whose = apart.groupBy("eu", "ev").agg(F.min(F.struct("sid", "sx", "pos")).alias("s"), F.max("last").alias("most")).where("s.sid < most").drop("most")
-    met = apart.join(whose, ["eu", "ev"])
+    whose = apart.groupBy("eu", "ev").agg(F.min(F.struct("sid", "sx", "pos")).alias("s"), F.max("last").alias("most"), F.count("*").alias("m")).where("s.sid < most")
+    whose = space.written(whose.select(F.xxhash64("eu", "ev").alias("edge"), F.col("eu").alias("eu2"), F.col("ev").alias("ev2"), "s", "m"), "whose")
+    met = salted_join(apart.withColumn("edge", F.xxhash64("eu", "ev")), whose.drop("m"), "edge", hot_values(whose, "edge", "m"), [F.col("u"), F.col("v")]).where("eu = eu2 AND ev = ev2")
     mine = F.when((F.col("s.sid") == F.col("sid")) & (F.col("s.sx") == F.col("sx")) & (F.col("s.pos") == F.col("pos")), F.struct("eu", "ev", F.lit(1).alias("en"), "pos"))
     listed = met.groupBy("u", "v", "n", "sid", "sx").agg(F.collect_list(mine).alias("own"), F.collect_list(F.struct("first", F.lit(1).alias("en"), "s.sid", "s.sx", "s.pos")).alias("e"))
     return out.unionByName(listed)
@@ -286,7 +287,7 @@ def repeated_spans(first: DataFrame, space: Workspace, *, window: int = WINDOW,
     kinds = space.written(kinds.select("h", "u", "v", "n", F.col("at._id").alias("sid"), F.col("at._x").alias("sx"), "at.lo", "last", "m", "nodes"), "kinds")
     judged = space.written(edges_of(kinds.drop("m"), space), "judged")
     often = hot_values(kinds.groupBy("u").agg(F.sum("m").alias("m")), "u", "m")
-    space.drop("kinds", "apart")
+    space.drop("kinds", "apart", "whose")
     paths = space.written(compact(judged.select("sid", "sx", F.explode("own").alias("x")).select("sid", "sx", "x.*")), "paths")
     by_piece = judged.select("u", "v", "n", "e")
     places = salted_join(found.select("_id", "_x", "lo", "u", F.col("v").alias("v2"), F.col("n").alias("n2")), by_piece, "u", often, [F.col("_id"), F.col("_x"), F.col("lo")])
