@@ -18,7 +18,10 @@ them, 1/2 for the rest. The yardstick of a site is its deepest branch that holds
 text, only what repeats goes (content importance below ``REPEAT``, ``REPEAT_PAGES`` pages without repeats being assumed), and paragraphs and headings of an article never do. A branch
 on fewer than ``SUPPORT`` of its site's pages is no part of the site's style: there the role alone decides.
 
-What no statistics can see goes by its role alone: scripts, styles, forms and their controls, hidden elements, reader comments.
+What no statistics can see goes by its role alone: scripts, styles, forms and their controls, hidden elements, reader comments. A form
+stays if it holds the page's article, a heading of the first level or more than half of the page's text, and a part named after
+comments if it holds such a heading; classes that name a state ("no-comments") name no part. ``head`` ends where the standard
+ends it: at its end tag, or at the first tag or text that is none of its own.
 
 Tree statistics are aggregations with partial sums, keyed by node and value; pages are never gathered by host. Copies of a page
 count once. What comes back to the pages is the list of exceptions per host, plain branches that go and noise-like ones that
@@ -61,10 +64,15 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt",
     "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
+    "math", "mfrac", "mi", "mn", "mo", "mover", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtext", "munder", "munderover", "semantics", "tspan",
 }
-DROP_TAGS = {"form", "button", "select", "option", "fieldset", "dialog", "head", "svg", "canvas", "object", "audio", "video", "map", "math", "datalist"}
+DROP_TAGS = {"button", "select", "option", "dialog", "head", "canvas", "audio", "video", "map", "datalist"}
+FORM_TAGS = {"form", "fieldset"}
+HEAD_TAGS = {"base", "link", "meta", "title", "script", "style", "noscript", "template"}
 DROP_ROLES = {"search", "form", "alertdialog", "dialog"}
 DROP_WORDS = {"comment", "comments", "commentlist", "disqus"}
+# Words beside one of these in a class that make it a state of the page ("no-comments", "comments-enabled").
+STATE_WORDS = {"no", "non", "has", "have", "with", "without", "enabled", "disabled", "open", "opened", "closed", "on", "off", "allow", "allowed", "hide", "show"}
 NOISE_TAGS = {"nav", "aside", "footer", "menu"}
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "menu", "menubar", "alert", "toolbar", "tablist"}
 ARTICLE_TAGS = {"article", "main"}
@@ -96,15 +104,26 @@ NOISE, PLAIN, TEXT = 0, 1, 2
 class Node:
     """A block element; ``parts`` holds its pieces of text and its child elements in page order."""
 
-    __slots__ = ("tag", "label", "drop", "noise", "soft", "parts", "up", "role", "path")
+    __slots__ = ("tag", "label", "drop", "noise", "soft", "parts", "up", "role", "path", "form", "talk")
 
     def __init__(self, tag: str, label: str, drop: bool, noise: bool, soft: bool, up: Node | None):
         self.tag, self.label, self.drop, self.noise, self.soft, self.up = tag, label, drop, noise, soft, up
         self.parts: list[str | Node] = []
         self.role, self.path = PLAIN, 0
+        self.form, self.talk = tag in FORM_TAGS, False  # what goes unless it holds the article
+
+
+def _names_comments(value: str) -> bool:
+    """Whether a class or id has a name of a part for reader comments."""
+    for name in value.split():
+        words = {w.lower() for w in _WORDS.findall(name)}
+        if words & DROP_WORDS and not words & STATE_WORDS:
+            return True
+    return False
 
 
 def _open(tag: str, attributes: str, up: Node) -> Node:
+    talk = False
     drop, noise, soft = tag in DROP_TAGS, tag in NOISE_TAGS, tag == "header"
     label = tag
     if attributes and not attributes.isspace():
@@ -115,13 +134,21 @@ def _open(tag: str, attributes: str, up: Node) -> Node:
                 if name == "class" or named & NOISE_WORDS:
                     label += ("." if name == "class" else "#") + ".".join(sorted(value.split()))
                 soft = soft or bool(named & NOISE_WORDS)
-                drop = drop or bool(named & DROP_WORDS) and tag not in ("html", "body")
+                talk = talk or bool(named & DROP_WORDS) and tag not in ("html", "body") and _names_comments(value)
             elif name == "role":
                 noise = noise or value.lower() in NOISE_ROLES
                 drop = drop or value.lower() in DROP_ROLES
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
                 drop = True
-    return Node(tag, label, drop, noise, soft, up)
+    node = Node(tag, label, drop, noise, soft, up)
+    node.talk = talk
+    return node
+
+
+def _in_article(node: Node | None) -> bool:
+    while node is not None and node.tag not in ARTICLE_TAGS:
+        node = node.up
+    return node is not None
 
 
 def parse(html: str) -> Node:
@@ -131,6 +158,8 @@ def parse(html: str) -> Node:
     while at < n:
         lt = html.find("<", at)
         if lt < 0:
+            if here.tag == "head" and not html[at:].isspace():
+                here = here.up
             here.parts.append(html[at:])
             break
         found = _TOKEN.match(html, lt) or _LOOSE.match(html, lt)
@@ -139,6 +168,8 @@ def parse(html: str) -> Node:
             at = lt + 1
             continue
         if lt > at:
+            if here.tag == "head" and not html[at:lt].isspace():
+                here = here.up
             here.parts.append(html[at:lt])
         at = found.end()
         if not found.group(2):
@@ -153,7 +184,9 @@ def parse(html: str) -> Node:
             if node.up is not None:
                 here = node.up
             continue
-        if tag in RAW:
+        if here.tag == "head" and tag not in HEAD_TAGS:
+            here = here.up
+        if tag in RAW and not (tag == "noscript" and _in_article(here)):
             close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(html, at)
             stop = html.find(">", close.end()) if close else -1
             at = stop + 1 if stop >= 0 else n
@@ -213,6 +246,22 @@ def read(html: str) -> list[Node]:
             while up is not None and id(up) not in holds:
                 holds.add(id(up))
                 up = up.up
+    titled: set[int] = set()
+    length: dict[int, int] = {}
+    if any(n.form or n.talk for n in every):
+        for node in every:
+            up = node if node.tag == "h1" else None
+            while up is not None and id(up) not in titled:
+                titled.add(id(up))
+                up = up.up
+        for node in reversed(every):  # children first
+            own = length.get(id(node), 0) + (0 if node.drop else sum(len(x) for x in node.parts if type(x) is str and not x.isspace()))
+            length[id(node)] = own
+            if node.up is not None:
+                length[id(node.up)] = length.get(id(node.up), 0) + own
+        for node in every:
+            most = 2 * length[id(node)] > length[id(root)]
+            node.drop = node.drop or node.form and id(node) not in holds and not most or node.talk and id(node) not in titled
     kept: list[Node] = []
     todo = [(root, 0)]
     while todo:

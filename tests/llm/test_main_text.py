@@ -98,3 +98,26 @@ def test_query_gives_the_articles_and_the_tree_agrees_with_the_roles(spark):
     yard = trees.where("role = 2").groupBy("site").agg(F.min("importance").alias("yard"))
     judged = trees.where("role = 0").join(yard, "site").agg(F.count("*").alias("n"), F.count_if(F.col("importance") < h.RATIO * F.col("yard")).alias("low")).first()
     assert judged.n == judged.low >= 10
+
+
+STORY = " ".join(f"Word{i} of the story goes on." for i in range(12))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<html><head><title>t</title><meta charset=utf-8><body><nav>Menu</nav><article><h1>Head</h1><p>{STORY}</p></article></body></html>", f"Head {STORY}"),
+        (f"<html><head><title>t</title><div><article><p>{STORY}</p></article></div></html>", STORY),
+        (f"<head><title>t</title>loose <article><p>{STORY}</p></article>", None),
+        (f"<body><form id=aspnetForm><nav>Menu</nav><input name=a><select><option>one</select><article><h1>Head</h1><p>{STORY}</p></article><button>Send</button></form>", f"Head {STORY}"),
+        (f"<body><form><div><p>{STORY}</p></div></form><form><p>Your mail</p></form></body>", STORY),
+        (f'<body><article class="no-comments"><p>{STORY}</p></article>', STORY),
+        (f'<body><div class="post comments-enabled"><article><p>{STORY}</p></article><div class="comment-list"><article class="comment"><p>I disagree</p></article></div></div>', STORY),
+        (f'<body><div class="content comments"><h1>Head</h1><article><p>{STORY}</p></article><section id="comments"><p>I disagree</p></section></div>', f"Head {STORY}"),
+        (f"<body><article><p>{STORY}</p><p>So <math><mi>E</mi><mo>=</mo><mi>m</mi></math> holds</p><svg><style>x</style><text>Axis</text></svg><object>Other</object><noscript><p>Plain</p></noscript></article>", f"{STORY} So E=m holds Axis Other Plain"),
+        (f"<body><noscript>Switch it on</noscript><article><p>{STORY}</p></article>", STORY),
+    ],
+)
+def test_articles_that_valid_pages_hold(page, text):
+    found = h.main_text(page, set())
+    assert found == text if text is not None else STORY in found
