@@ -1,9 +1,12 @@
-"""Integers of any size as bytes whose order (unsigned, from the left) is that of the numbers."""
+"""Exact integers: components of vectors, and integers of any size as bytes whose order (unsigned, from the left) is that of the numbers."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
+import numpy as np
+
 _LONG = (1 << 63) - 1
 
 
@@ -28,3 +31,14 @@ def from_bytes(keys: Iterable[bytes]) -> list[int]:
 def to_long(numbers: Iterable[int]) -> list[int]:
     """The numbers, those beyond a long as its ends."""
     return [min(max(n, -_LONG - 1), _LONG) for n in numbers]
+
+
+def quantised(vectors: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x): doubles if all products of two rows stay below 2^53, Python's integers otherwise."""
+    with np.errstate(over="ignore"):
+        whole = np.floor(vectors * scale)
+    top = float(np.abs(whole).max(initial=0))
+    if top < 2.0**26 and top * top * max(vectors.shape[1], 1) < 2.0**53:
+        return whole
+    exact = [[int(x) * scale if abs(x) >= 2.0**53 else math.floor(x * scale) for x in row] for row in vectors.tolist()]
+    return np.array(exact, object).reshape(vectors.shape)

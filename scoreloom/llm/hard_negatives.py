@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scoreloom.llm.exact import from_bytes, to_bytes, to_long
+from scoreloom.llm.exact import from_bytes, quantised, to_bytes, to_long
 from scoreloom.session import reliable_checkpoints
 
 SCALE = 256
@@ -49,17 +49,6 @@ ROUNDS = 4
 _ABOVE = 1 + 1e-9
 
 
-def quantised(vectors: np.ndarray, scale: int) -> np.ndarray:
-    """floor(scale * x): doubles if all products of two rows stay below 2^53, Python's integers otherwise."""
-    with np.errstate(over="ignore"):
-        whole = np.floor(vectors * scale)
-    top = float(np.abs(whole).max(initial=0))
-    if top < 2.0**26 and top * top * max(vectors.shape[1], 1) < 2.0**53:
-        return whole
-    exact = [[int(x) * scale if abs(x) >= 2.0**53 else math.floor(x * scale) for x in row] for row in vectors.tolist()]
-    return np.array(exact, object).reshape(vectors.shape)
-
-
 class SuffixIndex:
     """Inverted lists over strips of dimensions; trailing dimensions of a row are left out where a bound covers them."""
 

@@ -24,7 +24,7 @@ All exchanges are keyed by hashes and pre-aggregated where keys repeat; where an
 to its occurrences deal them over several tasks. No text is gathered with others; a shard's text is bounded by ``SHARD_BYTES``.
 
 Defined cases: null counts as the empty text; texts shorter than ``length`` lose nothing; repeated rows are separate places,
-so each of them loses everything that is long enough; ids are only carried and may be null or repeat; an empty table gives no
+so each of them loses everything that is long enough; ids of any type are only carried and may be null or repeat; an empty table gives no
 rows; other columns are not looked at.
 """
 
@@ -261,8 +261,10 @@ def _merge_runs(batches):
 def repeated_intervals(docs: DataFrame, *, id_col: str, text_col: str, length: int, hot_contexts: int, broadcast_places: int) -> tuple[DataFrame, DataFrame]:
     """The texts as (_id, _d, _x, _t), and (_d, _x, cuts): sorted byte intervals [start, end) to remove from each."""
     raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    # What is removed depends on the text alone: rows that agree in both keys may share it.
-    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_d"), F.xxhash64(raw).alias("_x"), raw.alias("_t"))
+    # What is removed depends on the text alone: rows that agree in both keys may share it. Ids that are no integers are hashed.
+    whole = isinstance(docs.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    number = F.coalesce(F.col(id_col).cast("long"), F.lit(0)) if whole else F.xxhash64(F.col(id_col))
+    texts = docs.select(F.col(id_col).alias("_id"), number.alias("_d"), F.xxhash64(raw).alias("_x"), raw.alias("_t"))
     place = T.ArrayType(T.StructType([T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("c", T.LongType())]))
 
     @F.arrow_udf(place)

@@ -13,12 +13,13 @@ search of a set of queries against all rows can't avoid pairs of blocks; blocks
 64 dimensions), which keeps copies few: candidates are copied once for each ``QUERY_BLOCK`` queries.
 
 Components are turned into floor(64 * x) first, and all sums are of 64-bit integers (doubles only where every sum is below 2^53,
-Python's integers where one could pass 2^62), so scores are exact and ties are real: the smaller id wins.
+Python's integers where one could pass 2^62, order-preserving bytes between tasks), so scores are exact, nothing is capped before it is
+ranked, and ties are real: the smaller id wins.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components, and rows without an id take no part; vectors
 are compared with those of their own length only; a query never meets rows of its own id; a repeated candidate row is searched
 once and returned as often as it occurs, a repeated query row is one query; fewer than k candidates give all of them; an empty
-table gives no rows; components beyond +-2^56 count as these, and scores beyond a long as its ends; other columns are not looked at.
+table gives no rows; scores beyond a long are ranked by their value and reported as its ends; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -28,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scoreloom.llm.exact import quantised, to_bytes, to_long
+
 K = 20
 QUERY_BLOCK, CANDIDATE_BLOCK = 1 << 16, 1 << 17
 SCALE = 64
 #: Candidates whose lists are read together, queries that read them together, and the first strip.
 STEP, QUERIES_AT_ONCE, FIRST_STRIP = 4096, 64, 64
 POOL = 4
-_NEVER, _LONG = -(1 << 62), (1 << 63) - 1
+_NEVER = -(1 << 62)
 
 
 def _product(a: np.ndarray, b: np.ndarray, exact_doubles: bool) -> np.ndarray:
@@ -63,9 +66,8 @@ def best(lists: SortedLists, queries: np.ndarray, own: np.ndarray, k: int, bound
     if largest >= 1 << 62:  # too large for 64 bits: every sum in Python's integers
         x = lists.x.astype(object)
         for i, q in enumerate(queries.astype(object)):
-            scores = [min(max(s, -_LONG), _LONG) for s in x @ q]
-            found = sorted((-s, j) for j, s in enumerate(scores) if lists.ids[j] != own[i])[:k]
-            out[i] = (np.array([j for _, j in found], np.int64), np.array([-s for s, _ in found], np.int64))
+            found = sorted((-s, j) for j, s in enumerate(x @ q) if lists.ids[j] != own[i])[:k]
+            out[i] = (np.array([j for _, j in found], np.int64), np.array([-s for s, _ in found], object))
         lists.read += n * dims * len(queries)
         return out
     doubles = largest < 1 << 53
@@ -125,20 +127,24 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def meet_blocks(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, copies: np.ndarray, k: int, step: int = STEP) -> tuple[np.ndarray, ...]:
-    """(query id, id, score, copies) of the k best of a block of candidates for every query of a block."""
-    held_scores = np.full((len(queries), k), _NEVER)
+    """(query id, id, score, copies) of the k best of a block of candidates for every query of a block; scores are Python's integers
+    where 64 bits may not hold them."""
+    largest = lambda x: int(max(np.abs(x).max(initial=0), 1))
+    exact = object in (queries.dtype, vectors.dtype) or largest(queries) * largest(vectors) * vectors.shape[1] * 4 >= 1 << 62
+    held_scores = np.full((len(queries), k), _NEVER, object if exact else np.int64)
     held = np.full((len(queries), k), -1)
     for a in range(0, len(ids), step):
         lists = SortedLists(ids[a : a + step], vectors[a : a + step])
         place = a + np.argsort(ids[a : a + step], kind="stable")
         for s in range(0, len(queries), QUERIES_AT_ONCE):
             some = slice(s, s + QUERIES_AT_ONCE)
-            for i, (at, scores) in enumerate(best(lists, queries[some], query_ids[some], k, held_scores[some, -1]), s):
+            bound = None if exact else held_scores[some, -1]
+            for i, (at, scores) in enumerate(best(lists, queries[some], query_ids[some], k, bound), s):
                 if not len(at):
                     continue
                 every, where = np.concatenate([held_scores[i], scores]), np.concatenate([held[i], place[at]])
                 every, where = every[where >= 0], where[where >= 0]
-                order = np.lexsort((ids[where], -every))[:k]
+                order = np.array(sorted(range(len(every)), key=lambda z: (-every[z], ids[where[z]]))[:k], np.int64) if exact else np.lexsort((ids[where], -every))[:k]  # noqa: B023
                 held_scores[i, : len(order)], held[i, : len(order)] = every[order], where[order]
     row, column = np.nonzero(held >= 0)
     found = held[row, column]
@@ -147,13 +153,10 @@ def meet_blocks(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vec
 
 def top_k(queries: DataFrame, candidates: DataFrame, *, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best candidates of every query."""
-    limit = float(1 << 56)
-    component = lambda x: F.floor(F.greatest(F.least(x * SCALE, F.lit(limit * SCALE)), F.lit(-limit * SCALE))).cast("long")
     whole = lambda df: (
         df.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("x"))
         .where(F.col("id").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size("x") > 0))
-        .select("id", F.transform("x", component).alias("v"))
-        .groupBy("id", "v").agg(F.count("*").alias("copies"))
+        .groupBy("id", F.col("x").alias("v")).agg(F.count("*").alias("copies"))
         .withColumn("dim", F.size("v"))
     )
     q, c = whole(queries), whole(candidates)
@@ -166,15 +169,19 @@ def top_k(queries: DataFrame, candidates: DataFrame, *, k: int = K, id_col: str
     right = c.withColumn("cb", place(c_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        found: tuple[np.ndarray, ...] = (np.zeros(0, np.int64),) * 4
+        found: tuple = (np.zeros(0, np.int64),) * 4
         if a.num_rows and b.num_rows:
-            found = meet_blocks(a["id"].to_numpy(), _matrix(a["v"]), b["id"].to_numpy(), _matrix(b["v"]), b["copies"].to_numpy(), k)
-        return pa.table([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score", "copies"])
-
-    kind = "query_id long, vec_id long, score long, copies long"
+            vectors = quantised(np.concatenate([_matrix(a["v"]), _matrix(b["v"])]), SCALE)
+            vectors = vectors if vectors.dtype == object else vectors.astype(np.int64)
+            found = meet_blocks(a["id"].to_numpy(), vectors[: a.num_rows], b["id"].to_numpy(), vectors[a.num_rows :], b["copies"].to_numpy(), k)
+        scores = [int(s) for s in found[2].tolist()]
+        columns = [pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(to_long(scores), pa.int64()), pa.array(to_bytes(scores), pa.binary()), pa.array(found[3], pa.int64())]
+        return pa.table(columns, names=["query_id", "vec_id", "score", "key", "copies"])
+
+    kind = "query_id long, vec_id long, score long, key binary, copies long"
     parts = left.groupBy("dim", "qb", "cb").cogroup(right.groupBy("dim", "qb", "cb")).applyInArrow(meet, kind)
     repeated = parts.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("copies"), F.lit(k).cast("long")))))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "copy"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("key"), "vec_id", "copy"))
     ranked = repeated.withColumn("rank", rank).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 

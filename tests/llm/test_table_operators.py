@@ -95,6 +95,17 @@ def test_topk_equals_brute_force(spark, scale):
     assert topk.top_k(df.limit(0), df).count() == 0
 
 
+def test_topk_ranks_huge_scores_before_anything_is_capped(spark):
+    rows = [(0, [1e20, 1.0]), (1, [1e20, 0.0]), (2, [2e20, 0.0]), (3, [2e20, 5.0]), (4, [-3e20, 1e300]), (5, [0.5, 0.25]), (6, [1.5e20, -1e280])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(frame.where("vec_id = 0"), frame).orderBy("rank").collect()]
+    exact = lambda v: [int(x) * 64 if abs(x) >= 2**53 else int(x * 64 // 1) for x in v]
+    score = {i: sum(a * b for a, b in zip(exact(rows[0][1]), exact(v), strict=True)) for i, v in rows}
+    cut = lambda n: min(max(n, -(1 << 63)), (1 << 63) - 1)
+    order = sorted(range(1, 7), key=lambda i: (-score[i], i))
+    assert got == [(0, r, i, cut(score[i])) for r, i in enumerate(order, 1)] and order[:4] == [4, 3, 2, 1]
+
+
 def test_topk_stops_reading_early_and_stays_exact():
     """A few strong dimensions: most lists are left far from their ends. A second block is read less than the first."""
     rng = np.random.default_rng(4)

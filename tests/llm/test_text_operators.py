@@ -212,6 +212,21 @@ def test_repeats_odd_rows(spark):
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_repeats_with_ids_of_any_type(spark):
+    text = "".join(random.Random(1).choice("abcdef") for _ in range(300))
+    rows = [("doc-a", text), ("doc-b", "x" + text), (None, "short"), ("doc-a", "other")]
+    got = {(r.doc_id, r.n_bytes): bytes(r.kept) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {("doc-a", 300): b"", ("doc-b", 301): b"x", (None, 5): b"short", ("doc-a", 5): b"other"}
+
+
+def test_pipeline_refuses_names_of_its_result(spark):
+    import corpus_pipeline
+
+    for name in ("decoded", "tokens"):
+        with pytest.raises(ValueError, match=name):
+            corpus_pipeline.token_stage(spark, documents(spark, ["a"]).withColumn(name, F.lit(1)), "")
+
+
 def test_suffix_array_and_prefixes_by_hand():
     text = np.frombuffer(b"banana", np.uint8).astype(np.int64)
     order = suffix_dedup.suffix_array(text)
