@@ -5,7 +5,7 @@ the tokens. Each result is written as Parquet and read again as the next stage's
 
 Defined cases: null and empty texts are scored like any other text by the quality stage and pass the later stages, which find
 nothing in them; repeated rows (same doc_id) are one document for the near-duplicate stage, which keeps one of them; an empty
-table passes through; further columns of ``documents`` are carried along (none may be called tokens, n_tokens or round_trip).
+table passes through; further columns of ``documents`` are carried along (tokens, n_tokens, round_trip and decoded are refused).
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether decoding gives the text back."""
+    if clash := sorted({"tokens", "n_tokens", "round_trip", "decoded"} & set(docs.columns)):
+        raise ValueError(f"columns of documents with names of the result: {clash}")
     done = bpe.round_trip(docs, bpe.default_path())
     return done.select(*docs.columns, "tokens", F.size("tokens").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
