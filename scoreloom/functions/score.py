@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 INVALID_STATUSES = ["failed", "skipped", "invalid", "timeout", "parse_failed", "missing_output", "deferred", "error", "incomplete"]
 STOP_ACTIONS = ["STOP", "STOP_ITEM"]
 SEVERE, EXTREME = 0.25, 0.50
+#: Units that a range of scores is measured in where sums have to be exact.
+TOP = 5000
 #: 0.95 quantile of the standard normal distribution.
 Z95 = 1.6448536269514722
 

@@ -13,9 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreloom.functions.score import ratio
+from scoreloom.functions.score import TOP, ratio
 from scoreloom.operators.quality import GOLD_BINS, kappa_of_moments, paper_statistics
-from scoreloom.plans.proxy import TOP
 
 #: What is summed for every replicate, and the metrics of the gate; the last is better where it is higher.
 COUNTED = ["n", "units", "severe", "stops", "unsafe", "n_valid", "st", "sp", "stt", "spp", "stp", *GOLD_BINS]

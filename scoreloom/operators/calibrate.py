@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreloom.functions.score import ratio, wilson_upper
+from scoreloom.functions.score import TOP, ratio, wilson_upper
 from scoreloom.operators.quality import kappa_of_moments, moments
 from scoreloom.operators.ranks import label_of, quantiles
 from scoreloom.operators.strict import refuse
-from scoreloom.plans.proxy import TOP
 
 
 def pivot_agents(outputs: DataFrame, agents: list[str]) -> DataFrame:

@@ -5,8 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.functions.score import ratio
-from scoreloom.plans.proxy import TOP
+from scoreloom.functions.score import TOP, fixed_bin, is_legal, normalized_error, ratio
+
+
+def judged(records: DataFrame, low: Column | None = None, high: Column | None = None) -> DataFrame:
+    """Legality, error in units of 1/TOP of the range (all of them where illegal) and the bins of gold and pred.
+
+    Without ``low`` and ``high``, scores are whole numbers from 0 to TOP; with them each row has its own range of any numbers, errors
+    are rounded to the nearest unit, and a row without a proper range is illegal.
+    """
+    if low is None or high is None:
+        legal = (F.col("status") == "success") & F.col("pred").between(0, TOP)
+        bin_of = lambda c: F.when(F.col("legal"), F.expr(f"(20 * {c} + {TOP}) div {2 * TOP}"))
+        units = F.abs(F.col("pred") - F.col("gold"))
+    else:
+        legal = F.coalesce((F.col("status") == "success") & (high > low) & F.col("gold").between(low, high), F.lit(False)) & is_legal(F.col("status"), F.col("pred"), low, high)
+        bin_of = lambda c: F.when(F.col("legal"), fixed_bin(F.col(c), low, high))
+        units = F.round(normalized_error(F.col("pred"), F.col("gold"), low, high) * TOP)
+    return records.withColumn("legal", legal).withColumns({"units": F.when(F.col("legal"), units).otherwise(F.lit(TOP)).cast("long"), "gb": bin_of("gold"), "pb": bin_of("pred")})
 
 
 def kappa(n: Column, t: Column, p: Column, tt: Column, pp: Column, tp: Column) -> Column:

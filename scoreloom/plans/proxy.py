@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOP = 5000
+from scoreloom.functions.score import TOP
+from scoreloom.operators.quality import judged
+
+__all__ = ["AGENTS_SQL", "RECORDS_SQL", "TOP", "agent_columns", "agent_outputs", "judged", "score_records", "table"]
+
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,13 +46,6 @@ RECORDS_SQL = f"""records AS (
 )"""
 
 
-def judged(records: DataFrame) -> DataFrame:
-    """Legality, error in units of 1/5000 (all of them where illegal) and the bins of gold and pred."""
-    legal = (F.col("status") == "success") & F.col("pred").between(0, TOP)
-    bin_of = lambda c: F.when(F.col("legal"), F.expr(f"(20 * {c} + {TOP}) div {2 * TOP}"))
-    return records.withColumn("legal", legal).withColumns({"units": F.when(F.col("legal"), F.abs(F.col("pred") - F.col("gold"))).otherwise(F.lit(TOP)).cast("long"), "gb": bin_of("gold"), "pb": bin_of("pred")})
-
-
 def agent_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three scorers for every item, from cheap to strong: pred moves towards gold, confidence and cost rise."""
     r = score_records(spark, sf_dir)

@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from scoreloom.operators import calibrate, pilot, policies, select
+from scoreloom.operators import calibrate, pilot, policies, quality, select
 
 
 def kappa(pairs):
@@ -112,3 +113,14 @@ def test_references_break_ties_by_elapsed_time_and_exchanges(spark):
     rows = [("T", "a", True, True, 0.1, 0.1, 0.1, 0.5, 5, 9, 1, 0), ("T", "b", True, True, 0.1, 0.1, 0.1, 0.5, 5, 7, 2, 3), ("T", "c", True, True, 0.1, 0.1, 0.1, 0.5, 5, 7, 2, 1)]
     got = {r.budget: (r.policy, r.eligible) for r in select.reference_policies(spark.createDataFrame(rows, kind), ["T", "L"]).collect()}
     assert got == {"T": ("c", 3), "L": (None, 0)}
+
+
+def test_errors_and_bins_follow_the_range_of_each_row(spark):
+    rows = [(0.0, 4.0, 1.0, 2.0, "success"), (-10.0, 10.0, -10.0, 10.0, "success"), (0.0, 4.0, 1.0, 5.0, "success"), (3.0, 3.0, 3.0, 3.0, "success"), (0.0, 4.0, None, 1.0, "success"), (0.0, 3.0, 1.0, 1.2, "failed"), (0.0, 3.0, 1.0, 1.2, "success")]
+    frame = spark.createDataFrame(rows, "low double, high double, gold double, pred double, status string").coalesce(1)
+    got = [(r.legal, r.units, r.gb, r.pb) for r in quality.judged(frame, F.col("low"), F.col("high")).collect()]
+    assert got == [(True, 1250, 3, 5), (True, 5000, 0, 10), (False, 5000, None, None), (False, 5000, None, None), (False, 5000, None, None), (False, 5000, None, None), (True, 333, 3, 4)]
+    whole = spark.createDataFrame([(1000, 1600, "success"), (1000, 5001, "success")], "gold long, pred long, status string").coalesce(1)
+    plain = quality.judged(whole).select("legal", "units", "gb", "pb").collect()
+    ranged = quality.judged(whole, F.lit(0), F.lit(5000)).select("legal", "units", "gb", "pb").collect()
+    assert [tuple(r) for r in plain] == [tuple(r) for r in ranged] == [(True, 600, 2, 3), (False, 5000, None, None)]
