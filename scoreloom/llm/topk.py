@@ -37,7 +37,7 @@ SCALE = 64
 #: Candidates whose lists are read together, queries that read them together, and the first strip.
 STEP, QUERIES_AT_ONCE, FIRST_STRIP = 4096, 64, 64
 POOL = 4
-_NEVER = -(1 << 62)
+_NEVER, ENDS = -(1 << 62), (-(1 << 63), (1 << 63) - 1)
 
 
 def _product(a: np.ndarray, b: np.ndarray, exact_doubles: bool) -> np.ndarray:
@@ -174,14 +174,17 @@ def top_k(queries: DataFrame, candidates: DataFrame, *, k: int = K, id_col: str
             vectors = quantised(np.concatenate([_matrix(a["v"]), _matrix(b["v"])]), SCALE)
             vectors = vectors if vectors.dtype == object else vectors.astype(np.int64)
             found = meet_blocks(a["id"].to_numpy(), vectors[: a.num_rows], b["id"].to_numpy(), vectors[a.num_rows :], b["copies"].to_numpy(), k)
-        scores = [int(s) for s in found[2].tolist()]
-        columns = [pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(to_long(scores), pa.int64()), pa.array(to_bytes(scores), pa.binary()), pa.array(found[3], pa.int64())]
-        return pa.table(columns, names=["query_id", "vec_id", "score", "key", "copies"])
+        scores, beyond = found[2], pa.nulls(len(found[2]), pa.binary())
+        if scores.dtype == object:  # only scores at or beyond the ends of a long need more than it
+            whole = scores.tolist()
+            beyond = pa.array([key if long in ENDS else None for key, long in zip(to_bytes(whole), to_long(whole), strict=True)], pa.binary())
+            scores = np.array(to_long(whole), np.int64)
+        return pa.table([*(pa.array(c, pa.int64()) for c in (found[0], found[1], scores)), beyond, pa.array(found[3], pa.int64())], names=["query_id", "vec_id", "score", "key", "copies"])
 
     kind = "query_id long, vec_id long, score long, key binary, copies long"
     parts = left.groupBy("dim", "qb", "cb").cogroup(right.groupBy("dim", "qb", "cb")).applyInArrow(meet, kind)
     repeated = parts.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("copies"), F.lit(k).cast("long")))))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("key"), "vec_id", "copy"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("key"), "vec_id", "copy"))
     ranked = repeated.withColumn("rank", rank).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
