@@ -1,8 +1,8 @@
 """Which groups of scorers an arbitrator should hear: its answers against what the same scorers say without it.
 
-Arbitrations name the agents they heard in an array. Its members are exploded, joined N:1 with the agents' own outputs by item and
-agent, and grouped back by arbitration: the join and the regrouping are both keyed by item, so no context, of however many items,
-is ever in one task; contexts are summed by partial aggregation.
+Arbitrations name the agents they heard in an array. The agents' own outputs are put into one row per item, a map by agent, which
+arbitrations are joined with N:1 by item, in a hash join that sorts neither side; members are looked up in place, so an arbitration is
+never taken apart and regrouped. No context, of however many items, is ever in one task; contexts are summed by partial aggregation.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions.score import EXTREME, SEVERE, ratio
 from scoreloom.operators.skyline import skyline
-from scoreloom.operators.strict import strict_join
+from scoreloom.operators.strict import refuse
 
 #: Scorers from weak to strong, the agent that only adds evidence, the least weight of a confidence.
 ROLES, EVIDENCE, LEAST_CONFIDENCE = ["cheap", "mid", "strong"], "evidence", 0.01
@@ -22,29 +22,45 @@ def _error(pred: Column) -> Column:
     return F.abs(pred - F.col("gold")) / F.greatest(F.lit(1e-12), F.col("high") - F.col("low"))
 
 
-def heard(arbitrations: DataFrame, outputs: DataFrame) -> DataFrame:
+def _total(values: Column, kind: str) -> Column:
+    """SUM of an array: nulls are left out, and without any other value the sum is null."""
+    return F.when(F.size(F.array_compact(values)) > 0, F.aggregate(values, F.lit(0).cast(kind), lambda a, v: (a + F.coalesce(v.cast(kind), F.lit(0).cast(kind))).cast(kind)))
+
+
+def _sum_type(kind: str) -> str:
+    return "bigint" if kind in ("tinyint", "smallint", "int", "bigint") else kind if kind.startswith("decimal") else "double"
+
+
+def heard(arbitrations: DataFrame, outputs: DataFrame, *, distinct: bool = False) -> DataFrame:
     """Every arbitration (item_id, agents, gold, low, high, pred, cost, latency) with what its agents say: strongest (by role), mean and
     weighted (by confidence) predictions, and the cost of all. Equal arbitrations are one row with ``copies``. An agent that did not
-    answer, or answered twice, makes the job fail, as does a context without a scorer."""
-    once = arbitrations.groupBy(*arbitrations.columns).agg(F.count("*").alias("copies"))
-    members = once.select("*", F.explode("agents").alias("agent"))
-    own = outputs.select("item_id", "agent", F.col("pred").alias("own_pred"), F.col("confidence").alias("own_confidence"), F.col("cost").alias("own_cost"))
-    met = strict_join(members, own, ["item_id", "agent"], name="context members")
-    order = F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.col("agent"))
-    weight = F.greatest(F.lit(LEAST_CONFIDENCE), F.col("own_confidence"))
-    keys = [c for c in once.columns if c != "agent"]
-    scorer = F.when(order > 0, F.struct(order.alias("o"), F.col("own_pred").alias("p")))
-    told = met.groupBy(*keys).agg(
-        F.max(scorer).alias("_top"), (F.sum("own_pred") / F.count("*")).alias("mean_pred"), (F.sum(F.col("own_pred") * weight) / F.sum(weight)).alias("weighted_pred"), F.sum("own_cost").alias("own_cost"),
+    answer, or answered twice, makes the job fail, as does a context without a scorer. ``distinct``: no two arbitrations are equal, so
+    they need not be counted."""
+    once = (arbitrations.withColumn("copies", F.lit(1).cast("long")) if distinct else arbitrations.groupBy(*arbitrations.columns).agg(F.count("*").alias("copies"))).where(F.size("agents") > 0)
+    kinds = {c: _sum_type(k) for c, k in outputs.dtypes}
+    weight, order = F.greatest(F.lit(LEAST_CONFIDENCE), F.col("confidence")).cast("double"), F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.col("agent"))
+    value = F.struct(F.col("pred").alias("p"), weight.alias("w"), (F.col("pred") * weight).alias("pw"), F.col("cost").alias("c"), F.when(order > 0, F.struct(order.alias("o"), F.col("pred").alias("p"))).alias("top"))
+    per = outputs.where("agent IS NOT NULL").groupBy("item_id", "agent").agg(F.count("*").alias("n"), F.any_value(value).alias("v"))
+    entry = F.collect_list(F.struct("agent", "v"))  # a row per item, an entry per agent
+    said = per.groupBy("item_id").agg(F.map_from_entries(entry).alias("_said"), F.collect_list(F.when(F.col("n") > 1, F.col("agent"))).alias("_again"))
+    met = once.join(said.hint("shuffle_hash"), "item_id", "left")
+    name = F.to_json(F.struct("item_id", "agents"))
+    silent = F.col("_said").isNull() | (F.size(F.array_except("agents", F.map_keys("_said"))) > 0)
+    met = refuse(met, F.coalesce(silent, F.lit(True)), F.concat_ws(" ", F.lit("context members: missing"), name))
+    met = refuse(met, F.coalesce(F.arrays_overlap("agents", "_again"), F.lit(False)), F.concat_ws(" ", F.lit("context members: repeated"), name))
+    met = refuse(met, ~F.coalesce(F.arrays_overlap("agents", F.array(*[F.lit(r) for r in ROLES])), F.lit(False)), F.concat_ws("+", F.lit("no scorer in context "), "agents"))
+    met = met.select(*once.columns, F.transform("agents", lambda a: F.element_at("_said", a)).alias("_v"))
+    return met.select(
+        *once.columns, (_total(F.col("_v.p"), kinds["pred"]) / F.size("agents")).alias("mean_pred"), (_total(F.col("_v.pw"), "double") / _total(F.col("_v.w"), "double")).alias("weighted_pred"),
+        _total(F.col("_v.c"), kinds["cost"]).alias("own_cost"), F.array_max(F.col("_v.top"))["p"].alias("strongest_pred"),
     )
-    return told.where(F.when(F.col("_top").isNull(), F.raise_error(F.concat_ws("+", F.lit("no scorer in context "), "agents"))).isNull()).withColumn("strongest_pred", F.col("_top.p")).drop("_top")
 
 
-def context_report(arbitrations: DataFrame, outputs: DataFrame) -> DataFrame:
+def context_report(arbitrations: DataFrame, outputs: DataFrame, *, distinct: bool = False) -> DataFrame:
     """Per context its errors, cost and latency, differences from the strongest, mean and weighted opinion of the same agents, whether a
     context of its group (pairs, all scorers, with evidence) is as good in error, severe rate and cost and better in one, and the
     recommendation: keep what is not beaten, improves on any of the three, and is no more often severe than the strongest."""
-    told = heard(arbitrations, outputs)
+    told = heard(arbitrations, outputs, distinct=distinct)
     n = F.col("copies")
     rates = lambda pred, name: [F.sum(_error(F.col(pred)) * n).alias(f"{name}_error"), F.sum((_error(F.col(pred)) > SEVERE).cast("long") * n).alias(f"{name}_severe")]
     sums = told.groupBy("agents").agg(
