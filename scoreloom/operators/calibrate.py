@@ -117,12 +117,14 @@ def stop_boundary(rows: DataFrame, least: int, limit: float, datasets: list[str]
 
 
 def slopes(rows: DataFrame, features: list[str], target: str) -> DataFrame:
-    """Per feature the slope covariance / variance / number of features, with the means: one aggregation."""
+    """Per feature the slope covariance / variance / number of features, with the means: one aggregation. Products of sums, which a
+    long cannot hold from some tens of millions of rows on, are taken as decimals of 38 digits."""
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
     sums = rows.agg(F.count("*").alias("n"), F.sum(target).cast("long").alias("sy"), *[e for f in features for e in (F.sum(f).cast("long").alias(f"s_{f}"), F.sum(F.col(f) * F.col(f)).cast("long").alias(f"ss_{f}"), F.sum(F.col(f) * F.col(target)).cast("long").alias(f"sy_{f}"))])
     out = None
     for f in features:
-        cov = F.col("n") * F.col(f"sy_{f}") - F.col(f"s_{f}") * F.col("sy")
-        var = F.col("n") * F.col(f"ss_{f}") - F.col(f"s_{f}") * F.col(f"s_{f}")
+        cov = wide("n") * wide(f"sy_{f}") - wide(f"s_{f}") * wide("sy")
+        var = wide("n") * wide(f"ss_{f}") - wide(f"s_{f}") * wide(f"s_{f}")
         one = sums.select(F.lit(f).alias("feature"), ratio(F.col(f"s_{f}"), F.col("n")).alias("mean"), F.coalesce(ratio(cov, var) / len(features), F.lit(0.0)).alias("slope"), ratio(F.col("sy"), F.col("n")).alias("target_mean"))
         out = one if out is None else out.unionByName(one)
     return out

@@ -20,3 +20,24 @@ def test_contexts_are_not_taken_apart_and_regrouped(spark):
     assert pilot.heard(asked.distinct(), said, distinct=True).count() == 2
     with pytest.raises(Exception, match="context members: repeated"):
         pilot.heard(asked, said.union(said.where("agent = 'mid'"))).collect()
+
+
+def test_slopes_of_sums_beyond_a_long(spark):
+    rows = spark.range(1000).select((F.col("id") % 10 * 10_000_000).alias("f"), (F.col("id") % 10 * 20_000_000 + F.col("id") % 2).alias("y"))
+    r = calibrate.slopes(rows, ["f"], "y").first()  # rows x sum of products is 5.7e21
+    n, data = 1000, [(i % 10 * 10_000_000, i % 10 * 20_000_000 + i % 2) for i in range(1000)]
+    sf, sy, sff, sfy = (sum(v) for v in zip(*((f, y, f * f, f * y) for f, y in data), strict=True))
+    assert r.slope == (n * sfy - sf * sy) / (n * sff - sf * sf) and r.mean == sf / n and r.target_mean == sy / n
+
+
+def test_components_of_any_size_are_verified(spark):
+    import hashlib
+
+    digest = lambda ids: hashlib.sha256("\x1f".join(["internal_component_v1.4", *sorted(ids)]).encode()).hexdigest()
+    ids = [f"i{k}" for k in range(20_000)]
+    good, other = digest(ids), digest(ids[:9])
+    rows = [(i, f"ic_{good[:20]}", good) for i in ids] + [(f"b{i}", "ic_" + "0" * 20, good) for i in ids] + [(f"c{i}", "ic_other", good if k % 2 else other) for k, i in enumerate(ids)] + [(f"d{i}", "ic_-", digest([f"d{i}" for i in ids])) for i in ids]
+    frame = spark.createDataFrame(rows, "item_id string, component_id string, stable_hash string").selectExpr("*", "'A' AS dataset", "item_id AS prompt_group", "'train_fit' AS internal_split", "20000L AS component_size")
+    whole = sorted((r.name, r.fault) for r in manifest.split_manifest_faults(frame.repartition(5)).collect())
+    assert whole == sorted([("ic_" + "0" * 20, "digest"), ("ic_" + "0" * 20, "name"), ("ic_other", "digest"), ("ic_other", "name"), ("ic_-", "name")])
+    assert sorted((r.name, r.fault) for r in manifest.split_manifest_faults(frame.repartition(5), gathered=1000).collect()) == whole
