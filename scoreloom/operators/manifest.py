@@ -8,13 +8,17 @@ tables are compared from the root down: only rows of buckets that differ are loo
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows to a bucket, about, and digits that each level above adds.
 BUCKET_ROWS, DIGITS = 2048, 3
+#: Ids that are joined to one block of a component's digest.
+BLOCK_IDS = 4096
 
 
 def sha256(x: Column) -> Column:
@@ -134,24 +138,72 @@ def record_faults(rows: DataFrame, rules: dict[str, Column], key: list[str]) ->
     return rows.select(*key, F.explode(failing(rules)).alias("rule"))
 
 
-def split_manifest_faults(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
+def _streamed_digests(members: DataFrame, groups: int) -> DataFrame:
+    """(component_id, expected) of components of any size: ids are sorted and joined to blocks in ranges of (component, id), so that
+    no task sorts a component; one SHA-256 a component then runs over its blocks in order, which come to its task one after the other."""
+
+    def blocks(batches):
+        order, last, ids = 0, None, []
+        for batch in batches:
+            for component, id_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if ids and (component != last or len(ids) >= BLOCK_IDS):
+                    yield pa.RecordBatch.from_pydict({"component_id": [last], "k": [order], "text": ["\x1f".join(ids)]}, schema=kind)
+                    order, ids = order + 1, []
+                last = component
+                ids.append(id_)
+        if ids:
+            yield pa.RecordBatch.from_pydict({"component_id": [last], "k": [order], "text": ["\x1f".join(ids)]}, schema=kind)
+
+    def digests(batches):
+        last, state = None, None
+        for batch in batches:
+            for component, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if state is None or component != last:
+                    if state is not None:
+                        yield pa.RecordBatch.from_pydict({"component_id": [last], "expected": [state.hexdigest()]})
+                    last, state = component, hashlib.sha256(COMPONENT_VERSION.encode())
+                state.update(b"\x1f" + text.encode())
+        if state is not None:
+            yield pa.RecordBatch.from_pydict({"component_id": [last], "expected": [state.hexdigest()]})
+
+    kind = pa.schema([("component_id", pa.string()), ("k", pa.int64()), ("text", pa.string())])
+    joined = members.repartitionByRange(groups, "component_id", "id").sortWithinPartitions("component_id", "id").mapInArrow(blocks, "component_id string, k long, text string")
+    ranged = joined.withColumn("part", F.spark_partition_id())
+    return ranged.repartition("component_id").sortWithinPartitions("component_id", "part", "k").select("component_id", "text").mapInArrow(digests, "component_id string, expected string")
+
+
+def split_manifest_faults(rows: DataFrame, most: int | None = None, gathered: int = 1_000_000) -> DataFrame:
     """(kind, name, fault) of a split manifest as a whole: items that repeat, components whose declared size, digest, name or dataset do
     not fit their members, and components and prompt groups in more than one split.
 
-    A component's digest is the SHA-256 of its version and all its sorted ids, one sequence that no two tasks can share; it is
-    recomputed for components of up to ``most`` members, and larger ones are listed as ``unverified`` (``digest_tree`` has no such bound).
+    A component's digest is the SHA-256 of its version and all its sorted ids. It is recomputed inside an aggregation for components of
+    up to ``gathered`` members. A larger one whose members declare several digests, and whose name is none that a digest gives, has both faults
+    whatever its digest is; the others' ids are sorted by all tasks and run through one SHA-256 as a stream. A null id is in no digest.
+    ``most``: components of more members are not recomputed but listed as ``unverified``.
     """
     items = rows.groupBy("item_id").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("item").alias("kind"), F.col("item_id").alias("name"), F.lit("repeated").alias("fault"))
     summed = rows.groupBy("component_id").agg(
         F.count("*").alias("n"), F.min("component_size").alias("s0"), F.max("component_size").alias("s1"), F.min("stable_hash").alias("h0"), F.max("stable_hash").alias("h1"),
         F.min("dataset").alias("d0"), F.max("dataset").alias("d1"), F.min("internal_split").alias("p0"), F.max("internal_split").alias("p1"),
     )
-    small = rows.join(summed.where(F.col("n") <= most).select("component_id"), "component_id", "left_semi").groupBy("component_id").agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("ids"))
+    member = rows.select("component_id", F.col("item_id").cast("string").alias("id"))
+    sized = summed if most is None else summed.where(F.col("n") <= most)
+    undecided = F.col("h0").eqNullSafe(F.col("h1")) | F.col("component_id").rlike(f"^{COMPONENT_PREFIX}[0-9a-f]{{20}}$")
+    large = sized.where(F.col("n") > gathered).select("component_id", "n", undecided.alias("open"))
+    held = large.agg(F.count("*").alias("all"), F.coalesce(F.sum(F.when(F.col("open"), F.col("n"))), F.lit(0)).alias("open")).first()
+    small = member.join(sized.where(F.col("n") <= gathered).select("component_id"), "component_id", "left_semi") if held["all"] or most is not None else member
     digest = sha256(F.array_join(F.concat(F.array(F.lit(COMPONENT_VERSION)), "ids"), "\x1f"))
-    checked = summed.join(small.select("component_id", digest.alias("expected")), "component_id", "left")
+    expected = small.groupBy("component_id").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("component_id", digest.alias("expected"))
+    if held["all"]:
+        expected = expected.unionByName(large.where("NOT open").select("component_id", F.when(F.col("component_id") == f"{COMPONENT_PREFIX}-", "+").otherwise("-").alias("expected")))  # no digest is like that
+    if held["open"]:
+        whole = large.where("open").select("component_id")
+        streamed = _streamed_digests(member.join(whole, "component_id", "left_semi").where("id IS NOT NULL"), max(8, min(2000, held["open"] // 200_000)))
+        expected = expected.unionByName(whole.join(streamed, "component_id", "left").select("component_id", F.coalesce("expected", sha256(F.lit(COMPONENT_VERSION))).alias("expected")))
+    checked = summed.join(expected, "component_id", "left")
     name = F.concat(F.lit(COMPONENT_PREFIX), F.substring("expected", 1, 20))
     rules = {
-        "size": (F.col("s0") == F.col("n")) & (F.col("s1") == F.col("n")), "dataset": F.col("d0") == F.col("d1"), "unverified": F.col("expected").isNotNull(),
+        "size": (F.col("s0") == F.col("n")) & (F.col("s1") == F.col("n")), "dataset": F.col("d0") == F.col("d1"), "unverified": F.col("expected").isNotNull() if most is not None else F.lit(True),
         "digest": F.col("expected").isNull() | (F.col("h0") == F.col("expected")) & (F.col("h1") == F.col("expected")), "name": F.col("expected").isNull() | (F.col("component_id") == name), "leak": F.col("p0") == F.col("p1"),
     }
     components = checked.select(F.lit("component").alias("kind"), F.col("component_id").alias("name"), F.explode(failing(rules)).alias("fault"))
