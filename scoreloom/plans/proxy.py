@@ -10,26 +10,36 @@ from scoreloom.operators.quality import judged
 
 __all__ = ["AGENTS_SQL", "RECORDS_SQL", "TOP", "agent_columns", "agent_outputs", "judged", "score_records", "table"]
 
+#: Lines to a task, about.
+LINES = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def score_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One scored item per line: paper, dataset (three of them), gold, pred, status, stop."""
+def score_records(spark: SparkSession, sf_dir: str, *, by_paper: bool = False) -> DataFrame:
+    """One scored item per line: paper, dataset (three of them), gold, pred, status, stop.
+
+    With ``by_paper`` rows come partitioned by paper, and an item's id begins with its paper: what groups by paper and item needs no
+    further shuffle. Ids are put together after the join. Larger tables are dealt into more tasks, of about LINES lines each.
+    """
     line = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("paper_id"),
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("item_id"),
+        "l_linenumber", "l_partkey", "l_suppkey",
         F.col("l_returnflag").alias("dataset"),
         F.round(F.col("l_quantity") * 100).cast("long").alias("gold"),
         F.round(F.col("l_discount") * 100).cast("long").alias("d"),
         F.round(F.col("l_tax") * 100).cast("long").alias("x"),
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("cost"),
         (F.col("l_linestatus") == "F").alias("stop"),
-    )
+    )
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("paper_id"), F.when(F.col("o_orderstatus") == "O", "deferred").otherwise("success").alias("status"))
-    return line.join(orders, "paper_id").withColumn("pred", F.col("gold") + (F.col("d") - 5) * 400)
+    tasks = -(-line.count() // LINES)  # of the footers alone
+    if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        line, orders = line.repartition(tasks, "paper_id"), orders.repartition(tasks, "paper_id")
+    item = F.concat_ws("-", "paper_id", "l_linenumber", "l_partkey", "l_suppkey").alias("item_id")
+    return line.join(orders.hint("merge") if by_paper else orders, "paper_id").select("paper_id", item, "dataset", "gold", "d", "x", "cost", "stop", "status", (F.col("gold") + (F.col("d") - 5) * 400).alias("pred"))
 
 
 RECORDS_SQL = f"""records AS (
@@ -46,22 +56,28 @@ RECORDS_SQL = f"""records AS (
 )"""
 
 
-def agent_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three scorers for every item, from cheap to strong: pred moves towards gold, confidence and cost rise."""
-    r = score_records(spark, sf_dir)
+def agents_of(records: DataFrame) -> DataFrame:
+    """Three scorers for every item, from cheap to strong: pred moves towards gold, confidence and cost rise. Other columns than d, x and
+    cost stay."""
     one = lambda name, off, conf, share: F.struct(F.lit(name).alias("agent"), (F.col("gold") + off).alias("p"), conf.alias("conf"), F.expr(share).cast("long").alias("price"))
     d, x = F.col("d"), F.col("x")
     agents = F.array(one("cheap", (d - 5) * 300, 50 + d, "cost div 1000"), one("mid", (x - 4) * 200, 60 + x, "cost div 200"), one("strong", (d - x) * 50, 70 + d + x, "cost div 50"))
-    return r.select("paper_id", "item_id", "dataset", "gold", "status", "stop", F.explode(agents).alias("a")).select("paper_id", "item_id", "dataset", "gold", "status", "stop", "a.agent", F.col("a.p").alias("pred"), F.col("a.conf").alias("confidence"), F.col("a.price").alias("cost"))
+    kept = [c for c in records.columns if c not in ("d", "x", "cost", "pred")]
+    return records.select(*kept, F.explode(agents).alias("a")).select(*kept, "a.agent", F.col("a.p").alias("pred"), F.col("a.conf").alias("confidence"), F.col("a.price").alias("cost"))
+
+
+def agent_outputs(spark: SparkSession, sf_dir: str, *, by_paper: bool = False) -> DataFrame:
+    return agents_of(score_records(spark, sf_dir, by_paper=by_paper).select("paper_id", "item_id", "dataset", "gold", "status", "stop", "d", "x", "cost"))
 
 
 def agent_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same outputs with the agents side by side, for items that occur once: one shuffle, no explosion."""
-    r = score_records(spark, sf_dir)
-    one = r.groupBy("item_id").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("dataset", "gold", "status", "d", "x")]).where("n = 1")
+    """The same outputs with the agents side by side, for items that occur once, and what these are made from: no shuffle but that of
+    the records, no explosion."""
+    r = score_records(spark, sf_dir, by_paper=True)
+    one = r.groupBy("paper_id", "item_id").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("dataset", "gold", "status", "stop", "d", "x", "cost")]).where("n = 1")
     d, x, gold = F.col("d"), F.col("x"), F.col("gold")
     values = {"cheap_pred": gold + (d - 5) * 300, "cheap_conf": 50 + d, "mid_pred": gold + (x - 4) * 200, "mid_conf": 60 + x, "strong_pred": gold + (d - x) * 50, "strong_conf": 70 + d + x}
-    return one.select("item_id", "dataset", "gold", "status", *[v.alias(k) for k, v in values.items()])
+    return one.select("paper_id", "item_id", "dataset", "gold", "status", "stop", "d", "x", "cost", *[v.alias(k) for k, v in values.items()])
 
 
 AGENTS_SQL = """agents AS (

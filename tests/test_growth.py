@@ -41,3 +41,27 @@ def test_components_of_any_size_are_verified(spark):
     whole = sorted((r.name, r.fault) for r in manifest.split_manifest_faults(frame.repartition(5)).collect())
     assert whole == sorted([("ic_" + "0" * 20, "digest"), ("ic_" + "0" * 20, "name"), ("ic_other", "digest"), ("ic_other", "name"), ("ic_-", "name")])
     assert sorted((r.name, r.fault) for r in manifest.split_manifest_faults(frame.repartition(5), gathered=1000).collect()) == whole
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_items_are_grouped_where_their_papers_lie(spark, monkeypatch):
+    from scoreloom.plans import decision_queries, policy_queries, proxy, quality_queries
+
+    again = lambda df: [line for line in plan_of(df).splitlines() if "hashpartitioning" in line and "item_id" in line]
+    for name, part in (("agent_pivot", decision_queries), ("weighted_opinion", decision_queries), ("capability_profile", decision_queries), ("threshold_trials", policy_queries), ("select_threshold", policy_queries), ("bootstrap_deltas", quality_queries)):
+        assert not again(part.QUERIES[name](spark, SF)), name
+    whole = quality_queries.paper_suffstats(spark, SF)
+    monkeypatch.setattr(proxy, "LINES", 100)  # many tasks
+    parted = quality_queries.paper_suffstats(spark, SF)
+    assert "REPARTITION_BY_NUM" in plan_of(parted) and parted.exceptAll(whole).isEmpty() and whole.exceptAll(parted).isEmpty()
+
+
+def test_equal_rows_are_one_with_a_weight(spark):
+    from scoreloom.operators import boosting
+
+    rows = spark.range(3000).selectExpr("id % 7 AS a", "id % 5 AS b", "(id % 7) * (id % 5) + id % 3 AS y", "id % 9 = 0 AS held")
+    few = rows.groupBy("a", "b", "y", "held").agg(F.count("*").alias("n"))
+    one, other = (boosting.fit(r, ["a", "b"], "y", trees=3, held_out="held", weight=w) for r, w in ((rows, None), (few, "n")))
+    assert one.losses == pytest.approx(other.losses) and [t.cut for t in one.trees] == [t.cut for t in other.trees]
