@@ -11,9 +11,10 @@ from scoreloom.operators.ranks import label_of, quantiles
 from scoreloom.operators.strict import refuse
 
 
-def pivot_agents(outputs: DataFrame, agents: list[str]) -> DataFrame:
-    """One row per item with each agent's prediction and confidence; items that lack an agent or have one twice are dropped."""
-    per = outputs.groupBy("item_id", "dataset", "gold").pivot("agent", agents).agg(F.min("pred").alias("pred"), F.min("confidence").alias("conf"), F.count("agent").alias("n"))
+def pivot_agents(outputs: DataFrame, agents: list[str], within: list[str] | None = None) -> DataFrame:
+    """One row per item with each agent's prediction and confidence; items that lack an agent or have one twice are dropped. ``within``:
+    columns that an item's id determines; rows that come partitioned by these are not shuffled again, and the result keeps them."""
+    per = outputs.groupBy(*(within or []), "item_id", "dataset", "gold").pivot("agent", agents).agg(F.min("pred").alias("pred"), F.min("confidence").alias("conf"), F.count("agent").alias("n"))
     whole = F.lit(True)
     for a in agents:
         whole = whole & (F.coalesce(F.col(f"{a}_n"), F.lit(0)) == 1)
