@@ -62,8 +62,9 @@ def threshold_trials(items: DataFrame, thresholds: list[float], cost_weight: flo
     spark = items.sparkSession
     rank = sum((F.coalesce(F.col("confidence") >= c, F.lit(False)).cast("int") for c in cuts), F.lit(0))  # thresholds that the item passes
     held = sound_ranges(items).withColumn("rank", rank)
-    sides = [held.groupBy("rank").agg(*measured(held, f"{side}_pred", f"{side}_cost", f"{side}_latency", F.lit(side == "other"))).withColumn("side", F.lit(side)) for side in ("cheap", "other")]
-    sums = sides[0].unionByName(sides[1])
+    both = [(side, [e.alias(f"{side}_{c}") for c, e in zip(_SUMS, measured(held, f"{side}_pred", f"{side}_cost", f"{side}_latency", F.lit(side == "other")), strict=True)]) for side in ("cheap", "other")]
+    once = held.groupBy("rank").agg(*[e for _, sums in both for e in sums])  # a row per interval
+    sums = once.select("rank", F.explode(F.array(*[F.struct(F.lit(side).alias("side"), *[F.col(f"{side}_{c}").alias(c) for c in _SUMS]) for side, _ in both])).alias("s")).select("rank", "s.*")
     grid = spark.createDataFrame([(k, float(c)) for k, c in enumerate(cuts, 1)], "k int, threshold double")
     counts = grid.join(F.broadcast(sums), F.when(F.col("side") == "cheap", F.col("rank") >= F.col("k")).otherwise(F.col("rank") < F.col("k")))  # thresholds by their intervals
     trials = metrics(counts.groupBy("threshold").agg(*[F.sum(c).alias(c) for c in _SUMS]), ["threshold"])
