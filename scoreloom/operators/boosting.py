@@ -126,16 +126,17 @@ def best_split(n: np.ndarray, g: np.ndarray, least: int, l2: float) -> tuple[flo
 
 def fit(
     rows: DataFrame, features: list[str], target: str, *, trees: int = 200, rate: float = 0.08, leaves: int = 31, depth: int = 8, least: int = 20, l2: float = 0.1, bins: int = BINS,
-    held_out: str | None = None, patience: int = 10, counted_rows: int = COUNTED_ROWS,
+    held_out: str | None = None, patience: int = 10, counted_rows: int = COUNTED_ROWS, weight: str | None = None,
 ) -> Model:
     """Trees of at most ``leaves`` leaves, grown level by level (of a level's splits the largest gains first), each leaf with at least
-    ``least`` rows. ``held_out``: a boolean column; fitting stops when its error has not fallen for ``patience`` trees.
+    ``least`` rows. ``held_out``: a boolean column; fitting stops when its error has not fallen for ``patience`` trees. ``weight``: a column
+    of how many equal rows a row stands for.
 
     Up to ``counted_rows`` combinations of bins (counted first) are summed in the driver, else every level is a job.
     """
     reliable_checkpoints(rows.sparkSession)
     held = F.coalesce(F.col(held_out), F.lit(False)).cast("int") if held_out else F.lit(0)
-    kept = _sound(rows.withColumn("_held", held), [*features, target, "_held"])
+    kept = _sound(rows.withColumns({"_held": held, "_weight": F.col(weight) if weight else F.lit(1)}), [*features, target, "_held", "_weight"])
     edges = bin_edges(kept, features, bins)
     k, wide = len(features), max([len(e) for e in edges] or [0]) + 1
     names = [f"b{i}" for i in range(k)]
@@ -143,9 +144,11 @@ def fit(
     def cut(batches):
         for b in batches:
             x = _binned([b.column(f).to_numpy(zero_copy_only=False) for f in features], edges)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i], pa.int32()) for i in range(k)), b.column(target), b.column("_held").cast(pa.int32())], names=[*names, "y", "held"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i], pa.int32()) for i in range(k)), b.column(target), b.column("_held").cast(pa.int32()), b.column("_weight")], names=[*names, "y", "held", "w"])
 
-    counts = kept.mapInArrow(cut, ", ".join(f"{b} int" for b in names) + ", y double, held int").groupBy(*names, "held").agg(F.count("*").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q")).checkpoint()
+    counts = kept.mapInArrow(cut, ", ".join(f"{b} int" for b in names) + ", y double, held int, w double")
+    y, w = F.col("y"), F.col("w")
+    counts = counts.groupBy(*names, "held").agg(F.sum("w").cast("long").alias("n"), F.sum(w * y).alias("s"), F.sum(w * y * y).alias("q")).checkpoint()
     first = counts.where("held = 0").agg(F.sum("n"), F.sum("s")).first()
     if not first[0]:
         raise ValueError("boosting needs rows")

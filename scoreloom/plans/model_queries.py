@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.operators import boosting, calibrate, fitting
 from scoreloom.plans.proxy import RECORDS_SQL, TOP, judged, score_records
+from scoreloom.session import reliable_checkpoints
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,9 +50,11 @@ def boosted_first_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boosted_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors that the primary model (up to 200 trees, ended by a tenth of the items that it does not see) predicts for every
     combination of features, next to their means."""
-    rows = _features(spark, sf_dir).withColumn("held", F.pmod(F.xxhash64("d", "x", "units", "dataset"), F.lit(10)) == 0).withColumn("kind", F.when(F.col("dataset") == "A", 0).when(F.col("dataset") == "N", 1).otherwise(2))
-    model = boosting.fit(rows, ["d", "x", "kind"], "units", held_out="held")
-    means = rows.groupBy("dataset", "kind", "d", "x").agg(F.count("*").alias("n"), (F.sum("units") / F.count("*")).alias("mean"))
+    reliable_checkpoints(spark)
+    equal = _features(spark, sf_dir).groupBy("dataset", "d", "x", "units").agg(F.count("*").alias("n")).checkpoint()  # all that is read of the items, once
+    rows = equal.withColumn("held", F.pmod(F.xxhash64("d", "x", "units", "dataset"), F.lit(10)) == 0).withColumn("kind", F.when(F.col("dataset") == "A", 0).when(F.col("dataset") == "N", 1).otherwise(2))
+    model = boosting.fit(rows, ["d", "x", "kind"], "units", held_out="held", weight="n")
+    means = rows.groupBy("dataset", "kind", "d", "x").agg(F.sum("n").alias("n"), (F.sum(F.col("units") * F.col("n")) / F.sum("n")).alias("mean"))
     return boosting.predict(model, means).select("dataset", "d", "x", "n", F.floor(F.col("mean") * 1e3 + 0.5).alias("mean_e3"), F.floor(F.col("predicted") * 1e3 + 0.5).alias("predicted_e3"))
 
 
