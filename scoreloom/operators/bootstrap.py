@@ -21,10 +21,43 @@ COUNTED = ["n", "units", "severe", "stops", "unsafe", "n_valid", "st", "sp", "st
 METRICS = ["severe", "unsafe", "nmae", "qwk"]
 #: Papers to a bucket of digests when they are numbered, papers to a block, draws held at a time, and replicates weighed together.
 BUCKET, BLOCK, PACK, TOGETHER = 4096, 1024, 4_000_000, 256
+#: Draws that are hashed at a time.
+PIECE = 16_384
 SEED = 20260729
 _ONE, _GROW, _P, _Q = (np.uint64(x) for x in (1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
+def _mix_into(x: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """``mix`` of ``x`` in place; ``other`` is room of the same size."""
+    x += _GROW
+    for shift, factor in ((np.uint64(30), _P), (np.uint64(27), _Q), (np.uint64(31), None)):
+        np.right_shift(x, shift, out=other)
+        x ^= other
+        if factor is not None:
+            x *= factor
+    return x
+
+
+def _picks(keys: np.ndarray, counts: np.ndarray, n: int, width: int, share: int) -> np.ndarray:
+    """(row, pick // share) counts of ``counts`` draws of each row, which count up from its key: draws are hashed in place, PIECE at a
+    time, so that they stay in the cache."""
+    out = np.zeros((len(keys), width), np.int64)
+    steps, x, other = np.arange(PIECE, dtype=np.uint64), np.empty(PIECE, np.uint64), np.empty(PIECE, np.uint64)
+    for i, (key, count) in enumerate(zip(keys, counts.tolist(), strict=True)):
+        for start in range(0, count, PIECE):
+            m = min(PIECE, count - start)
+            draw, room = x[:m], other[:m]
+            np.add(steps[:m], key + np.uint64(start), out=draw)
+            _mix_into(draw, room)
+            np.floor_divide(draw, np.uint64(n), out=room)
+            room *= np.uint64(n)
+            draw -= room
+            if share > 1:
+                np.floor_divide(draw, np.uint64(share), out=draw)
+            out[i] += np.bincount(draw.view(np.int64), minlength=width)
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that makes neighbours unlike each other; sums and products wrap around."""
     x = x + _GROW
@@ -83,22 +116,30 @@ def positions(papers: DataFrame) -> tuple[DataFrame, int]:
 
 def block_counts(first: int, stop: int, size: int, seed: int = SEED, block: int = BLOCK) -> np.ndarray:
     """How many of a replicate's ``size`` draws fall on each block, for the replicates from ``first`` to before ``stop``."""
-    blocks = -(-size // block)
-    out = np.zeros((stop - first, blocks), np.int64)
-    for i, key in enumerate(replicate_key(np.arange(first, stop), seed)):
-        for start in range(0, size, PACK):
-            draw = np.arange(start, min(start + PACK, size), dtype=np.uint64)
-            out[i] += np.bincount((_rest(mix(key + draw), size) // np.uint64(block)).astype(np.int64), minlength=blocks)
-    return out
+    keys = replicate_key(np.arange(first, stop), seed)
+    return _picks(keys, np.full(len(keys), size), size, -(-size // block), block)
 
 
 def block_weights(first: int, counts: np.ndarray, block: int, held: int, seed: int = SEED) -> np.ndarray:
     """(replicate, paper of the block): how often each of ``held`` papers is drawn, given how often the block is."""
     keys = block_key(np.arange(first, first + len(counts)), block, seed)
-    row = np.repeat(np.arange(len(counts)), counts)
-    draw = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    pick = _rest(mix(keys[row] + draw.astype(np.uint64)), held).astype(np.int64)
-    return np.bincount(row * held + pick, minlength=len(counts) * held).reshape(len(counts), held)
+    out = np.empty((len(counts), held), np.int64)
+    several = max(1, PIECE // max(1, int(counts.max(initial=0))))  # rows whose draws fit in a piece
+    for a in range(0, len(counts), several):
+        some = counts[a : a + several]
+        if int(some.max()) > PIECE:
+            out[a : a + several] = _picks(keys[a : a + several], some, held, held, 1)
+            continue
+        draw = np.repeat(keys[a : a + several] - (np.cumsum(some) - some).astype(np.uint64), some)
+        draw += np.arange(len(draw), dtype=np.uint64)
+        room = np.empty_like(draw)
+        _mix_into(draw, room)
+        np.floor_divide(draw, np.uint64(held), out=room)
+        room *= np.uint64(held)
+        draw -= room
+        draw += np.repeat(np.arange(len(some), dtype=np.uint64) * np.uint64(held), some)
+        out[a : a + several] = np.bincount(draw.view(np.int64), minlength=len(some) * held).reshape(len(some), held)
+    return out
 
 
 def resampled(sums: DataFrame, replicates: int, seed: int = SEED, block: int = BLOCK, together: int = TOGETHER) -> DataFrame:
@@ -128,10 +169,16 @@ def resampled(sums: DataFrame, replicates: int, seed: int = SEED, block: int = B
         for i, group in enumerate(zip(arms, datasets, strict=True)):
             groups.setdefault(group, []).append(i)
         found = []
+        here = min(block, size - place * block)
+        summed = {group: np.zeros((here, len(counted))) for group in groups}
+        for group, rows in groups.items():
+            np.add.at(summed[group], offset[rows], values[rows])
+        side = np.hstack(list(summed.values()))  # the sums of all arms and datasets of a paper, side by side
         for first in range(0, replicates, together):
-            weights = block_weights(first, counts[first : first + together], place, min(block, size - place * block), seed).astype(np.float64)
-            for (arm, dataset), rows in groups.items():
-                total = np.rint(weights[:, offset[rows]] @ values[rows]).astype(np.int64)
+            weights = block_weights(first, counts[first : first + together], place, here, seed).astype(np.float64)
+            totals = np.rint(weights @ side).astype(np.int64)
+            for k, (arm, dataset) in enumerate(groups):
+                total = totals[:, k * len(counted) : (k + 1) * len(counted)]
                 there = np.flatnonzero(total[:, 0])
                 found.append(pa.table([pa.array(there + first), pa.array([arm] * len(there), pa.string()), pa.array([dataset] * len(there), pa.string()), *[pa.array(total[there, c]) for c in range(len(counted))]], names=["replicate", "arm", "dataset", *counted]))
         return pa.concat_tables(found)

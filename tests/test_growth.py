@@ -65,3 +65,22 @@ def test_equal_rows_are_one_with_a_weight(spark):
     few = rows.groupBy("a", "b", "y", "held").agg(F.count("*").alias("n"))
     one, other = (boosting.fit(r, ["a", "b"], "y", trees=3, held_out="held", weight=w) for r, w in ((rows, None), (few, "n")))
     assert one.losses == pytest.approx(other.losses) and [t.cut for t in one.trees] == [t.cut for t in other.trees]
+
+
+def test_draws_in_pieces_are_the_draws(monkeypatch):
+    import numpy as np
+
+    from scoreloom.operators import bootstrap
+
+    monkeypatch.setattr(bootstrap, "PIECE", 7)  # missing before: draws were made millions at a time
+    keys = bootstrap.replicate_key(np.arange(3, 6))
+    expected = np.zeros((3, 4), np.int64)
+    for i, key in enumerate(keys):
+        for pick in (int(x) % 50 // 16 for x in bootstrap.mix(key + np.arange(50, dtype=np.uint64))):
+            expected[i, pick] += 1
+    assert (bootstrap.block_counts(3, 6, 50, block=16) == expected).all()
+    counts, inside = np.array([0, 3, 20]), np.zeros((3, 5), np.int64)
+    for i, key in enumerate(bootstrap.block_key(np.arange(3, 6), 2)):
+        for x in bootstrap.mix(key + np.arange(counts[i], dtype=np.uint64)):
+            inside[i, int(x) % 5] += 1
+    assert (bootstrap.block_weights(3, counts, 2, 5) == inside).all()
