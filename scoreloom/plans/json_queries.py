@@ -28,14 +28,14 @@ def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def banned_key_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where records of orders hold keys that a model must not see, at any depth."""
-    return order_records(spark, sf_dir).select("key", F.explode(json_walk(F.col("record"), HIDDEN_KEYS)["paths"]).alias("path"))
+    return order_records(spark, sf_dir).select("key", F.explode(json_walk(F.col("record"), HIDDEN_KEYS, ("paths",))["paths"]).alias("path"))
 
 
 def visible_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records cut to what a model may see and freed of banned keys: size and digest of their canonical form."""
     cut = F.from_json("record", "item_id long, dataset string, prompt string, lines array<struct<step:long,answer:long,evidence:struct<Score1:long,note:string>>>")
     kept = order_records(spark, sf_dir).withColumn("r", cut).select("key", F.to_json(F.struct(*[F.col("r")[c].alias(c) for c in VISIBLE]), {"ignoreNullFields": "false"}).alias("seen"))
-    clean = kept.select("key", json_walk(F.col("seen"), HIDDEN_KEYS)["stripped"].alias("clean"))
+    clean = kept.select("key", json_walk(F.col("seen"), HIDDEN_KEYS, ("stripped",))["stripped"].alias("clean"))
     return clean.select("key", F.length("clean").cast("long").alias("n_chars"), F.sha2("clean", 256).alias("sha256"))
 
 

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from scoreloom.functions.json_walk import HIDDEN_KEYS, json_walk, walk
+from scoreloom.functions.json_walk import HIDDEN_KEYS, json_walk, read, walk
 from scoreloom.operators import manifest
 from scoreloom.session import reliable_checkpoints
 
@@ -61,6 +61,24 @@ def test_walk_of_odd_texts():
     assert whole == deep and kept == "[" * 50_000 + "{}" + "]" * 50_000 and found == ["$" + "[0]" * 50_000 + ".score1"]
 
 
+def test_reading_equals_the_walk():
+    rng = random.Random(2)
+    banned = frozenset(HIDDEN_KEYS)
+    odd = ["-0", "-0.0", "[1e5,1E400]", '{"a":1e999,"a":1}', "9" * 5000, '{"GOLD_SCORE":[{"score1":1}]}', '{"a":1,"b":{"score1":2},"a":{"score2":3}}', '"\\u0041"', "\ufeff1", "[" * 5000 + '{"score1":[]}' + "]" * 5000, "", "-Infinity", " [1] \n", "\xa01"]
+    for text in odd + [json.dumps(some_value(rng, 5), ensure_ascii=k % 2 == 0, indent=k % 3 or None) for k in range(600)]:
+        whole = walk(text, banned)
+        assert read(text, banned) == whole and read(text) == walk(text)
+        for i, part in enumerate(("canonical", "stripped", "paths")):
+            assert read(text, banned, (part,)) == (whole and tuple(x if k == i else None for k, x in enumerate(whole)))
+
+
+def test_usual_records_are_not_walked_token_by_token(monkeypatch):
+    from scoreloom.functions import json_walk as module
+
+    monkeypatch.setattr(module, "walk", None)  # before, every text went through it: about 1 ms a record
+    assert module.read('{"b":[{"Score1":1.50,"é":null}],"a":-7}', frozenset(["score1"])) == ('{"a":-7,"b":[{"Score1":1.5,"é":null}]}', '{"a":-7,"b":[{"é":null}]}', ["$.b[0].Score1"])
+
+
 def test_json_walk_column(spark):
     rows = spark.createDataFrame([(1, '{"B":[{"SCORE1":1,"t":"\\"score1\\": 2"}]}'), (2, None), (3, "{"), (4, "7")], "k int, j string")
     got = {r.k: r.w for r in rows.select("k", json_walk(F.col("j"), ["score1"]).alias("w")).collect()}
