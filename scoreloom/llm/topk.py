@@ -12,8 +12,8 @@ Queries and candidates meet in pairs of blocks, one task each, and a task goes t
 search of a set of queries against all rows can't avoid pairs of blocks; blocks are as large as a task may hold (some 70 MB for
 64 dimensions), which keeps copies few: candidates are copied once for each ``QUERY_BLOCK`` queries.
 
-Components are turned into floor(64 * x) first, and all sums are of 64-bit integers (doubles only where every sum is below 2^53,
-Python's integers where one could pass 2^62, order-preserving bytes between tasks), so scores are exact, nothing is capped before it is
+Components are turned into floor(64 * x) first, and all sums are of 64-bit integers (floats only where every sum is below 2^24,
+doubles only where it is below 2^53, Python's integers where one could pass 2^62, order-preserving bytes between tasks), so scores are exact, nothing is capped before it is
 ranked, and ties are real: the smaller id wins.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components, and rows without an id take no part; vectors
@@ -40,21 +40,36 @@ POOL = 4
 _NEVER, ENDS = -(1 << 62), (-(1 << 63), (1 << 63) - 1)
 
 
-def _product(a: np.ndarray, b: np.ndarray, exact_doubles: bool) -> np.ndarray:
-    """a @ b in integers."""
-    return np.rint(a.astype(np.float64) @ b.astype(np.float64)).astype(np.int64) if exact_doubles else a @ b
-
-
 class SortedLists:
-    """Candidates in the order of their ids, and for every dimension their order by value."""
+    """Candidates in the order of their ids, and for every dimension their places in its list, sorted by value."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], vectors[order]
-        self.order = np.argsort(self.x, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(self.x, self.order.T, axis=0)
+        by_value = np.argsort(self.x, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(self.x, by_value, axis=0)
         self.low, self.high = self.sorted[0], self.sorted[-1]
+        self.rank = np.empty(self.x.shape, np.int32)
+        np.put_along_axis(self.rank, by_value, np.arange(len(self.x), dtype=np.int32)[:, None], axis=0)
         self.read = 0  # entries that queries have read
+        self._made: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _once(self, key: tuple, make) -> tuple[np.ndarray, np.ndarray]:
+        if key not in self._made:  # strips are the same for all queries
+            self._made[key] = tuple(m.astype(key[-1], copy=False) for m in make())
+        return self._made[key]
+
+    def whole(self, kind: type) -> np.ndarray:
+        return self._once(("whole", kind), lambda: (self.x,))[0]
+
+    def strip(self, depth: int, stop: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """What the entries ``depth`` to ``stop`` of the lists, from their upper and from their lower end, add to the worst values; 0 elsewhere."""
+        n, r = len(self.x), self.rank
+        return self._once((depth, stop, kind), lambda: (np.where((r >= n - stop) & (r < n - depth), self.x - self.low, 0), np.where((r >= depth) & (r < stop), self.x - self.high, 0)))
+
+    def unread(self, depth: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """Which entries lie behind ``depth``, seen from the upper and from the lower end."""
+        return self._once((depth, kind), lambda: (self.rank < len(self.x) - depth, self.rank >= depth))
 
 
 def best(lists: SortedLists, queries: np.ndarray, own: np.ndarray, k: int, bound: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -70,54 +85,55 @@ def best(lists: SortedLists, queries: np.ndarray, own: np.ndarray, k: int, bound
             out[i] = (np.array([j for _, j in found], np.int64), np.array([-s for s, _ in found], object))
         lists.read += n * dims * len(queries)
         return out
-    doubles = largest < 1 << 53
+    # The smallest type in which every sum of products is exact.
+    kind = np.float32 if largest < 1 << 24 else np.float64 if largest < 1 << 53 else np.int64
     bound = np.full(len(queries), _NEVER) if bound is None else bound
     live = np.arange(len(queries))
     up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+    up_, down_ = up.astype(kind), down.astype(kind)
     mine = [slice(int(np.searchsorted(lists.ids, o)), int(np.searchsorted(lists.ids, o, side="right"))) for o in own.tolist()]
-    lower = np.broadcast_to(up @ lists.low + down @ lists.high, (n, len(queries))).copy()
-    rank = None
+    lower = np.repeat((up @ lists.low + down @ lists.high).astype(kind)[:, None], n, axis=1)
     depth, strip = 0, FIRST_STRIP
     while len(live):
         stop = n if depth * 4 >= n or strip >= n else depth + strip
         lists.read += (stop - depth) * dims * len(live)
         if stop == n:  # all the rest of all lists
-            lower = _product(lists.x, queries[live].T, doubles)
+            lower = queries[live].astype(kind) @ lists.whole(kind).T
         else:
-            for d in range(dims):
-                top, bottom = lists.order[d, n - stop : n - depth], lists.order[d, depth:stop]
-                lower[top] += np.multiply.outer(lists.x[top, d] - lists.low[d], up[live, d])
-                lower[bottom] += np.multiply.outer(lists.x[bottom, d] - lists.high[d], down[live, d])
+            top, bottom = lists.strip(depth, stop, kind)
+            lower += up_[live] @ top.T
+            lower += down_[live] @ bottom.T
         depth, strip = stop, stop
         for c, q in enumerate(live):
-            lower[mine[q], c] = _NEVER
+            lower[c, mine[q]] = _NEVER
         ask = np.arange(len(live))
         if depth < n:  # could anything unseen be out of the race?
             at_top, at_bottom = lists.sorted[n - depth - 1], lists.sorted[depth]
             unseen = up[live] @ at_top + down[live] @ at_bottom
-            ask = np.flatnonzero(unseen < np.maximum(lower.max(0), bound[live]))
+            ask = np.flatnonzero(unseen < np.maximum(lower.max(1), bound[live]))
         cut = bound[live].copy()
         for c in ask:
             size = min(k, n - (mine[live[c]].stop - mine[live[c]].start))
-            cut[c] = max(cut[c], np.partition(lower[:, c], n - size)[n - size]) if size else -_NEVER
+            cut[c] = max(cut[c], int(np.partition(lower[c], n - size)[n - size])) if size else -_NEVER
         can, done = lower, np.full(len(live), depth == n)
         if depth < n:
             ask = ask[unseen[ask] < cut[ask]]
             if len(ask):
-                if rank is None:
-                    rank = np.empty((dims, n), np.int32)
-                    np.put_along_axis(rank, lists.order, np.broadcast_to(np.arange(n, dtype=np.int32), (dims, n)), axis=1)
+                above, below = lists.unread(depth, kind)
                 room_up, room_down = up[live[ask]] * (at_top - lists.low), down[live[ask]] * (at_bottom - lists.high)
                 can = lower.copy()
-                can[:, ask] += _product((rank < n - depth).T, room_up.T, doubles) + _product((rank >= depth).T, room_down.T, doubles)
-                done[ask] = (can[:, ask] >= cut[ask]).sum(0) <= POOL * k
+                can[ask] += room_up.astype(kind) @ above.T + room_down.astype(kind) @ below.T
+                done[ask] = (can[ask] >= cut[ask][:, None]).sum(1) <= POOL * k
         for c in np.flatnonzero(done):
             q = live[c]
-            found = np.flatnonzero((can[:, c] >= cut[c]) & (lower[:, c] > _NEVER // 2))
+            found = np.flatnonzero(can[c] >= cut[c])
+            found = found[lower[c, found] > _NEVER // 2]
             scores = lists.x[found] @ queries[q]
             order = np.lexsort((found, -scores))[:k]
             out[q] = (found[order], scores[order])
-        live, lower = live[~done], lower[:, ~done]
+        if not done.all():
+            lower = lower[~done]
+        live = live[~done]
     return out
 
 

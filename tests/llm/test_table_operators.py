@@ -106,6 +106,22 @@ def test_topk_ranks_huge_scores_before_anything_is_capped(spark):
     assert got == [(0, r, i, cut(score[i])) for r, i in enumerate(order, 1)] and order[:4] == [4, 3, 2, 1]
 
 
+def test_topk_strips_are_made_once_for_all_queries():
+    rng = np.random.default_rng(4)
+    for scale, kind in ((40, np.float32), (1 << 20, np.float64), (1 << 27, np.int64)):  # exact in each type of sums
+        x = rng.integers(-scale, scale, (3000, 16))
+        lists = topk.SortedLists(np.arange(3000), x)
+        for s in (0, 64):  # missing before: every group of queries read the lists entry by entry
+            for i, (at, scores) in enumerate(topk.best(lists, x[s : s + 64], np.arange(s, s + 64), 7), s):
+                exact = x @ x[i]
+                order = sorted((j for j in range(3000) if j != i), key=lambda j: (-exact[j], j))[:7]  # noqa: B023
+                assert at.tolist() == order and scores.tolist() == [int(exact[j]) for j in order]
+            made = set(lists._made) if s == 0 else made
+        assert set(lists._made) == made and all(m.dtype == kind for pair in lists._made.values() for m in pair)
+        top, bottom = lists.strip(64, 128, kind)
+        assert ((top != 0).sum(0) <= 64).all() and (np.abs(bottom).sum(0) > 0).all()
+
+
 def test_topk_stops_reading_early_and_stays_exact():
     """A few strong dimensions: most lists are left far from their ends. A second block is read less than the first."""
     rng = np.random.default_rng(4)
