@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.operators.skew import hot_values, salted_join
@@ -55,17 +57,19 @@ def _step_by_shuffle(both: DataFrame, labels: DataFrame, hubs: list) -> DataFram
 def leakage_components(items: DataFrame, keys: list[list[str]], id_col: str = "item_id") -> DataFrame:
     """(item, component): items that agree in any of the key sets belong together; a key with a null or empty part is none.
 
-    Every key value gives a star around its smallest item, so there are at most as many edges as items and key sets.
+    Every key value gives a star around its smallest item, so there are at most as many edges as items and key sets. Items are read
+    once, whatever the number of key sets; from there on a key is 128 bits of the SHA-256 of its parts.
     """
-    edges = None
-    for columns in keys:
-        whole = items
-        for c in columns:
-            whole = whole.where(F.col(c).isNotNull() & (F.col(c).cast("string") != ""))
-        keyed = whole.select(id_col, F.concat_ws("\x1f", *columns).alias("_key"))
-        hub = keyed.groupBy("_key").agg(F.min(id_col).alias("a"), F.count("*").alias("count")).where("count > 1").checkpoint()
-        star = salted_join(keyed, hub.select("_key", "a"), "_key", hot_values(hub, "_key"), [F.col(id_col)]).select("a", F.col(id_col).alias("b")).where("a <> b")
-        edges = star if edges is None else edges.union(star)
+    reliable_checkpoints(items.sparkSession)
+
+    def key(k: int, columns: list[str]) -> Column:
+        there = reduce(lambda x, y: x & y, [F.col(c).isNotNull() & (F.col(c).cast("string") != "") for c in columns])
+        return F.when(there, F.substring(F.sha2(F.concat_ws("\x1f", F.lit(str(k)), *columns).cast("binary"), 256), 1, 32))
+
+    keyed = items.select(id_col, F.explode(F.array(*[key(k, columns) for k, columns in enumerate(keys)])).alias("_key")).where("_key IS NOT NULL").checkpoint()
+    hub = keyed.groupBy("_key").agg(F.min(id_col).alias("a"), F.count("*").alias("count")).where("count > 1").checkpoint()
+    star = salted_join(keyed, hub.select("_key", "a"), "_key", hot_values(hub, "_key"), [F.col(id_col)])
+    edges = star.select("a", F.col(id_col).alias("b")).where("a <> b").distinct()
     labels = connected_components(edges)
     return items.select(id_col).distinct().join(labels.withColumnRenamed("node", id_col), id_col, "left").select(id_col, F.coalesce("component", F.col(id_col)).alias("component"))
 

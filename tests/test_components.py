@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from scoreloom.operators import components
 
@@ -37,3 +38,19 @@ def test_components_of_chains_stars_and_repeated_edges(spark, bound):
 @pytest.mark.parametrize("bound", [0, 10_000])
 def test_no_edges_give_no_components(spark, bound):
     assert components.connected_components(spark.createDataFrame([], "a long, b long"), bound).count() == 0
+
+
+def test_leakage_reads_items_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(g):
+        seen.add(1)
+        return g
+
+    rows = [(f"i{k:03}", f"g{k // 3}", f"h{k // 50}" if k % 2 else None) for k in range(200)]
+    items = spark.createDataFrame(rows, "item_id string, g string, h string").withColumn("g", counted("g"))
+    got = {r.item_id: r.component for r in components.leakage_components(items, [["g"], ["h"], ["g", "h"]]).collect()}
+    assert seen.value == 200  # before, items were read twice for every key set
+    edges = [(a[0], b[0]) for a in rows for b in rows if a[1] == b[1] or (a[2] and a[2] == b[2])]
+    assert set(got.items()) == by_hand(edges)
