@@ -323,8 +323,10 @@ def repeated_intervals(docs: DataFrame, *, id_col: str, text_col: str, length: i
     runs = hot.select("w", "part").distinct()
     across = runs.repartition("w").sortWithinPartitions("part", "w").mapInArrow(_merge_runs, "w long")
     merged = hot.join(across, "w").select("h", "c", "first", F.col("first").alias("last"))
-    windows = judged.unionByName(merged) if not kinds.where("hot").isEmpty() else judged
-    # What repeats in a context goes to all its occurrences; a frequent context's are dealt over several tasks.
+    found_ = judged.unionByName(merged) if not kinds.where("hot").isEmpty() else judged
+    # All windows of a context cover its anchor, so what they cover together is one interval, and a context gets one row.
+    windows = found_.groupBy("h", "c").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    # It goes to all occurrences of the context; a frequent context's are dealt over several tasks.
     often = hot_values(contexts_.groupBy("c").agg(F.sum("copies").alias("n")), "c", "n")
     both = salted_join(edges.withColumnRenamed("h", "h2"), windows, "c", often, [F.col("_d"), F.col("_x"), F.col("lo")]).where("h = h2")
     some = both.select("_d", "_x", (F.col("lo") + F.col("first")).alias("start"), (F.col("lo") + F.col("last") + length).alias("end"))

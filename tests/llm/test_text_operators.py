@@ -270,3 +270,24 @@ def test_quality_query_ranks_held_out_rows(spark):
     above = sum((g > b) + (g == b) / 2 for g in good for b in bad)
     assert len(bad) > 5 and above >= 0.9 * len(good) * len(bad)
     assert all(r.predicted == int(r.score >= 0.7) for r in rows)
+
+
+def test_contexts_get_one_row_before_they_meet_their_occurrences(spark, monkeypatch):
+    tables, join = [], suffix_dedup.salted_join
+
+    def joined(rows, table, key, *more):
+        tables.extend([table] if key == "c" and "first" in table.columns else [])
+        return join(rows, table, key, *more)
+
+    monkeypatch.setattr(suffix_dedup, "salted_join", joined)
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    near = [base[:at] + "#" + base[at + 1 :] for at in (rng.randrange(700) for _ in range(30))]
+    docs = spark.createDataFrame(list(enumerate(near)), "doc_id long, text string")
+    got = {r.doc_id: r.kept for r in suffix_dedup.remove_repeats(docs, hot_contexts=2).collect()}
+    starts = Counter(t[i : i + 200] for t in near for i in range(len(t) - 199))
+    for k, t in enumerate(near):
+        gone = {j for i in range(len(t) - 199) if starts[t[i : i + 200]] > 1 for j in range(i, i + 200)}
+        assert bytes(got[k]).decode() == "".join(c for j, c in enumerate(t) if j not in gone)
+    assert len(tables) == 1 and tables[0].count() > 0
+    assert tables[0].groupBy("h", "c").count().where("count > 1").isEmpty()  # before, one row for every repeated window
