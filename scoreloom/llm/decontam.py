@@ -210,7 +210,8 @@ def contaminated_texts(texts: DataFrame, benchmark: DataFrame, *, item_id_col: s
         table = prints.toArrow()
         sizes, hashes = table["size"].to_numpy(), table["h"].to_numpy().view(np.uint64)
         known = texts.sparkSession.sparkContext.broadcast({s: np.sort(hashes[sizes == s]) for s in np.unique(sizes).tolist()})
-        near = F.arrow_udf(lambda t: _windows_near(t, known.value, window, k), _FOUND)
+        # Else the filter would be pushed below and call it again, in a second worker beside each task's first.
+        near = F.arrow_udf(lambda t: _windows_near(t, known.value, window, k), _FOUND).asNondeterministic()
         found = texts.select(*_keys(F.col("t")), near("t").alias("f")).where(F.size("f") > 0)
     else:
         sizes = [r["size"] for r in prints.select("size").distinct().collect()]  # at most ``window`` numbers

@@ -150,9 +150,8 @@ def name_words(name: Column) -> Column:
     return F.transform(words, lambda w, i: F.struct(w.alias("word"), (i + 1 < F.size(words)).alias("first"), F.when(i + 1 < F.size(words), gender).alias("gender")))
 
 
-def _name_word(word: Column, kind: Column, key: str, nonce: Column) -> Column:
+def _name_word(word: Column, kind: Column, s: Column, nonce: Column) -> Column:
     """A made-up word of a name: kind is ``last`` or ``first`` with a gender, which its ending shows; its script stays."""
-    s = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("name"), nonce.cast("string"), word).cast("binary"), 512)
     at = lambda k: _byte(s, F.lit(k))
     end = F.when(kind == "last", _of(["er", "sen", "ov", "ell"], at(4))).when(kind == "first f", F.lit("a")).when(kind == "first m", F.lit("o")).otherwise(F.lit("e"))
     more = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(nonce / WIDEN).cast("int")), lambda k: F.when(k > 0, _of(_MIDDLE, _byte(s, k + 5))).otherwise("")), "")
@@ -183,13 +182,29 @@ def _checked_iban(made: Column, entity: Column) -> Column:
     return F.when(_remainder(entity) == 1, F.concat(F.substring(made, 1, 2), digits, F.substring(made, F.lit(5), F.length(made)))).otherwise(made)
 
 
-def surrogate(entity: Column, kind: Column, key: str, nonce: Column) -> Column:
-    """The nonce-th surrogate of an entity."""
+def surrogates(rows: DataFrame, key: str) -> DataFrame:
+    """(entity, kind, nonce, surrogate): the nonce-th surrogate of every (entity, kind, nonce).
+
+    The stream and what is redrawn by it are columns of their own: as one expression it would hold the stream's hashes over a
+    thousand times, which the driver keeps for each round, and hash an entity anew for every sign."""
+    entity, kind, nonce = F.col("entity"), F.col("kind"), F.col("nonce")
+    person = kind.isin("last", "first f", "first m", "first x")
     seeded = lambda half: F.sha2(F.concat_ws("\x1f", F.lit(key), kind, nonce.cast("string"), F.lit(half), entity).cast("binary"), 512)
-    stream = F.concat(seeded("a"), seeded("b"))
-    local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
+    named = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("name"), nonce.cast("string"), entity).cast("binary"), 512)
+    rows = rows.select("entity", "kind", "nonce", F.when(person, named).otherwise(F.concat(seeded("a"), seeded("b"))).alias("stream"))
+    stream = F.col("stream")
+    # What is redrawn: a mail's two parts, or all but the first signs of the others.
+    domain = F.substring_index(entity, "@", -1)
+    code = F.regexp_extract(entity, r"\A(?:\+\d{1,3}(?=[ .(-])|0+)", 0)
+    head = F.regexp_extract(entity, r"\A(?:AKIA|gh[pousr]_|sk-)", 0)
+    kept = F.when(kind == "phone", F.length(code)).when(kind == "card", 1).when(kind == "iban", 2).when(kind == "secret", F.length(head)).otherwise(0)
+    other = F.concat(F.substring(entity, F.lit(1), kept), _redraw(F.substring(entity, kept + 1, F.length(entity)), stream))
+    redrawn = F.when(kind == "email", _redraw(F.substring_index(entity, "@", 1), stream)).when(~person & ~kind.isin("ip", "ipv6", "birth"), other)
+    host = F.when(kind == "email", _redraw(F.substring_index(domain, ".", 1), stream, 64))
+    rows = rows.select("entity", "kind", "nonce", "stream", redrawn.alias("redrawn"), host.alias("host"))
+    redrawn, host = F.col("redrawn"), F.col("host")
     tld = F.lower(F.substring_index(domain, ".", -1))
-    email = F.concat(_redraw(local, stream), F.lit("@"), _redraw(F.substring_index(domain, ".", 1), stream, 64), F.lit(".example."), F.when(tld.isin("com", "net", "org"), tld).otherwise(F.lit("org")))
+    email = F.concat(redrawn, F.lit("@"), host, F.lit(".example."), F.when(tld.isin("com", "net", "org"), tld).otherwise(F.lit("org")))
     # 240.0.0.0/4 and 2001:db8::/32 are reserved and belong to nobody.
     ip = F.array_join(F.array((_byte(stream, F.lit(0)) % 15 + 240).cast("string"), *[_byte(stream, F.lit(i)).cast("string") for i in range(1, 4)]), ".")
     ipv6 = F.concat(F.lit("2001:db8"), *[F.concat(F.lit(":"), F.substring(stream, 4 * i + 1, 4)) for i in range(6)])
@@ -198,35 +213,28 @@ def surrogate(entity: Column, kind: Column, key: str, nonce: Column) -> Column:
     dotted = F.when(when_.rlike(r"\A\d\d.\d\d."), F.date_format(day, "dd.MM.yyyy")).otherwise(F.date_format(day, "d.M.yyyy"))
     written = F.when(when_.contains("-"), F.date_format(day, "yyyy-MM-dd")).when(when_.contains("/"), F.translate(dotted, ".", "/")).otherwise(dotted)
     birth = F.concat(F.substring(entity, F.lit(1), F.length(entity) - F.length(when_)), written)
-    code = F.regexp_extract(entity, r"\A(?:\+\d{1,3}(?=[ .(-])|0+)", 0)
-    phone = F.concat(code, _redraw(F.substring(entity, F.length(code) + 1, F.length(entity)), stream))
-    card = F.concat(F.substring(entity, 1, 1), _redraw(F.substring(entity, F.lit(2), F.length(entity) - 1), stream))
-    digits = F.regexp_replace(card, "[^0-9]", "")
+    digits = F.regexp_replace(redrawn, "[^0-9]", "")
     body = F.substring(digits, F.lit(1), F.length(digits) - 1)
     check = (10 - _luhn(F.concat(body, F.lit("0")))) % 10
     # Valid numbers get the valid check digit, others one that is not.
     last = F.when(_luhn(F.regexp_replace(entity, "[^0-9]", "")) == 0, check).otherwise((check + 1 + _byte(stream, F.lit(100)) % 9) % 10)
-    card = F.concat(F.substring(card, F.lit(1), F.length(card) - 1), last.cast("string"))
-    iban = _checked_iban(F.concat(F.substring(entity, 1, 2), _redraw(F.substring(entity, F.lit(3), F.length(entity)), stream)), entity)
+    card = F.concat(F.substring(redrawn, F.lit(1), F.length(redrawn) - 1), last.cast("string"))
+    iban = _checked_iban(redrawn, entity)
     hexed = F.array_join(F.transform(F.split(entity, "(?!^)(?=.)"), lambda c, i: F.when(c.rlike("[A-F]"), _pick("ABCDEF", _byte(stream, i))).when(c.rlike("[a-f]"), _pick("abcdef", _byte(stream, i))).otherwise(_pick("0123456789", _byte(stream, i)))), "")
-    head = F.regexp_extract(entity, r"\A(?:AKIA|gh[pousr]_|sk-)", 0)
-    token = F.concat(head, _redraw(F.substring(entity, F.length(head) + 1, F.length(entity)), stream))
-    secret = F.when(entity.rlike(r"\A(?:[0-9a-f]+|[0-9A-F]+)\z"), hexed).otherwise(token)
+    secret = F.when(entity.rlike(r"\A(?:[0-9a-f]+|[0-9A-F]+)\z"), hexed).otherwise(redrawn)
     # A crowded type grows by a sign every WIDEN rounds.
     more = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(nonce / WIDEN).cast("int")), lambda k: F.when(k > 0, (_byte(stream, k + 60) % 10).cast("string")).otherwise("")), "")
     made = (
-        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "ipv6", ipv6).when(kind == "birth", birth).when(kind == "phone", phone).when(kind == "card", card).when(kind == "iban", iban)
-        .when(kind == "secret", secret).when(kind == "last", _name_word(entity, kind, key, nonce)).when(kind.startswith("first"), _name_word(entity, kind, key, nonce))
-        .otherwise(_redraw(entity, stream))
+        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "ipv6", ipv6).when(kind == "birth", birth).when(kind == "card", card).when(kind == "iban", iban)
+        .when(kind == "secret", secret).otherwise(redrawn)
     )
-    return F.when(kind.isin("last", "first f", "first m", "first x"), made).otherwise(F.concat(made, more))
+    return rows.select("entity", "kind", "nonce", F.when(person, _name_word(entity, kind, stream, nonce)).otherwise(F.concat(made, more)).alias("surrogate"))
 
 
 def _one_to_one(base: DataFrame, key: str) -> DataFrame:
     """(entity, kind, surrogate) of distinct entities with kinds: one to one, and never onto an entity of the table."""
-    drawn = lambda t: t.select("entity", "kind", "nonce", surrogate(F.col("entity"), F.col("kind"), key, F.col("nonce")).alias("surrogate"))
     tasks = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    table = drawn(base.withColumn("nonce", F.lit(0)).repartition(tasks, "entity")).checkpoint()
+    table = surrogates(base.withColumn("nonce", F.lit(0)).repartition(tasks, "entity"), key).checkpoint()
     real = table.select(F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
     for _ in range(MAX_ROUNDS):
         owner = table.groupBy("surrogate").agg(F.min(F.struct("nonce", "entity")).alias("o"), F.count("*").alias("shared"))
@@ -234,7 +242,7 @@ def _one_to_one(base: DataFrame, key: str) -> DataFrame:
         again = table.join(clash, "surrogate").where(F.col("real") | (F.col("o.entity") != F.col("entity"))).select("entity", "kind", (F.col("nonce") + 1).alias("nonce")).checkpoint()
         if again.isEmpty():
             return table.select("entity", "kind", "surrogate")
-        table = table.join(again.select("entity"), "entity", "left_anti").unionByName(drawn(again)).checkpoint()
+        table = table.join(again.select("entity"), "entity", "left_anti").unionByName(surrogates(again, key)).checkpoint()
     raise ValueError("surrogates do not get distinct")
 
 

@@ -172,6 +172,18 @@ def test_contamination_equals_brute_force(spark):
     assert decontam.contamination_report(documents(spark, docs), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_contamination_reads_each_text_once(spark, tmp_path):
+    """The filter once called the function again, which took a second worker, kept for later stages, beside each task's first."""
+    item = " ".join(f"b{k}" for k in range(20))
+    documents(spark, [f"a {item} c", "none of it"]).write.parquet(f"{tmp_path}/documents.parquet")
+    texts = spark.read.parquet(f"{tmp_path}/documents.parquet").select(F.col("text").alias("t"))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = decontam.contaminated_texts(texts, bench, item_id_col="item_id", item_text_col="text", window=13, k=7, broadcast_prints=1000)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython [<lambda>") == 1
+    assert [(r.spans[0].start, r.spans[0].end, r["items"]) for r in found.collect()] == [(1, 21, ["1"])]
+
+
 # ---- repeats
 
 
