@@ -7,7 +7,7 @@
 3. Each bucket of a band gives a star: one member, its centre, against the others, deduplicated over bands. Candidates whose
    sizes already exclude the link are dropped; the others are confirmed on the full sets, which only candidates ever ship.
 4. Confirmed links give components. Two members of a star in different components may still be linked with each other. A
-   bound on what they must share besides the centre's shingles (see ``hidden_pairs``) finds every such pair without pairing
+   bound on what they must share besides the centre's shingles (see ``hidden_links``) finds every such pair without pairing
    all members, and these are confirmed too. So no candidate link is lost to the star shape.
 5. The number of bands follows from ``miss``, the bound on the chance that a pair at the threshold shares no bucket.
 
@@ -141,30 +141,45 @@ def confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return _with_sets(pairs.select("a", "b"), sets).where(linked).select("a", "b")
 
 
-def hidden_pairs(star: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of members of one star that may be linked although they are in different components.
+def _small(table: DataFrame, bound: int) -> DataFrame:
+    """The table, checkpointed and, up to ``bound`` rows, to be broadcast."""
+    table = table.checkpoint()
+    return F.broadcast(table) if table.limit(bound + 1).count() <= bound else table
+
+
+def hidden_links(star: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """(a, b) of members of one star that are linked although they are in different components.
 
     Let R be the centre's set, A- = R \\ A and A+ = A \\ R, and D(A) both together. For members A, B of one star the
     intersection is |R| - |A-| - |B-| + S with S = |D(A) & D(B)|. If A is not linked with R, then A and B can only be linked if
-    (num + den) * S > num * |B+| + den * |B-|. (If both are linked with R, they are in one component already.) So of D(B)'s
-    shingles, put rarest first, one that is shared stands among the first |D(B)| - need + 1. Those first ones are joined with
-    D(A) of the members A that are not linked with R: what near copies have in common never meets, only what sets them apart.
+    (num + den) * S > num * |B+| + den * |B-|. (If both are linked with R, they are in one component already.) What counts in S
+    is in D of members of different components, so of each D only these shingles are kept. Of B's, put rarest first, one that is
+    shared stands among the first (their number) - need + 1. Those first ones are joined with the ones kept of the members A that
+    are not linked with R: what near copies have in common never meets, only what sets them apart. From the kept shingles of
+    both follows S, and so the exact intersection; full sets are only shipped to meet the centre's.
     """
     named = star.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
     open_stars = named.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("a")
-    named = named.join(open_stars, "a").join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left").select("a", "b", "n", "component", F.coalesce("linked", F.lit(False)).alias("linked"))
-    apart = _with_sets(named, sets).select("a", "b", "n", "component", "linked", F.array_except("sa", "sb").alias("less"), F.array_except("sb", "sa").alias("more"))
-    need = F.floor((num * F.size("more") + den * F.size("less")) / F.lit(num + den)) + 1
-    rows = apart.select("a", "b", "n", "component", "linked", (F.size("more") + F.size("less") - need + 1).alias("first"), F.explode(F.concat("less", "more")).alias("t"))
-    rows = rows.checkpoint()
-    spread = rows.groupBy("a", "t").agg(F.count("*").alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    rows = rows.join(spread, ["a", "t"])
-    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("f", "t"))
-    early = rows.withColumn("rank", rank).where((F.col("rank") <= F.col("first")) & (F.col("lo") < F.col("hi"))).select("a", "t", F.col("b").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
-    whole = rows.where(~F.col("linked") & (F.col("lo") < F.col("hi"))).select("a", "t", "b", "n", "component")
+    named = named.join(_small(open_stars, broadcast_ids), "a").join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left").select("a", "b", "n", "component", F.coalesce("linked", F.lit(False)).alias("linked"))
+    apart = _with_sets(named, sets).select("a", "b", "n", "component", "linked", F.size("sa").cast("long").alias("r"), F.array_except("sa", "sb").alias("less"), F.array_except("sb", "sa").alias("more"))
+    lost, need = F.size("less").cast("long"), F.floor((num * F.size("more").cast("long") + den * F.size("less").cast("long")) / F.lit(num + den)) + 1
+    apart = apart.select("a", "b", "n", "component", "linked", (F.col("r") - lost).alias("own"), lost.alias("lost"), need.alias("need"), F.concat("less", "more").alias("d")).checkpoint()
+    spread = apart.select("a", "component", F.explode("d").alias("t")).groupBy("a", "t").agg(F.count("*").alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    crossing = _small(spread.where("lo < hi").select("a", "t", "f"), broadcast_ids // 10)
+    kept = apart.select(*[c for c in apart.columns if c != "d"], F.explode("d").alias("t")).join(crossing, ["a", "t"])
+    members = kept.groupBy("a", "b", "n", "component", "linked", "own", "lost", "need").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("s"))
+    members = members.select("a", "b", "n", "component", "linked", "own", "lost", "need", F.col("s.t").alias("ts")).checkpoint()
+    first = F.slice("ts", 1, F.greatest(F.size("ts") - F.col("need") + 1, F.lit(0)).cast("int"))
+    early = members.select("a", F.explode(first).alias("t"), F.col("b").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
+    whole = members.where(~F.col("linked")).select("a", F.explode("ts").alias("t"), "b", "n", "component")
     fits = den * F.least("n", "xn") >= num * F.greatest("n", "xn")
     met = early.join(whole, ["a", "t"]).where((F.col("xc") != F.col("component")) & fits)
-    return met.select(F.least("b", "x").alias("a"), F.greatest("b", "x").alias("b")).distinct()
+    pairs = met.select("a", F.least("b", "x").alias("b"), F.greatest("b", "x").alias("x")).distinct()
+    one = members.select("a", "b", "n", "own", "ts")
+    other = members.select("a", F.col("b").alias("x"), F.col("n").alias("xn"), "lost", F.col("ts").alias("xts"))
+    both = F.col("own") - F.col("lost") + F.size(F.array_intersect("ts", "xts"))
+    linked = den * both >= num * (F.col("n") + F.col("xn") - both)
+    return pairs.join(one, ["a", "b"]).join(other, ["a", "x"]).where(linked).select(F.col("b").alias("a"), F.col("x").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100, rows: int = BAND_ROWS, miss: float = 1e-6, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
@@ -186,9 +201,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     need = star.select(F.col("a").alias(id_col)).union(star.select(F.col("b").alias(id_col))).distinct().checkpoint()
     small = need.limit(broadcast_ids + 1).count() <= broadcast_ids
     sets = full_sets(docs.join(F.broadcast(need) if small else need, id_col, "left_semi"), id_col, text_col, size).checkpoint()
-    links = confirm(star.where(den * F.least("n", "an") >= num * F.greatest("n", "an")), sets, num, den).checkpoint()
+    links = confirm(star.where(den * F.least("n", "an") >= num * F.greatest("n", "an")), sets, num, den).hint("rebalance").checkpoint()
     labels = connected_components(links)
-    more = confirm(hidden_pairs(star, links, labels, sets, num, den), sets, num, den).checkpoint()
+    more = hidden_links(star, links, labels, sets, num, den, broadcast_ids).checkpoint()
     if not more.isEmpty():
         labels = connected_components(links.union(more))
     named = classes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))

@@ -24,13 +24,15 @@ def connected_components(edges: DataFrame, broadcast_nodes: int = BROADCAST_NODE
     neighbours, or a label that many nodes share, is dealt over several tasks. Rounds are checkpointed.
     """
     reliable_checkpoints(edges.sparkSession)
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")).checkpoint()
+    pair = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
+    # Each node is a neighbour of itself as well, and no union adds its partitions: rounds have as many tasks as the edges.
+    around = edges.select(F.inline(F.array(pair("a", "b"), pair("b", "a"), pair("a", "a"), pair("b", "b")))).checkpoint()
+    labels = around.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).checkpoint()
     small = labels.count() <= broadcast_nodes
-    around = both.union(labels.select("node", "node")) if small else both
+    both = around.where("a <> b")
     hubs = [] if small else hot_values(both.groupBy("b").count(), "b")
     while True:
-        stepped = (_step_by_broadcast(around, labels) if small else _step_by_shuffle(around, labels, hubs)).checkpoint()
+        stepped = (_step_by_broadcast(around, labels) if small else _step_by_shuffle(both, labels, hubs)).checkpoint()
         labels = stepped.select("node", "label")
         if stepped.where("label < was").isEmpty():
             return labels.withColumnRenamed("label", "component")
@@ -47,7 +49,7 @@ def _step_by_broadcast(around: DataFrame, labels: DataFrame) -> DataFrame:
 def _step_by_shuffle(both: DataFrame, labels: DataFrame, hubs: list) -> DataFrame:
     """(node, label, was) after one round."""
     near = salted_join(both, labels.withColumnRenamed("node", "b"), "b", hubs, [F.col("a")]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-    lower = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")).checkpoint()
+    lower = labels.join(near, "node", "left").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")).checkpoint()
     used = lower.groupBy("label").count()
     moved = lower.where("label < node").select(F.col("node").alias("label"), F.col("label").alias("top")).join(used.select("label"), "label", "left_semi")
     jumped = salted_join(lower, moved, "label", hot_values(used, "label"), [F.col("node")], "left")

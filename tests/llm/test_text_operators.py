@@ -117,6 +117,27 @@ def test_components_equal_brute_force(spark, size, num):
     assert sorted(shuffled.collect()) == sorted(found.collect())
 
 
+@pytest.mark.parametrize("bound", [0, 10_000])
+def test_hidden_links_are_exact(spark, bound):
+    """Before, candidates came back, and each of them shipped its full set."""
+    rng = random.Random(9)
+    sets = {1: set(range(100)), 200: set(range(100, 130))}
+    for k in range(2, 60):
+        sets[k] = {x for x in sets[1] if x % 7 != k % 3 or rng.random() < 0.4} | {1000 + 50 * (k % 4) + x for x in range(rng.randrange(30))}
+    num, den, members = 80, 100, [k for k in sets if k != 1]
+    alike = lambda x, y: den * len(sets[x] & sets[y]) >= num * len(sets[x] | sets[y])
+    links = [(1, b) for b in members if alike(1, b)]
+    top = {b: 1 if (1, b) in links else b for b in members}
+    expected = {(x, y) for x in members for y in members if x < y and top[x] != top[y] and alike(x, y)}
+    pairs = spark.createDataFrame(links, "a long, b long").checkpoint()
+    star = spark.createDataFrame([(1, len(sets[1]), b, len(sets[b])) for b in members], "a long, an long, b long, n long").checkpoint()
+    labels = spark.createDataFrame([(1, 1), *[(b, 1) for _, b in links]], "node long, component long")
+    whole = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "node long, shingles array<long>")
+    found = minhash.hidden_links(star, pairs, labels, whole, num, den, bound).collect()
+    assert len(found) == len(set(found)) and {tuple(r) for r in found} == expected
+    assert 0 < len(links) < len(members) and len(expected) > 20 and any(not alike(x, y) for x in members for y in members if x < y)
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(None, "a b c d e f", "en", "s", 1), (7, "a b c d e f", "en", "s", 1), (7, "a b c d e f", "en", "s", 1), (3, "a b c d e f", None, None, None)]
     df = documents(spark, [], rows)

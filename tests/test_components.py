@@ -40,6 +40,21 @@ def test_no_edges_give_no_components(spark, bound):
     assert components.connected_components(spark.createDataFrame([], "a long, b long"), bound).count() == 0
 
 
+def test_rounds_have_as_many_tasks_as_the_edges_have_partitions(spark):
+    sc = spark.sparkContext
+    edges = spark.range(1, 400).selectExpr("id a", "id + 1 b").repartition(24).checkpoint()
+    sc.setJobGroup("rounds", "components")
+    try:
+        found = components.connected_components(edges).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("rounds")]
+    stages = [sc.statusTracker().getStageInfo(s) for j in jobs if j for s in j.stageIds]
+    assert {r.component for r in found} == {1} and len(found) == 400
+    assert max(s.numTasks for s in stages if s) == 24  # before, twice as many and those of the labels
+
+
 def test_leakage_reads_items_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
