@@ -40,6 +40,7 @@ def connected_components(edges: DataFrame, broadcast_nodes: int = BROADCAST_NODE
 
 def _step_by_broadcast(around: DataFrame, labels: DataFrame) -> DataFrame:
     """(node, label, was) after one round; ``around`` has each node as a neighbour of itself as well."""
+    labels = labels.dropna()  # both uses now have the same filter, so Spark broadcasts them once
     low = F.broadcast(labels.select(F.col("node").alias("b"), F.col("label").alias("low")))
     top = F.broadcast(labels.select(F.col("node").alias("low"), F.col("label").alias("top")))
     own = F.min(F.when(F.col("a") == F.col("b"), F.col("low")))
