@@ -3,7 +3,8 @@
 Both arms are first reduced to sums per paper and dataset. A replicate is a weight per paper: as many independent draws as there are
 papers, split in two steps. First every draw picks a block of papers, in proportion to its size, and only the counts by block are kept;
 then each block draws that many times among its own papers. Draws are hashes of (seed, replicate, draw), so any task can make its own,
-a lost one makes the same again, and what is shuffled is one count for each of replicates x blocks.
+a lost one makes the same again, and what is shuffled is one count for each of replicates x blocks. Blocks are summed in strips, so a
+strip, not a block, has a row for each replicate.
 """
 
 from __future__ import annotations
@@ -21,21 +22,25 @@ COUNTED = ["n", "units", "severe", "stops", "unsafe", "n_valid", "st", "sp", "st
 METRICS = ["severe", "unsafe", "nmae", "qwk"]
 #: Papers to a bucket of digests when they are numbered, papers to a block, draws held at a time, and replicates weighed together.
 BUCKET, BLOCK, PACK, TOGETHER = 4096, 1024, 4_000_000, 256
-#: Draws that are hashed at a time.
-PIECE = 16_384
+#: Draws that are hashed at a time, and blocks to a strip at most.
+PIECE, STRIP = 32_768, 32
 SEED = 20260729
 _ONE, _GROW, _P, _Q = (np.uint64(x) for x in (1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
-def _mix_into(x: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """``mix`` of ``x`` in place; ``other`` is room of the same size."""
-    x += _GROW
+def _mix_rest(x: np.ndarray, room: np.ndarray, n: int) -> None:
+    """``mix`` modulo ``n`` of ``x``, which has _GROW added already, in place; ``room`` is of the same size."""
     for shift, factor in ((np.uint64(30), _P), (np.uint64(27), _Q), (np.uint64(31), None)):
-        np.right_shift(x, shift, out=other)
-        x ^= other
+        np.right_shift(x, shift, out=room)
+        x ^= room
         if factor is not None:
             x *= factor
-    return x
+    if n & (n - 1) == 0:
+        x &= np.uint64(n - 1)
+        return
+    np.floor_divide(x, np.uint64(n), out=room)
+    room *= np.uint64(n)
+    x -= room
 
 
 def _picks(keys: np.ndarray, counts: np.ndarray, n: int, width: int, share: int) -> np.ndarray:
@@ -43,16 +48,15 @@ def _picks(keys: np.ndarray, counts: np.ndarray, n: int, width: int, share: int)
     time, so that they stay in the cache."""
     out = np.zeros((len(keys), width), np.int64)
     steps, x, other = np.arange(PIECE, dtype=np.uint64), np.empty(PIECE, np.uint64), np.empty(PIECE, np.uint64)
-    for i, (key, count) in enumerate(zip(keys, counts.tolist(), strict=True)):
+    for i, (key, count) in enumerate(zip(keys + _GROW, counts.tolist(), strict=True)):
         for start in range(0, count, PIECE):
             m = min(PIECE, count - start)
-            draw, room = x[:m], other[:m]
+            draw = x[:m]
             np.add(steps[:m], key + np.uint64(start), out=draw)
-            _mix_into(draw, room)
-            np.floor_divide(draw, np.uint64(n), out=room)
-            room *= np.uint64(n)
-            draw -= room
-            if share > 1:
+            _mix_rest(draw, other[:m], n)
+            if share & (share - 1) == 0:
+                draw >>= np.uint64(share.bit_length() - 1)
+            else:
                 np.floor_divide(draw, np.uint64(share), out=draw)
             out[i] += np.bincount(draw.view(np.int64), minlength=width)
     return out
@@ -120,85 +124,130 @@ def block_counts(first: int, stop: int, size: int, seed: int = SEED, block: int
     return _picks(keys, np.full(len(keys), size), size, -(-size // block), block)
 
 
-def block_weights(first: int, counts: np.ndarray, block: int, held: int, seed: int = SEED) -> np.ndarray:
-    """(replicate, paper of the block): how often each of ``held`` papers is drawn, given how often the block is."""
+def block_weights(first: int, counts: np.ndarray, block: int, held: int, seed: int = SEED, kind: type = np.int64) -> np.ndarray:
+    """(replicate, paper of the block), of type ``kind``: how often each of ``held`` papers is drawn, given how often the block is."""
     keys = block_key(np.arange(first, first + len(counts)), block, seed)
-    out = np.empty((len(counts), held), np.int64)
-    several = max(1, PIECE // max(1, int(counts.max(initial=0))))  # rows whose draws fit in a piece
+    out = np.empty((len(counts), held), kind)
+    most = min(PIECE, int(counts.max(initial=0)))
+    several = max(1, PIECE // max(1, most))  # rows whose draws fit in a piece
+    steps, x, other = np.arange(most, dtype=np.uint64), np.empty(several * most, np.uint64), np.empty(several * most, np.uint64)
     for a in range(0, len(counts), several):
         some = counts[a : a + several]
-        if int(some.max()) > PIECE:
+        wide = int(some.max())
+        if wide > PIECE:
             out[a : a + several] = _picks(keys[a : a + several], some, held, held, 1)
             continue
-        draw = np.repeat(keys[a : a + several] - (np.cumsum(some) - some).astype(np.uint64), some)
-        draw += np.arange(len(draw), dtype=np.uint64)
-        room = np.empty_like(draw)
-        _mix_into(draw, room)
-        np.floor_divide(draw, np.uint64(held), out=room)
-        room *= np.uint64(held)
-        draw -= room
-        draw += np.repeat(np.arange(len(some), dtype=np.uint64) * np.uint64(held), some)
-        out[a : a + several] = np.bincount(draw.view(np.int64), minlength=len(some) * held).reshape(len(some), held)
+        draw, room = x[: len(some) * wide], other[: len(some) * wide]
+        picks = draw.reshape(len(some), wide)  # rows of equal length, read as far as they count
+        np.add(keys[a : a + several, None] + _GROW, steps[:wide], out=picks)
+        _mix_rest(draw, room, held)
+        for row, pick, count in zip(out[a : a + several], picks.view(np.int64), some.tolist(), strict=True):
+            row[:] = np.bincount(pick[:count], minlength=held)
     return out
 
 
-def resampled(sums: DataFrame, replicates: int, seed: int = SEED, block: int = BLOCK, together: int = TOGETHER) -> DataFrame:
+def packed(side: np.ndarray, draws: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Columns of whole numbers put side by side into doubles of 53 bits, as far as their sums over ``draws`` rows need, and where they
+    are: column, double, shift, mask. Columns of zeros are left out; one below 0, or with sums too large, is a double of its own."""
+    used, places = [], []
+    need = [-1 if low < 0 else (high * draws).bit_length() for low, high in zip(side.min(axis=0).tolist(), side.max(axis=0).tolist(), strict=True)]
+    for c in sorted(range(len(need)), key=lambda c: -need[c]):
+        bits = need[c]
+        if bits == 0:
+            continue
+        alone = bits < 0 or bits > 53
+        at = len(used) if alone else next((k for k, taken in enumerate(used) if taken + bits <= 53), len(used))
+        if at == len(used):
+            used.append(0)
+        places.append((c, at, used[at], -1 if alone else (1 << bits) - 1))
+        used[at] += 53 if alone else bits
+    out = np.zeros((len(side), len(used)), np.int64)
+    for c, at, shift, _ in places:
+        out[:, at] += side[:, c] << shift
+    return out.astype(np.float64), *np.array(places, np.int64).reshape(-1, 4).T
+
+
+def resampled(sums: DataFrame, replicates: int, seed: int = SEED, block: int = BLOCK, together: int = TOGETHER, papers: DataFrame | None = None, point: bool = False) -> DataFrame:
     """(replicate, arm, dataset, sums): every replicate draws as many papers as there are. A task makes the counts by block of some
-    replicates; a block, never more than ``block`` papers, makes its weights and multiplies them with its sums (in doubles, exact below
-    2^53), so that only replicates x blocks are shuffled and aggregated."""
-    numbered, size = positions(sums)
+    replicates; a strip of blocks makes the weights of one block after the other, never more than ``block`` papers, multiplies them with
+    the block's sums (in doubles, exact below 2^53) and adds up, so that only replicates x blocks counts and replicates x strips sums are
+    shuffled. ``papers`` has the same ids as ``sums``, if they are cheaper to get; ``point`` adds the papers as they are, as replicate -1."""
+    numbered, size = positions(sums if papers is None else papers)
     counted = [c for c in COUNTED if c in sums.columns]
-    several = max(1, min(64, PACK // max(1, size)))
+    blocks, cores = -(-size // block), sums.sparkSession.sparkContext.defaultParallelism
+    several = max(1, min(32, PACK // max(1, blocks)))
+    strip = max(1, min(STRIP, blocks // (4 * cores)))
 
     def split(batches):
         for unit in (u for batch in batches for u in batch.column(0).to_pylist()):
             first = unit * several
             counts = block_counts(first, min(first + several, replicates), size, seed, block)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(counts.shape[1] + 1) * counts.shape[0], pa.int32()), pa.array(counts.T.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(counts.shape[1])), pa.array(np.full(counts.shape[1], first)), lists], names=["block", "first", "counts"])
+            ends = np.minimum(np.arange(0, blocks + strip, strip), blocks) * len(counts)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(counts.T.ravel(), pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(lists))), pa.array(np.full(len(lists), first)), lists], names=["strip", "first", "counts"])
 
     def weigh(drawn: pa.Table, held: pa.Table) -> pa.Table:
         if not drawn.num_rows or not held.num_rows:
             return out.empty_table()
-        place, counts = drawn["block"][0].as_py(), np.zeros(replicates, np.int64)
-        for first, some in zip(drawn["first"].to_pylist(), drawn["counts"].to_pylist(), strict=True):
-            counts[first : first + len(some)] = some
-        offset, arms, datasets = held["pos"].to_numpy() % block, held["arm"].to_pylist(), held["dataset"].to_pylist()
-        values = np.stack([held[c].to_numpy() for c in counted], axis=1).astype(np.float64)
-        groups: dict[tuple, list[int]] = {}
-        for i, group in enumerate(zip(arms, datasets, strict=True)):
-            groups.setdefault(group, []).append(i)
+        base = drawn["strip"][0].as_py() * strip
+        some = min(strip, blocks - base)
+        counts = np.zeros((some, replicates), np.int64)
+        for first, part in zip(drawn["first"].to_pylist(), drawn["counts"], strict=True):
+            part = part.values.to_numpy().reshape(some, -1)
+            counts[:, first : first + part.shape[1]] = part
+        groups: dict[tuple, int] = {}
+        group = np.array([groups.setdefault(g, len(groups)) for g in zip(held["arm"].to_pylist(), held["dataset"].to_pylist(), strict=True)])
+        place = held["pos"].to_numpy() - base * block
+        order = np.argsort(place, kind="stable")
+        ends = np.searchsorted(place[order], np.arange(some + 1) * block)
+        values = np.stack([held[c].to_numpy() for c in counted], axis=1)
+        sums = np.zeros((replicates + 1, len(groups) * len(counted)), np.int64)  # the first row is for the papers as they are
+        for b in range(some):
+            rows, here = order[ends[b] : ends[b + 1]], min(block, size - (base + b) * block)
+            side = np.zeros((here * len(groups), len(counted)), np.int64)
+            np.add.at(side, (place[rows] - b * block) * len(groups) + group[rows], values[rows])
+            # the sums of all arms and datasets of a paper, side by side
+            side, column, at, shift, mask = packed(side.reshape(here, -1), max(here, int(counts[b].max())))
+            totals = np.empty((replicates + 1, side.shape[1]))
+            totals[0] = side.sum(axis=0)
+            for first in range(0, replicates, together):
+                weights = block_weights(first, counts[b, first : first + together], base + b, here, seed, np.float64)
+                np.matmul(weights, side, out=totals[first + 1 : first + 1 + len(weights)])
+            sums[:, column] += (np.rint(totals).astype(np.int64)[:, at] >> shift) & mask
         found = []
-        here = min(block, size - place * block)
-        summed = {group: np.zeros((here, len(counted))) for group in groups}
-        for group, rows in groups.items():
-            np.add.at(summed[group], offset[rows], values[rows])
-        side = np.hstack(list(summed.values()))  # the sums of all arms and datasets of a paper, side by side
-        for first in range(0, replicates, together):
-            weights = block_weights(first, counts[first : first + together], place, here, seed).astype(np.float64)
-            totals = np.rint(weights @ side).astype(np.int64)
-            for k, (arm, dataset) in enumerate(groups):
-                total = totals[:, k * len(counted) : (k + 1) * len(counted)]
-                there = np.flatnonzero(total[:, 0])
-                found.append(pa.table([pa.array(there + first), pa.array([arm] * len(there), pa.string()), pa.array([dataset] * len(there), pa.string()), *[pa.array(total[there, c]) for c in range(len(counted))]], names=["replicate", "arm", "dataset", *counted]))
+        for k, (arm, dataset) in enumerate(groups):
+            total = sums[:, k * len(counted) : (k + 1) * len(counted)]
+            there = np.flatnonzero(total[:, 0])
+            there = there if point else there[there > 0]
+            found.append(pa.table([pa.array(there - 1), pa.array([arm] * len(there), pa.string()), pa.array([dataset] * len(there), pa.string()), *[pa.array(total[there, c]) for c in range(len(counted))]], names=["replicate", "arm", "dataset", *counted]))
         return pa.concat_tables(found)
 
     out = pa.schema([("replicate", pa.int64()), ("arm", pa.string()), ("dataset", pa.string()), *[(c, pa.int64()) for c in counted]])
-    drawn = sums.sparkSession.range(-(-replicates // several)).mapInArrow(split, "block long, first long, counts array<long>")
-    held = sums.join(numbered, "paper_id").select((F.floor(F.col("pos") / block)).alias("block"), "pos", "arm", "dataset", *counted)
+    units, tasks = -(-replicates // several), max(1, min(-(-blocks // strip), 8 * cores))
+    drawn = sums.sparkSession.range(0, units, 1, max(1, min(units, 8 * cores))).mapInArrow(split, "strip long, first long, counts array<int>")
+    held = sums.join(numbered, "paper_id").select(F.expr(f"pos div {block * strip}").alias("strip"), "pos", "arm", "dataset", *counted)
     kind = "replicate long, arm string, dataset string, " + ", ".join(f"{c} long" for c in counted)
-    blocks = drawn.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(weigh, kind)
-    return blocks.groupBy("replicate", "arm", "dataset").agg(*[F.sum(c).alias(c) for c in counted])
+    # strips are many draws in few bytes, so the number of tasks does not follow the bytes
+    strips = drawn.repartition(tasks, "strip").groupBy("strip").cogroup(held.repartition(tasks, "strip").groupBy("strip")).applyInArrow(weigh, kind)
+    return strips.groupBy("replicate", "arm", "dataset").agg(*[F.sum(c).alias(c) for c in counted])
+
+
+def arm_sums(candidate: DataFrame, comparator: DataFrame) -> DataFrame:
+    """Sums per paper, arm (a is the candidate) and dataset."""
+    return paper_statistics(candidate).withColumn("arm", F.lit("a")).unionByName(paper_statistics(comparator).withColumn("arm", F.lit("b")))
 
 
 def replicate_deltas(candidate: DataFrame, comparator: DataFrame, replicates: int, datasets: list[str], least: int = 100, bins: int = 2) -> DataFrame:
+    """``deltas_of`` the sums of two arms."""
+    return deltas_of(arm_sums(candidate, comparator), replicates, datasets, least, bins)
+
+
+def deltas_of(sums: DataFrame, replicates: int, datasets: list[str], least: int = 100, bins: int = 2, papers: DataFrame | None = None) -> DataFrame:
     """Per replicate, and for the papers as they are (replicate -1): the largest change over ``datasets`` of the rates of severe
     errors and of unsafe stops, and the changes of the unweighted means over datasets of the error and of kappa. All four are null
     if any dataset of either arm has no items, no stops, fewer than ``least`` legal predictions, fewer than ``bins`` gold bins or
     no expected disagreement."""
-    sums = paper_statistics(candidate).withColumn("arm", F.lit("a")).unionByName(paper_statistics(comparator).withColumn("arm", F.lit("b")))
-    point = sums.groupBy("arm", "dataset").agg(*[F.sum(c).alias(c) for c in COUNTED]).withColumn("replicate", F.lit(-1).cast("long"))
-    per = resampled(sums, replicates).unionByName(point)
+    per = resampled(sums, replicates, papers=papers, point=True)
     held = sum(((F.col(g) > 0).cast("int") for g in GOLD_BINS), F.lit(0))
     ready = (F.col("n") > 0) & (F.col("stops") > 0) & (F.col("n_valid") >= least) & (held >= bins) & kappa_of_moments().isNotNull()
     rates = per.select(
@@ -222,10 +271,15 @@ def conservative_bound(delta: Column, replicates: int, confidence: float = 0.95,
 
 
 def gate(candidate: DataFrame, comparator: DataFrame, replicates: int, datasets: list[str], confidence: float = 0.95, least: int = 100, bins: int = 2) -> DataFrame:
+    """``gate_of`` the sums of two arms."""
+    return gate_of(arm_sums(candidate, comparator), replicates, datasets, confidence, least, bins)
+
+
+def gate_of(sums: DataFrame, replicates: int, datasets: list[str], confidence: float = 0.95, least: int = 100, bins: int = 2, papers: DataFrame | None = None) -> DataFrame:
     """One row per metric: its value for the papers as they are, its one-sided bound, whether that is no worse than 0, and the
     status of all four together: pass if all are; inconclusive if anything is undefined, one undefined replicate voiding all;
     inferior if every replicate of one metric is worse; else inconclusive. Values are in units of 1e-9."""
-    deltas = replicate_deltas(candidate, comparator, replicates, datasets, least, bins)
+    deltas = deltas_of(sums, replicates, datasets, least, bins, papers)
     long = deltas.unpivot("replicate", METRICS, "metric", "delta")
     drawn = F.when(F.col("replicate") >= 0, F.col("delta"))
     higher = F.col("metric") == "qwk"

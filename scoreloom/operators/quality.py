@@ -99,10 +99,10 @@ def plain_errors(judged: DataFrame) -> DataFrame:
 GOLD_BINS = [f"g{b}" for b in range(11)]
 
 
-def paper_statistics(judged: DataFrame) -> DataFrame:
-    """Mergeable sums per paper and dataset: all that a resampling of papers needs, readiness of kappa included."""
+def paper_statistics(judged: DataFrame, *more: str) -> DataFrame:
+    """Mergeable sums per paper and dataset (and ``more`` columns): all that a resampling of papers needs, readiness of kappa included."""
     severe = F.col("units") * 4 > TOP
     gold = [F.count_if(F.col("legal") & (F.col("gb") == b)).alias(name) for b, name in enumerate(GOLD_BINS)]
-    return judged.groupBy("paper_id", "dataset").agg(
+    return judged.groupBy("paper_id", *more, "dataset").agg(
         F.count("*").alias("n"), F.sum("units").alias("units"), F.count_if(severe).alias("severe"), F.count_if("stop").alias("stops"), F.count_if(F.col("stop") & severe).alias("unsafe"), *moments(), *gold
     )

@@ -84,3 +84,40 @@ def test_draws_in_pieces_are_the_draws(monkeypatch):
         for x in bootstrap.mix(key + np.arange(counts[i], dtype=np.uint64)):
             inside[i, int(x) % 5] += 1
     assert (bootstrap.block_weights(3, counts, 2, 5) == inside).all()
+
+
+def test_strips_of_blocks_have_one_row_a_replicate(spark, monkeypatch):
+    from scoreloom.operators import bootstrap
+
+    sums = [(p, arm, "AN"[(p + k) % 2], k + 1, 5 * p, -p, 2**40 + p, 0, p % 3) for p in range(700) for k, arm in enumerate("ab")]
+    frame = spark.createDataFrame(sums, "paper_id long, arm string, dataset string, n long, units long, severe long, stops long, unsafe long, st long")
+    drawn = bootstrap.resampled(frame, 20, block=8)  # 88 blocks: strips of five on four cores
+    assert "strip" in plan_of(drawn)  # before: a row for each replicate, arm and dataset of each block
+    one = sorted(map(tuple, drawn.collect()))
+    whole = {tuple(r)[:3]: tuple(r)[3:] for r in bootstrap.resampled(frame, 20, block=8, point=True).collect()}
+    for arm, d in ((arm, d) for arm in "ab" for d in "AN"):  # the papers as they are come from the same pass
+        assert whole.pop((-1, arm, d)) == tuple(map(sum, zip(*[r[3:] for r in sums if r[1:3] == (arm, d)], strict=True)))
+    assert sorted(k + v for k, v in whole.items()) == one
+    monkeypatch.setattr(bootstrap, "STRIP", 1)
+    assert sorted(map(tuple, bootstrap.resampled(frame, 20, block=8, together=3).collect())) == one
+
+
+def test_packed_columns_have_the_sums_of_their_own():
+    import numpy as np
+
+    from scoreloom.operators import bootstrap
+
+    r = np.random.default_rng(5)
+    side = np.stack([r.integers(0, top, 50) for top in (2, 3, 8, 5000, 2**44, 2**20, 1, 2, 9, 2**30)] + [r.integers(-9, 9, 50)], axis=1)
+    weights = r.integers(0, 4, (30, 50))
+    narrow, column, at, shift, mask = bootstrap.packed(side, int(weights.sum(1).max()))
+    totals = np.zeros((30, side.shape[1]), np.int64)
+    totals[:, column] = ((weights.astype(np.float64) @ narrow).astype(np.int64)[:, at] >> shift) & mask
+    assert (totals == weights @ side).all() and narrow.shape[1] < side.shape[1] - 3 and narrow.sum(0).max() * 4 < 2**55
+    assert bootstrap.packed(side[:, 6:7], 9)[0].shape == (50, 0)  # zeros
+
+
+def test_gate_reads_its_records_once(spark):
+    from scoreloom.plans import quality_queries
+
+    assert plan_of(quality_queries.bootstrap_gate(spark, "/root/testdata/sf0.001")).count("FileScan parquet") <= 6  # before 16: each arm for the sums, their total and twice for ids
