@@ -201,25 +201,27 @@ def resampled(sums: DataFrame, replicates: int, seed: int = SEED, block: int = B
         order = np.argsort(place, kind="stable")
         ends = np.searchsorted(place[order], np.arange(some + 1) * block)
         values = np.stack([held[c].to_numpy() for c in counted], axis=1)
-        sums = np.zeros((replicates + 1, len(groups) * len(counted)), np.int64)  # the first row is for the papers as they are
+        sums = np.zeros((len(groups) * len(counted), replicates + 1), np.int64)  # first come the papers as they are
         for b in range(some):
             rows, here = order[ends[b] : ends[b + 1]], min(block, size - (base + b) * block)
             side = np.zeros((here * len(groups), len(counted)), np.int64)
             np.add.at(side, (place[rows] - b * block) * len(groups) + group[rows], values[rows])
             # the sums of all arms and datasets of a paper, side by side
-            side, column, at, shift, mask = packed(side.reshape(here, -1), max(here, int(counts[b].max())))
+            side, *places = packed(side.reshape(here, -1), max(here, int(counts[b].max())))
             totals = np.empty((replicates + 1, side.shape[1]))
             totals[0] = side.sum(axis=0)
             for first in range(0, replicates, together):
                 weights = block_weights(first, counts[b, first : first + together], base + b, here, seed, np.float64)
                 np.matmul(weights, side, out=totals[first + 1 : first + 1 + len(weights)])
-            sums[:, column] += (np.rint(totals).astype(np.int64)[:, at] >> shift) & mask
+            totals = np.ascontiguousarray(np.rint(totals).astype(np.int64).T)
+            for column, at, shift, mask in zip(*places, strict=True):
+                sums[column] += (totals[at] >> shift) & mask
         found = []
         for k, (arm, dataset) in enumerate(groups):
-            total = sums[:, k * len(counted) : (k + 1) * len(counted)]
-            there = np.flatnonzero(total[:, 0])
+            total = sums[k * len(counted) : (k + 1) * len(counted)]
+            there = np.flatnonzero(total[0])
             there = there if point else there[there > 0]
-            found.append(pa.table([pa.array(there - 1), pa.array([arm] * len(there), pa.string()), pa.array([dataset] * len(there), pa.string()), *[pa.array(total[there, c]) for c in range(len(counted))]], names=["replicate", "arm", "dataset", *counted]))
+            found.append(pa.table([pa.array(there - 1), pa.array([arm] * len(there), pa.string()), pa.array([dataset] * len(there), pa.string()), *[pa.array(c[there]) for c in total]], names=["replicate", "arm", "dataset", *counted]))
         return pa.concat_tables(found)
 
     out = pa.schema([("replicate", pa.int64()), ("arm", pa.string()), ("dataset", pa.string()), *[(c, pa.int64()) for c in counted]])
